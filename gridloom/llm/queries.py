@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
+from .bpe import op7_byte_bpe
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
+from .media import op2_media_sniffing
+from .packing import op8_length_packing
 from .quality_rules import RULES, mask, op10_quality_rules
 from .sharding import op5_external_shuffle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media_sniffing": op2_media_sniffing,
         "op5_external_shuffle": op5_external_shuffle,
         "op6_line_dedup": op6_line_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_length_packing": op8_length_packing,
+        "op9_warc": warc.op9_warc,
         "op10_quality_rules": op10_quality_rules,
     }
 
@@ -61,4 +69,4 @@ FROM p LEFT JOIN k ON p.page_id = k.page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINES_SQL, "op10_quality_rules": RULES_SQL}
+    return {"op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL}

@@ -33,7 +33,8 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 17, bucket_byte
     """Adds size, shard and slot (long, from 0 without gaps in a shard) to ``df`` (doc_id, text, ...)."""
     df = df.drop(*OWN).withColumn("size", text_size())
     total, n = df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-total // bucket_bytes), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-total // bucket_bytes), parts)
     key = F.xxhash64(F.lit(seed), "doc_id", "text")
     spread = df.withColumn("_key", key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
 
@@ -42,13 +43,14 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 17, bucket_byte
     first = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     orders = (
         counts.withColumn("_first", first)
-        .repartition(min(buckets, 64), "_bucket")
+        .repartition(parts, "_bucket")  # dealt as the records are, so that the join moves neither
         .sortWithinPartitions("_bucket")
         .select("_bucket", "_first", F.shuffle(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), seed).alias("_order"))
     )
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "doc_id")) - 1
     placed = (
-        spread.withColumn("_rank", rank)
+        spread.repartition(parts, "_bucket")
+        .withColumn("_rank", rank)
         .join(orders.hint("merge"), "_bucket")
         .withColumn("_pos", F.col("_first") + F.get("_order", F.col("_rank")))
     )

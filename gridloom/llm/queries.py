@@ -10,6 +10,7 @@ from . import warc
 from .bpe import op7_byte_bpe
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
 from .media import op2_media_sniffing
+from .minhash import op1_minhash_dedup
 from .packing import op8_length_packing
 from .quality_rules import RULES, mask, op10_quality_rules
 from .sharding import op5_external_shuffle
@@ -17,6 +18,7 @@ from .sharding import op5_external_shuffle
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_media_sniffing": op2_media_sniffing,
         "op5_external_shuffle": op5_external_shuffle,
         "op6_line_dedup": op6_line_dedup,

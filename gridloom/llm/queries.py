@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
 from .bpe import op7_byte_bpe
+from .line_crf import op3_line_crf
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
 from .media import op2_media_sniffing
 from .minhash import op1_minhash_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_media_sniffing": op2_media_sniffing,
+        "op3_line_crf": op3_line_crf,
         "op5_external_shuffle": op5_external_shuffle,
         "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,

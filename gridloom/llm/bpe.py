@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import bounded_arrow, read, small_batches
 
 
 def load_ranks(data: bytes) -> list[bytes]:
@@ -46,7 +46,7 @@ class Vocabulary:
         self.tokens, self.rank = tokens, {t: i for i, t in enumerate(tokens)}
         self.merged: dict[tuple[int, int], int] = {}  # two tokens to the token that a merge makes of them
         self.parts = [(i, i) for i in range(len(tokens))]  # the two tokens of a token's last merge; itself for single bytes
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left << 20 | right
         self.sizes = [len(t) for t in tokens]
         whole = []
         for i, token in enumerate(tokens):
@@ -56,7 +56,6 @@ class Vocabulary:
                     continue  # merges never make this token; only a piece that equals it is encoded so
                 self.merged[pair], self.parts[i] = i, pair
             whole.append(i)
-        self.fits.clear()  # what fits among few tokens need not fit among all
         self.shorter = [-1] * len(tokens)  # the longest token that is a proper prefix
         made = {tokens[i] for i in whole}
         for i in whole:
@@ -77,10 +76,10 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges, given the two tokens' bytes, end with just these two."""
-        pair = (left, right)
+        pair = left << 20 | right
         found = self.fits.get(pair)
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             found = self.fits[pair] = self._compatible(left, right)
         return found
@@ -125,7 +124,7 @@ class Vocabulary:
         while pos < n:
             end = pos + sizes[token]
             if not given_up[end]:
-                fit = last < 0 or fits((last, token))
+                fit = last < 0 or fits(last << 20 | token)
                 if fit is None:
                     fit = self.compatible(last, token)
                 if fit:
@@ -145,7 +144,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts: splits by the pattern, encodes pieces, remembers those of short words."""
 
-    KEPT = 400_000
+    KEPT = 150_000
 
     def __init__(self, data: bytes, pattern: str):
         self.data, self.pattern = data, pattern
@@ -215,7 +214,7 @@ class _Memo(dict):
 def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``ids`` (array of int) to ``df``. ``data``: a rank file's bytes; ``pattern``: what splits texts into pieces."""
     sent = df.sparkSession.sparkContext.broadcast(Encoder(data, pattern))
-    df = df.drop(ids)
+    df = bounded_arrow(df.drop(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = sent.value

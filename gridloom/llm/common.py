@@ -51,6 +51,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_arrow(df: DataFrame, most: str = "8m") -> DataFrame:
+    """``df``; its session from now on hands tasks' Python at most so many bytes a batch (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def small_batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` holds about ``most`` bytes each, so that a batch of long texts stays small in memory."""
     import numpy as np

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .attention_lm import op4_attention_lm
 from .bpe import op7_byte_bpe
 from .line_crf import op3_line_crf
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_media_sniffing": op2_media_sniffing,
         "op3_line_crf": op3_line_crf,
+        "op4_attention_lm": op4_attention_lm,
         "op5_external_shuffle": op5_external_shuffle,
         "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read, words
+from .common import SPACES, materialize, read, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_capital_words", "n_shouts")
 
@@ -111,8 +111,12 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def quality_rules(df: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of ``df`` that a policy keeps, with the columns of ``df``."""
-    return ledger(df).where(passes(policy)).select(*df.columns)
+    """The rows of ``df`` that a policy keeps, with the columns of ``df``.
+
+    The ledger is written first: policies read its bits. (A filter over the unwritten ledger would be
+    pushed below it and evaluate every measurement once for each rule that names it.)
+    """
+    return materialize(ledger(df)).where(passes(policy)).select(*df.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,538 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.calendar import cyclic_month, latitude_band
+from ..operators import evaluation as ev
+from ..operators import folds as fo
+from ..operators import forecast as fc
+from ..operators import history as hi
+from ..operators import neighbours as ne
+from ..operators import outages as ou
+from ..operators.panel import PANEL, broken_rules, split_panel, union_panels
+from ..sources import tables as src
+from .features import build_features
 
-def oracle_sql() -> dict:
-    return {}
+#: Months that queries treat as outages, and rates of outage by year.
+GAP = [dt.date(1996, 3, 1), dt.date(1996, 4, 1), dt.date(1997, 1, 1), dt.date(1998, 7, 1), dt.date(1998, 8, 1), dt.date(1998, 9, 1), dt.date(1998, 10, 1), dt.date(1999, 12, 1)]
+RATES = [(1995, 1996, 0.05), (1997, 1998, 0.35), (1999, 1999, 0.5)]
+ID = ["lat", "lon", "time"]
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+_gap = ", ".join(f"DATE '{d}'" for d in GAP)
+#: The panel of the adapters in SQL; ``g`` is the panel with the outage months masked.
+CTE = f"""
+WITH raw AS (SELECT CAST(floor(l_suppkey / 10) AS DOUBLE) AS lat, CAST(l_suppkey % 10 AS DOUBLE) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS cov_quantity,
+    CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS cov_discount, count(*) AS cov_count
+    FROM lineitem WHERE l_suppkey % 7 <> 3 GROUP BY 1, 2, 3),
+flags AS (SELECT *, time < DATE '2000-01-01' AS is_train, time >= DATE '2000-01-01' AND (year(time) * 12 + month(time)) % 5 = 2 AS masked FROM raw),
+panel AS (SELECT r.lat, r.lon, r.time, CASE WHEN NOT r.masked THEN r.v END AS value, r.cov_quantity, r.cov_discount, r.cov_count, r.masked, r.is_train,
+    CASE WHEN r.is_train THEN n.v END AS target
+    FROM flags r LEFT JOIN raw n ON r.lat = n.lat AND r.lon = n.lon AND n.time = CAST(r.time + INTERVAL 1 MONTH AS DATE)),
+g AS (SELECT lat, lon, time, CASE WHEN is_train AND time IN ({_gap}) THEN NULL ELSE value END AS value, cov_quantity, cov_discount, cov_count,
+    masked OR (is_train AND time IN ({_gap})) AS masked, is_train, target FROM panel),
+h AS (SELECT *, avg(value) OVER (PARTITION BY lat, lon, month(time) ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS climatology_mean,
+    last_value(CASE WHEN NOT masked THEN value END IGNORE NULLS) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_observed,
+    last_value(CASE WHEN NOT masked THEN time END IGNORE NULLS) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_time
+    FROM g),
+o AS (SELECT *, CAST(datediff('month', last_time, time) + 1 AS INTEGER) AS months_since_observed, coalesce(CAST(last_observed AS DOUBLE), climatology_mean) AS prediction FROM h),
+months AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT time FROM panel WHERE is_train)),
+folds AS (SELECT time, fold, CASE WHEN k < m - (5 - fold) * (m // 6) THEN 'fit' ELSE 'val' END AS role FROM months, range(5) AS f(fold) WHERE k < m - (5 - fold) * (m // 6) + m // 6),
+oof AS (SELECT o.*, CAST(folds.fold AS INTEGER) AS fold, abs(target - prediction) AS abs_error FROM o JOIN folds ON o.time = folds.time AND role = 'val' WHERE target IS NOT NULL)
+"""
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = CTE + sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.supplier_month(spark, sf_dir)
+
+
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ou.mask_months(panel(spark, sf_dir), GAP)
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked panel with last observation, horizon, climatology and the persistence forecast."""
+    rows = gapped(spark, sf_dir).withColumns(hi.last_observed() | hi.climatology())
+    return rows.withColumn("prediction", ev.persistence())
+
+
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a fold is judged on, with the forecast's error."""
+    table = fo.temporal_folds(panel(spark, sf_dir).where("is_train"), 5).where("role = 'val'")
+    rows = fo.with_time_folds(observed(spark, sf_dir), table).where("target IS NOT NULL")
+    return rows.withColumn("abs_error", F.abs(F.col("target") - F.col("prediction")))
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+W = "OVER (PARTITION BY lat, lon ORDER BY time)"
+
+
+# --- the panel itself
+@query("SELECT * FROM panel")
+def panel_union_flags(spark, d):
+    train, test = split_panel(panel(spark, d))
+    return union_panels(train.drop("masked"), test).select("lat", "lon", "time", "value", "cov_quantity", "cov_discount", "cov_count", "masked", "is_train", "target")
+
+
+@query("SELECT lat, lon, time, value, target FROM panel WHERE is_train")
+def csv_roundtrip_scan(spark, d):
+    path = tempfile.mkdtemp(prefix="spark-", dir=(spark.conf.get("spark.checkpoint.dir", None) or "/tmp").removeprefix("file:"))
+    train = panel(spark, d).where("is_train").select(F.concat_ws("_", F.date_format("time", "yyyyMMdd"), "lat", "lon").alias("sample_id"), "time", "lat", "lon", "value", "target")
+    train.write.mode("overwrite").option("header", True).csv(f"{path}/train")
+    return src.scan_csv(spark, f"{path}/train", "sample_id string, time date, lat double, lon double, value long, target long").select("lat", "lon", "time", "value", "target")
+
+
+@query("SELECT 'repeated_step' AS rule, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 'flag_and_value', count(*) FILTER (WHERE masked <> (value IS NULL)) FROM panel UNION ALL SELECT 'target_on_test', count(*) FILTER (WHERE NOT is_train AND target IS NOT NULL) FROM panel")
+def panel_rules(spark, d):
+    return broken_rules(panel(spark, d))
+
+
+@query("""SELECT CAST(floor(c_nationkey / 5) AS DOUBLE) AS lat, CAST(c_nationkey % 5 AS DOUBLE) AS lon, CAST(date_trunc('month', o_orderdate) AS DATE) AS time,
+    CASE WHEN NOT (date_trunc('month', o_orderdate) >= DATE '2000-01-01' AND (year(any_value(o_orderdate)) * 12 + month(any_value(o_orderdate))) % 5 = 2) THEN CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) END AS value, count(*) AS cov_count
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, date_trunc('month', o_orderdate)""")
+def nation_panel(spark, d):
+    return src.nation_month(spark, d).select("lat", "lon", "time", "value", "cov_count")
+
+
+@query("""SELECT lat, lon, time, avg(value) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_rollmean3, lag(value, 1) OVER (PARTITION BY lat, lon ORDER BY time) AS value_lag1
+    FROM (SELECT CAST(floor(user_id / 10) AS DOUBLE) AS lat, CAST(user_id % 10 AS DOUBLE) AS lon, CAST(ts AS DATE) AS time, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1, 2, 3)""")
+def user_day_steps(spark, d):
+    return src.user_day(spark, d).select(*ID, *[c.alias(n) for n, c in (hi.rolling_means("value", (3,)) | hi.lags("value", (1,))).items()])
+
+
+# --- history
+@query(f"SELECT lat, lon, time, lag(value, 1) {W} AS value_lag1, lag(value, 3) {W} AS value_lag3, lag(value, 6) {W} AS value_lag6, lag(value, 12) {W} AS value_lag12 FROM g")
+def step_lags(spark, d):
+    return gapped(spark, d).withColumns(hi.lags("value", (1, 3, 6, 12))).select(*ID, "value_lag1", "value_lag3", "value_lag6", "value_lag12")
+
+
+@query(f"SELECT lat, lon, time, value - lag(value, 1) {W} AS value_diff1, value - lag(value, 12) {W} AS value_diff12 FROM g")
+def step_diffs(spark, d):
+    return gapped(spark, d).withColumns(hi.lags("value", (1, 12))).withColumns(hi.differences("value", (1, 12))).select(*ID, "value_diff1", "value_diff12")
+
+
+@query("SELECT lat, lon, time, " + ", ".join(f"lag({c}, {k}) {W} AS {c}_lag{k}" for c in PANEL.covariates for k in (1, 3)) + " FROM g")
+def covariate_lags(spark, d):
+    cols = {}
+    for c in PANEL.covariates:
+        cols |= hi.lags(c, (1, 3))
+    return gapped(spark, d).withColumns(cols).select(*ID, *cols)
+
+
+@query("SELECT lat, lon, time, " + ", ".join(f"avg(value) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS value_rollmean{n}" for n in (3, 6, 12)) + " FROM g")
+def rolling_means(spark, d):
+    cols = hi.rolling_means("value", (3, 6, 12))
+    return gapped(spark, d).withColumns(cols).select(*ID, *cols)
+
+
+_T = "OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_TREND = ", ".join(f"avg(value_diff{k}) {_T} AS value_diff{k}_trend_mean, CASE WHEN row_number() {W} > 1 THEN count(value_diff{k}) {_T} END AS value_diff{k}_trend_count" for k in (1, 12))
+
+
+@query(f"SELECT lat, lon, time, {_TREND} FROM (SELECT *, value - lag(value, 1) {W} AS value_diff1, value - lag(value, 12) {W} AS value_diff12 FROM g)")
+def trend_mean_count(spark, d):
+    cols = hi.trend(("value_diff1", "value_diff12"))
+    return gapped(spark, d).withColumns(hi.lags("value", (1, 12))).withColumns(hi.differences("value", (1, 12))).withColumns(cols).select(*ID, *cols)
+
+
+_S = "OVER (PARTITION BY lat, lon, month(time) ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"SELECT lat, lon, time, climatology_mean, CASE WHEN row_number() OVER (PARTITION BY lat, lon, month(time) ORDER BY time) > 1 THEN count(value) {_S} END AS climatology_count, value - climatology_mean AS anomaly FROM h")
+def climatology_mean_count_anomaly(spark, d):
+    cols = hi.climatology()
+    return gapped(spark, d).withColumns(cols).select(*ID, *cols)
+
+
+@query("SELECT lat, lon, time, last_observed, months_since_observed FROM o")
+def horizon_last_observed(spark, d):
+    return observed(spark, d).select(*ID, "last_observed", "months_since_observed")
+
+
+@query("SELECT months_since_observed, count(*) AS n FROM o GROUP BY 1")
+def horizon_histogram(spark, d):
+    return observed(spark, d).groupBy("months_since_observed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT time, round(sin(2 * pi() * month(time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_sin, round(cos(2 * pi() * month(time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_cos FROM panel")
+def target_month_cyclic(spark, d):
+    return panel(spark, d).select("time").distinct().withColumns(cyclic_month("time")).select("time", (F.round("target_month_sin", 6) + 0.0).alias("target_month_sin"), (F.round("target_month_cos", 6) + 0.0).alias("target_month_cos"))
+
+
+# --- neighbours
+_LOOKUP = """(SELECT lat, lon, lead(lat) OVER (PARTITION BY lon ORDER BY lat) AS north, lag(lat) OVER (PARTITION BY lon ORDER BY lat) AS south,
+    lead(lon) OVER (PARTITION BY lat ORDER BY lon) AS east, lag(lon) OVER (PARTITION BY lat ORDER BY lon) AS west FROM (SELECT DISTINCT lat, lon FROM panel))"""
+
+
+@query(f"SELECT * FROM {_LOOKUP}")
+def neighbor_lookup(spark, d):
+    return ne.neighbour_lookup(panel(spark, d))
+
+
+_JOINS = " ".join(f"LEFT JOIN o {s[0]} ON {s[0]}.time = o.time AND {s[0]}.lat = {'l.' + s if s in ('north', 'south') else 'o.lat'} AND {s[0]}.lon = {'l.' + s if s in ('east', 'west') else 'o.lon'}" for s in ne.SIDES)
+_SIDES = ", ".join(f"{s[0]}.{c} AS {s}_{c}" for s in ne.SIDES for c in ne.CARRIED)
+_NEAR = f"SELECT o.lat, o.lon, o.time, {_SIDES} FROM o JOIN {_LOOKUP} l ON o.lat = l.lat AND o.lon = l.lon {_JOINS}"
+
+
+@query(_NEAR)
+def neighbor_last_observed(spark, d):
+    return ne.add_neighbours(observed(spark, d)).select(*ID, *[f"{s}_{c}" for s in ne.SIDES for c in ne.CARRIED])
+
+
+@query("SELECT (SELECT lat FROM panel ORDER BY abs(lat - 3.4), lat LIMIT 1) AS lat, (SELECT lon FROM panel ORDER BY abs(lon - 7.6), lon LIMIT 1) AS lon")
+def nearest_grid_point(spark, d):
+    return ne.nearest_point(panel(spark, d).select("lat", "lon").distinct(), 3.4, 7.6)
+
+
+# --- outages
+@query("SELECT lat, lon, time, value, masked, target FROM g")
+def mask_months_apply(spark, d):
+    return gapped(spark, d).select(*ID, "value", "masked", "target")
+
+
+@query("SELECT DISTINCT time, CASE WHEN year(time) BETWEEN 1995 AND 1996 THEN 0.1::DOUBLE WHEN year(time) BETWEEN 1997 AND 1998 THEN 0.7::DOUBLE WHEN year(time) = 1999 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM panel")
+def gap_rate_by_period(spark, d):
+    return panel(spark, d).select("time").distinct().withColumn("rate", ou.rate_column(F.col("time"), ou.scaled(RATES, 2.0)))
+
+
+_STREAKS = f"(SELECT time, min(time) OVER (PARTITION BY i) AS streak, row_number() OVER (PARTITION BY i ORDER BY time) AS place FROM (SELECT time, year(time) * 12 + month(time) - row_number() OVER (ORDER BY time) AS i FROM unnest([{_gap}]) AS t(time)))"
+
+
+def _gap_table(spark):
+    return spark.createDataFrame([(x,) for x in GAP], "time date")
+
+
+@query(f"SELECT time, streak, CAST(place AS INTEGER) AS place FROM {_STREAKS}")
+def gap_streaks(spark, d):
+    return ou.streaks(_gap_table(spark))
+
+
+@query(f"SELECT time FROM {_STREAKS} WHERE place <= 3")
+def gap_streaks_capped(spark, d):
+    return ou.capped(_gap_table(spark), 3)
+
+
+@query(f""", ex AS (SELECT time, row_number() OVER (ORDER BY time) AS k FROM (SELECT DISTINCT time FROM panel WHERE is_train)),
+    e AS (SELECT streak, max(time) AS time, count(*) AS n FROM {_STREAKS} GROUP BY streak),
+    t AS (SELECT e.streak, b.time, 4 - e.n AS more FROM e JOIN ex a ON a.time = e.time JOIN ex b ON b.k > a.k AND b.k <= a.k + 4 - e.n WHERE e.n < 4),
+    s AS (SELECT streak FROM t GROUP BY streak, more HAVING count(*) = more AND count(*) FILTER (WHERE time IN ({_gap})) = 0)
+    SELECT time FROM unnest([{_gap}]) AS x(time) UNION SELECT time FROM t WHERE streak IN (SELECT streak FROM s)""")
+def gap_streaks_extended(spark, d):
+    return ou.extended(_gap_table(spark), panel(spark, d).where("is_train"), 4)
+
+
+@query("SELECT lat, lon, count(*) FILTER (WHERE masked AND NOT p) AS runs, coalesce(min(time) FILTER (WHERE masked) > max(time) FILTER (WHERE NOT masked), false) AS cumulative FROM (SELECT *, coalesce(lag(masked) OVER (PARTITION BY lat, lon ORDER BY time), false) AS p FROM g) GROUP BY lat, lon")
+def masked_run_counts(spark, d):
+    return hi.masked_runs(gapped(spark, d))
+
+
+@query("SELECT time, count(*) AS n, count(*) FILTER (WHERE masked) AS masked, round(100.0 * count(*) FILTER (WHERE masked) / count(*), 1) AS pct FROM g GROUP BY time")
+def mask_rate_by_month(spark, d):
+    return gapped(spark, d).groupBy("time").agg(F.count("*").alias("n"), F.count_if("masked").alias("masked"), F.round(100.0 * F.count_if("masked") / F.count("*"), 1).alias("pct"))
+
+
+@query()
+def outage_draw(spark, d):
+    """A seeded draw over the train months; held against the generator in the tests."""
+    import numpy as np
+
+    rows = panel(spark, d)
+    return ou.mask_months(rows, ou.draw_months(ou.train_months(rows), RATES, np.random.default_rng(42))).select(*ID, "value", "masked")
+
+
+@query("SELECT CAST(x.draw AS INTEGER) AS draw, lat, lon, time, avg(CASE WHEN is_train AND ((x.draw = 0 AND time = DATE '1996-03-01') OR (x.draw = 1 AND time IN (DATE '1997-01-01', DATE '1998-07-01'))) THEN NULL ELSE value END) OVER (PARTITION BY x.draw, lat, lon ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_rollmean3 FROM panel, (VALUES (0), (1)) AS x(draw)")
+def features_of_many_draws(spark, d):
+    rows, spec = ou.many_draws(panel(spark, d), {0: {dt.date(1996, 3, 1)}, 1: {dt.date(1997, 1, 1), dt.date(1998, 7, 1)}})
+    return rows.withColumns(hi.rolling_means("value", (3,), spec)).select("draw", *ID, "value_rollmean3")
+
+
+# --- sets and statistics
+@query("SELECT lat, lon, CAST(m AS DATE) AS time FROM (SELECT lat, lon, unnest(generate_series(min(time), max(time), INTERVAL 1 MONTH)) AS m FROM panel GROUP BY lat, lon) EXCEPT SELECT lat, lon, time FROM panel")
+def missing_calendar_months(spark, d):
+    rows = panel(spark, d)
+    every = rows.groupBy("lat", "lon").agg(F.sequence(F.min("time"), F.max("time"), F.expr("interval 1 month")).alias("s")).select("lat", "lon", F.explode("s").alias("time"))
+    return every.subtract(rows.select(*ID))
+
+
+@query("SELECT DISTINCT lat, lon FROM panel WHERE time < DATE '1996-01-01' EXCEPT SELECT lat, lon FROM panel WHERE time >= DATE '1996-01-01' AND cov_count > 14")
+def cells_only_in_train(spark, d):
+    rows = panel(spark, d)
+    early, late = rows.where("time < DATE '1996-01-01'"), rows.where("time >= DATE '1996-01-01' AND cov_count > 14")
+    return early.select("lat", "lon").distinct().join(late.select("lat", "lon").distinct(), ["lat", "lon"], "left_anti")
+
+
+@query("SELECT lat, lon, count(DISTINCT time) AS months FROM panel GROUP BY lat, lon")
+def months_per_cell(spark, d):
+    return panel(spark, d).groupBy("lat", "lon").agg(F.countDistinct("time").alias("months"))
+
+
+@query("SELECT lat, lon, max(time) AS time FROM panel WHERE is_train GROUP BY lat, lon")
+def last_train_month(spark, d):
+    return panel(spark, d).where("is_train").groupBy("lat", "lon").agg(F.max("time").alias("time"))
+
+
+@query('SELECT \'value\' AS "column", round(avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) * 100, 6) AS share FROM g UNION ALL SELECT \'target\', round(avg(CASE WHEN target IS NULL THEN 1 ELSE 0 END) * 100, 6) FROM g')
+def null_share(spark, d):
+    return ev.null_shares(gapped(spark, d), "value", "target").select("column", _r("share"))
+
+
+@query("SELECT count(value) AS count, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS std, min(value)::DOUBLE AS min, round(quantile_cont(value, 0.25), 3)::DOUBLE AS q25, round(quantile_cont(value, 0.5), 3)::DOUBLE AS q50, round(quantile_cont(value, 0.75), 3)::DOUBLE AS q75, max(value)::DOUBLE AS max FROM g")
+def describe_numeric(spark, d):
+    return ev.describe(gapped(spark, d), "value").select("count", _r("mean", 3), _r("std", 3), "min", _r("q25", 3), _r("q50", 3), _r("q75", 3), "max")
+
+
+@query(f"SELECT round(corr(target, value), 6) AS value, round(corr(target, l), 6) AS value_lag1 FROM (SELECT *, lag(value, 1) {W} AS l FROM g)")
+def lag_target_corr(spark, d):
+    rows = gapped(spark, d).withColumns(hi.lags("value", (1,)))
+    return rows.agg(F.round(F.corr("target", "value"), 6).alias("value"), F.round(F.corr("target", "value_lag1"), 6).alias("value_lag1"))
+
+
+@query("SELECT CAST(month(time) AS INTEGER) AS month, avg(value) AS mean FROM g GROUP BY 1")
+def seasonal_cycle(spark, d):
+    return gapped(spark, d).groupBy(F.month("time").alias("month")).agg(F.avg("value").alias("mean"))
+
+
+@query("SELECT CAST(month(time) AS INTEGER) AS month, avg(value) FILTER (WHERE lat > -10 AND lat <= 10) AS low, avg(value) FILTER (WHERE lat > 10 AND lat <= 30) AS high FROM g GROUP BY 1")
+def seasonal_by_lat_band_pivot(spark, d):
+    rows = gapped(spark, d).withColumn("band", latitude_band("lat"))
+    return rows.groupBy(F.month("time").alias("month")).pivot("band", ["(-10, 10]", "(10, 30]"]).agg(F.avg("value")).toDF("month", "low", "high")
+
+
+@query("SELECT lat, " + ", ".join(f"max(value) FILTER (WHERE lon = {k}) AS lon{k}" for k in range(10)) + " FROM panel WHERE time = DATE '1998-01-01' GROUP BY lat")
+def grid_pivot(spark, d):
+    rows = panel(spark, d).where("time = DATE '1998-01-01'")
+    return rows.groupBy("lat").pivot("lon", [float(k) for k in range(10)]).agg(F.first("value")).toDF("lat", *[f"lon{k}" for k in range(10)])
+
+
+@query("SELECT CAST(least(floor((value - a) / (b - a) * 60), 59) AS INTEGER) AS bin, count(*) AS n FROM (SELECT value, min(value) OVER ()::DOUBLE AS a, max(value) OVER ()::DOUBLE AS b FROM g WHERE value IS NOT NULL) GROUP BY 1")
+def value_histogram(spark, d):
+    return ev.histogram(gapped(spark, d), "value", 60)
+
+
+@query("SELECT quantile_cont(value, 0.01)::DOUBLE AS p1, quantile_cont(value, 0.99)::DOUBLE AS p99 FROM g")
+def value_percentiles(spark, d):
+    return gapped(spark, d).agg(F.percentile(F.col("value").cast("double"), F.lit(0.01)).alias("p1"), F.percentile(F.col("value").cast("double"), F.lit(0.99)).alias("p99"))
+
+
+# --- folds
+@query("SELECT time, CAST(fold AS INTEGER) AS fold, role FROM folds")
+def temporal_folds(spark, d):
+    return fo.temporal_folds(panel(spark, d).where("is_train"), 5)
+
+
+@query("SELECT time, CASE WHEN k >= greatest(1, CAST(floor(m * (1 - 0.2::DOUBLE)) AS INTEGER)) THEN 'val' ELSE 'fit' END AS role FROM months")
+def temporal_holdout(spark, d):
+    return fo.temporal_holdout(panel(spark, d).where("is_train"), 0.2)
+
+
+@query("SELECT time, CASE WHEN k < floor(m * (1 - 0.15::DOUBLE - 0.15::DOUBLE)) THEN 'fit' WHEN k < floor(m * (1 - 0.15::DOUBLE)) THEN 'inner_val' ELSE 'outer_val' END AS role FROM months")
+def two_tier_split(spark, d):
+    return fo.two_tier_split(panel(spark, d).where("is_train"))
+
+
+@query("SELECT CAST(floor(lat / 4) AS INTEGER) || '_' || CAST(floor(lon / 4) AS INTEGER) AS block, count(*) AS n FROM panel GROUP BY 1")
+def spatial_blocks(spark, d):
+    return panel(spark, d).groupBy(fo.block(size=4.0).alias("block")).agg(F.count("*").alias("n"))
+
+
+@query()
+def spatial_folds(spark, d):
+    return fo.spatial_folds(panel(spark, d), 5, 4.0)
+
+
+@query()
+def spatial_holdout(spark, d):
+    return fo.spatial_holdout(panel(spark, d), 0.2, 4.0)
+
+
+# --- forecasts and errors
+@query("SELECT lat, lon, time, prediction FROM o")
+def persistence_forecast(spark, d):
+    return observed(spark, d).select(*ID, "prediction")
+
+
+_METRICS = "count(*) AS n, round(avg(abs_error), 3) AS mae, round(sqrt(avg(abs_error * abs_error)), 3) AS rmse, round(1 - sum(abs_error * abs_error) / (var_pop(target) * count(*)), 6) AS r2"
+
+
+@query(f"SELECT fold, {_METRICS} FROM (SELECT * FROM oof WHERE abs_error IS NOT NULL) GROUP BY fold")
+def persistence_metrics_by_fold(spark, d):
+    return out_of_fold(spark, d).groupBy("fold").agg(*ev.metrics("target", "prediction")).select("fold", "n", _r("mae", 3), _r("rmse", 3), _r("r2"))
+
+
+@query("SELECT 'persistence' AS model, round(avg(mae), 2) AS mae_mean, round(stddev_pop(mae), 2) AS mae_std, round(avg(rmse), 2) AS rmse_mean, round(stddev_pop(rmse), 2) AS rmse_std, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std FROM (SELECT fold, avg(abs_error) AS mae, sqrt(avg(abs_error * abs_error)) AS rmse, 1 - sum(abs_error * abs_error) / (var_pop(target) * count(*)) AS r2 FROM oof WHERE abs_error IS NOT NULL GROUP BY fold)")
+def fold_summary(spark, d):
+    per = out_of_fold(spark, d).groupBy("fold").agg(*ev.metrics("target", "prediction")).withColumn("model", F.lit("persistence"))
+    return ev.fold_summary(per, "model").select("model", *[_r(f"{m}_{s}", n) for m, n in (("mae", 2), ("rmse", 2), ("r2", 6)) for s in ("mean", "std")])
+
+
+def _by(dimension: str, expression: str):
+    sql = f"SELECT {dimension}, round(avg(abs_error), 3) AS mae, count(*) AS n FROM (SELECT {expression} AS {dimension}, abs_error FROM oof) WHERE {dimension} IS NOT NULL AND abs_error IS NOT NULL GROUP BY 1"
+
+    def run(spark, d):
+        rows = ev.error_dimensions(out_of_fold(spark, d))
+        rows = ev.value_level(rows, "target") if dimension == "level" else rows
+        return ev.error_by(rows, dimension).select(dimension, _r("mae", 3), "n")
+
+    run.__name__ = f"error_by_{dimension}"
+    query(sql)(run)
+
+
+_BANDS = " ".join(f"WHEN lat <= {b} THEN '({a}, {b}]'" for a, b in zip(range(-90, 91, 20), range(-70, 91, 20), strict=False))
+_by("climate_zone", "CASE WHEN abs(lat) <= -0.01 THEN NULL WHEN abs(lat) <= 23.5 THEN 'tropical' WHEN abs(lat) <= 66.5 THEN 'temperate' WHEN abs(lat) <= 90 THEN 'polar' END")
+_by("lat_band", f"CASE WHEN lat <= -90 THEN NULL {_BANDS} END")
+_by("season", "CASE WHEN month(time) IN (12, 1, 2) THEN 'winter' WHEN month(time) IN (3, 4, 5) THEN 'spring' WHEN month(time) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END")
+_by("horizon", "CASE WHEN months_since_observed IS NOT NULL THEN least(months_since_observed, 8) END")
+_by("level", "CASE WHEN target <= (SELECT quantile_cont(target, 0.2) FROM oof) THEN 'very low' WHEN target <= (SELECT quantile_cont(target, 0.4) FROM oof) THEN 'low' WHEN target <= (SELECT quantile_cont(target, 0.6) FROM oof) THEN 'mid' WHEN target <= (SELECT quantile_cont(target, 0.8) FROM oof) THEN 'high' ELSE 'very high' END")
+
+
+@query("SELECT fold, count(*) FILTER (WHERE masked) AS n_masked, round(avg(abs_error) FILTER (WHERE masked), 3) AS mae_masked, round(avg(abs_error) FILTER (WHERE NOT masked), 3) AS mae_seen FROM oof GROUP BY fold")
+def masked_vs_unmasked_error(spark, d):
+    e = lambda w: F.round(F.avg(F.when(w, F.col("abs_error"))), 3)
+    return out_of_fold(spark, d).groupBy("fold").agg(F.count_if("masked").alias("n_masked"), e(F.col("masked")).alias("mae_masked"), e(~F.col("masked")).alias("mae_seen"))
+
+
+# --- ensembles: members are the forecast with an offset of their own
+_MEMBERS = ", mem AS (SELECT lat, lon, time, target, fold, CAST(member AS INTEGER) AS member, prediction + (member - 3) * 1000 * (1 + CAST(lat + lon AS BIGINT) % 3) AS prediction FROM oof, range(7) AS r(member) WHERE prediction IS NOT NULL)"
+_CURVE = ", cur AS (SELECT fold, member + 1 AS n_models, target, avg(prediction) OVER (PARTITION BY lat, lon, time ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prediction FROM mem), per AS (SELECT fold, n_models, avg(abs(target - prediction)) AS mae FROM cur GROUP BY 1, 2), agg AS (SELECT CAST(n_models AS INTEGER) AS n_models, avg(mae) AS mae, stddev_samp(mae) AS std FROM per GROUP BY 1)"
+
+
+def _members(spark, d):
+    rows = out_of_fold(spark, d).where("prediction IS NOT NULL").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return rows.select(*ID, "target", "fold", "member", F.expr("prediction + (member - 3) * 1000 * (1 + CAST(lat + lon AS BIGINT) % 3)").alias("prediction"))
+
+
+def _curve(spark, d):
+    per = ev.ensemble_curve(_members(spark, d), *ID).groupBy("fold", "n_models").agg(*ev.metrics("target", "prediction"))
+    return per.groupBy("n_models").agg(F.avg("mae").alias("mae"), F.stddev_samp("mae").alias("std"))
+
+
+@query(_MEMBERS + " SELECT lat, lon, time, round(avg(prediction), 4) AS prediction, count(*) AS members FROM mem GROUP BY 1, 2, 3")
+def ensemble_mean(spark, d):
+    return ev.ensemble_mean(_members(spark, d), *ID).select(*ID, _r("prediction", 4), "members")
+
+
+@query(_MEMBERS + _CURVE + " SELECT n_models, round(mae, 3) AS mae, round(std, 3) AS std FROM agg")
+def ensemble_cumulative_curve(spark, d):
+    return _curve(spark, d).select("n_models", _r("mae", 3), _r("std", 3))
+
+
+@query(_MEMBERS + _CURVE + " SELECT (SELECT n_models FROM agg ORDER BY mae, n_models LIMIT 1) AS best, min(n_models) AS enough FROM agg WHERE mae <= 1.01::DOUBLE * (SELECT min(mae) FROM agg)")
+def best_member_count(spark, d):
+    return ev.best_member_count(_curve(spark, d))
+
+
+@query("SELECT strftime(t.time, '%Y%m%d') || '_' || CAST(CAST(t.lat AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(t.lon AS INTEGER) AS VARCHAR) AS id, o.prediction FROM panel t LEFT JOIN o ON o.lat = t.lat AND o.lon = t.lon AND o.time = t.time AND o.cov_count > 1 WHERE NOT t.is_train")
+def template_left_join(spark, d):
+    key = F.concat_ws("_", F.date_format("time", "yyyyMMdd"), F.col("lat").cast("int"), F.col("lon").cast("int")).alias("id")
+    return ev.template_join(panel(spark, d).where("NOT is_train").select(key), observed(spark, d).where("cov_count > 1").select(key, "prediction"), "id")
+
+
+@query("SELECT time, sum(v) AS total FROM raw GROUP BY time ORDER BY total DESC, time LIMIT 10")
+def top_months(spark, d):
+    return table_totals(spark, d).orderBy(F.desc("total"), "time").limit(10)
+
+
+def table_totals(spark, d):
+    lines = src.table(spark, d, "lineitem").where("l_suppkey % 7 <> 3")
+    return lines.groupBy(F.trunc("l_shipdate", "MM").alias("time")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total"))
+
+
+# --- all features
+_ALL = f""", d AS (SELECT *, {", ".join(f"lag(value, {k}) {W} AS value_lag{k}" for k in (1, 3, 6, 12))}, {", ".join(f"avg(value) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS value_rollmean{n}" for n in (3, 6, 12))},
+    {", ".join(f"lag({c}, {k}) {W} AS {c}_lag{k}" for c in PANEL.covariates for k in (1, 3))},
+    CASE WHEN row_number() OVER (PARTITION BY lat, lon, month(time) ORDER BY time) > 1 THEN count(value) {_S} END AS climatology_count, value - climatology_mean AS anomaly FROM o),
+    f AS (SELECT *, value - value_lag1 AS value_diff1, value - value_lag12 AS value_diff12 FROM d),
+    near AS ({_NEAR})
+    SELECT f.lat, f.lon, f.time, f.value, f.cov_quantity, f.cov_discount, f.cov_count, f.masked, f.is_train, f.target, value_lag1, value_lag3, value_lag6, value_lag12, value_rollmean3, value_rollmean6, value_rollmean12,
+    climatology_mean, climatology_count, anomaly, last_observed, months_since_observed, {", ".join(f"{c}_lag{k}" for c in PANEL.covariates for k in (1, 3))}, value_diff1, value_diff12, {_TREND.replace("PARTITION BY lat, lon ORDER BY time", "PARTITION BY f.lat, f.lon ORDER BY f.time")},
+    {", ".join(f"{s}_{c}" for s in ne.SIDES for c in ne.CARRIED)}, round(sin(2 * pi() * month(f.time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_sin, round(cos(2 * pi() * month(f.time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_cos
+    FROM f JOIN near ON f.lat = near.lat AND f.lon = near.lon AND f.time = near.time"""
+
+
+@query(_ALL)
+def full_feature_pipeline(spark, d):
+    rows = build_features(panel(spark, d), gap=GAP)
+    return rows.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_month_sin", "target_month_cos")})
+
+
+# --- models
+@query("SELECT lat, lon, time, coalesce(value::DOUBLE, (SELECT quantile_cont(value, 0.5) FROM g WHERE is_train)::DOUBLE) AS value FROM g")
+def median_impute(spark, d):
+    rows = gapped(spark, d)
+    return ev.median_impute(rows.where("is_train"), rows, "value").select(*ID, "value")
+
+
+@query("SELECT lat, lon, time, round((value - m) / s, 6) AS value FROM g, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM g WHERE is_train)")
+def standard_scaling(spark, d):
+    rows = gapped(spark, d)
+    return ev.standardise(rows.where("is_train"), rows, "value").select(*ID, _r("value"))
+
+
+MODEL_FEATURES = ["value", "last_observed", "months_since_observed", "climatology_mean"]
+
+
+def _model_rows(spark, d):
+    rows = observed(spark, d).where("is_train AND target IS NOT NULL")
+    return fo.with_time_folds(rows, fo.temporal_holdout(panel(spark, d).where("is_train"), 0.2))
+
+
+@query()
+def gbt_fit_predict(spark, d):
+    rows = _model_rows(spark, d)
+    return fc.fit_predict(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, maxIter=5)[0].select(*ID, "target", "prediction")
+
+
+@query()
+def bagged_predictions(spark, d):
+    val = _model_rows(spark, d).where("role = 'val'")
+    fits = [_model_rows(spark, d).where("role = 'fit'"), ou.mask_months(_model_rows(spark, d).where("role = 'fit'"), GAP[:2])]
+    return ev.ensemble_mean(fc.bagged(fits, val, MODEL_FEATURES, ID, maxIter=3), *ID)
+
+
+@query()
+def permutation_importance(spark, d):
+    rows = _model_rows(spark, d)
+    fit, val = rows.where("role = 'fit'"), rows.where("role = 'val'")
+    model = fc.fit_predict(fit, val, MODEL_FEATURES, maxIter=3)[1]
+    return fc.permutation_importance(model, ev.median_impute(fit, val, *MODEL_FEATURES), MODEL_FEATURES, ID, repeats=2)
+
+
+@query()
+def hyperparameter_grid(spark, d):
+    rows = _model_rows(spark, d)
+    return fc.grid_search(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, [{"maxDepth": k, "maxIter": 3} for k in (2, 4)])
+
+
+@query()
+def seeded_sample(spark, d):
+    return panel(spark, d).select(*ID, "value").orderBy(F.xxhash64(F.lit(42), *ID)).limit(500)

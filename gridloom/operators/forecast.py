@@ -52,6 +52,7 @@ def permuted(df: DataFrame, column: str, key: list[str], seed: int, parts: int =
 def permutation_importance(model, val: DataFrame, features: list[str], key: list[str], spec: PanelSpec = PANEL, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, importance): the mean rise of the absolute error when a feature's values are dealt anew. ``val`` has no NULL features."""
     error = lambda df: model.transform(assembled(df, features)).agg(*metrics(spec.target, "prediction")).select("mae")
+    val = val.drop("prediction")
     base, out = error(val), None
     for f in features:
         for r in range(repeats):

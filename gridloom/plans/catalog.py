@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import neighbours as ne
 from ..operators import outages as ou
 from ..operators.panel import PANEL, broken_rules, split_panel, union_panels
 from ..sources import tables as src
+from ..streaming import arrivals
 from .features import build_features
 
 #: Months that queries treat as outages, and rates of outage by year.
@@ -107,7 +109,7 @@ def panel_union_flags(spark, d):
 
 @query("SELECT lat, lon, time, value, target FROM panel WHERE is_train")
 def csv_roundtrip_scan(spark, d):
-    path = tempfile.mkdtemp(prefix="spark-", dir=(spark.conf.get("spark.checkpoint.dir", None) or "/tmp").removeprefix("file:"))
+    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
     train = panel(spark, d).where("is_train").select(F.concat_ws("_", F.date_format("time", "yyyyMMdd"), "lat", "lon").alias("sample_id"), "time", "lat", "lon", "value", "target")
     train.write.mode("overwrite").option("header", True).csv(f"{path}/train")
     return src.scan_csv(spark, f"{path}/train", "sample_id string, time date, lat double, lon double, value long, target long").select("lat", "lon", "time", "value", "target")
@@ -537,3 +539,15 @@ def hyperparameter_grid(spark, d):
 @query()
 def seeded_sample(spark, d):
     return panel(spark, d).select(*ID, "value").orderBy(F.xxhash64(F.lit(42), *ID)).limit(500)
+
+
+# --- arrivals
+@query("SELECT user_id, CAST(ts AS DATE) AS time, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_daily_sums(spark, d):
+    """The events table as a stream, fed through to its end."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    schema = src.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals.run_to_end(arrivals.daily_sums(stream, "ts", "user_id", "value"), path)
+    return arrivals.latest(spark, path, "user_id", "time")

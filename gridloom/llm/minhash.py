@@ -3,13 +3,16 @@
 1. Each text becomes a set of word shingles, hashed to 64 bits; its MinHash signature, band keys and
    the 128-bit digest of the whole set are written to the shared folder.
 2. Texts with equal sets form a class; only the class's smallest id goes on, so copies cost nothing.
-3. Ids that share a band key are candidates. Round one compares each bucket's ids with its smallest
-   id. Round two compares what round one left apart: the ids of a bucket outside its most frequent
-   component with all others of another component. No bucket's pairs are enumerated where one
-   component holds it, and no pair that could join two components is left out.
-4. A candidate pair is first compared by signature, batch of hashes by batch: with a uniform prior
-   and m of n hashes equal, the posterior chance of reaching the threshold is a binomial tail, and
-   the pair is dropped once that is below ``MISS``. Survivors are verified on their full sets.
+3. Ids that share a band key are candidates. First, each bucket's ids are compared with its smallest
+   id. Then what that left apart: the ids of a bucket outside its most frequent component with all
+   others of another component, in blocks of at most ``BLOCK`` rows on either side, inside tasks, by
+   signatures of ``DEEP`` hashes made for these ids alone. A pair is compared in the first band it
+   shares only. A block tries its likely links, likeliest first, and skips those whose ends it has
+   joined already, so it gives fewer links than it has rows. Pairs are never rows of their own, and
+   no candidate pair that could join two components is left out.
+4. Signatures are compared batch of hashes by batch: with a uniform prior and m of n hashes equal,
+   the posterior chance of reaching the threshold is a binomial tail, and a pair is dropped once
+   that is below ``MISS``. Survivors are verified on their full sets.
 5. Links, and the links of copies to their class, give the connected components.
 
 With 28 bands of 4 rows a pair at the threshold of 0.80 shares no band with probability 4e-7, at
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches
+from .common import bounded_arrow, materialize, read, small_batches
 from .graph import components
 
 BANDS, ROWS = 28, 4
@@ -40,14 +44,16 @@ BANDS, ROWS = 28, 4
 MISS = 1e-7
 #: Hashes compared by the end of each look.
 LOOKS = (16, 32, 64, BANDS * ROWS)
+#: Hashes of the signatures that blocks compare, the looks at them, and rows of a block.
+DEEP, DEEP_LOOKS, BLOCK = 512, (16, 64, 128, 256, 512), 512
 #: A table of ids and hashes with at most so many rows (24 MB) may be broadcast.
 SMALL = 1_000_000
 
 _M = np.uint64
 _random = np.random.Generator(np.random.PCG64(20240501))
 _ODD = _random.integers(1 << 62, 1 << 63, 40, dtype=np.uint64) * _M(2) + _M(1)
-_A = _random.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _M(2) + _M(1)
-_B = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = _random.integers(1 << 62, 1 << 63, DEEP, dtype=np.uint64) * _M(2) + _M(1)
+_B = _random.integers(0, 1 << 63, DEEP, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,12 +88,12 @@ def shingles(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def signature(shingle_set: np.ndarray) -> np.ndarray:
+def signature(shingle_set: np.ndarray, hashes: int = BANDS * ROWS) -> np.ndarray:
     """The MinHash values (32 bits each) of a set."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingle_set), 2048):
         part = shingle_set[at : at + 2048]
-        low = np.minimum(low, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1))
+        low = np.minimum(low, (part[None, :] * _A[:hashes, None] + _B[:hashes, None]).min(axis=1))
     return low >> _M(32)
 
 
@@ -117,7 +123,20 @@ def _sign(width: int):
     return run
 
 
-def least_matches(percent: int) -> dict[int, int]:
+def _sign_deep(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deep = []
+            for raw in batch.column("raw").to_pylist():
+                sig = signature(shingles(raw, width), DEEP)
+                deep.append(band_keys(sig[: BANDS * ROWS]).astype(np.uint32).tobytes() + (sig & _M(255)).astype(np.uint8).tobytes())
+            yield batch.append_column("sig", pa.array(deep, pa.binary()))
+
+    return run
+
+
+@cache
+def least_matches(percent: int, looks: tuple = LOOKS) -> dict[int, int]:
     """For each look's count of hashes, the fewest equal ones with which a pair goes on.
 
     Eight bits of each hash are kept, so hashes of different shingles agree by chance once in 256.
@@ -125,7 +144,7 @@ def least_matches(percent: int) -> dict[int, int]:
     """
     p = percent / 100 + (1 - percent / 100) / 256
     found = {}
-    for n in LOOKS:
+    for n in looks:
         tail, m = 0.0, 0
         while (tail := tail + comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)) < MISS:
             m += 1
@@ -151,6 +170,100 @@ def _prune(percent: int):
     return run
 
 
+class _Forest(dict):
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+
+def block_links(ids: list, sizes: list, parts: list, sides: list, bands: list, sigs: list, raws: list, width: int, percent: int) -> list[tuple[int, int]]:
+    """Verified links between the rows of a block that lie in different parts: enough to join all that belong together.
+
+    ``sides``: rows of side 0 are compared with those of side 1, rows of side 2 with all others.
+    ``bands``: the band of the bucket; pairs that share an earlier band are compared there.
+    """
+    bounds = least_matches(percent, DEEP_LOOKS)
+    packed = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
+    keys = np.ascontiguousarray(packed[:, : 4 * BANDS]).view(np.uint32)[:, : bands[0]]
+    cuts = [0, *DEEP_LOOKS]
+    looks = [(to, np.ascontiguousarray(packed[:, 4 * BANDS + at : 4 * BANDS + to])) for at, to in zip(cuts, cuts[1:], strict=False)]
+    n, part, side, found = np.array(sizes), np.array(parts), np.array(sides), []
+    for i in np.flatnonzero(side != 1).tolist():
+        same = (looks[0][1] == looks[0][1][i]).sum(axis=1)
+        apart = (same >= bounds[looks[0][0]]) & (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if side[i] == 0:
+            apart &= side == 1
+        else:
+            apart[: i + 1] = False
+        alive = np.flatnonzero(apart)
+        if len(alive):
+            alive = alive[~(keys[alive] == keys[i]).any(axis=1)]
+        same = same[alive]
+        for to, x in looks[1:]:
+            if not len(alive):
+                break
+            same = same + (x[alive] == x[i]).sum(axis=1)
+            go_on = same >= bounds[to]
+            alive, same = alive[go_on], same[go_on]
+        found += [(-int(m), i, int(j)) for j, m in zip(alive, same, strict=True)]
+    joined, sets, out = _Forest(), {}, []
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(raws[i], width)
+        return sets[i]
+
+    for _, i, j in sorted(found):
+        a, b = joined.root(parts[i]), joined.root(parts[j])
+        if a != b and similar(of(i), of(j), percent):
+            joined[a] = b
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def _blocks(width: int, percent: int):
+    columns = ("doc_id", "n", "part", "side", "band", "sig", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = {c: [] for c in columns}, None  # the rows of the block that is being read
+        links = lambda: block_links(*held.values(), width, percent) if len(held["n"]) > 1 else []
+        as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for batch in batches:
+            out, block = [], np.asarray(batch.column("block"))
+            rows = {c: batch.column(c).to_pylist() for c in columns}
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    if block[a] != now:
+                        out += links()
+                        held, now = {c: [] for c in columns}, block[a]
+                    for c in columns:
+                        held[c] += rows[c][a:b]
+            yield as_batch(out)
+        yield as_batch(links())
+
+    return run
+
+
+def block_rows(mixed: DataFrame) -> DataFrame:
+    """Deals the rows of buckets (key, band, doc_id, n, part, main) out to blocks: those outside the main part meet all, those in it only the others."""
+    rest = F.col("part") != F.col("main")
+    sizes = mixed.groupBy("key").agg(F.count_if(~rest).alias("in"), F.count_if(rest).alias("out"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = mixed.join(sizes.select("key", blocks("in").alias("ins"), blocks("out").alias("outs")), "key")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(rest, F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda x, kind, y, side: F.struct(x.alias("x"), F.lit(kind).alias("kind"), y.alias("y"), side.cast("int").alias("side"))
+    me = F.col("own")
+    others = F.transform(upto("outs"), lambda s: place(F.least(me, s), "r", F.greatest(me, s), F.when(me == s, 2).when(me < s, 0).otherwise(1)))
+    mains = F.transform(upto("ins"), lambda s: place(me, "m", s, F.lit(0)))
+    rests = F.transform(upto("outs"), lambda s: place(s, "m", me, F.lit(1)))
+    rows = rows.withColumn("at", F.explode(F.when(rest, F.concat(others, mains)).otherwise(rests)))
+    return rows.select(F.xxhash64("key", "at.x", "at.kind", "at.y").alias("block"), "doc_id", "n", "part", "band", F.col("at.side").alias("side"))
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted sets."""
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -161,16 +274,22 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
+        kept, held = {}, 0
+
+        def of(raw: bytes) -> np.ndarray:
+            nonlocal held
+            found = kept.get(raw)
+            if found is None:
+                if held > 32 << 20:
+                    kept.clear()
+                    held = 0
+                found = kept[raw] = shingles(raw, width)
+                held += len(raw) + found.nbytes
+            return found
+
         for batch in batches:
             a, b, x, y = (batch.column(c) for c in ("a", "b", "raw_a", "raw_b"))
-            good = []
-            for i in range(batch.num_rows):
-                raw = x[i].as_py()
-                if raw != last:
-                    last, kept = raw, shingles(raw, width)
-                if similar(kept, shingles(y[i].as_py(), width), percent):
-                    good.append(i)
+            good = [i for i, (p, q) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)) if similar(of(p), of(q), percent)]
             yield pa.RecordBatch.from_arrays([a.take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], ["a", "b"])
 
     return run
@@ -187,7 +306,7 @@ def _on(pairs: DataFrame, table: DataFrame, side: str, column: str) -> DataFrame
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    raw = bounded_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     signed = materialize(raw.mapInArrow(_sign(width), "doc_id long, n_shingles long, high long, low long, bands array<long>, sig binary"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
@@ -195,33 +314,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     copies = tagged.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = tagged.where("rep IS NULL OR rep = doc_id")
 
-    banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last")).where("pivot.doc_id < last").drop("last")
-    buckets = materialize(banded.join(shared, "key").select("key", "doc_id", "n", "pivot"))
+    buckets = materialize(banded.join(shared, "key").select("key", "band", "doc_id", "n", "pivot"))
     fair = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
     stars = materialize(buckets.where("doc_id <> pivot.doc_id").where(fair.format("pivot.n")).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     ids = materialize(buckets.select("doc_id").distinct())
     texts = materialize(raw.join(_small(ids), "doc_id", "left_semi"))
     sigs = materialize(reps.join(_small(ids), "doc_id", "left_semi").select("doc_id", "sig"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        close = materialize(_on(_on(pairs, sigs, "a", "sig"), sigs, "b", "sig").mapInArrow(_prune(percent), "a long, b long"))
+    def confirmed(close: DataFrame) -> DataFrame:
         whole = _on(_on(close, texts, "b", "raw"), texts, "a", "raw")
-        return materialize(whole.mapInArrow(_confirm(width, percent), "a long, b long"))
+        return materialize(whole.mapInArrow(_confirm(width, percent), "a long, b long").distinct())
+
+    close = materialize(_on(_on(stars, sigs, "a", "sig"), sigs, "b", "sig").mapInArrow(_prune(percent), "a long, b long"))
+    links = confirmed(close)
 
-    links = verified(stars)
-    found = materialize(components(links))
-    parted = buckets.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    # the rows of buckets that hold several components, with their component and the bucket's most frequent one
+    found = components(links).select(F.col("id").alias("doc_id"), "component")
+    parted = buckets.drop("pivot").join(found, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
     parted = materialize(parted)
     sizes = parted.groupBy("key", "part").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = materialize(parted.join(mixed, "key"))
-    rest = mixed.where("part <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("part").alias("q"))
-    cross = rest.join(mixed, "key").where(f"part <> q AND (part = main OR x < doc_id) AND {fair.format('m')}")
-    cross = cross.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verified(materialize(cross))
+    apart = materialize(mixed.select("doc_id").distinct())
+    deep = materialize(texts.join(_small(apart), "doc_id", "left_semi").mapInArrow(_sign_deep(width), "doc_id long, raw binary, sig binary"))
+    dealt = block_rows(mixed).join(deep, "doc_id").repartition("block").sortWithinPartitions("block")
+    more = materialize(dealt.mapInArrow(_blocks(width, percent), "a long, b long").distinct())
+    links = links.unionByName(more)
 
-    found = materialize(components(links.unionByName(more).unionByName(copies)))
+    found = materialize(components(links.unionByName(copies)))
     rows = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

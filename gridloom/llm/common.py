@@ -24,7 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 

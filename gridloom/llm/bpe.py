@@ -211,10 +211,18 @@ class _Memo(dict):
         return found
 
 
-def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids`` (array of int) to ``df``. ``data``: a rank file's bytes; ``pattern``: what splits texts into pieces."""
+def joined(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds ``ids`` (array of int) to ``df``. ``data``: a rank file's bytes; ``pattern``: what splits texts into pieces.
+
+    With ``decoded``, a column of that name holds what the ids stand for, decoded in the same pass.
+    """
+    df = bounded_arrow(df.drop(ids, *([decoded] if decoded else [])))
     sent = df.sparkSession.sparkContext.broadcast(Encoder(data, pattern))
-    df = bounded_arrow(df.drop(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = sent.value
@@ -223,9 +231,14 @@ def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: st
                 coded = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
-                yield batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends), values))
+                out = batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends), values))
+                if decoded:
+                    tokens = encoder.vocabulary.tokens
+                    out = out.append_column(decoded, pa.array([joined(tokens, np.frombuffer(x, np.int32)) for x in coded], pa.binary()))
+                yield out
 
-    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{ids}` array<int>")
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, data: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -234,8 +247,7 @@ def decode(df: DataFrame, data: bytes, ids: str = "ids", out: str = "decoded") -
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
-        token = sent.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(token, x.tolist())) for x in rows], dtype=object)
+        return pd.Series([None if x is None else joined(sent.value, x) for x in rows], dtype=object)
 
     return df.withColumn(out, run(ids))
 
@@ -245,8 +257,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         data = file.read()
-    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), data, public_tokenizers.PATTERN).drop("text")
-    return decode(coded, data).select(
+    coded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), data, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

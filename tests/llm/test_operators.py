@@ -242,6 +242,8 @@ def test_bpe_equals_the_public_encoder(spark):
     got = {x.doc_id: x for x in bpe.decode(bpe.encode(df.drop("decoded"), data, P.PATTERN), data).collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == public.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode()
+    once = {x.doc_id: x for x in bpe.encode(df, data, P.PATTERN, decoded="decoded").collect()}
+    assert all(once[i].ids == x.ids and once[i].decoded == x.decoded for i, x in got.items())
 
 
 # --- packing

@@ -9,13 +9,13 @@ attention model mixed with the word's share of the training tokens: sums over al
 
 1. Words of all training texts are counted (added up in each task before the exchange).
 2. Ids are counted by running the tokenizer over the counted words, not over the corpus.
-3. Classes and a first model come from ``SAMPLE`` training texts; then every task trains that model
-   on each ``STRIDE``-th stretch of ``STRETCH`` words of all training texts it reads, and the tasks'
-   models are averaged by tokens. What is learnt from grows with the corpus; what is sent is one model a task.
+3. Classes come from what stands near each id in all training texts. ``SAMPLE`` of them give the weights
+   to start from; then every task trains these on every window of all training texts it reads, and the
+   tasks' models are averaged by tokens. What is learnt from is the corpus; what is sent is one model a task.
 4. Scoring cuts each text's ids into windows of ``WINDOW`` that overlap by ``CONTEXT``; each id is
    scored once, in the window that shows it at least ``CONTEXT`` ids; windows of many texts form
-   batches of masked attention. The ``HOT`` most frequent words are known to every task; the counts
-   of all others are joined by word.
+   batches of masked attention. The ``HOT`` most frequent words and ``PAIRS`` pairs of ids are known to
+   every task; the counts of all other words are joined by word, those of their other pairs by pair.
 
 Defined results: null, empty and blank texts are one end token; rows that repeat an id are scored
 each; a null id counts as remainder 0 (training); with no training texts all counts are 0 and the
@@ -29,6 +29,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -45,8 +46,10 @@ WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 64
 NEW = WINDOW - CONTEXT
 BEGIN, END = 0, 1  # classes of what stands before a text and of its end
 ALONE, GROUPS = 12, 19  # ids that are classes of their own, and groups of the others, for word beginnings and for the rest
-SAMPLE, STRETCH, STRIDE, HOT, SHARE = 800, 64, 24, 250_000, 0.35
+SAMPLE, HOT, SHARE = 800, 250_000, 0.35
 KEPT = 100_000
+#: Frequent ids that others are grouped by.
+ANCHORS = 64
 #: Pairs of ids that tasks know, and the weight of an id's share of its class against them.
 PAIRS, BACK = 400_000, 5.0
 PARTS = (("q", (CLASSES, WIDTH)), ("k", (CLASSES, WIDTH)), ("v", (CLASSES, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
@@ -86,19 +89,27 @@ def attend(w: dict, x: np.ndarray) -> tuple:
     return logits, q, k, v, a, h
 
 
+def _marked(classes: np.ndarray) -> np.ndarray:
+    """A row for each class, with 1 in its place."""
+    out = np.zeros((classes.size, CLASSES), np.float32)
+    out[np.arange(classes.size), classes.reshape(-1)] = 1
+    return out
+
+
 def gradients(w: dict, x: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
     """Of the mean log likelihood over the ``live`` (windows x NEW) places, and that mean."""
     logits, q, k, v, a, h = attend(w, x)
     n = max(int(live.sum()), 1)
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p = np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits)
+    np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
     y, own = x[:, CONTEXT:].reshape(-1), live.reshape(-1)
     at = np.arange(len(y))
     loss = float(np.log(p[at, y] + 1e-30)[own].sum()) / n
-    d = -p
-    d[at, y] += 1
-    d *= own[:, None] / np.float32(n)
-    last, keys = np.eye(CLASSES, dtype=np.float32)[x[:, CONTEXT - 1 : -1].reshape(-1)], np.eye(CLASSES, dtype=np.float32)[x[:, :-1].reshape(-1)]
+    each = own / np.float32(n)
+    d = np.multiply(p, -each[:, None], out=p)
+    d[at, y] += each
+    last, keys = _marked(x[:, CONTEXT - 1 : -1]), _marked(x[:, :-1])
     dh = (d @ w["out"].T).reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
@@ -154,27 +165,33 @@ class Subwords:
     """The public tokenizer, and the class and in-class log chance of its ids once those are known."""
 
     def __init__(self, data: bytes, pattern: str):
-        self.data, self.pattern, self.classes, self.share, self.pairs = data, pattern, None, None, {}
+        self.data, self.pattern, self.classes, self.share, self.pairs, self.whole, self.followed = data, pattern, None, None, {}, True, (0, 0)
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("data", "pattern", "classes", "share", "pairs")}
+        return {k: getattr(self, k) for k in ("data", "pattern", "classes", "share", "pairs", "whole", "followed")}
 
     @cached_property
-    def after(self) -> dict[int, int]:
-        """How often an id of a class follows an id, as far as ``pairs`` tells."""
-        found: dict[int, int] = {}
-        for pair, c in self.pairs.items():
-            key = pair >> 20 << 8 | int(self.classes[pair & 0xFFFFF])
-            found[key] = found.get(key, 0) + c
-        return found
+    def after(self) -> np.ndarray:
+        """How often an id of a class follows an id, by ``CLASSES`` times the id before plus the class, over all pairs; sent as ``followed``."""
+        out = np.zeros((self.size + 1) * CLASSES, np.int64)
+        out[self.followed[0]] = self.followed[1]
+        return out
+
+    def open_pairs(self, ids: list[int]) -> list[tuple[int, float]]:
+        """The pairs of a word's ids whose counts tasks don't know, and the count that a pair's share of the class stands for."""
+        pairs = [last << 20 | i for last, i in zip([self.size, *ids], ids, strict=False)]
+        return [] if self.whole else [(k, BACK * self.share_list[k & 0xFFFFF]) for k in pairs if k not in self.known]
 
     def in_word(self, ids: list[int]) -> float:
-        """The log chance of a word's ids, given their classes: each from its share of the class and what follows the id before."""
+        """The log chance of a word's ids, given their classes: each from its share of the class and what follows the id before.
+
+        Pairs that aren't known count as not seen.
+        """
         known, total, last, out = self.known.get, 1.0, self.size, 0.0
         for i in ids:
             p = known(last << 20 | i)
             if p is None:
-                p = BACK * self.share_list[i] / (self.after.get(last << 8 | self.kind_list[i], 0) + BACK)
+                p = BACK * self.share_list[i] / (float(self.after[last * CLASSES + self.kind_list[i]]) + BACK)
             total *= p
             if total < 1e-200:
                 out, total = out + log(total), 1.0
@@ -185,7 +202,7 @@ class Subwords:
     def known(self) -> dict[int, float]:
         """The chance of an id after an id, given its class, for the pairs that are known."""
         kind, share, after = self.kind_list, self.share_list, self.after
-        return {k: (c + BACK * share[k & 0xFFFFF]) / (after[k >> 20 << 8 | kind[k & 0xFFFFF]] + BACK) for k, c in self.pairs.items()}
+        return {k: (c + BACK * share[k & 0xFFFFF]) / (float(after[(k >> 20) * CLASSES + kind[k & 0xFFFFF]]) + BACK) for k, c in self.pairs.items()}
 
     @cached_property
     def kind_list(self) -> list[int]:
@@ -214,7 +231,7 @@ class Subwords:
 
 
 class Lexicon(dict):
-    """Words by number, with each word's classes, in-class log chance and training count (-1: not among the frequent words).
+    """Words by number, with each word's classes, in-class log chance and training count (-1: not among the frequent words, or has open pairs).
 
     When it is full, only the frequent words stay.
     """
@@ -230,7 +247,7 @@ class Lexicon(dict):
         self.classes.append(bytes(map(self.subwords.kind_list.__getitem__, ids)))
         self.n.append(len(ids))
         self.within.append(self.subwords.in_word(ids))
-        self.count.append(self.hot.get(word, -1))
+        self.count.append(-1 if word not in self.hot or self.subwords.open_pairs(ids) else self.hot[word])
         return at
 
     def trim(self) -> None:
@@ -268,16 +285,19 @@ class Words:
         self.at[~last] = np.asarray(coded.indices) + 1
 
 
+def laid_out(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat`` that are ``n`` long, in the order of ``at``, one after the other; the length of each."""
+    each = n[at].astype(np.int64)
+    skip = (np.cumsum(n) - n)[at] - (np.cumsum(each) - each)
+    return flat[np.repeat(skip, each) + np.arange(int(each.sum()))], each
+
+
 def stacked(lexicon: Lexicon, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number in the lexicon of each of the words; their classes, one after the other; ids a word."""
     lexicon.trim()
     known = np.array([0, *map(lexicon.__getitem__, words.distinct[1:])])
-    n = np.array(lexicon.n)[known]
     classes = np.frombuffer(b"".join(map(lexicon.classes.__getitem__, known)), np.uint8)
-    per_word = n[words.at].astype(np.int64)
-    skip = (np.cumsum(n) - n)[words.at] - (np.cumsum(per_word) - per_word)
-    stream = classes[np.repeat(skip, per_word) + np.arange(int(per_word.sum()))]
-    return known[words.at], stream, per_word
+    return known[words.at], *laid_out(classes, np.array(lexicon.n)[known], words.at)
 
 
 def class_stream(lexicon: Lexicon, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,20 +306,64 @@ def class_stream(lexicon: Lexicon, texts: list[list[bytes]]) -> tuple[np.ndarray
     return stream, np.add.reduceat(per_word, words.text_start)
 
 
-def cluster(subwords: Subwords, counts: np.ndarray, sample: list[list[bytes]], seed: int = 3) -> np.ndarray:
-    """The class of each id. Frequent ids are classes of their own; others are grouped by the frequent ids found near them."""
+def summed(rows: DataFrame, run, size: int) -> np.ndarray:
+    """The sum over tasks of the arrays (of ``size`` counts) that ``run`` makes of a task's batches; what isn't 0 is sent."""
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = run(batches)
+        found = np.flatnonzero(total)
+        for a in range(0, len(found), 100_000):
+            some = found[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["k", "c"])
+
+    out, got = np.zeros(size, np.int64), rows.mapInArrow(sparse, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    out[got["k"].to_numpy()] = got["c"].to_numpy()
+    return out
+
+
+def near_anchors(texts: DataFrame, subwords: Subwords, counts: np.ndarray) -> np.ndarray:
+    """How often each id (rows) stands near after each of the most frequent ids (columns), over all ``texts`` (raw)."""
+    anchors, size = np.argsort(-counts, kind="stable")[:ANCHORS], subwords.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        mark, memo, total = np.full(size, -1), {}, np.zeros(size * ANCHORS, np.int64)
+        mark[anchors] = np.arange(len(anchors))
+        for batch in _slices(batches):
+            words = Words(batch.column("raw"))
+            if len(memo) > KEPT:
+                memo.clear()
+            ids = [memo.get(w) or memo.setdefault(w, subwords.ids(w)) for w in words.distinct[1:]]
+            flat, n = np.fromiter(chain.from_iterable(ids), np.int64), np.array([0, *map(len, ids)])
+            stream, per_word = laid_out(flat, n, words.at)
+            sizes = np.add.reduceat(per_word, words.text_start)
+            at = np.flatnonzero(mark[stream] >= 0)
+            stop = np.repeat(np.cumsum(sizes), sizes)[at]
+            # from an anchor up to 8 ids after the next one, 23 at most, inside the text
+            reach = np.minimum(np.minimum(np.minimum(np.append(at[1:], len(stream)), stop) + 8, at + 24), stop) - at - 1
+            found = stream[np.repeat(at + 1 - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
+            total += np.bincount(found * ANCHORS + np.repeat(mark[stream[at]], reach), minlength=len(total))
+        return total
+
+    return summed(texts, run, size * ANCHORS).reshape(size, ANCHORS)
+
+
+def followers(pairs: DataFrame, subwords: Subwords) -> np.ndarray:
+    """How often an id of a class follows an id, as in ``Subwords.after``, over all ``pairs``."""
+    size, classes = (subwords.size + 1) * CLASSES, subwords.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            np.add.at(total, (pair >> 20) * CLASSES + classes[pair & 0xFFFFF], batch.column("c").to_numpy())
+        return total
+
+    return summed(pairs, run, size)
+
+
+def cluster(subwords: Subwords, counts: np.ndarray, profile: np.ndarray, seed: int = 3) -> np.ndarray:
+    """The class of each id. Frequent ids are classes of their own; others are grouped by the frequent ids found near them (``profile``)."""
     random = np.random.Generator(np.random.PCG64(seed))
-    memo: dict[bytes, list[int]] = {}
-    near: Counter = Counter()
-    anchors = {int(i): k for k, i in enumerate(np.argsort(-counts, kind="stable")[:64])}
-    for found in sample:
-        stream = [i for x in found for i in (memo.get(x) or memo.setdefault(x, subwords.ids(x)))]
-        marks = [(p, anchors[i]) for p, i in enumerate(stream) if i in anchors]
-        for (p, k), (end, _) in zip(marks, [*marks[1:], (len(stream), 0)], strict=False):
-            near.update((i, k) for i in stream[p + 1 : min(end + 8, p + 24)])
-    profile = np.zeros((subwords.size, 64))
-    for (i, k), c in near.items():
-        profile[i, k] = c
     kind = np.zeros(subwords.size, np.uint8)
     at = 2
     for spaced in (True, False):
@@ -353,11 +417,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from small_batches(whole, "raw", 1 << 20)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
-    for batch in _slices(batches):
-        yield [normal_words(x) for x in batch.column("raw").to_pylist()]
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over ``texts`` (raw); added up in each task, in pieces of bounded size, before the exchange."""
 
@@ -414,49 +473,20 @@ def frequent(words: DataFrame, most: int = HOT) -> dict:
     return {(bytes(k) if isinstance(k, bytearray) else k): c for k, c in rows}
 
 
-def stretches(texts: list[list[bytes]], phase: int) -> tuple[list[list[bytes]], list[bool], list[bool], int]:
-    """Each ``STRIDE``-th stretch of the texts' words, counting on from ``phase``: words, whether it begins and ends its text; the next phase."""
-    out, begins, ends = [], [], []
-    for text in texts:
-        count = -(-len(text) // STRETCH) or 1
-        for k in range((-phase) % STRIDE, count, STRIDE):
-            out.append(text[k * STRETCH : (k + 1) * STRETCH])
-            begins.append(k == 0)
-            ends.append(k == count - 1)
-        phase += count
-    return out, begins, ends, phase % STRIDE
-
-
 def average_training(texts: DataFrame, lexicon_of, weights: dict, rate: float = 2e-3) -> dict:
-    """Every task trains ``weights`` on each ``STRIDE``-th stretch of its texts; the mean by tokens."""
+    """Every task trains ``weights`` on every window of its texts; the mean by tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = lexicon_of(), {k: v.copy() for k, v in weights.items()}
-        step, kept, phase, n = Adam(w, rate), [], 0, 0
-
-        def learn() -> int:
-            x, live = (np.concatenate(y) for y in zip(*kept, strict=True))
-            kept.clear()
-            step.step(gradients(w, x, live)[0])
-            return int(live.sum())
-
-        for texts in _texts(batches):
-            some, begins, ends, phase = stretches(texts, phase)
-            if some:
-                stream, sizes = class_stream(lexicon, some)
-                x, at = windows(stream, sizes)
-                own = np.repeat(np.arange(len(some)), -(-sizes // NEW))
-                live = at >= 0
-                # what stands before a stretch inside a text isn't known, nor is what follows it an end
-                inside = np.flatnonzero(np.diff(own, prepend=-1) > 0)[~np.array(begins)]
-                live[inside] = False
-                live &= ~((x[:, CONTEXT:] == END) & ~np.array(ends)[own][:, None])
-                for a in range(0, len(x), 256):
-                    kept.append((x[a : a + 256], live[a : a + 256]))
-                    if sum(len(y) for y, _ in kept) >= 256:
-                        n += learn()
-        if kept:
-            n += learn()
+        step, n = Adam(w, rate), 0
+        for batch in _slices(batches):
+            words = Words(batch.column("raw"))
+            _, stream, per_word = stacked(lexicon, words)
+            x, at = windows(stream, np.add.reduceat(per_word, words.text_start))
+            live = at >= 0
+            for a in range(0, len(x), 256):
+                step.step(gradients(w, x[a : a + 256], live[a : a + 256])[0])
+            n += int(live.sum())
         flat = np.concatenate([w[k].ravel() for k, _ in PARTS]).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), n), pa.int64())], ["i", "x", "n"])
 
@@ -471,7 +501,7 @@ def average_training(texts: DataFrame, lexicon_of, weights: dict, rate: float =
     return out
 
 
-SCORED = "rid long, doc_id long, n_tokens long, hot long, base double, score double, words array<binary>, chances array<float>"
+SCORED = "rid long, doc_id long, n_tokens long, hot long, base double, score double, words array<binary>, chances array<double>"
 
 
 def _score(lexicon_of, weights: dict, n_train: int, ends: int):
@@ -499,7 +529,7 @@ def _score(lexicon_of, weights: dict, n_train: int, ends: int):
             base = np.where(hot, np.log10(np.maximum(c, 0) + 1), 0)
             rare = np.flatnonzero(~hot)
             cut = pa.array(np.searchsorted(rare, np.append(text_start, len(numbers))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array([words.distinct[i] for i in words.at[rare].tolist()], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(word[rare], pa.float32()))]
+            lists = [pa.ListArray.from_arrays(cut, pa.array([words.distinct[i] for i in words.at[rare].tolist()], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(word[rare]))]
             sums = lambda y, s=text_start: np.add.reduceat(y, s)
             yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(words.lengths, pa.int64()), pa.array(sums((hot & (c > 0)).astype(np.int64))), pa.array(sums(base)), pa.array(sums(mixed)), *lists], ["rid", "doc_id", "n_tokens", "hot", "base", "score", "words", "chances"])
             rid += batch.num_rows
@@ -507,6 +537,20 @@ def _score(lexicon_of, weights: dict, n_train: int, ends: int):
     return run
 
 
+def open_chances(words: DataFrame, pairs: DataFrame, lexicon_of) -> DataFrame:
+    """(word, more): what the counts of a word's open pairs add to its log10 chance, for words with any that was seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = lexicon_of().subwords
+        for batch in batches:
+            rows = [(w, k, p) for w in batch.column("word").to_pylist() for k, p in subwords.open_pairs(subwords.ids(w))]
+            names, keys, priors = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(priors, pa.float64())], ["word", "pair", "prior"])
+
+    found = words.mapInArrow(run, "word binary, pair long, prior double").join(pairs, "pair")
+    return found.groupBy("word").agg(F.sum(F.log10(1 + F.col("c") / F.col("prior"))).alias("more"))
+
+
 def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
     rows = bounded_arrow(docs, "4m").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
@@ -527,8 +571,11 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     least = [r.h for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
     chosen = hashed.where(F.col("h") <= least[-1]).collect() if least else []
     sample = [normal_words(r.raw) for r in sorted(chosen, key=lambda r: (r.h, r.raw or b""))[:SAMPLE]]
-    subwords.classes = cluster(subwords, id_counts, sample)
+    subwords.classes = cluster(subwords, id_counts, near_anchors(training.select("raw"), subwords, id_counts))
     subwords.share = in_class(id_counts, subwords.classes)
+    subwords.whole = len(subwords.pairs) == pairs.count()
+    after = followers(pairs, subwords)
+    subwords.followed = np.flatnonzero(after), after[after > 0]
     hot = sc.broadcast((subwords, frequent(counts)))
     lexicon_of = lambda: _lexicon(hot.value)
     weights = new_weights(np.ones((CLASSES, CLASSES)))
@@ -542,6 +589,9 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 
     scored = materialize(rows.mapInArrow(_score(lexicon_of, weights, total, ends), SCORED))
     rare = scored.select("rid", F.explode(F.arrays_zip("words", "chances")).alias("r")).select("rid", F.col("r.words").alias("word"), F.col("r.chances").alias("chance"))
+    if not subwords.whole:
+        more = open_chances(rare.select("word").distinct(), pairs, lexicon_of)
+        rare = rare.join(more, "word", "left").withColumn("chance", F.col("chance") + F.coalesce("more", F.lit(0.0))).drop("more")
     joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     mixed = F.log10(SHARE * F.col("c") / max(total, 1) + (1 - SHARE) * F.pow(F.lit(10.0), F.col("chance").cast("double")))
     more = joined.groupBy("rid").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum(mixed).alias("s"))

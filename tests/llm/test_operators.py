@@ -200,6 +200,40 @@ def test_lm_counts_and_base(spark):
     assert got[124].score > got[125].score  # as many words, seen and unseen
 
 
+def ranks():
+    import public_tokenizers as P
+
+    return open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN
+
+
+def test_lm_trains_on_late_words(spark):
+    from collections import Counter
+
+    subwords, raw = lm.Subwords(*ranks()), [prose(k, 500).encode() for k in range(3)]
+    counts = np.bincount([i for t in raw for w in t.split() for i in subwords.ids(w)], minlength=subwords.size)
+    near, anchors = Counter(), {int(i): k for k, i in enumerate(np.argsort(-counts, kind="stable")[: lm.ANCHORS])}
+    for t in raw:
+        stream = [i for w in t.split() for i in subwords.ids(w)]
+        marks = [(p, anchors[i]) for p, i in enumerate(stream) if i in anchors]
+        for (p, k), (end, _) in zip(marks, [*marks[1:], (len(stream), 0)], strict=False):
+            near.update((i, k) for i in stream[p + 1 : min(end + 8, p + 24)])
+    table = lambda texts: spark.createDataFrame([(bytearray(t),) for t in texts], "raw binary")
+    profile = lm.near_anchors(table(raw), subwords, counts)
+    assert {(i, k): profile[i, k] for i, k in zip(*np.nonzero(profile), strict=True)} == near
+    subwords.classes = lm.cluster(subwords, counts, profile)
+    subwords.share = lm.in_class(counts, subwords.classes)
+    start = lm.new_weights(np.ones((lm.CLASSES, lm.CLASSES)))
+    got = [lm.average_training(table([t]), lambda: lm.Lexicon(subwords, {}), start) for t in (raw[0], b" ".join(raw[0].split()[:400] + raw[1].split()[400:]))]
+    assert not np.allclose(got[0]["bias"], got[1]["bias"], atol=1e-5)
+
+
+def test_lm_pairs_that_tasks_do_not_know(spark, monkeypatch):
+    texts = [prose(k, 40, 300) for k in range(40)] + [prose(k, 10, 9000) for k in range(20)]
+    whole = {r.doc_id: r.score for r in lm.lm_scores(docs_of(spark, texts), *ranks()).collect()}
+    monkeypatch.setattr(lm, "PAIRS", 20)
+    assert {r.doc_id: r.score for r in lm.lm_scores(docs_of(spark, texts), *ranks()).collect()} == pytest.approx(whole, abs=2e-6)
+
+
 # --- sharding
 def test_shards_hold_every_record_once(spark):
     texts = [prose(k % 50, 1 + k % 30) for k in range(403)] + [None, ""]

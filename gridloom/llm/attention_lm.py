@@ -593,7 +593,9 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         more = open_chances(rare.select("word").distinct(), pairs, lexicon_of)
         rare = rare.join(more, "word", "left").withColumn("chance", F.col("chance") + F.coalesce("more", F.lit(0.0))).drop("more")
     joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    mixed = F.log10(SHARE * F.col("c") / max(total, 1) + (1 - SHARE) * F.pow(F.lit(10.0), F.col("chance").cast("double")))
+    # where a word was never counted its chance can be below the smallest double, so it stays a logarithm
+    seen = F.log10(SHARE * F.col("c") / max(total, 1) + (1 - SHARE) * F.pow(F.lit(10.0), F.col("chance")))
+    mixed = F.when(F.col("c") > 0, seen).otherwise(F.col("chance") + float(np.log10(1 - SHARE)))
     more = joined.groupBy("rid").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum(mixed).alias("s"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = scored.drop("words", "chances").join(more, "rid", "left")

@@ -234,6 +234,14 @@ def test_lm_pairs_that_tasks_do_not_know(spark, monkeypatch):
     assert {r.doc_id: r.score for r in lm.lm_scores(docs_of(spark, texts), *ranks()).collect()} == pytest.approx(whole, abs=2e-6)
 
 
+def test_lm_long_unseen_words_count(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    r, texts = random.Random(4), [prose(k, 30, 300) for k in range(200)]
+    texts[held[0]], texts[held[1]] = prose(3, 30, 300), prose(3, 30, 300) + " " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000))
+    got = {r.doc_id: r for r in lm.lm_scores(docs_of(spark, texts), *ranks()).collect()}
+    assert got[held[1]].n_tokens == got[held[0]].n_tokens + 1 and got[held[1]].score < got[held[0]].score - 1000
+
+
 # --- sharding
 def test_shards_hold_every_record_once(spark):
     texts = [prose(k % 50, 1 + k % 30) for k in range(403)] + [None, ""]

@@ -1,7 +1,8 @@
 """Line removal by how often a line occurs on the pages of its site.
 
 For each host: pages that contain a line, divided by all pages of the host. A line whose share
-exceeds the boilerplate ratio is dropped from the host's pages, wherever it stands.
+exceeds the boilerplate ratio, and that stands on ``min_count`` of its pages or more, is dropped from
+the host's pages, wherever it stands.
 
 Only DataFrame functions run here. A page gives each of its lines once, so counting pages is a
 count that Spark combines before the exchange, and a line on a third of all rows costs a row a task.
@@ -29,20 +30,20 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5, min_count: int = 1) -> DataFrame:
     """(host, lines): for each host with any, the hashes of its boilerplate lines."""
     pages = df.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.split(text, "\n").alias("_l"))
     totals = pages.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
     hashes = F.array_distinct(F.transform(F.filter(F.transform("_l", _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = pages.select("_host", F.explode(hashes).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-    seen = seen.where(F.col("_n") > ratio * min_pages)  # below that no host with enough pages can exceed the ratio
+    seen = seen.where((F.col("_n") > ratio * min_pages) & (F.col("_n") >= min_count))  # below that no host with enough pages can exceed the ratio
     return seen.join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages")).groupBy("_host").agg(F.collect_list("_h").alias("_drop"))
 
 
-def line_dedup(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def line_dedup(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5, min_count: int = 1) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``, and n_lines, n_dropped (long)."""
     df = df.drop("n_lines", "n_dropped", "_host", "_salt", "_drop", "_l", "_kept")
-    lists = boilerplate(df, host, text, ratio, min_pages).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lists = boilerplate(df, host, text, ratio, min_pages, min_count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
     salted = df.withColumn("_salt", salt).withColumn("_host", F.col(host))
     joined = salted.join(lists, ["_host", "_salt"], "left").withColumn("_l", F.split(text, "\n"))

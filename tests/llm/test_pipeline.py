@@ -45,3 +45,12 @@ def test_empty_table(spark, tmp_path):
     for _, stage in c.STAGES:
         docs = materialize(stage(spark, docs, d))
         assert docs.count() == 0
+
+
+def test_lines_of_a_small_share_go(spark):
+    rows = [(k, f"{'Share this page' if k % 11 == 0 else 'own'}\n{prose(k, 20, 3000)}\n{'Chorus of four' if k < 4 else 'end'}{k if k > 3 else ''}", "en", "hot", 1) for k in range(400)]
+    rows += [(1000 + k, f"Small site menu\n{prose(9000 + k, 20, 3000)}", "en", "small", 1) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    text = {r.doc_id: r.text for r in c.lines(spark, docs, "").collect()}
+    assert len(text) == 410 and not [k for k, t in text.items() if "Share this page" in t or "Small site menu" in t]
+    assert all(prose(k, 20, 3000) in text[k] for k in range(400)) and all("Chorus of four" in text[k] for k in range(4))

@@ -1,7 +1,8 @@
 """Length buckets with the least padding, and token-budget batches inside them.
 
-The global histogram of lengths is one small aggregate (at most ``MAX_CELLS`` rows; longer spans are
-counted in wider cells). Dynamic programming over it picks the bucket bounds for which padding every
+The global histogram of lengths is one small aggregate: a row for each length that occurs, up to
+``EXACT`` or the token budget. Lengths above that, each alone in its batch, are counted together where their
+first 16 bits agree, under the longest of them; so no text's length makes others' cells wider. Dynamic programming over it picks the bucket bounds for which padding every
 sequence up to its bucket's bound costs least, exactly, in time linear in buckets times cells. A
 batch holds as many sequences of its bucket as the token budget admits at the bucket's bound; a
 sequence longer than the budget is whole and alone.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import read, words
 
-MAX_CELLS = 1 << 16
+EXACT = 1 << 16
 CHUNK = 250_000
 OWN = ("bucket", "bucket_length", "batch", "slot", "padding")
 
@@ -63,19 +64,18 @@ def best_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def length_histogram(df: DataFrame, length: str) -> list[tuple[int, int]]:
-    """(length, rows) of the whole table, in at most ``MAX_CELLS`` cells; a cell stands for its longest length."""
+def length_histogram(df: DataFrame, length: str, exact: int = EXACT) -> list[tuple[int, int]]:
+    """(length, rows) of the whole table; above ``exact``, lengths whose first 16 bits agree count as the longest of them."""
     counted = df.select(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n"))
-    longest = counted.agg(F.max("n")).first()[0] or 0
-    width = -(-max(longest, 1) // MAX_CELLS)
-    cell = F.expr(f"(n + {width - 1}) div {width} * {width}")
-    return [(r.c, r.k) for r in counted.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect()]
+    counted = counted.withColumn("s", F.when(F.col("n") > max(exact, EXACT), F.length(F.bin("n")) - 16).otherwise(0))
+    cells = counted.groupBy("s", F.expr("shiftright(n, s)").alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k"))
+    return [(r.n, r.k) for r in cells.collect()]
 
 
 def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget: int = 32768, seed: int = 23) -> DataFrame:
     """Adds bucket (int, from 0), bucket_length, batch (from 0 in a bucket), slot (in a batch) and padding (long)."""
     df = df.drop(*OWN, "_n", "_chunk", "_hash")
-    histogram = length_histogram(df, length)
+    histogram = length_histogram(df, length, token_budget)
     bounds = best_bounds(histogram, buckets) or [0]
     chunks = max(64, -(-sum(k for _, k in histogram) // CHUNK))
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")

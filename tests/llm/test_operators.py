@@ -312,6 +312,16 @@ def test_batches_keep_to_the_budget(spark):
     assert packing.pack(df.where("false"), "n", "id").count() == 0
 
 
+def test_one_long_text_leaves_the_other_bounds(spark):
+    lengths = [random.Random(k).randrange(1, 300) for k in range(400)] + [100_000, 100_001, 10_000_000]
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")
+    counts = {n: lengths.count(n) for n in lengths}
+    assert sum(k for _, k in packing.length_histogram(df, "n")) == len(lengths) and packing.length_histogram(df, "n", 200_000).count((100_000, 1)) == 1
+    bounds = packing.best_bounds(list(counts.items()), 6)
+    for r in packing.pack(df, "n", "id", buckets=6).collect():
+        assert r.bucket_length == min(b for b in bounds if b >= r.n) and r.padding == r.bucket_length - r.n
+
+
 # --- WARC
 def test_warc_round_trip(spark):
     html = ["<p>one</p>", "", None, "<p>one</p>", "zwei é", "", "x" * 5000, "<p>one</p>"]

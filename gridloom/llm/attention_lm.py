@@ -1,25 +1,38 @@
-"""Language-model scores from a causal self-attention model and corpus word counts.
+"""Language-model scores from a causal self-attention model over subword ids and corpus counts.
 
 Texts are words (ASCII white space parts them, A-Z lower-cased) and an end. A word is a string of
-subword ids of a public tokenizer. Ids fall into ``CLASSES`` classes; a one-head causal attention
-layer over the classes of the ids before predicts the next class, and counts over the whole
-training corpus give the id within its class. Word-beginning classes are kept apart from the rest,
-so the model knows each word's whole chance, its ending included. A word's chance is that of the
-attention model mixed with the word's share of the training tokens: sums over all texts are one.
-
-1. Words of all training texts are counted (added up in each task before the exchange).
-2. Ids are counted by running the tokenizer over the counted words, not over the corpus.
-3. Classes come from what stands near each id in all training texts. ``SAMPLE`` of them give the weights
-   to start from; then every task trains these on every window of all training texts it reads, and the
-   tasks' models are averaged by tokens. What is learnt from is the corpus; what is sent is one model a task.
-4. Scoring cuts each text's ids into windows of ``WINDOW`` that overlap by ``CONTEXT``; each id is
-   scored once, in the window that shows it at least ``CONTEXT`` ids; windows of many texts form
-   batches of masked attention. The ``HOT`` most frequent words and ``PAIRS`` pairs of ids are known to
-   every task; the counts of all other words are joined by word, those of their other pairs by pair.
+subword ids of a public tokenizer. The model reads the first ids (heads) of the words before and
+gives the chance of the next word's head class; counts over the whole training corpus do the rest:
+
+    P(word | before) = P(k | before) * ((c - D)+ / C_k + D * V_k / C_k * spelling(word | k))
+
+k is the class of the word's head, c the word's count, C_k and V_k the tokens and distinct words of
+the class, D the absolute discount n1 / (n1 + 2 n2). ``spelling`` is a chain over the word's ids, from counts
+over distinct words: the head by its share of the class, each further id, and the word's end, by
+the id before. Each factor sums to one over what it chooses from. P(k | before) is an adaptive
+softmax: frequent heads are classes of their own, the others are grouped; one causal attention head
+reads embeddings of the ids before it, and a bias holds the class just before.
+
+1. One pass over all training texts counts words and, for each head, which heads (hashed to
+   ``BUCKETS``) stand around it. Counts are added up in each task before the exchange.
+2. The tokenizer runs over the counted words, not over the corpus; chains come from that table.
+3. The ids' embeddings are the main directions of their neighbour counts; classes are groups of
+   embeddings. Both come from the whole training corpus.
+4. ``SAMPLE`` texts give weights to start from. Then texts are dealt to shards of about
+   ``SHARD_TOKENS`` by a hash of id and text, each shard trains these weights on every window of
+   its texts in the order of the hash, and the shards' weights are averaged by tokens, in whole
+   numbers. So neither the files' layout nor the order of tasks changes the model.
+5. Scoring cuts each text's words into windows of ``WINDOW`` that overlap by ``CONTEXT``; each token
+   is scored once, in the window that shows it at least ``CONTEXT`` tokens; windows of many texts
+   form batches of masked attention. Tasks know the ``HOT`` most frequent words of at most
+   ``HOT_BYTES``; the counts of all other words are joined by word.
+
+What is broadcast has a fixed bound: tables over the tokenizer's ids, and the ``HOT`` words.
 
 Defined results: null, empty and blank texts are one end token; rows that repeat an id are scored
-each; a null id counts as remainder 0 (training); with no training texts all counts are 0 and the
-attention model is uniform; other columns are left out.
+each; a null id counts as remainder 0 (training); bytes that are not UTF-8 read as U+FFFD; very long
+texts are scored whole, window by window; with no training texts all counts are 0 and the attention
+model is uniform; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +41,9 @@ import base64
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +55,19 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow, crc_mod, materialize, read, small_batches
 
-WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 64
+WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 48
 NEW = WINDOW - CONTEXT
 BEGIN, END = 0, 1  # classes of what stands before a text and of its end
-ALONE, GROUPS = 12, 19  # ids that are classes of their own, and groups of the others, for word beginnings and for the rest
-SAMPLE, HOT, SHARE = 800, 250_000, 0.35
-KEPT = 100_000
-#: Frequent ids that others are grouped by.
-ANCHORS = 64
-#: Pairs of ids that tasks know, and the weight of an id's share of its class against them.
-PAIRS, BACK = 400_000, 5.0
-PARTS = (("q", (CLASSES, WIDTH)), ("k", (CLASSES, WIDTH)), ("v", (CLASSES, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
+ALONE = 16  # heads that are classes of their own
+#: Hashes of neighbours that ids are described by, and the numbers of an id's embedding (the last two mark BEGIN and END).
+BUCKETS, EMBEDDED = 64, 24
+#: Classes of the ids inside words: the word's end, frequent ids, and groups of the others.
+TAILS, TAILS_ALONE, BACK = 128, 99, 2.0
+SAMPLE, HOT, HOT_BYTES, KEPT = 800, 250_000, 64, 100_000
+SHARD_TOKENS = 1 << 20
+PARTS = (("q", (EMBEDDED, WIDTH)), ("k", (EMBEDDED, WIDTH)), ("v", (EMBEDDED, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
+#: Weights are averaged as multiples of this.
+GRAIN = 2.0**-30
 #: Which keys (window places 0 to 30) a query (places 7 to 30) may see: none after its own.
 MASK = np.where(np.arange(WINDOW - 1)[None, :] <= np.arange(CONTEXT - 1, WINDOW - 1)[:, None], 0.0, -1e9).astype(np.float32)
 
@@ -61,7 +76,7 @@ def normal_words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
-# --- the attention model; weights are a dict of float32 arrays
+# --- the attention model; weights are a dict of float32 arrays, ids index rows of embeddings ``e``
 def new_weights(pairs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """``pairs``: counts of (class, next class), which the bias starts from."""
     random = np.random.Generator(np.random.PCG64(seed))
@@ -73,51 +88,46 @@ def new_weights(pairs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     return w
 
 
-def attend(w: dict, x: np.ndarray) -> tuple:
-    """Logits (windows x NEW x CLASSES) for the classes at places CONTEXT.. of windows ``x`` (windows x WINDOW), and what gradients need."""
-    seen = x[:, :-1]
-    q = (w["q"][x[:, CONTEXT - 1 : -1]] + w["pq"]) * np.float32(WIDTH**-0.5)
-    k = w["k"][seen] + w["pk"]
-    v = w["v"][seen]
+def attend(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, last: np.ndarray) -> tuple:
+    """Logits (places x CLASSES) at places CONTEXT.., the attention and what it gathers; ``last``: the class before each place."""
+    q = (q + w["pq"]) * np.float32(WIDTH**-0.5)
+    k = k + w["pk"]
     a = q @ k.transpose(0, 2, 1)
     a += MASK
     np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     h = a @ v
     logits = h.reshape(-1, WIDTH) @ w["out"]
-    logits += w["bias"][x[:, CONTEXT - 1 : -1]].reshape(-1, CLASSES)
-    return logits, q, k, v, a, h
+    logits += w["bias"][last]
+    return logits, q, k, a, h
 
 
-def _marked(classes: np.ndarray) -> np.ndarray:
-    """A row for each class, with 1 in its place."""
-    out = np.zeros((classes.size, CLASSES), np.float32)
-    out[np.arange(classes.size), classes.reshape(-1)] = 1
-    return out
-
-
-def gradients(w: dict, x: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
+def gradients(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
     """Of the mean log likelihood over the ``live`` (windows x NEW) places, and that mean."""
-    logits, q, k, v, a, h = attend(w, x)
+    seen = e[x[:, :-1]]
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    of = lambda z, m: (flat(z) @ m).reshape(*z.shape[:2], WIDTH)
+    v, new = of(seen, w["v"]), np.ascontiguousarray(seen[:, CONTEXT - 1 :])
+    last = kinds[x[:, CONTEXT - 1 : -1]].reshape(-1)
+    p, q, k, a, h = attend(w, of(new, w["q"]), of(seen, w["k"]), v, last)
     n = max(int(live.sum()), 1)
-    p = np.subtract(logits, logits.max(axis=1, keepdims=True), out=logits)
+    p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    y, own = x[:, CONTEXT:].reshape(-1), live.reshape(-1)
-    at = np.arange(len(y))
-    loss = float(np.log(p[at, y] + 1e-30)[own].sum()) / n
+    y, own, at = kinds[x[:, CONTEXT:]].reshape(-1), live.reshape(-1), np.arange(len(p))
     each = own / np.float32(n)
-    d = np.multiply(p, -each[:, None], out=p)
+    total = p.sum(axis=1)
+    loss = float(np.log(p[at, y] / total + 1e-30)[own].sum()) / n
+    d = np.multiply(p, (-each / total)[:, None], out=p)
     d[at, y] += each
-    last, keys = _marked(x[:, CONTEXT - 1 : -1]), _marked(x[:, :-1])
+    before = np.zeros((len(p), CLASSES), np.float32)
+    before[at, last] = 1
     dh = (d @ w["out"].T).reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     dq = ds @ k * np.float32(WIDTH**-0.5)
     dk = ds.transpose(0, 2, 1) @ q
     dv = a.transpose(0, 2, 1) @ dh
-    flat = lambda z: z.reshape(-1, WIDTH)
-    return {"q": last.T @ flat(dq), "k": keys.T @ flat(dk), "v": keys.T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0), "out": flat(h).T @ d, "bias": last.T @ d}, loss
+    return {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0), "out": flat(h).T @ d, "bias": before.T @ d}, loss
 
 
 class Adam:
@@ -133,23 +143,8 @@ class Adam:
             self.w[k] += (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
-def log_chances(w: dict, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows ``x``: the log chance of each class at places CONTEXT.. and that of a beginning class standing there."""
-    own, first = np.empty((len(x), NEW), np.float32), np.empty((len(x), NEW), np.float32)
-    for at in range(0, len(x), 128):
-        some = x[at : at + 128]
-        logits = attend(w, some)[0]
-        y = some[:, CONTEXT:].reshape(-1)
-        got = logits[np.arange(len(y)), y]
-        np.exp(logits, out=logits)
-        total = np.log(logits.sum(axis=1))
-        own[at : at + 128] = (got - total).reshape(-1, NEW)
-        first[at : at + 128] = (np.log(logits @ begins) - total).reshape(-1, NEW)
-    return own, first
-
-
-def windows(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of stacked texts (classes, ends included) and, for each window and new place, its index in ``stream`` or -1."""
+def windows(stream: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of stacked texts (ends included; ``before`` stands before each) and, for each window and new place, its index in ``stream`` or -1."""
     start = np.cumsum(sizes) - sizes
     count = -(-sizes // NEW)
     text = np.repeat(np.arange(len(sizes)), count)
@@ -157,60 +152,18 @@ def windows(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     local = first[:, None] + np.arange(-CONTEXT, NEW)
     inside = (local >= 0) & (local < sizes[text][:, None])
     at = np.where(inside, local + start[text][:, None], 0)
-    x = np.where(inside, stream[at], BEGIN)
+    x = np.where(inside, stream[at], before)
     return x, np.where(inside, at, -1)[:, CONTEXT:]
 
 
 class Subwords:
-    """The public tokenizer, and the class and in-class log chance of its ids once those are known."""
+    """The public tokenizer. Ids are its own; ``size`` stands for a text's begin and ``size + 1`` for its end."""
 
     def __init__(self, data: bytes, pattern: str):
-        self.data, self.pattern, self.classes, self.share, self.pairs, self.whole, self.followed = data, pattern, None, None, {}, True, (0, 0)
+        self.data, self.pattern = data, pattern
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("data", "pattern", "classes", "share", "pairs", "whole", "followed")}
-
-    @cached_property
-    def after(self) -> np.ndarray:
-        """How often an id of a class follows an id, by ``CLASSES`` times the id before plus the class, over all pairs; sent as ``followed``."""
-        out = np.zeros((self.size + 1) * CLASSES, np.int64)
-        out[self.followed[0]] = self.followed[1]
-        return out
-
-    def open_pairs(self, ids: list[int]) -> list[tuple[int, float]]:
-        """The pairs of a word's ids whose counts tasks don't know, and the count that a pair's share of the class stands for."""
-        pairs = [last << 20 | i for last, i in zip([self.size, *ids], ids, strict=False)]
-        return [] if self.whole else [(k, BACK * self.share_list[k & 0xFFFFF]) for k in pairs if k not in self.known]
-
-    def in_word(self, ids: list[int]) -> float:
-        """The log chance of a word's ids, given their classes: each from its share of the class and what follows the id before.
-
-        Pairs that aren't known count as not seen.
-        """
-        known, total, last, out = self.known.get, 1.0, self.size, 0.0
-        for i in ids:
-            p = known(last << 20 | i)
-            if p is None:
-                p = BACK * self.share_list[i] / (float(self.after[last * CLASSES + self.kind_list[i]]) + BACK)
-            total *= p
-            if total < 1e-200:
-                out, total = out + log(total), 1.0
-            last = i
-        return out + log(total)
-
-    @cached_property
-    def known(self) -> dict[int, float]:
-        """The chance of an id after an id, given its class, for the pairs that are known."""
-        kind, share, after = self.kind_list, self.share_list, self.after
-        return {k: (c + BACK * share[k & 0xFFFFF]) / (float(after[(k >> 20) * CLASSES + kind[k & 0xFFFFF]]) + BACK) for k, c in self.pairs.items()}
-
-    @cached_property
-    def kind_list(self) -> list[int]:
-        return self.classes.tolist()
-
-    @cached_property
-    def share_list(self) -> list[float]:
-        return self.share.tolist()
+        return {"data": self.data, "pattern": self.pattern}
 
     @cached_property
     def tokenizer(self) -> tiktoken.Encoding:
@@ -224,39 +177,105 @@ class Subwords:
     def ids(self, word: bytes) -> list[int]:
         return self.tokenizer.encode_ordinary(" " + word.decode())
 
+
+@dataclass
+class Model:
+    """All that scoring needs, but for the words' counts."""
+
+    subwords: Subwords
+    kinds: np.ndarray  # class of each id as a head, of begin and of end
+    embedded: np.ndarray  # a row for each of these
+    discount: float
+    tokens: np.ndarray  # by class: C_k, and the distinct words V_k
+    distinct: np.ndarray
+    head_share: np.ndarray  # of each id within its class, as a head
+    tail_kinds: np.ndarray  # class of each id inside words; class 0 is the word's end
+    tail_share: np.ndarray
+    followed: tuple[np.ndarray, np.ndarray]  # the counts above 0 of (id, tail class): places and values
+    weights: dict = field(default_factory=dict)
+
     @cached_property
-    def spaced(self) -> np.ndarray:
-        """Whether an id begins with a space, as the first id of a word does."""
-        return np.array([self.tokenizer.decode_single_token_bytes(i)[:1] == b" " for i in range(self.size)])
+    def log_after(self) -> np.ndarray:
+        """Log10 chance of each tail class after an id."""
+        out = np.zeros(self.subwords.size * TAILS, np.float32)
+        out[self.followed[0]] = self.followed[1]
+        out = out.reshape(-1, TAILS)
+        every = out.sum(axis=0) + np.float32(0.1)
+        out += BACK * every / every.sum()
+        out /= out.sum(axis=1, keepdims=True)
+        return np.log10(out, out=out)
+
+    def spelling(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log10 chance of words' ids (``flat``, ``n`` of each word, at least one) given the head's class."""
+        head = np.cumsum(n) - n
+        shift = np.append(flat[1:], 0)
+        shift[head[1:] - 1] = -1
+        shift[-1:] = -1  # after the last id of a word comes its end
+        ends = shift < 0
+        kind = np.where(ends, 0, self.tail_kinds[shift])
+        step = self.log_after[flat, kind] + np.where(ends, 0, np.log10(self.tail_share[shift]))
+        return np.log10(self.head_share[flat[head]]) + np.add.reduceat(step, head) if len(n) else np.zeros(0)
+
+    def unseen(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(head, log10 of the tokens that a word's spelling stands for): its chance is (max(c - D, 0) + 10**that) / max(C_k, 1)."""
+        head = flat[np.cumsum(n) - n]
+        k = self.kinds[head]
+        weight = np.where(self.tokens[k] > 0, self.discount * self.distinct[k], 1.0)
+        return head, np.log10(weight) + self.spelling(flat, n)
+
+    @cached_property
+    def log_tokens(self) -> np.ndarray:
+        return np.log10(np.maximum(self.tokens, 1))
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(self.embedded @ self.weights[k] for k in "qkv")
+
+    def log_chances(self, x: np.ndarray) -> np.ndarray:
+        """For windows of ids, the log10 chance of the class at each place CONTEXT.."""
+        own, (q, k, v) = np.empty((len(x), NEW), np.float32), self.tables
+        for at in range(0, len(x), 64):
+            some = x[at : at + 64]
+            seen, last = some[:, :-1], some[:, CONTEXT - 1 : -1]
+            logits = attend(self.weights, q[last], k[seen], v[seen], self.kinds[last].reshape(-1))[0]
+            logits -= logits.max(axis=1, keepdims=True)
+            y = self.kinds[some[:, CONTEXT:]].reshape(-1)
+            got = logits[np.arange(len(y)), y]
+            np.exp(logits, out=logits)
+            own[at : at + 64] = (got - np.log(logits.sum(axis=1))).reshape(-1, NEW)
+        return own / np.float32(np.log(10))
 
 
 class Lexicon(dict):
-    """Words by number, with each word's classes, in-class log chance and training count (-1: not among the frequent words, or has open pairs).
+    """Words by number, with each word's head id, unseen weight (see ``Model``) and training count (-1: not among the frequent words).
 
-    When it is full, only the frequent words stay.
+    Number 0 is a text's end. When it is full, only the frequent words stay.
     """
 
-    def __init__(self, subwords: Subwords, hot: dict[bytes, int]):
+    def __init__(self, subwords: Subwords, hot: dict[bytes, int], model: Model | None = None):
         super().__init__()
-        self.subwords, self.hot = subwords, hot
-        self.classes, self.n, self.within, self.count = [bytes([END])], array("i", [1]), array("d", [0.0]), array("q", [0])
-
-    def __missing__(self, word: bytes) -> int:
-        ids = self.subwords.ids(word)
-        self[word] = at = len(self.n)
-        self.classes.append(bytes(map(self.subwords.kind_list.__getitem__, ids)))
-        self.n.append(len(ids))
-        self.within.append(self.subwords.in_word(ids))
-        self.count.append(-1 if word not in self.hot or self.subwords.open_pairs(ids) else self.hot[word])
-        return at
-
-    def trim(self) -> None:
-        if len(self) <= KEPT + len(self.hot):
-            return
-        kept = [(w, k) for w, k in self.items() if self.count[k] >= 0]
+        self.subwords, self.hot, self.model = subwords, hot, model
+        self.head, self.weight, self.count = array("i", [subwords.size + 1]), array("d", [0.0]), array("q", [0])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words; new ones are taken in."""
+        if len(self) > KEPT + len(self.hot):
+            self._trim()
+        new = [w for w in words if w not in self]
+        if new:
+            ids = [self.subwords.ids(w) for w in new]
+            if self.model:
+                head, weight = self.model.unseen(np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
+                self.weight.extend(weight.tolist())
+                self.count.extend([self.hot.get(w, -1) for w in new])
+            self.head.extend([i[0] for i in ids])
+            self.update(zip(new, range(len(self.head) - len(new), len(self.head)), strict=True))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def _trim(self) -> None:
+        kept = [(w, k) for w, k in self.items() if self.model and self.count[k] >= 0]
         places = [0, *(k for _, k in kept)]
-        self.classes = [self.classes[k] for k in places]
-        self.n, self.within, self.count = (array(x.typecode, map(x.__getitem__, places)) for x in (self.n, self.within, self.count))
+        self.head, self.weight, self.count = (array(x.typecode, map(x.__getitem__, places if len(x) > 1 else [0])) for x in (self.head, self.weight, self.count))
         self.clear()
         self.update((w, k) for k, (w, _) in enumerate(kept, 1))
 
@@ -267,16 +286,13 @@ class Words:
     Arrow splits and numbers them, so that only distinct words become Python objects.
     """
 
-    def __init__(self, texts: list[list[bytes]] | pa.Array):
-        if isinstance(texts, list):
-            flat, lengths = pa.array([w for text in texts for w in text], pa.binary()), np.array([len(x) for x in texts], np.int64)
-        else:
-            parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-            flat, real = parts.flatten(), pc.not_equal(parts.flatten(), "")
-            ends = np.append(0, np.cumsum(np.asarray(real.cast(pa.int64()))))[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
-            flat, lengths = flat.filter(real).cast(pa.binary()), np.diff(ends)
+    def __init__(self, texts: pa.Array):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        flat, real = parts.flatten(), pc.not_equal(parts.flatten(), "")
+        ends = np.append(0, np.cumsum(np.asarray(real.cast(pa.int64()))))[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+        flat, lengths = flat.filter(real).cast(pa.binary()), np.diff(ends)
         coded = flat.dictionary_encode()
-        self.distinct: list[bytes] = [b"", *coded.dictionary.to_pylist()]
+        self.distinct: list[bytes] = coded.dictionary.to_pylist()
         self.lengths = lengths + 1
         self.text_start = np.cumsum(self.lengths) - self.lengths
         self.at = np.zeros(int(self.lengths.sum()), np.int64)
@@ -284,130 +300,64 @@ class Words:
         last[self.text_start + lengths] = True
         self.at[~last] = np.asarray(coded.indices) + 1
 
-
-def laid_out(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of ``flat`` that are ``n`` long, in the order of ``at``, one after the other; the length of each."""
-    each = n[at].astype(np.int64)
-    skip = (np.cumsum(n) - n)[at] - (np.cumsum(each) - each)
-    return flat[np.repeat(skip, each) + np.arange(int(each.sum()))], each
-
-
-def stacked(lexicon: Lexicon, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number in the lexicon of each of the words; their classes, one after the other; ids a word."""
-    lexicon.trim()
-    known = np.array([0, *map(lexicon.__getitem__, words.distinct[1:])])
-    classes = np.frombuffer(b"".join(map(lexicon.classes.__getitem__, known)), np.uint8)
-    return known[words.at], *laid_out(classes, np.array(lexicon.n)[known], words.at)
-
-
-def class_stream(lexicon: Lexicon, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(texts)
-    _, stream, per_word = stacked(lexicon, words)
-    return stream, np.add.reduceat(per_word, words.text_start)
-
-
-def summed(rows: DataFrame, run, size: int) -> np.ndarray:
-    """The sum over tasks of the arrays (of ``size`` counts) that ``run`` makes of a task's batches; what isn't 0 is sent."""
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = run(batches)
-        found = np.flatnonzero(total)
-        for a in range(0, len(found), 100_000):
-            some = found[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["k", "c"])
-
-    out, got = np.zeros(size, np.int64), rows.mapInArrow(sparse, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    out[got["k"].to_numpy()] = got["c"].to_numpy()
+    def known(self, lexicon: Lexicon) -> np.ndarray:
+        """The lexicon's number of each token."""
+        return np.append(0, lexicon.numbers(self.distinct))[self.at]
+
+    def heads(self, lexicon: Lexicon) -> np.ndarray:
+        """The head of each token."""
+        numbers = self.known(lexicon)
+        return np.array(lexicon.head)[numbers]
+
+
+def bucket_of(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
+
+
+def embed(profile: np.ndarray, size: int) -> np.ndarray:
+    """Embeddings of ids from the counts of what stands around them (ids x BUCKETS); the rows of begin and end come last."""
+    every = profile.sum(axis=0) + 1.0
+    x = profile + 4 * every / every.sum()  # ids seen seldom stay near the mean
+    x = np.sqrt(x / x.sum(axis=1, keepdims=True))
+    weight = np.sqrt(profile.sum(axis=1) + 1e-3)
+    x -= (x * weight[:, None]).sum(axis=0) / weight.sum()
+    _, main = np.linalg.eigh((x * weight[:, None]).T @ x)
+    x = x @ main[:, ::-1][:, : EMBEDDED - 2]
+    x /= np.sqrt((x * x).sum(axis=1) @ weight / weight.sum()) + 1e-9
+    out = np.zeros((size + 2, EMBEDDED), np.float32)
+    out[:size, : EMBEDDED - 2] = 2 * x
+    out[size, -2] = out[size + 1, -1] = 2
     return out
 
 
-def near_anchors(texts: DataFrame, subwords: Subwords, counts: np.ndarray) -> np.ndarray:
-    """How often each id (rows) stands near after each of the most frequent ids (columns), over all ``texts`` (raw)."""
-    anchors, size = np.argsort(-counts, kind="stable")[:ANCHORS], subwords.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        mark, memo, total = np.full(size, -1), {}, np.zeros(size * ANCHORS, np.int64)
-        mark[anchors] = np.arange(len(anchors))
-        for batch in _slices(batches):
-            words = Words(batch.column("raw"))
-            if len(memo) > KEPT:
-                memo.clear()
-            ids = [memo.get(w) or memo.setdefault(w, subwords.ids(w)) for w in words.distinct[1:]]
-            flat, n = np.fromiter(chain.from_iterable(ids), np.int64), np.array([0, *map(len, ids)])
-            stream, per_word = laid_out(flat, n, words.at)
-            sizes = np.add.reduceat(per_word, words.text_start)
-            at = np.flatnonzero(mark[stream] >= 0)
-            stop = np.repeat(np.cumsum(sizes), sizes)[at]
-            # from an anchor up to 8 ids after the next one, 23 at most, inside the text
-            reach = np.minimum(np.minimum(np.minimum(np.append(at[1:], len(stream)), stop) + 8, at + 24), stop) - at - 1
-            found = stream[np.repeat(at + 1 - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
-            total += np.bincount(found * ANCHORS + np.repeat(mark[stream[at]], reach), minlength=len(total))
-        return total
-
-    return summed(texts, run, size * ANCHORS).reshape(size, ANCHORS)
-
-
-def followers(pairs: DataFrame, subwords: Subwords) -> np.ndarray:
-    """How often an id of a class follows an id, as in ``Subwords.after``, over all ``pairs``."""
-    size, classes = (subwords.size + 1) * CLASSES, subwords.classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            pair = batch.column("pair").to_numpy()
-            np.add.at(total, (pair >> 20) * CLASSES + classes[pair & 0xFFFFF], batch.column("c").to_numpy())
-        return total
-
-    return summed(pairs, run, size)
-
-
-def cluster(subwords: Subwords, counts: np.ndarray, profile: np.ndarray, seed: int = 3) -> np.ndarray:
-    """The class of each id. Frequent ids are classes of their own; others are grouped by the frequent ids found near them (``profile``)."""
-    random = np.random.Generator(np.random.PCG64(seed))
-    kind = np.zeros(subwords.size, np.uint8)
-    at = 2
-    for spaced in (True, False):
-        own = np.flatnonzero(subwords.spaced == spaced)
-        own = own[np.argsort(-counts[own], kind="stable")]
-        kind[own[:ALONE]] = np.arange(at, at + ALONE)
-        rest = own[ALONE:]
-        x = np.sqrt((profile[rest] + 0.05 * profile.sum(axis=0) / max(profile.sum(), 1) + 1e-6))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        weight = np.sqrt(counts[rest] + 1e-3)
-        centre = x[np.argsort(-counts[rest], kind="stable")[: GROUPS * 4]]
-        centre = centre[random.permutation(len(centre))[:GROUPS]]
-        for _ in range(15):
-            nearest = (x @ centre.T).argmax(axis=1)
-            for g in range(GROUPS):
-                if (nearest == g).any():
-                    c = (x[nearest == g] * weight[nearest == g, None]).sum(axis=0)
-                    centre[g] = c / np.linalg.norm(c)
-        kind[rest] = at + ALONE + nearest
-        at += ALONE + GROUPS
-    return kind
-
-
-def in_class(counts: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Chance of each id within its class, from corpus counts; every id has some."""
+def grouped(counts: np.ndarray, x: np.ndarray, first: int, alone: int, classes: int, seed: int = 3) -> np.ndarray:
+    """A class from ``first`` on for each id: the ``alone`` most frequent have their own, the others are grouped by their embedding ``x``."""
+    order = np.argsort(-counts, kind="stable")
+    kinds, groups = np.zeros(len(counts), np.uint8), classes - first - alone
+    kinds[order[:alone]] = np.arange(first, first + alone)
+    rest = order[alone:]
+    some, weight = x[rest], np.sqrt(counts[rest] + 1e-3)
+    centre = some[: groups * 4][np.random.Generator(np.random.PCG64(seed)).permutation(groups * 4)[:groups]].astype(float)
+    for _ in range(15):
+        nearest = (2 * some @ centre.T - (centre * centre).sum(axis=1)).argmax(axis=1)
+        for g in np.unique(nearest):
+            centre[g] = np.average(some[nearest == g], axis=0, weights=weight[nearest == g])
+    kinds[rest] = first + alone + nearest
+    return kinds
+
+
+def share_of_class(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The chance of each id within its class; every id has some."""
     share = counts + 0.1
-    return share / np.bincount(kind, weights=share, minlength=CLASSES)[kind]
+    return share / np.bincount(kinds, weights=share)[kinds]
 
 
-def is_beginning(subwords: Subwords) -> np.ndarray:
-    """1 for classes that can begin a word or be the end."""
-    out = np.zeros(CLASSES, np.float32)
-    out[END] = 1
-    out[subwords.classes[subwords.spaced]] = 1
-    return out
-
-
-def fit_windows(w: dict, x: np.ndarray, live: np.ndarray, rate: float, epochs: int = 1, batch: int = 256) -> dict:
+def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray, rate: float, batch: int = 128) -> dict:
     step = Adam(w, rate)
     order = np.random.Generator(np.random.PCG64(9))
-    for _ in range(epochs):
-        for some in np.array_split(order.permutation(len(x)), max(1, len(x) // batch)):
-            if len(some):
-                step.step(gradients(w, x[some], live[some])[0])
+    for some in np.array_split(order.permutation(len(x)), max(1, len(x) // batch)):
+        if len(some):
+            step.step(gradients(w, e, x[some], kinds, live[some])[0])
     return w
 
 
@@ -417,191 +367,288 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from small_batches(whole, "raw", 1 << 20)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over ``texts`` (raw); added up in each task, in pieces of bounded size, before the exchange."""
+def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame]:
+    """(word, c) and (k, c) over ``texts`` (raw); k: a head times BUCKETS plus the bucket of a head up to three words before or after.
+
+    Counts are added up in each task, in pieces of bounded size, before the exchange.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
+        lexicon, near = Lexicon(subwords, {}), np.zeros((subwords.size + 2) * BUCKETS, np.int64)
+        as_rows = lambda w, k, c: pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["word", "k", "c"])
+        flush = lambda: as_rows(list(found), [None] * len(found), list(found.values()))
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
-            n = np.bincount(words.at, minlength=len(words.distinct)).tolist()
-            for word, c in zip(words.distinct[1:], n[1:], strict=True):
+            n = np.bincount(words.at, minlength=len(words.distinct) + 1).tolist()
+            for word, c in zip(words.distinct, n[1:], strict=True):
                 found[word] += c
+            heads = words.heads(lexicon)
+            text, bucket = np.repeat(np.arange(len(words.lengths)), words.lengths), bucket_of(heads)
+            for apart in (1, 2, 3):
+                same = text[apart:] == text[:-apart]
+                np.add.at(near, heads[apart:][same] * BUCKETS + bucket[:-apart][same], 1)
+                np.add.at(near, heads[:-apart][same] * BUCKETS + bucket[apart:][same], 1)
             if len(found) > 500_000:
                 yield flush()
                 found.clear()
         yield flush()
+        places = np.flatnonzero(near)
+        for a in range(0, len(places), 100_000):
+            some = places[a : a + 100_000]
+            yield as_rows([None] * len(some), some, near[some])
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    parts = materialize(texts.mapInArrow(run, "word binary, k long, c long"))
+    total = F.sum("c").alias("c")
+    return parts.where("word IS NOT NULL").groupBy("word").agg(total), parts.where("k IS NOT NULL").groupBy("k").agg(total)
 
 
-def count_pairs(words: DataFrame, subwords: Subwords) -> DataFrame:
-    """(pair, c): how often an id follows another within the counted words; a word's first id follows id number ``size``."""
+def spelled(counts: DataFrame, subwords: Subwords) -> DataFrame:
+    """(word, c, ids) of counted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                last = subwords.size
-                for i in subwords.ids(word):
-                    total[last << 20 | i] += c
-                    last = i
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "c"])
+            ids = [subwords.ids(w) for w in batch.column("word").to_pylist()]
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+
+    return counts.mapInArrow(run, "word binary, c long, ids array<int>")
+
+
+def summed(rows: DataFrame, run, size: int) -> np.ndarray:
+    """The sum over tasks of the arrays (of ``size`` counts) that ``run`` makes of a task's batches; what isn't 0 is sent."""
 
-    return words.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = run(batches)
+        found = np.flatnonzero(total)
+        for a in range(0, len(found), 100_000):
+            some = found[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["k", "c"])
+
+    return dense(rows.mapInArrow(sparse, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), size)
 
 
-def count_ids(pairs: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs: one row an id reaches the driver."""
-    out = np.zeros(size, np.int64)
-    for r in pairs.groupBy(F.expr("cast(pair & 1048575 as int)").alias("id")).agg(F.sum("c").alias("c")).collect():
-        out[r.id] = r.c
+def dense(sums: DataFrame, size: int) -> np.ndarray:
+    """An array of ``size`` from rows (k, c); a tokenizer's ids bound it."""
+    out, got = np.zeros(size, np.int64), sums.toArrow()
+    out[got["k"].to_numpy()] = got["c"].to_numpy()
     return out
 
 
-def frequent(words: DataFrame, most: int = HOT) -> dict:
-    """Of a table (key, c), the keys of at least such a count that no more than ``most`` have it."""
+def _id_lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = batch.column("ids")
+    return ids.flatten().to_numpy().astype(np.int64), np.diff(np.asarray(ids.offsets)).astype(np.int64)
+
+
+def head_counts(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and distinct words by head id, and distinct words by the ids inside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((3, size), np.int64)
+        for batch in batches:
+            flat, n = _id_lists(batch)
+            if len(n):
+                first = np.cumsum(n) - n
+                tails = np.ones(len(flat), bool)
+                tails[first] = False
+                np.add.at(total[0], flat[first], batch.column("c").to_numpy())
+                np.add.at(total[1], flat[first], 1)
+                np.add.at(total[2], flat[tails], 1)
+        return total.ravel()
+
+    return tuple(summed(words, run, 3 * size).reshape(3, size))
+
+
+def by_place(words: DataFrame, size: int, width: int, place) -> np.ndarray:
+    """Counts over distinct words; ``place(flat, n)`` gives the places to count in ``size`` rows of ``width``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(size * width, np.int64)
+        for batch in batches:
+            flat, n = _id_lists(batch)
+            if len(n):
+                np.add.at(total, place(flat, n), 1)
+        return total
+
+    return summed(words, run, size * width).reshape(size, width)
+
+
+def frequent(words: DataFrame, most: int = HOT) -> dict[bytes, int]:
+    """Words (of HOT_BYTES at most) of at least such a count that no more than ``most`` have it."""
+    short = words.select("word", "c").where(F.octet_length("word") <= HOT_BYTES)
     level = F.floor(F.log2("c") * 16).cast("int")
     have, least = 0, None
-    for r in sorted(words.groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.l):
+    for r in sorted(short.groupBy(level.alias("l")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r.l):
         have += r.n
         if have > most:
             break
         least = r.c
-    rows = [] if least is None else words.where(F.col("c") >= least).collect()
-    return {(bytes(k) if isinstance(k, bytearray) else k): c for k, c in rows}
+    return {} if least is None else {bytes(r.word): r.c for r in short.where(F.col("c") >= least).toLocalIterator()}
 
 
-def average_training(texts: DataFrame, lexicon_of, weights: dict, rate: float = 2e-3) -> dict:
-    """Every task trains ``weights`` on every window of its texts; the mean by tokens."""
+def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np.ndarray, e: np.ndarray, weights: dict, rate: float = 2e-3) -> dict:
+    """Every shard of ``training`` (doc_id, raw) trains ``weights`` on every window of its texts; the mean by tokens."""
+    shards = min(max(1, tokens // SHARD_TOKENS), 1 << 20)
+    sc = training.sparkSession.sparkContext
+    sent = sc.broadcast((subwords, kinds, e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, w = lexicon_of(), {k: v.copy() for k, v in weights.items()}
-        step, n = Adam(w, rate), 0
+        subwords, kinds, e = sent.value
+        lexicon, shard, step, n, done = Lexicon(subwords, {}), None, None, 0, []
+        out = np.zeros(sum(int(np.prod(s)) for _, s in PARTS), object)
+        held: list[np.ndarray] = []
+
+        def learn(rest: bool) -> None:
+            nonlocal n, held
+            x = np.concatenate([a for a, _ in held]) if held else np.zeros((0, WINDOW), np.int64)
+            live = np.concatenate([b for _, b in held]) if held else np.zeros((0, NEW), bool)
+            upto = len(x) if rest else len(x) // 128 * 128
+            for a in range(0, upto, 128):
+                step.step(gradients(step.w, e, x[a : min(a + 128, upto)], kinds, live[a : min(a + 128, upto)])[0])
+            n += int(live[:upto].sum())
+            held = [(x[upto:], live[upto:])]
+
+        def close() -> None:
+            nonlocal n, held
+            if step:
+                learn(True)
+                flat = np.concatenate([step.w[k].ravel() for k, _ in PARTS])
+                out[:] += np.rint(flat / GRAIN).astype(np.int64).astype(object) * n
+                done.append(n)
+            n, held = 0, []
+
         for batch in _slices(batches):
-            words = Words(batch.column("raw"))
-            _, stream, per_word = stacked(lexicon, words)
-            x, at = windows(stream, np.add.reduceat(per_word, words.text_start))
-            live = at >= 0
-            for a in range(0, len(x), 256):
-                step.step(gradients(w, x[a : a + 256], live[a : a + 256])[0])
-            n += int(live.sum())
-        flat = np.concatenate([w[k].ravel() for k, _ in PARTS]).astype(float)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat * n), pa.array(np.full(len(flat), n), pa.int64())], ["i", "x", "n"])
-
-    rows = texts.mapInArrow(run, "i int, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
+            # a shard's windows are cut from its texts in order, whatever batches they come in
+            marks = np.asarray(batch.column("shard"))
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if marks[a] != shard:
+                    close()
+                    shard, step = marks[a], Adam({k: v.copy() for k, v in weights.items()}, rate)
+                words = Words(batch.column("raw").slice(a, b - a))
+                x, at = windows(words.heads(lexicon), words.lengths, subwords.size)
+                held.append((x, at >= 0))
+                learn(False)
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array([str(v) for v in out]), pa.array(np.full(len(out), sum(done)), pa.int64())], ["i", "x", "n"])
+
+    key = F.xxhash64("doc_id", "raw")
+    dealt = training.select("raw", key.alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "raw").select("shard", "raw")
+    rows = dealt.mapInArrow(run, "i int, x string, n long").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum("n").alias("n")).collect()
+    sent.unpersist()
     if not rows or not rows[0].n:
         return weights
-    flat, out, at = np.array([r.x / r.n for r in rows], np.float32), {}, 0
-    for k, shape in PARTS:
-        size = int(np.prod(shape))
-        out[k] = flat[at : at + size].reshape(shape)
-        at += size
-    return out
+    flat = np.zeros(len(rows))
+    for r in rows:
+        flat[r.i] = int(r.x) / r.n * GRAIN
+    cuts = np.cumsum([0, *(int(np.prod(s)) for _, s in PARTS)])
+    return {k: flat[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(PARTS, cuts, cuts[1:], strict=False)}
+
+
+def first_weights(training: DataFrame, subwords: Subwords, kinds: np.ndarray, e: np.ndarray) -> dict:
+    """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most 64 KB)."""
+    hashed = training.where(F.octet_length("raw") <= 1 << 16).select("raw", F.xxhash64("doc_id", "raw").alias("h"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    chosen = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("raw").alias("raw")).orderBy("h").collect() if least else []
+    if not chosen:
+        return new_weights(np.ones((CLASSES, CLASSES)))
+    words, lexicon = Words(pa.array([bytes(r.raw) for r in chosen], pa.binary())), Lexicon(subwords, {})
+    x, at = windows(words.heads(lexicon), words.lengths, subwords.size)
+    live, kind = at >= 0, kinds[x]
+    steps = np.zeros((CLASSES, CLASSES))
+    np.add.at(steps, (kind[:, CONTEXT - 1 : -1][live], kind[:, CONTEXT:][live]), 1)
+    return fit_windows(new_weights(steps), e, x, kinds, live, 1e-2)
+
+
+def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFrame, int, int, int]:
+    """The model of ``training`` (doc_id, raw), the table of counted words (word, c, ids), all tokens, distinct tokens and ends."""
+    subwords = Subwords(ranks, pattern)
+    size = subwords.size
+    counted, around = count_corpus(training.select("raw"), subwords)
+    words = materialize(spelled(counted, subwords))
+    n1, n2, total, distinct = words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = training.count()
+
+    e = embed(dense(around, (size + 2) * BUCKETS).reshape(-1, BUCKETS)[:size].astype(float), size)
+    tokens, types, inside = head_counts(words, size)
+    kinds = np.append(grouped(tokens, e[:size], 2, ALONE, CLASSES), [BEGIN, END]).astype(np.uint8)
+    # ids inside words are grouped by the classes of the heads of their words
+    by_head = by_place(words, size, CLASSES, lambda flat, n, kinds=kinds: flat * CLASSES + np.repeat(kinds[flat[np.cumsum(n) - n]], n))
+    shape = np.sqrt((by_head + 0.5) / (by_head + 0.5).sum(axis=1, keepdims=True))
+    tail_kinds = grouped(inside, shape, 1, TAILS_ALONE, TAILS)
+
+    def steps(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+        kind = np.append(tail_kinds[flat[1:]], 0).astype(np.int64)
+        kind[np.cumsum(n) - 1] = 0
+        return flat * TAILS + kind
 
+    after = by_place(words, size, TAILS, steps).ravel()
+    by_class = lambda x: np.bincount(kinds[:size], weights=x, minlength=CLASSES)
+    followed = np.flatnonzero(after)
+    model = Model(
+        subwords, kinds, e, float(np.clip(n1 / max(n1 + 2 * n2, 1), 0.1, 0.95)), by_class(tokens), by_class(types),
+        share_of_class(types, kinds[:size]), tail_kinds, share_of_class(inside, tail_kinds), (followed, after[followed]),
+    )
+    model.weights = new_weights(np.ones((CLASSES, CLASSES)))
+    if ends:
+        model.weights = train_shards(training, total + ends, subwords, kinds, e, first_weights(training, subwords, kinds, e))
+    return model, words, total + ends, distinct + bool(ends), ends
 
-SCORED = "rid long, doc_id long, n_tokens long, hot long, base double, score double, words array<binary>, chances array<double>"
 
+SCORED = "rid long, doc_id long, n_tokens long, hot long, base double, score double, words array<binary>, weights array<double>"
 
-def _score(lexicon_of, weights: dict, n_train: int, ends: int):
+
+def _score(lexicon_of, ends: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, rid = lexicon_of(), TaskContext.get().partitionId() << 33
-        begins = is_beginning(lexicon.subwords)
+        model = lexicon.model
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
-            numbers, stream, per_word = stacked(lexicon, words)
-            word_start, text_start = np.cumsum(per_word) - per_word, words.text_start
-            x, at = windows(stream, np.add.reduceat(per_word, text_start))
-            own, first = log_chances(weights, x, begins)
-            live = at >= 0
-            chance, begin = np.empty(len(stream)), np.empty(len(stream) + 1)
-            chance[at[live]], begin[at[live]] = own[live], first[live]
-            # a word: its ids, and that a beginning follows; that it begins is given
-            word = np.add.reduceat(chance, word_start) + np.array(lexicon.within)[numbers] - begin[word_start]
-            end = numbers == 0
-            word[~end] += begin[(word_start + per_word)[~end]]
-            word /= np.log(10)
-            c = np.array(lexicon.count)[numbers]
-            c[end] = ends
+            numbers = words.known(lexicon)
+            heads = np.array(lexicon.head)[numbers]
+            x, at = windows(heads, words.lengths, model.subwords.size)
+            own, live = model.log_chances(x), at >= 0
+            score = np.empty(len(heads))
+            score[at[live]] = own[live]
+            c, weight, end = np.array(lexicon.count)[numbers], np.array(lexicon.weight)[numbers], numbers == 0
             hot = c >= 0
-            mixed = np.where(hot, np.log10(SHARE * np.maximum(c, 0) / max(n_train, 1) + (1 - SHARE) * 10.0**word), 0)
+            score[~end] -= model.log_tokens[model.kinds[heads[~end]]]
+            seen = hot & ~end
+            score[seen] += np.log10(np.maximum(c[seen] - model.discount, 0) + 10.0 ** weight[seen])
+            c = np.where(end, ends, c)
             base = np.where(hot, np.log10(np.maximum(c, 0) + 1), 0)
             rare = np.flatnonzero(~hot)
-            cut = pa.array(np.searchsorted(rare, np.append(text_start, len(numbers))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array([words.distinct[i] for i in words.at[rare].tolist()], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(word[rare]))]
-            sums = lambda y, s=text_start: np.add.reduceat(y, s)
-            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(words.lengths, pa.int64()), pa.array(sums((hot & (c > 0)).astype(np.int64))), pa.array(sums(base)), pa.array(sums(mixed)), *lists], ["rid", "doc_id", "n_tokens", "hot", "base", "score", "words", "chances"])
+            cut = pa.array(np.searchsorted(rare, np.append(words.text_start, len(numbers))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array([words.distinct[i - 1] for i in words.at[rare].tolist()], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(weight[rare]))]
+            sums = lambda y, s=words.text_start: np.add.reduceat(y, s)
+            yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(words.lengths, pa.int64()), pa.array(sums((hot & (c > 0)).astype(np.int64))), pa.array(sums(base)), pa.array(sums(score)), *lists], ["rid", "doc_id", "n_tokens", "hot", "base", "score", "words", "weights"])
             rid += batch.num_rows
 
     return run
 
 
-def open_chances(words: DataFrame, pairs: DataFrame, lexicon_of) -> DataFrame:
-    """(word, more): what the counts of a word's open pairs add to its log10 chance, for words with any that was seen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = lexicon_of().subwords
-        for batch in batches:
-            rows = [(w, k, p) for w in batch.column("word").to_pylist() for k, p in subwords.open_pairs(subwords.ids(w))]
-            names, keys, priors = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(keys, pa.int64()), pa.array(priors, pa.float64())], ["word", "pair", "prior"])
-
-    found = words.mapInArrow(run, "word binary, pair long, prior double").join(pairs, "pair")
-    return found.groupBy("word").agg(F.sum(F.log10(1 + F.col("c") / F.col("prior"))).alias("more"))
-
-
 def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
-    rows = bounded_arrow(docs, "4m").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    sc = docs.sparkSession.sparkContext
+    rows = bounded_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("raw"))
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    training = rows.where(~held_out)
-    counts = materialize(count_words(training.select("raw")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = training.count()
-    total, distinct = total + ends, distinct + bool(ends)
+    model, counts, total, distinct, ends = fit(rows.where(~held_out), ranks, pattern)
+    sent = docs.sparkSession.sparkContext.broadcast((model, frequent(counts)))
+    lexicon_of = lambda: _lexicon(sent.value)
 
-    subwords = Subwords(ranks, pattern)
-    pairs = materialize(count_pairs(counts, subwords))
-    id_counts = count_ids(pairs, subwords.size)
-    subwords.pairs = frequent(pairs, PAIRS)
-    # the hashes are ranked first, so that no task sends texts which others then outrank
-    hashed = training.select("raw", F.xxhash64("doc_id", "raw").alias("h"))
-    least = [r.h for r in hashed.select("h").orderBy("h").limit(SAMPLE).collect()]
-    chosen = hashed.where(F.col("h") <= least[-1]).collect() if least else []
-    sample = [normal_words(r.raw) for r in sorted(chosen, key=lambda r: (r.h, r.raw or b""))[:SAMPLE]]
-    subwords.classes = cluster(subwords, id_counts, near_anchors(training.select("raw"), subwords, id_counts))
-    subwords.share = in_class(id_counts, subwords.classes)
-    subwords.whole = len(subwords.pairs) == pairs.count()
-    after = followers(pairs, subwords)
-    subwords.followed = np.flatnonzero(after), after[after > 0]
-    hot = sc.broadcast((subwords, frequent(counts)))
-    lexicon_of = lambda: _lexicon(hot.value)
-    weights = new_weights(np.ones((CLASSES, CLASSES)))
-    if sample:
-        x, at = windows(*class_stream(Lexicon(subwords, {}), sample))
-        live = at >= 0
-        steps = np.zeros((CLASSES, CLASSES))
-        np.add.at(steps, (x[:, CONTEXT - 1 : -1][live], x[:, CONTEXT:][live]), 1)
-        weights = fit_windows(new_weights(steps), x, live, 1e-2)
-        weights = average_training(training.select("raw"), lexicon_of, weights)
-
-    scored = materialize(rows.mapInArrow(_score(lexicon_of, weights, total, ends), SCORED))
-    rare = scored.select("rid", F.explode(F.arrays_zip("words", "chances")).alias("r")).select("rid", F.col("r.words").alias("word"), F.col("r.chances").alias("chance"))
-    if not subwords.whole:
-        more = open_chances(rare.select("word").distinct(), pairs, lexicon_of)
-        rare = rare.join(more, "word", "left").withColumn("chance", F.col("chance") + F.coalesce("more", F.lit(0.0))).drop("more")
-    joined = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    scored = materialize(rows.mapInArrow(_score(lexicon_of, ends), SCORED))
+    rare = scored.select("rid", F.explode(F.arrays_zip("words", "weights")).alias("r")).select("rid", F.col("r.words").alias("word"), F.col("r.weights").alias("weight"))
+    joined = rare.join(counts.select("word", "c"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     # where a word was never counted its chance can be below the smallest double, so it stays a logarithm
-    seen = F.log10(SHARE * F.col("c") / max(total, 1) + (1 - SHARE) * F.pow(F.lit(10.0), F.col("chance")))
-    mixed = F.when(F.col("c") > 0, seen).otherwise(F.col("chance") + float(np.log10(1 - SHARE)))
+    mixed = F.when(F.col("c") > 0, F.log10(F.col("c") - model.discount + F.pow(F.lit(10.0), F.col("weight")))).otherwise(F.col("weight"))
     more = joined.groupBy("rid").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum(mixed).alias("s"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = scored.drop("words", "chances").join(more, "rid", "left")
+    out = scored.drop("words", "weights").join(more, "rid", "left")
     return out.select(
         "doc_id",
-        (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"),
+        held_out.alias("held_out"),
         "n_tokens",
         (F.col("hot") + zero("k")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
@@ -613,12 +660,10 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 _held: list = []
 
 
-def _lexicon(sent: tuple[Subwords, dict[bytes, int]]) -> Lexicon:
+def _lexicon(sent: tuple[Model, dict[bytes, int]]) -> Lexicon:
     """The worker's lexicon, kept between tasks that share a broadcast."""
     if not _held or _held[0] is not sent:
-        sent[0].known  # noqa: B018  made here once; the counts that it is made of are then dropped
-        sent[0].pairs = {}
-        _held[:] = [sent, Lexicon(*sent)]
+        _held[:] = [sent, Lexicon(sent[0].subwords, sent[1], sent[0])]
     return _held[1]
 
 
@@ -627,4 +672,4 @@ def op4_attention_lm(spark: SparkSession, sf_dir: str, ranks_path: str | None =
 
     with open(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
         ranks = file.read()
-    return lm_scores(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return lm_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)

@@ -19,8 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; where that is unset, a folder of this session is set first."""
+    """A new folder's path under ``spark.checkpoint.dir``; where that is unset on a single machine, a folder of this session is set first."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
@@ -50,9 +52,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_arrow(df: DataFrame, most: str = "8m") -> DataFrame:
-    """``df``; its session from now on hands tasks' Python at most so many bytes a batch (or one row)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+def bounded_arrow(df: DataFrame) -> DataFrame:
+    """``df``; its session hands tasks' Python at most 4 MB a batch (or one row) from now on, as all operators here take it.
+
+    The setting is read when a lazy plan runs, so it can't be put back here.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df
 
 

@@ -1,10 +1,13 @@
 """Deterministic sharded WARC writer and reader.
 
-The records are dealt into ranges of the key: the keys' span is cut into cells, the cells' bytes
-are summed, and consecutive cells form ranges of about ``range_bytes``. The cut depends on the
-table alone, not on sampling, so a rerun writes the same files. A task sorts its ranges by key and
-writes each as files that roll over once ``roll_bytes`` compressed bytes are reached, one gzip
-member a record, with headers and digests made anew from the payload.
+The records are dealt into ranges of (key, digest) with equal bytes. Bytes are added up by key and
+digest first; running sums over that slim table, in key order, give each range's first (key,
+digest) exactly, so the cut depends on the table alone and a rerun writes the same files. Those
+first entries, ``MAX_RANGES`` at most, are sent to all tasks. Keys far apart, null keys and one key
+on many rows are cut like any other; a payload repeated under one key beyond a range's bytes is
+dealt over as many ranges as it fills. A range is a task: it sorts its rows by key and writes them as
+files that roll over once ``roll_bytes`` compressed bytes are reached, one gzip member a record,
+with headers and digests made anew from the payload.
 
 Commit: a task writes under attempt-unique temporary names and returns a row for each file. Those
 rows, from the attempts that succeeded, are the staged manifest; a second job moves the listed
@@ -16,28 +19,33 @@ is found on (key, digest) rows; they meet the payloads as marker rows in the one
 range sort needs, so payloads move once and a payload on a third of all rows gathers nowhere.
 
 Defined results: a null payload is empty; a null url gives no target header and reads back as null;
-records with a null key are responses and form the first range; repeated rows of the largest key
-are all responses; an empty table gives an empty manifest; other columns are left out.
+records with a null key are responses and come first; repeated rows of the largest key are all
+responses (of such rows beyond a range's bytes, the files' layout decides which range holds which);
+very long payloads are whole, each alone in memory; an empty table gives an empty manifest; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, shared_dir
+from .common import bounded_arrow, forget, materialize, read, shared_dir
 
-MAX_CELLS = 1 << 18
+MAX_RANGES = 1 << 16
+NO_KEY = -(1 << 63)
 FILES = "part int, roll int, temp string, file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 DATE = "2024-01-01T00:00:00Z"
@@ -149,34 +157,62 @@ def _mover(path: str):
     return move
 
 
-def _ranges(rows: DataFrame, range_bytes: int) -> DataFrame:
-    """Adds ``part``, the number of a row's key range. The table of cells has ``MAX_CELLS`` rows at most."""
-    low, high, total = rows.agg(F.min("key"), F.max("key"), F.sum("n")).first()
-    low, high, total = low or 0, high or 0, total or 0
-    cells = min(MAX_CELLS, max(256, 4 * total // range_bytes))
-    width = (high - low) // cells + 1
-    cell = F.coalesce(F.expr(f"cast((key - {low}L) div {width}L as int)"), F.lit(-1))
-    rows = rows.withColumn("_cell", cell)
-    before = F.coalesce(F.sum("_b").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = (before / range_bytes).cast("int") + F.when(F.col("_cell") < 0, 0).otherwise(1)  # keyless rows form a range of their own
-    table = rows.groupBy("_cell").agg(F.sum("n").alias("_b")).select("_cell", part.alias("part"))
-    return rows.join(F.broadcast(table), "_cell").drop("_cell")
-
-
-def write_warc(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", range_bytes: int = 32 << 20, roll_bytes: int = 8 << 20) -> DataFrame:
+def _cuts(slim: DataFrame, range_bytes: int) -> tuple[int, list]:
+    """The number of ranges of a table (k, digest, b) in order, and for each the (k, digest) that holds its first byte."""
+    spark = slim.sparkSession
+    total = slim.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    size = max(range_bytes, -(-total // MAX_RANGES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # any cut into partitions gives the same sums; only their order counts
+    ordered = materialize(slim.repartitionByRange(parts, "k", "digest").withColumn("p", F.spark_partition_id()))
+    earlier = F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ordered.groupBy("p").agg(F.sum("b").alias("s")).select("p", earlier.alias("before"))
+    own = F.sum("b").over(Window.partitionBy("p").orderBy("k", "digest").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ordered.withColumn("own", own).join(F.broadcast(starts), "p").select("k", "digest", (F.col("before") + F.col("own") - F.col("b")).alias("start"), (F.col("before") + F.col("own")).alias("end"))
+    crossing = placed.where(F.expr(f"start = 0 OR (start - 1) div {size} <> (end - 1) div {size}"))
+    found = [(r.k, r.digest, r.end) for r in crossing.orderBy("start").toLocalIterator()]
+    forget(ordered)
+    firsts = []
+    for k, digest, end in found:
+        firsts += [(k, digest)] * ((end - 1) // size + 1 - len(firsts))
+    return max(len(firsts), 1), firsts
+
+
+def _part_of(firsts: list):
+    """A column function from (key, digest) to the first range that may hold it and how many may."""
+    keys, entries = np.array([k for k, _ in firsts], np.int64), firsts
+
+    def find(k: pd.Series, digest: pd.Series) -> pd.DataFrame:
+        low, high = np.searchsorted(keys, k.to_numpy(), "left"), np.searchsorted(keys, k.to_numpy(), "right")
+        first, span = np.maximum(high - 1, 0), np.ones(len(k), np.int64)
+        for i in np.flatnonzero(high > low).tolist():  # ranges that begin inside this key
+            entry = (int(k.iat[i]), digest.iat[i])
+            a, b = bisect.bisect_left(entries, entry, int(low[i]), int(high[i])), bisect.bisect_right(entries, entry, int(low[i]), int(high[i]))
+            first[i], span[i] = (a, b - a) if b > a else (max(a - 1, 0), 1)
+        return pd.DataFrame({"first": first, "span": span})
+
+    return F.pandas_udf(find, "first int, span int")
+
+
+def write_warc(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", range_bytes: int = 16 << 20, roll_bytes: int = 8 << 20) -> DataFrame:
     """Writes ``df`` as WARC files under ``path`` (a folder that all executors reach) and returns the manifest."""
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body")).withColumns({"digest": F.sha1("body"), "n": F.octet_length("body").cast("long")})
-    dealt = _ranges(rows, range_bytes)
-    slim = dealt.select("part", "key", "digest")
-    copied = slim.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    marks = slim.join(copied, "digest").where("key < refers_to").distinct()
-    both = dealt.select("part", "key", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "body").unionByName(marks.select("part", "key", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = both.repartition(parts, "part").sortWithinPartitions("part", "key", "digest", F.col("refers_to").desc_nulls_last(), "url")
+    rows = bounded_arrow(df).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), body.alias("body")).withColumns({"digest": F.sha1("body"), "k": F.coalesce("key", F.lit(NO_KEY))})
+    # a record's header counts too, so that records without a payload fill ranges as well
+    slim = materialize(rows.groupBy("k", "key", "digest").agg(F.sum(F.octet_length("body") + 600).cast("long").alias("b"), F.count("*").alias("c")))
+    ranges, firsts = _cuts(slim.groupBy("k", "digest").agg(F.sum("b").alias("b")), range_bytes)
+    place = _part_of(firsts)
+    copied = slim.groupBy("digest").agg(F.max("key").alias("refers_to"), F.sum("c").alias("n")).where("n > 1").drop("n")
+    marks = slim.select("k", "key", "digest").join(copied, "digest").where("key < refers_to").withColumn("at", place("k", "digest"))
+    marks = marks.select(F.explode(F.sequence("at.first", F.expr("at.first + at.span - 1"))).alias("part"), "key", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"))
+    dealt = rows.withColumn("at", place("k", "digest"))
+    spread = F.when(F.col("at.span") == 1, 0).otherwise(F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.col("at.span"))).cast("int")
+    both = dealt.select((F.col("at.first") + spread).alias("part"), "key", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "body").unionByName(marks)
+    placed = both.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key", "digest", F.col("refers_to").desc_nulls_last(), "url")
     staged = materialize(placed.mapInArrow(_writer(path, roll_bytes), FILES))
-    staged.repartition(min(parts, 64), "file").mapInPandas(_mover(path), FILES).drop("temp").write.mode("overwrite").parquet(f"{path}/manifest.parquet")
+    staged.repartition(min(ranges, 64), "file").mapInPandas(_mover(path), FILES).drop("temp").write.mode("overwrite").parquet(f"{path}/manifest.parquet")
+    forget(slim, staged)
     fs, base = _fs(path)
     if fs.get_file_info(f"{base}/_temporary").type != pafs.FileType.NotFound:
         fs.delete_dir(f"{base}/_temporary")

@@ -1,18 +1,19 @@
 """Length buckets with the least padding, and token-budget batches inside them.
 
-The global histogram of lengths is one small aggregate: a row for each length that occurs, up to
-``EXACT`` or the token budget. Lengths above that, each alone in its batch, are counted together where their
-first 16 bits agree, under the longest of them; so no text's length makes others' cells wider. Dynamic programming over it picks the bucket bounds for which padding every
-sequence up to its bucket's bound costs least, exactly, in time linear in buckets times cells. A
-batch holds as many sequences of its bucket as the token budget admits at the bucket's bound; a
-sequence longer than the budget is whole and alone.
-
-Places in a bucket are numbered without gathering it: a bucket is dealt out by a hash of the row
-into chunks of about ``CHUNK`` rows, chunks are counted, and a row's place is its chunk's start plus
-its rank in the chunk. A bucket or length with a third of all rows is many chunks.
-
-Defined results: a null length counts as 0; an empty table gives no rows; rows with equal values
-each have a place of their own; other columns go along (clashing names are replaced).
+The global histogram of lengths is one small aggregate: a row for each length that occurs, however
+long (texts of T tokens in all have fewer than sqrt(2 T) lengths). Dynamic programming over it picks
+the bucket bounds for which padding every sequence up to its bucket's bound costs least, exactly, in
+time linear in buckets times lengths. A batch holds as many sequences of its bucket as the token
+budget admits at the bucket's bound; a sequence longer than the budget is whole and alone.
+
+Places in a bucket are numbered without gathering it: a bucket is dealt out by a hash of the row's
+key and length into chunks of about ``CHUNK`` rows, chunks are counted, and a row's place is its
+chunk's start plus its rank in the chunk. A bucket or length with a third of all rows is many
+chunks; rows that repeat key and length beyond a chunk share one, which sorts and spills.
+
+Defined results: a null length counts as 0; a null key is hashed like any value; an empty table
+gives no rows; rows with equal values each have a place of their own; very long texts are one
+sequence; other columns go along (clashing names are replaced).
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, words
+from .common import materialize, read, words
 
-EXACT = 1 << 16
 CHUNK = 250_000
 OWN = ("bucket", "bucket_length", "batch", "slot", "padding")
 
@@ -64,18 +64,19 @@ def best_bounds(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def length_histogram(df: DataFrame, length: str, exact: int = EXACT) -> list[tuple[int, int]]:
-    """(length, rows) of the whole table; above ``exact``, lengths whose first 16 bits agree count as the longest of them."""
-    counted = df.select(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n"))
-    counted = counted.withColumn("s", F.when(F.col("n") > max(exact, EXACT), F.length(F.bin("n")) - 16).otherwise(0))
-    cells = counted.groupBy("s", F.expr("shiftright(n, s)").alias("c")).agg(F.max("n").alias("n"), F.count("*").alias("k"))
-    return [(r.n, r.k) for r in cells.collect()]
+def length_histogram(df: DataFrame, length: str) -> list[tuple[int, int]]:
+    """(length, rows) of the whole table."""
+    counted = df.groupBy(F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n")).agg(F.count("*").alias("k")).toArrow()
+    return list(zip(counted["n"].to_pylist(), counted["k"].to_pylist(), strict=True))
 
 
 def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget: int = 32768, seed: int = 23) -> DataFrame:
-    """Adds bucket (int, from 0), bucket_length, batch (from 0 in a bucket), slot (in a batch) and padding (long)."""
+    """Adds bucket (int, from 0), bucket_length, batch (from 0 in a bucket), slot (in a batch) and padding (long).
+
+    ``df`` is read three times, twice for ``length`` and ``key`` alone: write it first where lengths are dear to make.
+    """
     df = df.drop(*OWN, "_n", "_chunk", "_hash")
-    histogram = length_histogram(df, length, token_budget)
+    histogram = length_histogram(df, length)
     bounds = best_bounds(histogram, buckets) or [0]
     chunks = max(64, -(-sum(k for _, k in histogram) // CHUNK))
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")
@@ -83,8 +84,10 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget:
     for i in range(len(bounds) - 2, -1, -1):
         bucket = F.when(n <= bounds[i], i).otherwise(bucket)
     bound = F.element_at(F.array(*[F.lit(x).cast("long") for x in bounds]), F.col("bucket") + 1)
-    rows = df.withColumns({"_hash": F.xxhash64(F.lit(seed), key, length), "_n": n, "bucket": bucket})
-    rows = rows.withColumns({"bucket_length": bound, "_chunk": F.pmod("_hash", F.lit(chunks)).cast("int")})
+    own = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(length).cast("string")))
+    rows = df.withColumns({"_hash": own, "_n": n, "bucket": bucket})
+    chunk = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % chunks
+    rows = rows.withColumns({"bucket_length": bound, "_chunk": chunk.cast("int")})
     starts = rows.groupBy("bucket", "_chunk").agg(F.count("*").alias("_k"))
     before = F.sum("_k").over(Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select("bucket", "_chunk", F.coalesce(before, F.lit(0)).alias("_start"))
@@ -97,4 +100,21 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget:
 
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
-    return pack(docs, "n_tokens", "doc_id")
+    return pack(materialize(docs), "n_tokens", "doc_id")
+
+
+#: The same by brute dynamic programming over all pairs of lengths (for at most 64 chunks of CHUNK rows).
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents),
+c AS (SELECT n, row_number() OVER (ORDER BY n) AS i, CAST(sum(count(*)) OVER (ORDER BY n) AS BIGINT) AS r, CAST(sum(n * count(*)) OVER (ORDER BY n) AS BIGINT) AS t FROM d GROUP BY n),
+p AS (SELECT 0 AS i, 0 AS r, 0 AS t UNION ALL SELECT i, r, t FROM c),
+dp AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS cost, CAST([] AS BIGINT[]) AS bounds
+    UNION ALL
+    SELECT any_value(level) + 1, c.i, min(cost + c.n * (c.r - p.r) - (c.t - p.t)), arg_min(list_append(bounds, c.n), cost + c.n * (c.r - p.r) - (c.t - p.t))
+    FROM dp JOIN p ON dp.j = p.i JOIN c ON c.i > p.i WHERE level < 12 GROUP BY c.i),
+best AS (SELECT arg_min(bounds, cost) AS b FROM dp WHERE j = (SELECT max(i) FROM c)),
+placed AS (SELECT doc_id, n, CAST(list_position(b, list_filter(b, lambda x: x >= n)[1]) - 1 AS INT) AS bucket, list_filter(b, lambda x: x >= n)[1] AS bucket_length,
+    md5('23:' || coalesce(doc_id || ':', '') || n) AS h FROM d, best),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64, h, doc_id, n) - 1 AS place, greatest(1, 32768 // greatest(bucket_length, 1)) AS held FROM placed)
+SELECT doc_id, n AS n_tokens, bucket, bucket_length, CAST(place // held AS BIGINT) AS batch, CAST(place % held AS BIGINT) AS slot, bucket_length - n AS padding FROM ranked
+"""

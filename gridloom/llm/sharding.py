@@ -1,17 +1,19 @@
 """Two-pass external shuffle of a corpus into shards of equal row counts.
 
 Pass one scatters the records uniformly, by a seeded hash of id and text, into buckets that fit in
-a task's memory. Pass two gives each bucket a Fisher-Yates permutation (Spark's ``shuffle`` of the
+a task's memory. A row repeated beyond a bucket's share is scattered by its place in the files as well. Pass two gives each bucket a Fisher-Yates permutation (Spark's ``shuffle`` of the
 bucket's positions, seeded) and writes the buckets one after the other: record number ``p`` of the
 ``n`` records goes to shard ``floor(p * shards / n)``, so the shards' counts differ by one at most.
 
 Only DataFrame functions run here. The records cross one exchange; what meets them there is one
-small row per bucket. The bucket count follows the corpus's bytes, so that buckets stay the same
+small row per bucket. Buckets that one task holds lie side by side, so a shard is a few files that
+follow each other by name, in slot order. The bucket count follows the corpus's bytes, so that buckets stay the same
 size at any scale. A copy of a text has an id of its own and so a bucket of its own; no source,
 length or group of copies gathers in a bucket.
 
 Defined results: a null text has no bytes (size 1, checksum 0) and stays null; a null id is hashed
-like any value; repeated rows stay, each in a slot of its own; an empty table gives no rows; other
+like any value; repeated rows stay, each in a slot of its own; very long texts are one record; an
+empty table gives no rows; other
 columns go along, and names that clash with the operator's own are replaced by its own.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import materialize, read, shared_dir
 
 OWN = ("size", "shard", "slot", "_bucket", "_key", "_rank", "_first", "_order", "_pos", "_n")
 
@@ -39,8 +41,13 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 17, bucket_byte
     spread = df.withColumn("_key", key).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
 
     # one row per bucket: how many records lie in earlier buckets, and a permutation of its positions
-    counts = spread.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    first = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(spread.groupBy("_bucket").agg(F.count("*").alias("_n")))
+    full = 4 * n // buckets + 1000
+    if counts.where(F.col("_n") > full).count():
+        spread = materialize(_scattered(spread, buckets, full))
+        counts = materialize(spread.groupBy("_bucket").agg(F.count("*").alias("_n")))
+    task = F.pmod(F.hash("_bucket"), F.lit(parts))  # where an exchange by the bucket sends it
+    first = F.coalesce(F.sum("_n").over(Window.orderBy(task, "_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     orders = (
         counts.withColumn("_first", first)
         .repartition(parts, "_bucket")  # dealt as the records are, so that the join moves neither
@@ -59,6 +66,14 @@ def external_shuffle(df: DataFrame, shards: int = 8, seed: int = 17, bucket_byte
     return placed.withColumn("shard", shard).withColumn("slot", (F.col("_pos") - start).cast("long")).drop(*OWN[3:])
 
 
+def _scattered(spread: DataFrame, buckets: int, full: int) -> DataFrame:
+    """``spread`` with rows that are repeated over ``full`` times in buckets of their own choice. To be written before it is read twice."""
+    hot = materialize(spread.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > full).select("_key", F.lit(True).alias("_hot")))
+    own = F.pmod(F.xxhash64("_key", F.monotonically_increasing_id()), F.lit(buckets))
+    marked = spread.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "_key", "left")
+    return marked.withColumn("_bucket", F.when(F.col("_hot"), own).otherwise(F.col("_bucket"))).drop("_hot")
+
+
 def write_shards(df: DataFrame, path: str, **options) -> None:
     """Shuffles ``df`` and writes it as Parquet under ``path``, a folder for each shard, rows in slot order within a file."""
     out = external_shuffle(df, **options)

@@ -7,12 +7,12 @@ the host's pages, wherever it stands.
 Only DataFrame functions run here. A page gives each of its lines once, so counting pages is a
 count that Spark combines before the exchange, and a line on a third of all rows costs a row a task.
 What is kept of a host is bounded: at most (mean lines a page / ratio) of its lines can exceed the
-ratio. That list joins the pages on host and a salt, so that a host with a third of all pages is
-dealt out over ``SALTS`` parts; texts cross one exchange.
+ratio. That list joins the pages on host and a salt by row, so that a host with a third of all pages,
+copies of one page among them, is dealt out over ``SALTS`` parts; texts cross one exchange.
 
 Defined results: lines are parted at \\n and compared after trimming blanks; blank lines stay and
 are not counted; a null text stays null; rows with a null host, and hosts with fewer than
-``min_pages`` pages, stay as they are; rows count as pages, so repeated rows count repeatedly; other
+``min_pages`` pages, stay as they are; very long texts are read whole; an empty table gives no rows; rows count as pages, so repeated rows count repeatedly; other
 columns go along (clashing names are replaced). A page whose lines all go keeps an empty text.
 """
 
@@ -44,7 +44,7 @@ def line_dedup(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2,
     """``df`` with boilerplate lines taken out of ``text``, and n_lines, n_dropped (long)."""
     df = df.drop("n_lines", "n_dropped", "_host", "_salt", "_drop", "_l", "_kept")
     lists = boilerplate(df, host, text, ratio, min_pages, min_count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")  # by row: copies of a page, too, are dealt out
     salted = df.withColumn("_salt", salt).withColumn("_host", F.col(host))
     joined = salted.join(lists, ["_host", "_salt"], "left").withColumn("_l", F.split(text, "\n"))
     stays = lambda x: (_bare(x) == "") | ~F.array_contains("_drop", F.xxhash64(_bare(x)))

@@ -33,7 +33,17 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and no executor owns the rows."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote, once no plan that is still to run reads them."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.table_path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(pair.distinct())
     seen = _fingerprint(edges)
     while seen[0]:
-        edges = materialize(_small_star(_large_star(edges)))
+        last, edges = edges, materialize(_small_star(_large_star(edges)))
+        forget(last)
         now = _fingerprint(edges)
         if now == seen:
             break

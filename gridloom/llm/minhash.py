@@ -5,7 +5,7 @@
 2. Texts with equal sets form a class; only the class's smallest id goes on, so copies cost nothing.
 3. Ids that share a band key are candidates. First, each bucket's ids are compared with its smallest
    id. Then what that left apart: the ids of a bucket outside its most frequent component with all
-   others of another component, in blocks of at most ``BLOCK`` rows on either side, inside tasks, by
+   others of another component, in blocks of about ``BLOCK`` rows or ``BLOCK_BYTES`` of text on either side, inside tasks, by
    signatures of ``DEEP`` hashes made for these ids alone. A pair is compared in the first band it
    shares only. A block tries its likely links, likeliest first, and skips those whose ends it has
    joined already, so it gives fewer links than it has rows. Pairs are never rows of their own, and
@@ -20,7 +20,9 @@ With 28 bands of 4 rows a pair at the threshold of 0.80 shares no band with prob
 
 Defined results: a text without words has an empty set and is linked with nothing; a shorter text
 than a shingle is one shingle; a null id is linked with nothing, its component is null and it is
-kept; rows that repeat an id are one document, linked by any of its texts, and share its result.
+kept; rows that repeat an id are one document, linked by any of its texts, and share its result;
+very long texts are compared whole; an empty table gives no rows; ``drop_near_duplicates`` keeps all
+other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_arrow, materialize, read, small_batches
+from .common import bounded_arrow, forget, materialize, read, small_batches
 from .graph import components
 
 BANDS, ROWS = 28, 4
@@ -44,8 +46,8 @@ BANDS, ROWS = 28, 4
 MISS = 1e-7
 #: Hashes compared by the end of each look.
 LOOKS = (16, 32, 64, BANDS * ROWS)
-#: Hashes of the signatures that blocks compare, the looks at them, and rows of a block.
-DEEP, DEEP_LOOKS, BLOCK = 512, (16, 64, 128, 256, 512), 512
+#: Hashes of the signatures that blocks compare, the looks at them, and rows and bytes of a block's side, by which buckets are parted.
+DEEP, DEEP_LOOKS, BLOCK, BLOCK_BYTES = 512, (16, 64, 128, 256, 512), 512, 4 << 20
 #: A table of ids and hashes with at most so many rows (24 MB) may be broadcast.
 SMALL = 1_000_000
 
@@ -107,7 +109,8 @@ def _sign(width: int):
         for whole in batches:
             for batch in small_batches(whole, "raw"):
                 n, high, low, bands, sigs = [], [], [], [], []
-                for raw in batch.column("raw").to_pylist():
+                texts = batch.column("raw").to_pylist()
+                for raw in texts:
                     found = shingles(raw, width)
                     digest = xxhash.xxh3_128_digest(found.tobytes())
                     sig = signature(found)
@@ -118,7 +121,7 @@ def _sign(width: int):
                     bands.append(band_keys(sig))
                     sigs.append((sig & _M(255)).astype(np.uint8).tobytes())
                 keys = pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), keys, pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "high", "low", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), keys, pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "size", "high", "low", "bands", "sig"])
 
     return run
 
@@ -247,11 +250,11 @@ def _blocks(width: int, percent: int):
 
 
 def block_rows(mixed: DataFrame) -> DataFrame:
-    """Deals the rows of buckets (key, band, doc_id, n, part, main) out to blocks: those outside the main part meet all, those in it only the others."""
+    """Deals the rows of buckets (key, band, doc_id, n, size, part, main) out to blocks: those outside the main part meet all, those in it only the others."""
     rest = F.col("part") != F.col("main")
-    sizes = mixed.groupBy("key").agg(F.count_if(~rest).alias("in"), F.count_if(rest).alias("out"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    rows = mixed.join(sizes.select("key", blocks("in").alias("ins"), blocks("out").alias("outs")), "key")
+    blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK, F.sum(F.when(side, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = materialize(mixed.groupBy("key").agg(blocks(~rest).alias("ins"), blocks(rest).alias("outs")))
+    rows = mixed.join(_small(sizes), "key")
     own = F.pmod(F.xxhash64("doc_id"), F.when(rest, F.col("outs")).otherwise(F.col("ins"))).cast("int")
     rows = rows.withColumn("own", own)
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
@@ -307,16 +310,18 @@ def _on(pairs: DataFrame, table: DataFrame, side: str, column: str) -> DataFrame
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     raw = bounded_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    signed = materialize(raw.mapInArrow(_sign(width), "doc_id long, n_shingles long, high long, low long, bands array<long>, sig binary"))
+    signed = materialize(raw.mapInArrow(_sign(width), "doc_id long, n_shingles long, size long, high long, low long, bands array<long>, sig binary"))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
     tagged = full.join(_small(classes), ["high", "low"], "left")
     copies = tagged.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = tagged.where("rep IS NULL OR rep = doc_id")
 
-    banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("doc_id", F.col("n_shingles").alias("n"), "size", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last")).where("pivot.doc_id < last").drop("last")
-    buckets = materialize(banded.join(shared, "key").select("key", "band", "doc_id", "n", "pivot"))
+    # one row a bucket: small ones go to the rows; of large ones Spark splits the partitions of hot keys
+    shared = materialize(shared)
+    buckets = materialize(banded.join(_small(shared), "key").select("key", "band", "doc_id", "n", "size", "pivot"))
     fair = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
     stars = materialize(buckets.where("doc_id <> pivot.doc_id").where(fair.format("pivot.n")).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     ids = materialize(buckets.select("doc_id").distinct())
@@ -336,7 +341,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     parted = materialize(parted)
     sizes = parted.groupBy("key", "part").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = materialize(parted.join(mixed, "key"))
+    mains = materialize(mixed)
+    mixed = materialize(parted.join(_small(mains), "key"))
     apart = materialize(mixed.select("doc_id").distinct())
     deep = materialize(texts.join(_small(apart), "doc_id", "left_semi").mapInArrow(_sign_deep(width), "doc_id long, raw binary, sig binary"))
     dealt = block_rows(mixed).join(deep, "doc_id").repartition("block").sortWithinPartitions("block")
@@ -344,6 +350,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = links.unionByName(more)
 
     found = materialize(components(links.unionByName(copies)))
+    forget(classes, shared, buckets, stars, ids, texts, sigs, close, parted, mains, mixed, apart, deep, more)
     rows = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -351,8 +358,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but those with a smaller id in their component."""
-    gone = materialize(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = materialize(near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct())
+    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+#: All pairs that share a shingle, by their whole sets; then what each document reaches.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[u.i : u.i + 2], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 1, 2))) AS i) u WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+    GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+r AS (SELECT a AS doc_id, a AS r FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.r),
+c AS (SELECT doc_id, min(r) AS c FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,7 @@ def embed(profile: np.ndarray, size: int) -> np.ndarray:
     _, main = np.linalg.eigh((x * weight[:, None]).T @ x)
     x = x @ main[:, ::-1][:, : EMBEDDED - 2]
     x /= np.sqrt((x * x).sum(axis=1) @ weight / weight.sum()) + 1e-9
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1)
     out = np.zeros((size + 2, EMBEDDED), np.float32)
     out[:size, : EMBEDDED - 2] = 2 * x
     out[size, -2] = out[size + 1, -1] = 2
@@ -352,12 +353,13 @@ def share_of_class(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return share / np.bincount(kinds, weights=share)[kinds]
 
 
-def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray, rate: float, batch: int = 128) -> dict:
+def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray, rate: float, epochs: int = 3, batch: int = 128) -> dict:
     step = Adam(w, rate)
     order = np.random.Generator(np.random.PCG64(9))
-    for some in np.array_split(order.permutation(len(x)), max(1, len(x) // batch)):
-        if len(some):
-            step.step(gradients(w, e, x[some], kinds, live[some])[0])
+    for _ in range(epochs):
+        for some in np.array_split(order.permutation(len(x)), max(1, len(x) // batch)):
+            if len(some):
+                step.step(gradients(w, e, x[some], kinds, live[some])[0])
     return w
 
 
@@ -595,6 +597,8 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     model.weights = new_weights(np.ones((CLASSES, CLASSES)))
     if ends:
         model.weights = train_shards(training, total + ends, subwords, kinds, e, first_weights(training, subwords, kinds, e))
+    # nothing stands for a begin, nor for a class without ids
+    model.weights["bias"][:, np.setdiff1d(np.arange(CLASSES), np.append(kinds[:size], END))] = -1e4
     return model, words, total + ends, distinct + bool(ends), ends
 
 

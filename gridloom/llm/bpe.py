@@ -11,7 +11,9 @@ Work is per row: no exchange; the vocabulary is the only thing sent to the tasks
 remembers of words is bounded by ``Encoder.KEPT`` entries a generation.
 
 Defined results: null and empty texts have no ids; equal texts give equal ids; other columns go
-along (clashing names are replaced); decoding gives back the bytes of the text.
+along (clashing names are replaced); decoding gives back the bytes of the text; bytes that are not
+UTF-8 are read as U+FFFD, in the text column too; very long texts are encoded whole; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -221,7 +223,7 @@ def encode(df: DataFrame, data: bytes, pattern: str, text: str = "text", ids: st
 
     With ``decoded``, a column of that name holds what the ids stand for, decoded in the same pass.
     """
-    df = bounded_arrow(df.drop(ids, *([decoded] if decoded else [])))
+    df = bounded_arrow(df.drop(ids, *([decoded] if decoded else []))).withColumn(text, F.make_valid_utf8(F.col(text).cast("string")))
     sent = df.sparkSession.sparkContext.broadcast(Encoder(data, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

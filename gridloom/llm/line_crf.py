@@ -10,7 +10,9 @@ whole. Scoring is per row: no exchange, memory bounded by a batch of a few MB or
 
 Defined results: null, empty and blank texts are one empty line and are scored as such; where no
 labelled row can be learnt from, or one label only, every score is 0.5 and nothing is rejected;
-rows that repeat an id count repeatedly; equal texts get equal scores (rounded to nine digits).
+of rows that repeat a labelled id one is learnt from; equal texts get equal scores (rounded to nine
+digits); very long texts are scored whole; an empty table gives no rows; other columns go along (one
+named ``score`` is replaced).
 """
 
 from __future__ import annotations
@@ -133,15 +135,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in small_batches(whole, "raw"):
             own = [line_features(t)[0].astype(np.float32).tobytes() for t in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(own, pa.binary())], ["quality", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(own, pa.binary())], ["doc_id", "quality", "own"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
     """Learns from labelled rows with crc32(doc_id) mod 3 other than 1; None if they don't hold both labels."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
-    chosen = known.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("quality", "raw").mapInArrow(_describe, "quality int, own binary").collect()
+    described = texts.select("doc_id", "quality", "raw").mapInArrow(_describe, "doc_id long, quality int, own binary")
+    rows = described.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("own").alias("own")).collect()  # one row an id
     if len({r.quality for r in rows}) < 2:
         return None
     rows = sorted((r.quality, bytes(r.own)) for r in rows)  # the order in which tasks end doesn't matter

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import media, minhash, packing, warc
 from .attention_lm import op4_attention_lm
 from .bpe import op7_byte_bpe
 from .line_crf import op3_line_crf
@@ -75,4 +75,4 @@ FROM p LEFT JOIN k ON p.page_id = k.page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL}
+    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL}

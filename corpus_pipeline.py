@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; it is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined results: a document with a null or empty text, or of fewer than 50 words, is rejected by the
+quality rules; a null id or source is kept like any other (a null id is near to nothing, lines of a
+null source stay); very long texts pass through whole; repeated rows share their decision; an empty
+table gives empty stages; columns that ``documents`` doesn't have are left out.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places each document, whole, in a batch of its length bucket."""
     counted = docs.withColumn("n_tokens", F.size(words(F.col("text"))).cast("long"))
-    return packing.pack(counted, "n_tokens", "doc_id")
+    return packing.pack(materialize(counted), "n_tokens", "doc_id")
 
 
 STAGES = [

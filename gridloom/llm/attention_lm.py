@@ -63,7 +63,7 @@ ALONE = 16  # heads that are classes of their own
 BUCKETS, EMBEDDED = 64, 24
 #: Classes of the ids inside words: the word's end, frequent ids, and groups of the others.
 TAILS, TAILS_ALONE, BACK = 128, 99, 2.0
-SAMPLE, HOT, HOT_BYTES, KEPT = 800, 250_000, 64, 100_000
+SAMPLE, HOT, HOT_BYTES, KEPT = 800, 250_000, 64, 150_000
 SHARD_TOKENS = 1 << 20
 PARTS = (("q", (EMBEDDED, WIDTH)), ("k", (EMBEDDED, WIDTH)), ("v", (EMBEDDED, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
 #: Weights are averaged as multiples of this.
@@ -95,10 +95,11 @@ def attend(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, last: np.ndarra
     a = q @ k.transpose(0, 2, 1)
     a += MASK
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= a @ np.ones((a.shape[2], 1), a.dtype)
     h = a @ v
     logits = h.reshape(-1, WIDTH) @ w["out"]
     logits += w["bias"][last]
+    np.minimum(logits, 60, out=logits)  # so that no sum of exponentials overflows
     return logits, q, k, a, h
 
 
@@ -111,23 +112,24 @@ def gradients(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np
     last = kinds[x[:, CONTEXT - 1 : -1]].reshape(-1)
     p, q, k, a, h = attend(w, of(new, w["q"]), of(seen, w["k"]), v, last)
     n = max(int(live.sum()), 1)
-    p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
     y, own, at = kinds[x[:, CONTEXT:]].reshape(-1), live.reshape(-1), np.arange(len(p))
     each = own / np.float32(n)
-    total = p.sum(axis=1)
+    total = p @ np.ones(CLASSES, p.dtype)
     loss = float(np.log(p[at, y] / total + 1e-30)[own].sum()) / n
     d = np.multiply(p, (-each / total)[:, None], out=p)
     d[at, y] += each
-    before = np.zeros((len(p), CLASSES), np.float32)
-    before[at, last] = 1
+    order = np.argsort(last, kind="stable")
+    firsts = np.flatnonzero(np.diff(last[order], prepend=-1))
+    bias = np.zeros_like(w["bias"])
+    bias[last[order][firsts]] = np.add.reduceat(d[order], firsts, axis=0)
     dh = (d @ w["out"].T).reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = a * (da - (da * a) @ np.ones((a.shape[2], 1), a.dtype))
     dq = ds @ k * np.float32(WIDTH**-0.5)
     dk = ds.transpose(0, 2, 1) @ q
     dv = a.transpose(0, 2, 1) @ dh
-    return {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0), "out": flat(h).T @ d, "bias": before.T @ d}, loss
+    return {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0), "out": flat(h).T @ d, "bias": bias}, loss
 
 
 class Adam:
@@ -174,9 +176,30 @@ class Subwords:
     def size(self) -> int:
         return self.tokenizer.n_vocab
 
+    @cached_property
+    def spaced(self) -> np.ndarray:
+        """Whether an id begins with a space, as a word's first id does and no other."""
+        return np.array([self.tokenizer.decode_single_token_bytes(i)[:1] == b" " for i in range(self.size)])
+
     def ids(self, word: bytes) -> list[int]:
         return self.tokenizer.encode_ordinary(" " + word.decode())
 
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each word has. A call takes many words, as spaces part them in any case."""
+        flat, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_ordinary(" " + b" ".join(some).decode()), np.int64)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some):
+                flat.append(ids)
+                n.append(np.diff(starts, append=len(ids)))
+            else:  # spaces of other kinds within words
+                each = [self.ids(w) for w in some]
+                flat.append(np.fromiter(chain.from_iterable(each), np.int64))
+                n.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(flat), np.concatenate(n)
+
 
 @dataclass
 class Model:
@@ -238,11 +261,10 @@ class Model:
             some = x[at : at + 64]
             seen, last = some[:, :-1], some[:, CONTEXT - 1 : -1]
             logits = attend(self.weights, q[last], k[seen], v[seen], self.kinds[last].reshape(-1))[0]
-            logits -= logits.max(axis=1, keepdims=True)
             y = self.kinds[some[:, CONTEXT:]].reshape(-1)
             got = logits[np.arange(len(y)), y]
             np.exp(logits, out=logits)
-            own[at : at + 64] = (got - np.log(logits.sum(axis=1))).reshape(-1, NEW)
+            own[at : at + 64] = (got - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(-1, NEW)
         return own / np.float32(np.log(10))
 
 
@@ -263,17 +285,16 @@ class Lexicon(dict):
             self._trim()
         new = [w for w in words if w not in self]
         if new:
-            ids = [self.subwords.ids(w) for w in new]
+            flat, n = self.subwords.ids_of(new)
             if self.model:
-                head, weight = self.model.unseen(np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
-                self.weight.extend(weight.tolist())
-                self.count.extend([self.hot.get(w, -1) for w in new])
-            self.head.extend([i[0] for i in ids])
+                self.weight.extend(self.model.unseen(flat, n)[1].tolist())
+            self.count.extend([self.hot.get(w, -1) for w in new])
+            self.head.extend(flat[np.cumsum(n) - n].tolist())
             self.update(zip(new, range(len(self.head) - len(new), len(self.head)), strict=True))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def _trim(self) -> None:
-        kept = [(w, k) for w, k in self.items() if self.model and self.count[k] >= 0]
+        kept = [(w, k) for w, k in self.items() if self.count[k] >= 0]
         places = [0, *(k for _, k in kept)]
         self.head, self.weight, self.count = (array(x.typecode, map(x.__getitem__, places if len(x) > 1 else [0])) for x in (self.head, self.weight, self.count))
         self.clear()
@@ -370,7 +391,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame]:
-    """(word, c) and (k, c) over ``texts`` (raw); k: a head times BUCKETS plus the bucket of a head up to three words before or after.
+    """(word, c) and (k, c) over ``texts`` (raw); k: a head times BUCKETS plus the bucket of a head up to two words before or after.
 
     Counts are added up in each task, in pieces of bounded size, before the exchange.
     """
@@ -387,7 +408,7 @@ def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataF
                 found[word] += c
             heads = words.heads(lexicon)
             text, bucket = np.repeat(np.arange(len(words.lengths)), words.lengths), bucket_of(heads)
-            for apart in (1, 2, 3):
+            for apart in (1, 2):
                 same = text[apart:] == text[:-apart]
                 np.add.at(near, heads[apart:][same] * BUCKETS + bucket[:-apart][same], 1)
                 np.add.at(near, heads[:-apart][same] * BUCKETS + bucket[apart:][same], 1)
@@ -410,8 +431,9 @@ def spelled(counts: DataFrame, subwords: Subwords) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [subwords.ids(w) for w in batch.column("word").to_pylist()]
-            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            flat, n = subwords.ids_of(batch.column("word").to_pylist())
+            ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            yield batch.append_column("ids", pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())))
 
     return counts.mapInArrow(run, "word binary, c long, ids array<int>")
 
@@ -487,15 +509,15 @@ def frequent(words: DataFrame, most: int = HOT) -> dict[bytes, int]:
     return {} if least is None else {bytes(r.word): r.c for r in short.where(F.col("c") >= least).toLocalIterator()}
 
 
-def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np.ndarray, e: np.ndarray, weights: dict, rate: float = 2e-3) -> dict:
-    """Every shard of ``training`` (doc_id, raw) trains ``weights`` on every window of its texts; the mean by tokens."""
+def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np.ndarray, e: np.ndarray, weights: dict, hot: dict | None = None, rate: float = 2e-3) -> dict:
+    """Every shard of ``training`` (doc_id, raw) trains ``weights`` on every window of its texts; the mean by tokens. ``hot``: words worth remembering."""
     shards = min(max(1, tokens // SHARD_TOKENS), 1 << 20)
     sc = training.sparkSession.sparkContext
-    sent = sc.broadcast((subwords, kinds, e))
+    sent = sc.broadcast((subwords, hot or {}, None, kinds, e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, kinds, e = sent.value
-        lexicon, shard, step, n, done = Lexicon(subwords, {}), None, None, 0, []
+        subwords, _, _, kinds, e = sent.value
+        lexicon, shard, step, n, done = _lexicon(sent.value), None, None, 0, []
         out = np.zeros(sum(int(np.prod(s)) for _, s in PARTS), object)
         held: list[np.ndarray] = []
 
@@ -565,8 +587,8 @@ def first_weights(training: DataFrame, subwords: Subwords, kinds: np.ndarray, e:
     return fit_windows(new_weights(steps), e, x, kinds, live, 1e-2)
 
 
-def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFrame, int, int, int]:
-    """The model of ``training`` (doc_id, raw), the table of counted words (word, c, ids), all tokens, distinct tokens and ends."""
+def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFrame, dict[bytes, int], int, int, int]:
+    """The model of ``training`` (doc_id, raw), the table of counted words (word, c, ids), its frequent words, all tokens, distinct tokens and ends."""
     subwords = Subwords(ranks, pattern)
     size = subwords.size
     counted, around = count_corpus(training.select("raw"), subwords)
@@ -595,11 +617,12 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
         share_of_class(types, kinds[:size]), tail_kinds, share_of_class(inside, tail_kinds), (followed, after[followed]),
     )
     model.weights = new_weights(np.ones((CLASSES, CLASSES)))
+    hot = frequent(words)
     if ends:
-        model.weights = train_shards(training, total + ends, subwords, kinds, e, first_weights(training, subwords, kinds, e))
+        model.weights = train_shards(training, total + ends, subwords, kinds, e, first_weights(training, subwords, kinds, e), hot)
     # nothing stands for a begin, nor for a class without ids
     model.weights["bias"][:, np.setdiff1d(np.arange(CLASSES), np.append(kinds[:size], END))] = -1e4
-    return model, words, total + ends, distinct + bool(ends), ends
+    return model, words, hot, total + ends, distinct + bool(ends), ends
 
 
 SCORED = "rid long, doc_id long, n_tokens long, hot long, base double, score double, words array<binary>, weights array<double>"
@@ -638,8 +661,8 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
     rows = bounded_arrow(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary").alias("raw"))
     held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model, counts, total, distinct, ends = fit(rows.where(~held_out), ranks, pattern)
-    sent = docs.sparkSession.sparkContext.broadcast((model, frequent(counts)))
+    model, counts, hot, total, distinct, ends = fit(rows.where(~held_out), ranks, pattern)
+    sent = docs.sparkSession.sparkContext.broadcast((model.subwords, hot, model))
     lexicon_of = lambda: _lexicon(sent.value)
 
     scored = materialize(rows.mapInArrow(_score(lexicon_of, ends), SCORED))
@@ -664,10 +687,10 @@ def lm_scores(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
 _held: list = []
 
 
-def _lexicon(sent: tuple[Model, dict[bytes, int]]) -> Lexicon:
-    """The worker's lexicon, kept between tasks that share a broadcast."""
+def _lexicon(sent: tuple) -> Lexicon:
+    """The worker's lexicon of (subwords, frequent words, model or None), kept between tasks that share a broadcast."""
     if not _held or _held[0] is not sent:
-        _held[:] = [sent, Lexicon(sent[0].subwords, sent[1], sent[0])]
+        _held[:] = [sent, Lexicon(*sent[:3])]
     return _held[1]
 
 

@@ -340,6 +340,13 @@ def test_attention_lowers_held_out_loss(spark):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held) * 0.97
 
 
+def test_ids_of_many_words():
+    subwords = lm.Subwords(*ranks())
+    words = [w.encode() for w in ("the", "a", "\u00a0", "x\u00a0", "\u3000y", "don't", "é'é", "12ab", "!!?", "\x1c", "\u2028z")] * 300
+    flat, n = subwords.ids_of(words)
+    assert flat.tolist() == [i for w in words for i in subwords.ids(w)] and n.tolist() == [len(subwords.ids(w)) for w in words]
+
+
 def test_lm_odd_tables(spark):
     assert lm.lm_scores(docs_of(spark, ["a"]).where("false"), *ranks()).count() == 0
     rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (4, "x" * 200_000)]

@@ -47,5 +47,16 @@ def season(time, lat) -> Column:
 
 
 def two_decimals(x) -> Column:
-    """Text with two decimals, ties to even as C's printf on exact halves."""
-    return F.format_string("%.2f", F.bround(F.col(x) if isinstance(x, str) else x, 2))
+    """Text with two decimals of the double's exact value, ties to even, as C's printf gives it (below 2**53); NULL for NULL.
+
+    The fraction is parted at 26 bits, so that a hundred times either part, and each difference, is exact.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    size = F.abs(x)
+    part = size - F.floor(size)
+    high = F.floor(part * 2.0**26) / 2.0**26
+    cents, low = F.floor(high * 100), (part - high) * 100
+    left = F.lit(0.5) - (high * 100 - cents)
+    cents = cents + F.when(low > left, 1).when(low < left, 0).otherwise(cents % 2)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.when(x.isNotNull(), F.concat(sign, (F.floor(size) + F.when(cents == 100, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))

@@ -23,7 +23,7 @@ def metrics(target: str, prediction: str) -> list[Column]:
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(total > 0, 1 - F.sum(e * e) / total).alias("r2"),
+        F.when(total > 0, 1 - F.sum(e * e) / total).when(F.count(e) > 0, (F.sum(e * e) == 0).cast("double")).alias("r2"),  # a constant target: 1 if met, else 0
     ]
 
 
@@ -111,7 +111,29 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def template_join(template: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """The template's rows with their predictions; a repeated key on either side, or a missing prediction, stops the job."""
-    for side, df in (("template", template), ("predictions", predictions)):
-        if df.groupBy(key).count().where("count > 1").limit(1).count():
-            raise ValueError(f"{side}: a key is repeated")
-    return template.join(predictions, key, "left")
+    once = lambda df, side: df.withColumn(f"_{side}", F.count("*").over(Window.partitionBy(key)))
+    both = once(template, "template").join(once(predictions.withColumn("_found", F.lit(True)), "predictions"), key, "left")
+    wrong = F.when((F.col("_template") > 1) | (F.col("_predictions") > 1), F.raise_error(F.concat(F.lit("a key is repeated: "), key)))
+    wrong = wrong.when(F.col("_found").isNull() | F.col("prediction").isNull(), F.raise_error(F.concat(F.lit("no prediction for "), key)))
+    return both.withColumn("prediction", wrong.otherwise(F.col("prediction"))).drop("_template", "_predictions", "_found")
+
+
+def metric_gains(metrics_by: DataFrame, model: str, base: str, *by: str) -> DataFrame:
+    """Each model's metrics less those of the model called ``base``, in the same group ``by``."""
+    names = [c for c in ("mae", "rmse", "r2") if c in metrics_by.columns]
+    ground = metrics_by.where(F.col(model) == base).select(*by, *[F.col(c).alias(f"_{c}") for c in names])
+    rows = metrics_by.where(F.col(model) != base)
+    rows = rows.join(ground, list(by)) if by else rows.crossJoin(F.broadcast(ground))  # one row
+    return rows.select(model, *by, *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_gain") for c in names])
+
+
+def smoothed_stop(scores: list[float], patience: int, width: int = 4) -> int:
+    """The step of the least mean of the last ``width`` scores, reading on until ``patience`` steps brought nothing better."""
+    best, at = float("inf"), -1
+    for k in range(len(scores)):
+        mean = sum(scores[max(0, k - width + 1) : k + 1]) / min(width, k + 1)
+        if mean < best:
+            best, at = mean, k
+        elif k - at >= patience:
+            break
+    return at

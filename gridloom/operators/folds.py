@@ -58,10 +58,15 @@ def spatial_folds(df: DataFrame, n: int, size: float = 10.0, spec: PanelSpec = P
 def spatial_holdout(df: DataFrame, share: float, size: float = 10.0, seed: int = 0, spec: PanelSpec = PANEL) -> DataFrame:
     """(block, role): a seeded draw of whole blocks, one at least, to be judged on."""
     blocks = sorted(r[0] for r in df.select(block(spec, size)).distinct().collect())
-    drawn = set(np.random.default_rng(seed).choice(blocks, max(1, int(share * len(blocks))), replace=False).tolist())
+    drawn = set() if not blocks else set(np.random.default_rng(seed).choice(blocks, max(1, int(share * len(blocks))), replace=False).tolist())
     return df.sparkSession.createDataFrame([(b, "val" if b in drawn else "fit") for b in blocks], "block string, role string")
 
 
 def with_time_folds(df: DataFrame, folds: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Each row with its folds and roles; the table has at most a row for each month and fold."""
-    return df.join(F.broadcast(folds), spec.time)
+    return df.join(folds, spec.time)
+
+
+def with_space_folds(df: DataFrame, folds: DataFrame, size: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """Each row with the fold that judges it; ``folds`` (block, fold) has a row a block."""
+    return df.withColumn("block", block(spec, size)).join(folds, "block").drop("block")

@@ -64,6 +64,14 @@ def last_observed(spec: PanelSpec = PANEL) -> dict[str, Column]:
     }
 
 
+def last_valued(spec: PanelSpec = PANEL) -> dict[str, Column]:
+    """As ``last_observed``, by the value alone: a step counts as seen where its value is not NULL, whatever its flag."""
+    upto = spec.steps().rowsBetween(FIRST, 0)
+    seen = F.col(spec.value).isNotNull()
+    time = F.last(F.when(seen, F.col(spec.time)), ignorenulls=True).over(upto)
+    return {"last_observed": F.last(spec.value, ignorenulls=True).over(upto), "months_since_observed": (month_index(F.add_months(spec.time, 1)) - month_index(time)).cast("int")}
+
+
 def add_history(df: DataFrame, spec: PanelSpec = PANEL, value_lags=(1, 3, 6, 12), covariate_lags=(1, 3), widths=(3, 6, 12)) -> DataFrame:
     """All of the above: one select for what needs rows only, one for differences, one for what needs those."""
     first = lags(spec.value, value_lags, spec) | rolling_means(spec.value, widths, spec) | climatology(spec) | last_observed(spec)

@@ -13,8 +13,6 @@ from .panel import PANEL, PanelSpec
 
 SIDES = ("north", "south", "east", "west")
 CARRIED = ("last_observed", "months_since_observed")
-#: Cells of a grid (fixed by its resolution) under which the lookup is broadcast; above, it is joined by key.
-SMALL_GRID = 1_000_000
 
 
 def neighbour_lookup(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
@@ -32,8 +30,12 @@ def _long(lookup: DataFrame, spec: PanelSpec) -> DataFrame:
     return lookup.select(y, x, F.explode(F.array(*sides)).alias("s")).where("s.at IS NOT NULL").select(y, x, "s.side", "s.ny", "s.nx")
 
 
-def add_neighbours(df: DataFrame, spec: PanelSpec = PANEL, carried: tuple[str, ...] = CARRIED, grid_is_small: bool = True) -> DataFrame:
-    """Adds each side's ``carried`` columns. Scatter form: every row is sent to the cells that it neighbours, and gathered there."""
+def add_neighbours(df: DataFrame, spec: PanelSpec = PANEL, carried: tuple[str, ...] = CARRIED, grid_is_small: bool = False) -> DataFrame:
+    """Adds each side's ``carried`` columns. Scatter form: every row is sent to the cells that it neighbours, and gathered there.
+
+    The lookup has at most four rows a cell. Spark broadcasts it if its size at run time is small; a caller who knows the
+    grid to be small says so with ``grid_is_small``.
+    """
     y, x = spec.keys
     to = _long(neighbour_lookup(df, spec), spec).select(F.col("ny").alias(y), F.col("nx").alias(x), F.col(y).alias("_y"), F.col(x).alias("_x"), "side")
     sent = df.select(y, x, spec.time, *carried).join(F.broadcast(to) if grid_is_small else to, [y, x])

@@ -63,14 +63,25 @@ def capped(months: DataFrame, longest: int, time: str = "time") -> DataFrame:
     return streaks(months, time).where(F.col("place") <= longest).select(time)
 
 
-def extended(gap: DataFrame, existing: DataFrame, length: int, time: str = "time") -> DataFrame:
-    """Streaks shorter than ``length`` drawn out over the next existing months.
+def drawn_lengths(firsts: Iterable[dt.date], lengths: Sequence[int], rng: np.random.Generator) -> list[tuple[dt.date, int]]:
+    """(streak, length): a length drawn for each streak, in order, whether or not it will grow."""
+    return [(m, int(rng.choice(lengths))) for m in sorted(firsts)]
+
+
+def multipliers(low: float, high: float, members: int) -> list[float]:
+    """Outage-rate factors of an ensemble's members, evenly from ``low`` to ``high``."""
+    return np.linspace(low, high, members).tolist()
+
+
+def extended(gap: DataFrame, existing: DataFrame, length: int | DataFrame, time: str = "time") -> DataFrame:
+    """Streaks shorter than ``length`` (one number, or a table of streak and length) drawn out over the next existing months.
 
     A streak stays as it is if too few months follow, or if one that it would take is in ``gap``.
     """
     order = existing.select(time).distinct().withColumn("_k", F.row_number().over(Window.orderBy(time)))
     ends = streaks(gap, time).groupBy("streak").agg(F.max(time).alias(time), F.count("*").alias("_n")).join(order, time)
-    need = ends.where(F.col("_n") < length).select("streak", F.col("_k").alias("_from"), (F.lit(length) - F.col("_n")).alias("_more"))
+    ends = ends.join(length, "streak") if isinstance(length, DataFrame) else ends.withColumn("length", F.lit(length))
+    need = ends.where("_n < length").select("streak", F.col("_k").alias("_from"), (F.col("length") - F.col("_n")).alias("_more"))
     taken = need.join(order, (F.col("_k") > F.col("_from")) & (F.col("_k") <= F.col("_from") + F.col("_more")))
     hit = taken.join(gap.select(time).distinct().withColumn("_hit", F.lit(1)), time, "left")
     sound = hit.withColumn("_ok", (F.count("*").over(Window.partitionBy("streak")) == F.col("_more")) & (F.count("_hit").over(Window.partitionBy("streak")) == 0))
@@ -79,14 +90,12 @@ def extended(gap: DataFrame, existing: DataFrame, length: int, time: str = "time
 
 def many_draws(df: DataFrame, gaps: dict[int, set[dt.date]], spec: PanelSpec = PANEL) -> tuple[DataFrame, PanelSpec]:
     """The panel once for each draw, masked by it, and the spec whose keys tell the draws apart."""
-    draws = F.explode(F.array(*[F.lit(d) for d in sorted(gaps)]))
-    rows = df.withColumn("draw", draws)
-    hit = F.lit(False)
-    for d, gap in sorted(gaps.items()):
-        if gap:
-            hit = hit | ((F.col("draw") == d) & F.col(spec.time).isin(sorted(gap)))
-    hit = hit & F.col(spec.train)
-    rows = rows.withColumns({spec.value: F.when(~hit, F.col(spec.value)), spec.masked: hit | spec.is_masked()})
+    spark = df.sparkSession
+    months = spark.createDataFrame([(d, m, True) for d, gap in sorted(gaps.items()) for m in sorted(gap)], f"draw int, {spec.time} date, _hit boolean")
+    rows = df.withColumn("draw", F.explode(F.array(*[F.lit(d) for d in sorted(gaps)])))
+    rows = rows.join(F.broadcast(months), ["draw", spec.time], "left")  # a row a draw and month
+    hit = F.coalesce(F.col("_hit") & F.col(spec.train), F.lit(False))
+    rows = rows.withColumns({spec.value: F.when(~hit, F.col(spec.value)), spec.masked: hit | spec.is_masked()}).drop("_hit")
     from dataclasses import replace
 
     return rows, replace(spec, keys=("draw", *spec.keys))

@@ -64,5 +64,10 @@ def broken_rules(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     return repeated.unionByName(counts.unpivot([], ["flag_and_value", "target_on_test"], "rule", "rows"))
 
 
+def shared_columns(*tables: DataFrame) -> list[str]:
+    """Columns that all tables have, in the order of the first."""
+    return [c for c in tables[0].columns if all(c in t.columns for t in tables[1:])]
+
+
 def feature_columns(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c not in exclude]

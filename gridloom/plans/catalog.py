@@ -33,10 +33,10 @@ _sql: dict[str, str] = {}
 _gap = ", ".join(f"DATE '{d}'" for d in GAP)
 #: The panel of the adapters in SQL; ``g`` is the panel with the outage months masked.
 CTE = f"""
-WITH raw AS (SELECT CAST(floor(l_suppkey / 10) AS DOUBLE) AS lat, CAST(l_suppkey % 10 AS DOUBLE) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
+WITH raw AS (SELECT CAST(l_suppkey // 10 * 67 % 180 - 89.5 AS DOUBLE) AS lat, CAST(l_suppkey % 10 + l_suppkey // 1800 * 10 AS DOUBLE) AS lon, CAST(date_trunc('month', l_shipdate) AS DATE) AS time,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS cov_quantity,
     CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS cov_discount, count(*) AS cov_count
-    FROM lineitem WHERE l_suppkey % 7 <> 3 GROUP BY 1, 2, 3),
+    FROM lineitem GROUP BY 1, 2, 3),
 flags AS (SELECT *, time < DATE '2000-01-01' AS is_train, time >= DATE '2000-01-01' AND (year(time) * 12 + month(time)) % 5 = 2 AS masked FROM raw),
 panel AS (SELECT r.lat, r.lon, r.time, CASE WHEN NOT r.masked THEN r.v END AS value, r.cov_quantity, r.cov_discount, r.cov_count, r.masked, r.is_train,
     CASE WHEN r.is_train THEN n.v END AS target
@@ -58,7 +58,7 @@ def query(sql: str | None = None):
     def keep(f):
         _queries[f.__name__] = f
         if sql:
-            _sql[f.__name__] = CTE + sql
+            _sql[f.__name__] = (CTE.replace("WITH raw", "WITH RECURSIVE raw", 1) if "sr AS" in sql else CTE) + sql
         return f
 
     return keep
@@ -72,6 +72,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder's path in ``spark.checkpoint.dir``; without that setting, in a temporary folder on a single machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.supplier_month(spark, sf_dir)
 
@@ -109,7 +117,7 @@ def panel_union_flags(spark, d):
 
 @query("SELECT lat, lon, time, value, target FROM panel WHERE is_train")
 def csv_roundtrip_scan(spark, d):
-    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    path = shared(spark, "csv")
     train = panel(spark, d).where("is_train").select(F.concat_ws("_", F.date_format("time", "yyyyMMdd"), "lat", "lon").alias("sample_id"), "time", "lat", "lon", "value", "target")
     train.write.mode("overwrite").option("header", True).csv(f"{path}/train")
     return src.scan_csv(spark, f"{path}/train", "sample_id string, time date, lat double, lon double, value long, target long").select("lat", "lon", "time", "value", "target")
@@ -254,6 +262,26 @@ def gap_streaks_extended(spark, d):
     return ou.extended(_gap_table(spark), panel(spark, d).where("is_train"), 4)
 
 
+_FIRSTS = [dt.date(1996, 3, 1), dt.date(1997, 1, 1), dt.date(1998, 7, 1), dt.date(1999, 12, 1)]
+
+
+def _lengths() -> list[tuple[dt.date, int]]:
+    import numpy as np
+
+    return ou.drawn_lengths(_FIRSTS, (2, 4, 5, 7), np.random.default_rng(3))
+
+
+@query(f""", ex AS (SELECT time, row_number() OVER (ORDER BY time) AS k FROM (SELECT DISTINCT time FROM panel WHERE is_train)),
+    w AS (SELECT * FROM (VALUES {", ".join(f"(DATE '{m}', {n})" for m, n in _lengths())}) AS v(streak, length)),
+    e AS (SELECT streak, max(time) AS time, any_value(length) - count(*) AS more FROM {_STREAKS} JOIN w USING (streak) GROUP BY streak),
+    t AS (SELECT e.streak, b.time, more FROM e JOIN ex a ON a.time = e.time JOIN ex b ON b.k > a.k AND b.k <= a.k + more WHERE more > 0),
+    s AS (SELECT streak FROM t GROUP BY streak, more HAVING count(*) = more AND count(*) FILTER (WHERE time IN ({_gap})) = 0)
+    SELECT time FROM unnest([{_gap}]) AS x(time) UNION SELECT time FROM t WHERE streak IN (SELECT streak FROM s)""")
+def gap_streaks_drawn(spark, d):
+    """Each streak extended to a length drawn for it."""
+    return ou.extended(_gap_table(spark), panel(spark, d).where("is_train"), spark.createDataFrame(_lengths(), "streak date, length int"))
+
+
 @query("SELECT lat, lon, count(*) FILTER (WHERE masked AND NOT p) AS runs, coalesce(min(time) FILTER (WHERE masked) > max(time) FILTER (WHERE NOT masked), false) AS cumulative FROM (SELECT *, coalesce(lag(masked) OVER (PARTITION BY lat, lon ORDER BY time), false) AS p FROM g) GROUP BY lat, lon")
 def masked_run_counts(spark, d):
     return hi.masked_runs(gapped(spark, d))
@@ -264,19 +292,47 @@ def mask_rate_by_month(spark, d):
     return gapped(spark, d).groupBy("time").agg(F.count("*").alias("n"), F.count_if("masked").alias("masked"), F.round(100.0 * F.count_if("masked") / F.count("*"), 1).alias("pct"))
 
 
-@query()
+#: What seed 42 draws from the train months of the driver's tables.
+TRAIN_MONTHS = [dt.date(y, m, 1) for y in range(1995, 2000) for m in range(1, 13)]
+
+
+def _drawn(seed: int, factor: float = 1.0) -> str:
+    import numpy as np
+
+    return ", ".join(f"DATE '{m}'" for m in sorted(ou.draw_months(TRAIN_MONTHS, ou.scaled(RATES, factor), np.random.default_rng(seed))))
+
+
+@query(f"SELECT lat, lon, time, CASE WHEN is_train AND time IN ({_drawn(42)}) THEN NULL ELSE value END AS value, masked OR (is_train AND time IN ({_drawn(42)})) AS masked FROM panel")
 def outage_draw(spark, d):
-    """A seeded draw over the train months; held against the generator in the tests."""
+    """A seeded draw over the train months."""
     import numpy as np
 
     rows = panel(spark, d)
     return ou.mask_months(rows, ou.draw_months(ou.train_months(rows), RATES, np.random.default_rng(42))).select(*ID, "value", "masked")
 
 
-@query("SELECT CAST(x.draw AS INTEGER) AS draw, lat, lon, time, avg(CASE WHEN is_train AND ((x.draw = 0 AND time = DATE '1996-03-01') OR (x.draw = 1 AND time IN (DATE '1997-01-01', DATE '1998-07-01'))) THEN NULL ELSE value END) OVER (PARTITION BY x.draw, lat, lon ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_rollmean3 FROM panel, (VALUES (0), (1)) AS x(draw)")
+_DRAWS = {0: {dt.date(1996, 3, 1)}, 1: {dt.date(1997, 1, 1), dt.date(1998, 7, 1)}, 2: set()}
+_HIT = " OR ".join(f"(x.draw = {k} AND time IN ({', '.join(f'DATE {str(m)!r}' for m in sorted(v))}))" for k, v in _DRAWS.items() if v)
+_DW = "OVER (PARTITION BY draw, lat, lon ORDER BY time"
+_DS = "OVER (PARTITION BY draw, lat, lon, month(time) ORDER BY time"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f""", dr AS (SELECT CAST(x.draw AS INTEGER) AS draw, lat, lon, time, CASE WHEN is_train AND ({_HIT}) THEN NULL ELSE value END AS value FROM panel, (VALUES (0), (1), (2)) AS x(draw)),
+    dl AS (SELECT *, {", ".join(f"lag(value, {k}) {_DW}) AS value_lag{k}" for k in (1, 3, 6, 12))}, {", ".join(f"avg(value) {_DW} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS value_rollmean{n}" for n in (3, 6, 12))},
+    avg(value) {_DS} {_BEFORE} AS climatology_mean, CASE WHEN row_number() {_DS}) > 1 THEN count(value) {_DS} {_BEFORE} END AS climatology_count,
+    last_value(value IGNORE NULLS) {_DW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_observed,
+    last_value(CASE WHEN value IS NOT NULL THEN time END IGNORE NULLS) {_DW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lt FROM dr),
+    dd AS (SELECT *, value - value_lag1 AS value_diff1, value - value_lag12 AS value_diff12 FROM dl)
+    SELECT draw, lat, lon, time, {", ".join(f"value_lag{k}" for k in (1, 3, 6, 12))}, {", ".join(f"value_rollmean{n}" for n in (3, 6, 12))}, climatology_mean, climatology_count, value - climatology_mean AS anomaly, last_observed,
+    CAST(datediff('month', lt, time) + 1 AS INTEGER) AS months_since_observed, value_diff1, value_diff12,
+    {", ".join(f"avg(value_diff{k}) {_DW} {_BEFORE} AS value_diff{k}_trend_mean, CASE WHEN row_number() {_DW}) > 1 THEN count(value_diff{k}) {_DW} {_BEFORE} END AS value_diff{k}_trend_count" for k in (1, 12))} FROM dd""")
 def features_of_many_draws(spark, d):
-    rows, spec = ou.many_draws(panel(spark, d), {0: {dt.date(1996, 3, 1)}, 1: {dt.date(1997, 1, 1), dt.date(1998, 7, 1)}})
-    return rows.withColumns(hi.rolling_means("value", (3,), spec)).select("draw", *ID, "value_rollmean3")
+    """All features that depend on the value, for several outage draws in one plan; a step counts as seen where it has a value."""
+    rows, spec = ou.many_draws(panel(spark, d).select(*ID, "value", "masked", "is_train"), _DRAWS)
+    rows = rows.withColumns(hi.lags("value", (1, 3, 6, 12), spec) | hi.rolling_means("value", (3, 6, 12), spec) | hi.climatology(spec) | hi.last_valued(spec))
+    rows = rows.withColumns(hi.differences("value", (1, 12)))
+    return rows.withColumns(hi.trend(("value_diff1", "value_diff12"), spec)).drop("value", "masked", "is_train")
 
 
 # --- sets and statistics
@@ -325,16 +381,17 @@ def seasonal_cycle(spark, d):
     return gapped(spark, d).groupBy(F.month("time").alias("month")).agg(F.avg("value").alias("mean"))
 
 
-@query("SELECT CAST(month(time) AS INTEGER) AS month, avg(value) FILTER (WHERE lat > -10 AND lat <= 10) AS low, avg(value) FILTER (WHERE lat > 10 AND lat <= 30) AS high FROM g GROUP BY 1")
+@query("SELECT CAST(month(time) AS INTEGER) AS month, " + ", ".join(f"avg(value) FILTER (WHERE lat > {a} AND lat <= {a + 20}) AS band{k}" for k, a in enumerate(range(-90, 90, 20))) + " FROM g GROUP BY 1")
 def seasonal_by_lat_band_pivot(spark, d):
     rows = gapped(spark, d).withColumn("band", latitude_band("lat"))
-    return rows.groupBy(F.month("time").alias("month")).pivot("band", ["(-10, 10]", "(10, 30]"]).agg(F.avg("value")).toDF("month", "low", "high")
+    return rows.groupBy(F.month("time").alias("month")).pivot("band", [f"({a}, {a + 20}]" for a in range(-90, 90, 20)]).agg(F.avg("value")).toDF("month", *[f"band{k}" for k in range(9)])
 
 
 @query("SELECT lat, " + ", ".join(f"max(value) FILTER (WHERE lon = {k}) AS lon{k}" for k in range(10)) + " FROM panel WHERE time = DATE '1998-01-01' GROUP BY lat")
 def grid_pivot(spark, d):
     rows = panel(spark, d).where("time = DATE '1998-01-01'")
-    return rows.groupBy("lat").pivot("lon", [float(k) for k in range(10)]).agg(F.first("value")).toDF("lat", *[f"lon{k}" for k in range(10)])
+    grid = rows.withColumn("lon", F.concat(F.lit("lon"), F.col("lon").cast("int"))).groupBy("lat").pivot("lon").agg(F.first("value"))
+    return grid
 
 
 @query("SELECT CAST(least(floor((value - a) / (b - a) * 60), 59) AS INTEGER) AS bin, count(*) AS n FROM (SELECT value, min(value) OVER ()::DOUBLE AS a, max(value) OVER ()::DOUBLE AS b FROM g WHERE value IS NOT NULL) GROUP BY 1")
@@ -368,7 +425,13 @@ def spatial_blocks(spark, d):
     return panel(spark, d).groupBy(fo.block(size=4.0).alias("block")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: Blocks one after the other, each to the fold with the fewest rows so far.
+SPATIAL = """sb AS (SELECT block, n, row_number() OVER (ORDER BY n DESC, block) AS i FROM (SELECT CAST(floor(lat / 4) AS INTEGER) || '_' || CAST(floor(lon / 4) AS INTEGER) AS block, count(*) AS n FROM panel GROUP BY 1)),
+    sr AS (SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS held, CAST(NULL AS VARCHAR) AS block, CAST(NULL AS INTEGER) AS fold UNION ALL
+        SELECT sb.i, list_transform(held, lambda x, j: CASE WHEN j = list_position(held, list_min(held)) THEN x + sb.n ELSE x END), sb.block, CAST(list_position(held, list_min(held)) - 1 AS INTEGER) FROM sr JOIN sb ON sb.i = sr.i + 1)"""
+
+
+@query(", " + SPATIAL + " SELECT block, fold FROM sr WHERE i > 0")
 def spatial_folds(spark, d):
     return fo.spatial_folds(panel(spark, d), 5, 4.0)
 
@@ -413,7 +476,7 @@ def _by(dimension: str, expression: str):
 _BANDS = " ".join(f"WHEN lat <= {b} THEN '({a}, {b}]'" for a, b in zip(range(-90, 91, 20), range(-70, 91, 20), strict=False))
 _by("climate_zone", "CASE WHEN abs(lat) <= -0.01 THEN NULL WHEN abs(lat) <= 23.5 THEN 'tropical' WHEN abs(lat) <= 66.5 THEN 'temperate' WHEN abs(lat) <= 90 THEN 'polar' END")
 _by("lat_band", f"CASE WHEN lat <= -90 THEN NULL {_BANDS} END")
-_by("season", "CASE WHEN month(time) IN (12, 1, 2) THEN 'winter' WHEN month(time) IN (3, 4, 5) THEN 'spring' WHEN month(time) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END")
+_by("season", "CASE WHEN lat >= 0 THEN ['winter', 'spring', 'summer', 'autumn'] ELSE ['summer', 'autumn', 'winter', 'spring'] END[month(time) % 12 // 3 + 1]")
 _by("horizon", "CASE WHEN months_since_observed IS NOT NULL THEN least(months_since_observed, 8) END")
 _by("level", "CASE WHEN target <= (SELECT quantile_cont(target, 0.2) FROM oof) THEN 'very low' WHEN target <= (SELECT quantile_cont(target, 0.4) FROM oof) THEN 'low' WHEN target <= (SELECT quantile_cont(target, 0.6) FROM oof) THEN 'mid' WHEN target <= (SELECT quantile_cont(target, 0.8) FROM oof) THEN 'high' ELSE 'very high' END")
 
@@ -425,13 +488,13 @@ def masked_vs_unmasked_error(spark, d):
 
 
 # --- ensembles: members are the forecast with an offset of their own
-_MEMBERS = ", mem AS (SELECT lat, lon, time, target, fold, CAST(member AS INTEGER) AS member, prediction + (member - 3) * 1000 * (1 + CAST(lat + lon AS BIGINT) % 3) AS prediction FROM oof, range(7) AS r(member) WHERE prediction IS NOT NULL)"
+_MEMBERS = ", mem AS (SELECT lat, lon, time, target, fold, CAST(member AS INTEGER) AS member, prediction + (member - 3) * 1000 * (1 + (CAST(floor(lat + lon) AS BIGINT) % 3 + 3) % 3) AS prediction FROM oof, range(7) AS r(member) WHERE prediction IS NOT NULL)"
 _CURVE = ", cur AS (SELECT fold, member + 1 AS n_models, target, avg(prediction) OVER (PARTITION BY lat, lon, time ORDER BY member ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prediction FROM mem), per AS (SELECT fold, n_models, avg(abs(target - prediction)) AS mae FROM cur GROUP BY 1, 2), agg AS (SELECT CAST(n_models AS INTEGER) AS n_models, avg(mae) AS mae, stddev_samp(mae) AS std FROM per GROUP BY 1)"
 
 
 def _members(spark, d):
     rows = out_of_fold(spark, d).where("prediction IS NOT NULL").withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    return rows.select(*ID, "target", "fold", "member", F.expr("prediction + (member - 3) * 1000 * (1 + CAST(lat + lon AS BIGINT) % 3)").alias("prediction"))
+    return rows.select(*ID, "target", "fold", "member", F.expr("prediction + (member - 3) * 1000 * (1 + (CAST(floor(lat + lon) AS BIGINT) % 3 + 3) % 3)").alias("prediction"))
 
 
 def _curve(spark, d):
@@ -454,10 +517,10 @@ def best_member_count(spark, d):
     return ev.best_member_count(_curve(spark, d))
 
 
-@query("SELECT strftime(t.time, '%Y%m%d') || '_' || CAST(CAST(t.lat AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(t.lon AS INTEGER) AS VARCHAR) AS id, o.prediction FROM panel t LEFT JOIN o ON o.lat = t.lat AND o.lon = t.lon AND o.time = t.time AND o.cov_count > 1 WHERE NOT t.is_train")
+@query("SELECT strftime(t.time, '%Y%m%d') || '_' || CAST(CAST(t.lat * 10 AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(t.lon AS INTEGER) AS VARCHAR) AS id, o.prediction FROM panel t LEFT JOIN o ON o.lat = t.lat AND o.lon = t.lon AND o.time = t.time WHERE NOT t.is_train")
 def template_left_join(spark, d):
-    key = F.concat_ws("_", F.date_format("time", "yyyyMMdd"), F.col("lat").cast("int"), F.col("lon").cast("int")).alias("id")
-    return ev.template_join(panel(spark, d).where("NOT is_train").select(key), observed(spark, d).where("cov_count > 1").select(key, "prediction"), "id")
+    key = F.concat_ws("_", F.date_format("time", "yyyyMMdd"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int")).alias("id")
+    return ev.template_join(panel(spark, d).where("NOT is_train").select(key), observed(spark, d).select(key, "prediction"), "id")
 
 
 @query("SELECT time, sum(v) AS total FROM raw GROUP BY time ORDER BY total DESC, time LIMIT 10")
@@ -466,8 +529,7 @@ def top_months(spark, d):
 
 
 def table_totals(spark, d):
-    lines = src.table(spark, d, "lineitem").where("l_suppkey % 7 <> 3")
-    return lines.groupBy(F.trunc("l_shipdate", "MM").alias("time")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total"))
+    return src.table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("time")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("total"))
 
 
 # --- all features
@@ -536,17 +598,143 @@ def hyperparameter_grid(spark, d):
     return fc.grid_search(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, [{"maxDepth": k, "maxIter": 3} for k in (2, 4)])
 
 
-@query()
+@query("SELECT lat, lon, time, value FROM panel ORDER BY md5('42|' || CAST(lat * 10 AS INTEGER) || '|' || CAST(lon AS INTEGER) || '|' || strftime(time, '%Y-%m-%d')) LIMIT 500")
 def seeded_sample(spark, d):
-    return panel(spark, d).select(*ID, "value").orderBy(F.xxhash64(F.lit(42), *ID)).limit(500)
+    place = F.md5(F.concat_ws("|", F.lit("42"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int"), F.date_format("time", "yyyy-MM-dd")))
+    return panel(spark, d).select(*ID, "value").orderBy(place).limit(500)
+
+
+# --- experiments
+_OBSERVED = {"persistence": "coalesce(CAST(last_observed AS DOUBLE), climatology_mean)", "climatology": "coalesce(climatology_mean, CAST(last_observed AS DOUBLE))"}
+#: Forecasts that need no training, by name: a column of the observed panel.
+BASELINES = {name: F.expr for name in _OBSERVED}
+#: What judges a model, by name: a function of the observed panel that gives rows with a fold.
+SCHEMES = {
+    "temporal": lambda rows, whole: fo.with_time_folds(rows, fo.temporal_folds(whole.where("is_train"), 5).where("role = 'val'")).drop("role"),
+    "spatial": lambda rows, whole: fo.with_space_folds(rows, fo.spatial_folds(whole, 5, 4.0), 4.0),
+}
+_ERRORS = "count(*) AS n, round(avg(abs(e)), 3) AS mae, round(sqrt(avg(e * e)), 3) AS rmse, round(1 - sum(e * e) / (var_pop(target) * count(*)), 6) AS r2"
+_JUDGED = ", " + SPATIAL + f""", judged AS (SELECT o.*, 'temporal' AS scheme, CAST(folds.fold AS INTEGER) AS fold FROM o JOIN folds ON o.time = folds.time AND role = 'val' WHERE target IS NOT NULL
+    UNION ALL SELECT o.*, 'spatial', sr.fold FROM o JOIN sr ON sr.block = CAST(floor(lat / 4) AS INTEGER) || '_' || CAST(floor(lon / 4) AS INTEGER) WHERE target IS NOT NULL),
+    both_ AS ({" UNION ALL ".join(f"SELECT scheme, fold, '{name}' AS model, target, target - {sql} AS e, months_since_observed FROM judged" for name, sql in _OBSERVED.items())}),
+    per AS (SELECT scheme, model, fold, {_ERRORS} FROM both_ WHERE e IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+def _judged(spark, d):
+    rows, whole, out = observed(spark, d).where("target IS NOT NULL"), panel(spark, d), None
+    for scheme, split in SCHEMES.items():
+        parts = split(rows, whole).withColumn("scheme", F.lit(scheme))
+        own = parts.select("scheme", "fold", *ID, "target", "months_since_observed", *[BASELINES[m](sql).alias(m) for m, sql in _OBSERVED.items()])
+        out = own if out is None else out.unionByName(own)
+    return out.unpivot(["scheme", "fold", *ID, "target", "months_since_observed"], list(_OBSERVED), "model", "prediction")
+
+
+@query(_JUDGED + " SELECT * FROM per")
+def baselines_by_scheme(spark, d):
+    """Each baseline under temporal and spatial folds: one plan, one aggregate."""
+    per = _judged(spark, d).groupBy("scheme", "model", "fold").agg(*ev.metrics("target", "prediction"))
+    return per.select("scheme", "model", "fold", "n", _r("mae", 3), _r("rmse", 3), _r("r2"))
+
+
+@query(_JUDGED + f", whole AS (SELECT scheme, model, {_ERRORS} FROM both_ WHERE e IS NOT NULL GROUP BY 1, 2) SELECT a.scheme, a.model, round(a.mae - b.mae, 2) AS mae_gain, round(a.rmse - b.rmse, 2) AS rmse_gain, round(a.r2 - b.r2, 5) AS r2_gain FROM whole a JOIN whole b ON a.scheme = b.scheme AND b.model = 'persistence' WHERE a.model <> 'persistence'")
+def baseline_gains(spark, d):
+    whole = _judged(spark, d).groupBy("scheme", "model").agg(*ev.metrics("target", "prediction"))
+    return ev.metric_gains(whole, "model", "persistence", "scheme").select("scheme", "model", _r("mae_gain", 2), _r("rmse_gain", 2), _r("r2_gain", 5))
+
+
+@query("SELECT round(avg(abs_error), 3) AS mae, count(abs_error) AS n FROM oof")
+def overall_error(spark, d):
+    return out_of_fold(spark, d).agg(F.round(F.avg("abs_error"), 3).alias("mae"), F.count("abs_error").alias("n"))
+
+
+#: Members of an ensemble: a seed and a factor of the outage rates each.
+MEMBERS = [(42 + k, f) for k, f in enumerate(ou.multipliers(0.5, 2.0, 4))]
+
+
+def _member_sql(where: str) -> str:
+    """The climatology of each member's masked panel beside what is observed on the plain one."""
+    parts = [
+        f"SELECT {k} AS member, lat, lon, time, is_train, target, last, avg(v) {_S} AS clim FROM (SELECT *, CASE WHEN is_train AND time IN ({_drawn(seed, factor) or 'NULL'}) THEN NULL ELSE value END AS v FROM plain)"
+        for k, (seed, factor) in enumerate(MEMBERS)
+    ]
+    return f""", plain AS (SELECT *, last_value(CASE WHEN NOT masked THEN value END IGNORE NULLS) OVER (PARTITION BY lat, lon ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM panel),
+    every AS ({" UNION ALL ".join(parts)}), mem AS (SELECT CAST(member AS INTEGER) AS member, lat, lon, time, target, 0.5 * last + 0.5 * clim AS prediction FROM every WHERE {where} AND last IS NOT NULL AND clim IS NOT NULL)"""
+
+
+def _drawn_members(spark, d):
+    """(member, cell, time, target, prediction): the last value of the plain history, mixed with the climatology of a member's own masked panel."""
+    import numpy as np
+
+    rows = panel(spark, d)
+    months = ou.train_months(rows)
+    gaps = {k: ou.draw_months(months, ou.scaled(RATES, factor), np.random.default_rng(seed)) for k, (seed, factor) in enumerate(MEMBERS)}
+    rows = rows.withColumn("last", hi.last_observed()["last_observed"])
+    drawn, spec = ou.many_draws(rows, gaps)
+    drawn = drawn.withColumn("clim", hi.climatology(spec)["climatology_mean"]).withColumnRenamed("draw", "member")
+    return drawn.withColumn("prediction", 0.5 * F.col("last") + 0.5 * F.col("clim"))
+
+
+@query(_member_sql("NOT is_train") + " SELECT strftime(time, '%Y%m%d') || '_' || CAST(CAST(lat * 10 AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(lon AS INTEGER) AS VARCHAR) AS \"ID\", round(round(avg(prediction), 2), 0) AS target FROM mem GROUP BY lat, lon, time HAVING count(*) = 4")
+def final_predictions(spark, d):
+    """The predictions file: members from the cache, their mean, joined to the template, written with two decimals and read back."""
+    path = shared(spark, "final")
+    key = F.concat_ws("_", F.date_format("time", "yyyyMMdd"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int")).alias("ID")
+    members = _drawn_members(spark, d).where("NOT is_train AND prediction IS NOT NULL").select("member", key, "prediction")
+    out = None
+    for k, (seed, factor) in enumerate(MEMBERS):
+        own = src.member_predictions(spark, f"{path}/members", seed, factor, lambda k=k: members.where(F.col("member") == k).drop("member"))
+        out = own if out is None else out.unionByName(own)
+    means = ev.ensemble_mean(out, "ID").where(F.col("members") == len(MEMBERS)).drop("members")
+    means.select("ID").write.option("header", True).csv(f"{path}/template")
+    template = src.scan_csv(spark, f"{path}/template", "ID string").withColumn("place", F.col("ID"))
+    src.write_predictions(ev.template_join(template, means, "ID").withColumnRenamed("prediction", "Target"), f"{path}/predictions")
+    return src.scan_csv(spark, f"{path}/predictions", "ID string, Target double").select("ID", F.round("Target", 0).alias("target"))
+
+
+_HORIZON = _member_sql("is_train AND target IS NOT NULL") + ", mh AS (SELECT m.member, CASE WHEN o.months_since_observed > 1 THEN 'later' ELSE 'next' END AS horizon, abs(m.target - m.prediction) AS e FROM mem m JOIN o ON o.lat = m.lat AND o.lon = m.lon AND o.time = m.time)"
+
+
+@query(_HORIZON + " SELECT member, horizon, round(avg(e), 3) AS mae, count(*) AS n FROM mh GROUP BY 1, 2")
+def member_by_horizon(spark, d):
+    """Each member's error at short and longer horizons of one fixed reference mask."""
+    rows = _drawn_members(spark, d).where("is_train AND target IS NOT NULL AND prediction IS NOT NULL").select("member", *ID, F.abs(F.col("target") - F.col("prediction")).alias("e"))
+    horizon = observed(spark, d).select(*ID, F.when(F.col("months_since_observed") > 1, "later").otherwise("next").alias("horizon"))
+    return rows.join(horizon, ID).groupBy("member", "horizon").agg(F.round(F.avg("e"), 3).alias("mae"), F.count("*").alias("n"))
+
+
+@query(_member_sql("is_train AND target IS NOT NULL") + " SELECT CASE WHEN member < 2 THEN 'low' ELSE 'high' END AS rates, round(avg(e), 3) AS mae, count(*) AS n FROM (SELECT *, abs(target - prediction) AS e FROM mem) GROUP BY 1")
+def rate_range_comparison(spark, d):
+    """The error of members by the range of their outage rates."""
+    rows = _drawn_members(spark, d).where("is_train AND target IS NOT NULL AND prediction IS NOT NULL")
+    return rows.groupBy(F.when(F.col("member") < 2, "low").otherwise("high").alias("rates")).agg(F.round(F.avg(F.abs(F.col("target") - F.col("prediction"))), 3).alias("mae"), F.count("*").alias("n"))
+
+
+_BESIDE = [f"{s}_last_observed" for s in ne.SIDES]
+
+
+@query(f", near AS ({_NEAR}), nf AS (SELECT o.target, o.last_observed AS own, list_avg(list_filter([o.last_observed, {', '.join(f'near.{c}' for c in _BESIDE)}], lambda x: x IS NOT NULL)) AS wide FROM o JOIN near ON o.lat = near.lat AND o.lon = near.lon AND o.time = near.time WHERE o.is_train AND o.target IS NOT NULL AND o.last_observed IS NOT NULL) SELECT round(avg(abs(target - own)), 3) AS mae_alone, round(avg(abs(target - wide)), 3) AS mae_with, round(avg(abs(target - wide)) - avg(abs(target - own)), 2) AS gain FROM nf")
+def neighbour_gain(spark, d):
+    """What the neighbours' last observations add to a cell's own."""
+    rows = ne.add_neighbours(observed(spark, d)).where("is_train AND target IS NOT NULL AND last_observed IS NOT NULL")
+    seen = F.filter(F.array("last_observed", *_BESIDE), lambda x: x.isNotNull())
+    wide = F.aggregate(seen, F.lit(0).cast("double"), lambda a, x: a + x) / F.size(seen)
+    a, b = F.avg(F.abs(F.col("target") - F.col("last_observed"))), F.avg(F.abs(F.col("target") - wide))
+    return rows.agg(F.round(a, 3).alias("mae_alone"), F.round(b, 3).alias("mae_with"), F.round(b - a, 2).alias("gain"))
+
+
+@query()
+def early_stopped_forecast(spark, d):
+    """Trees that stop on an inner holdout of months and are judged on the months after it."""
+    rows = fo.with_time_folds(observed(spark, d).where("is_train AND target IS NOT NULL"), fo.two_tier_split(panel(spark, d).where("is_train")))
+    fit = rows.where("role <> 'outer_val'").withColumn("stop", F.col("role") == "inner_val").drop("role")
+    return fc.fit_predict(fit, rows.where("role = 'outer_val'"), MODEL_FEATURES, stop_column="stop")[0].select(*ID, "target", "prediction")
 
 
 # --- arrivals
 @query("SELECT user_id, CAST(ts AS DATE) AS time, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_daily_sums(spark, d):
     """The events table as a stream, fed through to its end."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = shared(spark, "stream")
     schema = src.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     arrivals.run_to_end(arrivals.daily_sums(stream, "ts", "user_id", "value"), path)

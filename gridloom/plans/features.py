@@ -13,7 +13,7 @@ from ..operators.outages import mask_months
 from ..operators.panel import PANEL, PanelSpec
 
 
-def build_features(panel: DataFrame, spec: PanelSpec = PANEL, gap: Iterable | None = None, grid_is_small: bool = True) -> DataFrame:
+def build_features(panel: DataFrame, spec: PanelSpec = PANEL, gap: Iterable | None = None, grid_is_small: bool = False) -> DataFrame:
     """Every feature of a row depends on rows up to its own step, and on the calendar month after it."""
     if gap:
         panel = mask_months(panel, gap, spec)

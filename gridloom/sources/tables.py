@@ -40,9 +40,11 @@ def _as_panel(monthly: DataFrame, cut: str, every: int = 5) -> DataFrame:
 
 
 def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as cells of a grid ten wide with holes; value: cents sold a month."""
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 3")
-    key = [F.floor(F.col("l_suppkey") / 10).cast("double").alias("lat"), (F.col("l_suppkey") % 10).cast("double").alias("lon"), F.trunc("l_shipdate", "MM").alias("time")]
+    """Suppliers as cells; value: cents sold a month. Each ten share one of 180 latitudes, which are spread over both hemispheres."""
+    lines = table(spark, sf_dir, "lineitem")
+    row = F.expr("l_suppkey div 10")
+    lat, lon = (row * 67 % 180 - 89.5).cast("double"), (F.col("l_suppkey") % 10 + F.expr("l_suppkey div 1800") * 10).cast("double")
+    key = [lat.alias("lat"), lon.alias("lon"), F.trunc("l_shipdate", "MM").alias("time")]
     monthly = lines.groupBy(*key).agg(_cents("l_extendedprice").alias("v"), F.sum(F.round("l_quantity").cast("long")).alias("cov_quantity"), _cents("l_discount").alias("cov_discount"), F.count("*").alias("cov_count"))
     return _as_panel(monthly, "2000-01-01")
 
@@ -74,15 +76,45 @@ def write_predictions(template: DataFrame, path: str, order: str = "place", key:
     out.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
-def member_predictions(spark: SparkSession, path: str, seed: int, multiplier: float, make) -> DataFrame:
-    """A member's predictions from the cache, or made, cached and read back. Rows are matched by key, so order doesn't matter."""
+def member_predictions(spark: SparkSession, path: str, seed: int, multiplier: float, make, ids: DataFrame | None = None) -> DataFrame:
+    """A member's predictions from the cache, or made, cached and read back. Rows are matched by key, so order doesn't matter.
+
+    Given ``ids`` (the keys wanted), a cache that holds other keys is made anew.
+    """
     own = f"{path}/seed={seed}/multiplier={multiplier}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    held = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    if held and ids is not None:
+        key = ids.columns
+        cached = spark.read.parquet(own).select(*key).withColumn("_c", F.lit(1))
+        held = not ids.withColumn("_i", F.lit(1)).join(cached, key, "full").where("_i IS NULL OR _c IS NULL").limit(1).count()
+    if not held:
         make().write.mode("overwrite").parquet(own)
     return spark.read.parquet(own)
 
 
+def read_settings(path: str) -> dict:
+    """A YAML file of lags, windows, rates and paths."""
+    import yaml
+
+    with open(path) as file:
+        return yaml.safe_load(file) or {}
+
+
+def write_report(df: DataFrame, path: str, order: str | None = None) -> None:
+    """A small table of metrics as one CSV file."""
+    (df.orderBy(order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_if_possible(df: DataFrame, path: str) -> str | None:
+    """Rows behind a report as Parquet; what goes wrong is returned as text, since the report already stands."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+    except Exception as error:
+        return f"{type(error).__name__}: {error}"
+    return None
+
+
 def append_run(df: DataFrame, path: str, name: str) -> None:
     """Adds metric rows of a run to the table of runs."""
     df.withColumns({"run": F.lit(name), "at": F.current_timestamp()}).write.mode("append").parquet(path)

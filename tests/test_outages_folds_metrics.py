@@ -109,12 +109,13 @@ def test_levels_medians_scaling_histogram(spark):
     assert sum(r.n for r in ev.histogram(df, "x", 4).collect()) == 10
 
 
-def test_template_join_wants_unique_keys(spark):
+def test_template_join_wants_unique_keys_and_predictions(spark):
     t = spark.createDataFrame([("a",), ("b",)], "id string")
-    p = spark.createDataFrame([("b", 1.0)], "id string, prediction double")
-    assert {r.id: r.prediction for r in ev.template_join(t, p, "id").collect()} == {"a": None, "b": 1.0}
-    with pytest.raises(ValueError):
-        ev.template_join(t, p.union(p), "id")
+    p = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 3.0)], "id string, prediction double")
+    assert {r.id: r.prediction for r in ev.template_join(t, p, "id").collect()} == {"a": 2.0, "b": 1.0}
+    for template, predictions in ((t, p.union(p)), (t.union(t), p), (t, p.where("id <> 'a'")), (t, p.withColumn("prediction", F.when(F.col("id") == "b", 1.0)))):
+        with pytest.raises(Exception, match="repeated|no prediction"):
+            ev.template_join(template, predictions, "id").collect()
 
 
 def test_permutation_keeps_the_values(spark):
@@ -124,4 +125,60 @@ def test_permutation_keeps_the_values(spark):
 
 
 def test_two_decimals(spark):
-    assert [r[0] for r in spark.createDataFrame([(0.125,), (-3.0,), (2.345678,)], "x double").select(two_decimals("x")).collect()] == ["0.12", "-3.00", "2.35"]
+    import random
+
+    r = random.Random(1)
+    xs = [0.125, -3.0, 2.345678, 0.165, 0.145, 1.005, 2.675, -0.165, -0.001, 0.995, 0.999, 1e15 + 0.5, 0.0, None]
+    xs += [r.uniform(-5, 5) for _ in range(2000)] + [r.randrange(100000) / 1000 for _ in range(2000)] + [r.randrange(-4000, 4000) / 8 for _ in range(500)]
+    got = [v[0] for v in spark.createDataFrame([(x,) for x in xs], "x double").select(two_decimals("x")).collect()]
+    assert got == [None if x is None else "%.2f" % x for x in xs]
+
+
+def test_metrics_of_a_constant_target(spark):
+    r2 = lambda rows: spark.createDataFrame(rows, "t double, p double").agg(*ev.metrics("t", "p")).first().r2
+    assert r2([(1.0, 1.0), (1.0, 1.0)]) == 1.0 and r2([(1.0, 2.0), (1.0, 1.0)]) == 0.0
+
+
+def test_gains_and_stops(spark):
+    df = spark.createDataFrame([("a", 2.0, 1.0), ("b", 1.5, 3.0)], "model string, mae double, r2 double")
+    assert [tuple(r) for r in ev.metric_gains(df, "model", "a").collect()] == [("b", -0.5, 2.0)]
+    assert ev.smoothed_stop([5, 4, 3, 3, 9, 9, 9, 9], patience=2) == 3 and ev.smoothed_stop([], 2) == -1
+
+
+def test_draws_and_holdouts_are_seeded(spark):
+    import numpy as np
+
+    assert ou.multipliers(0.5, 2.0, 4) == [0.5, 1.0, 1.5, 2.0]
+    months = [dt.date(2000, m, 1) for m in (1, 5, 9)]
+    assert ou.drawn_lengths(months, (4, 5), np.random.default_rng(1)) == ou.drawn_lengths(reversed(months), (4, 5), np.random.default_rng(1))
+    df = spark.createDataFrame([(float(10 * k), 0.5) for k in range(10)], "lat double, lon double")
+    roles = {r.block: r.role for r in fo.spatial_holdout(df, 0.3).collect()}
+    assert sum(v == "val" for v in roles.values()) == 3 and roles == {r.block: r.role for r in fo.spatial_holdout(df, 0.3).collect()}
+    assert fo.spatial_holdout(df.where("false"), 0.3).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    from gridloom.sources import tables as src
+
+    rows = spark.createDataFrame([(2, "b", 0.165), (1, "a", 1.0)], "place int, ID string, Target double")
+    src.write_predictions(rows, f"{tmp_path}/p")
+    text = b"".join(f.read_bytes() for f in sorted((tmp_path / "p").glob("*.csv")))
+    assert text.replace(b"ID,Target\n", b"") == b"a,1.00\nb,0.17\n"
+    src.write_features(rows, f"{tmp_path}/f", ["place", "Target"])
+    assert [r.name for r in spark.read.json(f"{tmp_path}/f/manifest.json").orderBy("place").collect()] == ["place", "Target"] and spark.read.parquet(f"{tmp_path}/f/features.parquet").count() == 2
+    made = []
+    make = lambda n: lambda: made.append(n) or rows.limit(n).select("ID", "Target")
+    ids = rows.select("ID")
+    for n in (1, 2, 2):  # the cache of one id is stale
+        got = src.member_predictions(spark, f"{tmp_path}/m", 1, 0.5, make(n), ids)
+    assert made == [1, 2] and got.count() == 2
+    src.append_run(rows, f"{tmp_path}/r", "x")
+    src.append_run(rows, f"{tmp_path}/r", "y")
+    assert spark.read.parquet(f"{tmp_path}/r").count() == 4
+    src.write_report(rows, f"{tmp_path}/report", "place")
+    assert len(list((tmp_path / "report").glob("*.csv"))) == 1
+    (tmp_path / "file").write_text("lags: [1, 3]\n")
+    assert src.read_settings(f"{tmp_path}/file") == {"lags": [1, 3]}
+    assert src.write_if_possible(rows, f"{tmp_path}/oof") is None and src.write_if_possible(rows, f"{tmp_path}/file/x") is not None
+
+

@@ -387,7 +387,7 @@ def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live:
 # --- Spark stages
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        yield from small_batches(whole, "raw", 1 << 20)
+        yield from small_batches(whole, "raw", 2 << 20)
 
 
 def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame]:

@@ -90,7 +90,12 @@ def null_shares(df: DataFrame, *columns: str) -> DataFrame:
 
 def median_impute(fit: DataFrame, df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with NULLs replaced by the exact medians of ``fit``: one broadcast row."""
-    medians = fit.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_{c}") for c in columns])
+    return imputed(fit.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]), df, *columns)
+
+
+def imputed(medians: DataFrame, df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with NULLs replaced by the one row ``medians``."""
+    medians = medians.select(*[F.col(c).alias(f"_{c}") for c in columns])
     filled = df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in columns})
     return filled.drop(*[f"_{c}" for c in columns])
 

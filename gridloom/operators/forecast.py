@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import median_impute, metrics
+from .evaluation import imputed, metrics
 from .panel import PANEL, PanelSpec
 
 
@@ -26,9 +26,11 @@ def fit_predict(fit: DataFrame, val: DataFrame, features: list[str], spec: Panel
     model = GBTRegressor(featuresCol="features", labelCol=spec.target, predictionCol="prediction", **({"maxIter": 20, "maxDepth": 4, "seed": 42} | options))
     if stop_column:
         model = model.setValidationIndicatorCol(stop_column)
-    ready = assembled(median_impute(known, known, *features).withColumn(spec.target, F.col(spec.target).cast("double")), features)
+    medians = known.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features])
+    medians = known.sparkSession.createDataFrame(medians.collect(), medians.schema)  # one row, counted once
+    ready = assembled(imputed(medians, known, *features).withColumn(spec.target, F.col(spec.target).cast("double")), features)
     fitted = model.fit(ready)
-    return fitted.transform(assembled(median_impute(known, val.drop("prediction"), *features), features)).drop("features"), fitted
+    return fitted.transform(assembled(imputed(medians, val.drop("prediction"), *features), features)).drop("features"), fitted
 
 
 def bagged(fits: Iterable[DataFrame], val: DataFrame, features: list[str], key: list[str], spec: PanelSpec = PANEL, **options) -> DataFrame:
@@ -40,27 +42,47 @@ def bagged(fits: Iterable[DataFrame], val: DataFrame, features: list[str], key:
     return out
 
 
-def permuted(df: DataFrame, column: str, key: list[str], seed: int, parts: int = 64) -> DataFrame:
-    """``df`` with a column's values dealt anew: rows and values are matched place by place within ``parts`` random groups of equal ranks."""
-    group = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts))
-    rows = df.withColumn("_g", group)
-    here = rows.drop(column).withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy(*key)))
-    dealt = rows.select("_g", F.col(column), F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed + 1), *key), *key)).alias("_k"))
-    return here.join(dealt, ["_g", "_k"]).drop("_g", "_k")
+def permuted(df: DataFrame, column: str, key: list[str], seed: int, parts: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a column's values dealt anew: rows and values are matched place by place within ``parts`` random groups of equal ranks.
+
+    Rows of each value of ``by`` are dealt by themselves, in another way each. A group is sorted in one task: take more parts for more rows.
+    """
+    group = F.pmod(F.xxhash64(F.lit(seed), *by, *key), F.lit(parts))
+    rows, own = df.withColumn("_g", group), [*by, "_g"]
+    here = rows.drop(column).withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy(*key)))
+    dealt = rows.select(*own, F.col(column), F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64(F.lit(seed + 1), *by, *key), *key)).alias("_k"))
+    return here.join(dealt, [*own, "_k"]).drop("_g", "_k")
 
 
 def permutation_importance(model, val: DataFrame, features: list[str], key: list[str], spec: PanelSpec = PANEL, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance): the mean rise of the absolute error when a feature's values are dealt anew. ``val`` has no NULL features."""
-    error = lambda df: model.transform(assembled(df, features)).agg(*metrics(spec.target, "prediction")).select("mae")
-    val = val.drop("prediction")
-    base, out = error(val), None
+    """(feature, importance): the mean rise of the absolute error when a feature's values are dealt anew. ``val`` has no NULL features.
+
+    ``val`` is read once for each feature, whatever the repeats: hand in a written or cached table.
+    """
+    val = val.drop("prediction").select(*dict.fromkeys([*key, *features, spec.target]))
+    error = lambda df, *by: model.transform(assembled(df, features)).groupBy(*by).agg(*metrics(spec.target, "prediction"))
+    base, out = error(val).select("mae"), None
+    many = val.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     for f in features:
-        for r in range(repeats):
-            rows = error(permuted(val, f, key, seed + r)).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.col("mae").alias("after"))
-            out = rows if out is None else out.unionByName(rows)
+        rows = error(permuted(many, f, key, seed, by=("_repeat",)), "_repeat").select(F.lit(f).alias("feature"), F.col("mae").alias("after"))
+        out = rows if out is None else out.unionByName(rows)
     return out.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("after") - F.col("mae")).alias("importance"))
 
 
+def prune_list(importance: DataFrame, least: float = 0.0005) -> DataFrame:
+    """The features that gain no more than ``least``, least important first."""
+    return importance.where(F.col("importance") <= least).orderBy("importance", "feature").select("feature")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model, to be read by ``load_model``."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)
+
+
 def grid_search(fit: DataFrame, val: DataFrame, features: list[str], grid: list[dict], spec: PanelSpec = PANEL) -> DataFrame:
     """(setting, n, mae, rmse, r2) for each setting of the trees."""
     out = None

@@ -574,28 +574,30 @@ def _model_rows(spark, d):
 @query()
 def gbt_fit_predict(spark, d):
     rows = _model_rows(spark, d)
-    return fc.fit_predict(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, maxIter=5)[0].select(*ID, "target", "prediction")
+    return fc.fit_predict(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES)[0].select(*ID, "target", "prediction")
 
 
 @query()
 def bagged_predictions(spark, d):
     val = _model_rows(spark, d).where("role = 'val'")
     fits = [_model_rows(spark, d).where("role = 'fit'"), ou.mask_months(_model_rows(spark, d).where("role = 'fit'"), GAP[:2])]
-    return ev.ensemble_mean(fc.bagged(fits, val, MODEL_FEATURES, ID, maxIter=3), *ID)
+    return ev.ensemble_mean(fc.bagged(fits, val, MODEL_FEATURES, ID), *ID)
 
 
 @query()
 def permutation_importance(spark, d):
     rows = _model_rows(spark, d)
     fit, val = rows.where("role = 'fit'"), rows.where("role = 'val'")
-    model = fc.fit_predict(fit, val, MODEL_FEATURES, maxIter=3)[1]
-    return fc.permutation_importance(model, ev.median_impute(fit, val, *MODEL_FEATURES), MODEL_FEATURES, ID, repeats=2)
+    model = fc.fit_predict(fit, val, MODEL_FEATURES)[1]
+    path = shared(spark, "importance")
+    ev.median_impute(fit, val, *MODEL_FEATURES).write.parquet(path)
+    return fc.permutation_importance(model, spark.read.parquet(path), MODEL_FEATURES, ID)
 
 
 @query()
 def hyperparameter_grid(spark, d):
     rows = _model_rows(spark, d)
-    return fc.grid_search(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, [{"maxDepth": k, "maxIter": 3} for k in (2, 4)])
+    return fc.grid_search(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, [{"maxDepth": k, "stepSize": r} for k in (2, 4) for r in (0.05, 0.1)])
 
 
 @query("SELECT lat, lon, time, value FROM panel ORDER BY md5('42|' || CAST(lat * 10 AS INTEGER) || '|' || CAST(lon AS INTEGER) || '|' || strftime(time, '%Y-%m-%d')) LIMIT 500")

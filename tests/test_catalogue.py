@@ -1,4 +1,4 @@
-"""Every panel query with SQL against DuckDB on the smallest tables, and the others for their rows."""
+"""Every panel query with SQL against DuckDB on the smallest tables. Models are tested in test_forecast."""
 
 import os
 

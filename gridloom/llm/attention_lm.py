@@ -14,11 +14,12 @@ softmax: frequent heads are classes of their own, the others are grouped; one ca
 reads embeddings of the ids before it, and a bias holds the class just before.
 
 1. One pass over all training texts counts words and, for each head, which heads (hashed to
-   ``BUCKETS``) stand around it. Counts are added up in each task before the exchange.
+   ``BUCKETS``) stand around it. Counts are added up in each task before the exchange. The same
+   pass writes each text's heads, so that training neither splits nor tokenizes texts again.
 2. The tokenizer runs over the counted words, not over the corpus; chains come from that table.
 3. The ids' embeddings are the main directions of their neighbour counts; classes are groups of
    embeddings. Both come from the whole training corpus.
-4. ``SAMPLE`` texts give weights to start from. Then texts are dealt to shards of about
+4. ``SAMPLE`` texts of at most ``SAMPLE_TOKENS`` give weights to start from. Then texts are dealt to shards of about
    ``SHARD_TOKENS`` by a hash of id and text, each shard trains these weights on every window of
    its texts in the order of the hash, and the shards' weights are averaged by tokens, in whole
    numbers. So neither the files' layout nor the order of tasks changes the model.
@@ -39,7 +40,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -63,7 +63,7 @@ ALONE = 16  # heads that are classes of their own
 BUCKETS, EMBEDDED = 64, 24
 #: Classes of the ids inside words: the word's end, frequent ids, and groups of the others.
 TAILS, TAILS_ALONE, BACK = 128, 99, 2.0
-SAMPLE, HOT, HOT_BYTES, KEPT = 800, 250_000, 64, 150_000
+SAMPLE, SAMPLE_TOKENS, HOT, HOT_BYTES, KEPT, COUNTED = 800, 1 << 14, 250_000, 64, 150_000, 500_000
 SHARD_TOKENS = 1 << 20
 PARTS = (("q", (EMBEDDED, WIDTH)), ("k", (EMBEDDED, WIDTH)), ("v", (EMBEDDED, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
 #: Weights are averaged as multiples of this.
@@ -271,18 +271,18 @@ class Model:
 class Lexicon(dict):
     """Words by number, with each word's head id, unseen weight (see ``Model``) and training count (-1: not among the frequent words).
 
-    Number 0 is a text's end. When it is full, only the frequent words stay.
+    Number 0 is a text's end. When it is full (``kept`` others beside them), only the frequent words stay.
     """
 
-    def __init__(self, subwords: Subwords, hot: dict[bytes, int], model: Model | None = None):
+    def __init__(self, subwords: Subwords, hot: dict[bytes, int], model: Model | None = None, kept: float = KEPT):
         super().__init__()
-        self.subwords, self.hot, self.model = subwords, hot, model
+        self.subwords, self.hot, self.model, self.kept = subwords, hot, model, kept
         self.head, self.weight, self.count = array("i", [subwords.size + 1]), array("d", [0.0]), array("q", [0])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of distinct words; new ones are taken in."""
-        if len(self) > KEPT + len(self.hot):
-            self._trim()
+        if len(self) > self.kept + len(self.hot):
+            self.trim()
         new = [w for w in words if w not in self]
         if new:
             flat, n = self.subwords.ids_of(new)
@@ -293,7 +293,7 @@ class Lexicon(dict):
             self.update(zip(new, range(len(self.head) - len(new), len(self.head)), strict=True))
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def _trim(self) -> None:
+    def trim(self) -> None:
         kept = [(w, k) for w, k in self.items() if self.count[k] >= 0]
         places = [0, *(k for _, k in kept)]
         self.head, self.weight, self.count = (array(x.typecode, map(x.__getitem__, places if len(x) > 1 else [0])) for x in (self.head, self.weight, self.count))
@@ -325,11 +325,6 @@ class Words:
         """The lexicon's number of each token."""
         return np.append(0, lexicon.numbers(self.distinct))[self.at]
 
-    def heads(self, lexicon: Lexicon) -> np.ndarray:
-        """The head of each token."""
-        numbers = self.known(lexicon)
-        return np.array(lexicon.head)[numbers]
-
 
 def bucket_of(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
@@ -385,45 +380,59 @@ def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live:
 
 
 # --- Spark stages
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "raw") -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        yield from small_batches(whole, "raw", 1 << 20)
+        yield from small_batches(whole, column, 1 << 20)
+
+
+def as_heads(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' heads, one after the other, and how many each text has, from their stored bytes."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<i4").astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64)
 
 
-def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame]:
-    """(word, c) and (k, c) over ``texts`` (raw); k: a head times BUCKETS plus the bucket of a head up to two words before or after.
+def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word, c), (k, c) and (h, heads) of ``texts`` (h, raw).
 
-    Counts are added up in each task, in pieces of bounded size, before the exchange.
+    k: a head times BUCKETS plus the bucket of a head up to two words before or after; heads: a row a text, its heads
+    and the end as four bytes each. Counts are added up in each task, in pieces of bounded size, before the exchange.
     """
+    schema = pa.schema([("word", pa.binary()), ("k", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("heads", pa.binary())])
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        lexicon, near = Lexicon(subwords, {}), np.zeros((subwords.size + 2) * BUCKETS, np.int64)
-        as_rows = lambda w, k, c: pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(k, pa.int64()), pa.array(c, pa.int64())], ["word", "k", "c"])
-        flush = lambda: as_rows(list(found), [None] * len(found), list(found.values()))
+        lexicon, near = Lexicon(subwords, {}, kept=float("inf")), np.zeros((subwords.size + 2) * BUCKETS, np.int64)
+        seen = np.zeros(1, np.int64)  # by the lexicon's numbers
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
-            n = np.bincount(words.at, minlength=len(words.distinct) + 1).tolist()
-            for word, c in zip(words.distinct, n[1:], strict=True):
-                found[word] += c
-            heads = words.heads(lexicon)
+            numbers = lexicon.numbers(words.distinct)
+            seen = np.append(seen, np.zeros(len(lexicon.head) - len(seen), np.int64))
+            seen[numbers] += np.bincount(words.at, minlength=len(words.distinct) + 1)[1:]
+            heads = np.array(lexicon.head)[np.append(0, numbers)][words.at]
             text, bucket = np.repeat(np.arange(len(words.lengths)), words.lengths), bucket_of(heads)
             for apart in (1, 2):
                 same = text[apart:] == text[:-apart]
                 np.add.at(near, heads[apart:][same] * BUCKETS + bucket[:-apart][same], 1)
                 np.add.at(near, heads[:-apart][same] * BUCKETS + bucket[apart:][same], 1)
-            if len(found) > 500_000:
-                yield flush()
-                found.clear()
-        yield flush()
+            stored = heads.astype("<i4").tobytes()
+            ends = (4 * np.append(words.text_start, len(heads))).tolist()
+            yield rows(h=batch.column("h"), heads=[stored[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            if len(lexicon) > COUNTED:
+                yield rows(word=list(lexicon), c=seen[1:])
+                lexicon.trim()
+                seen = seen[:1]
+        yield rows(word=list(lexicon), c=seen[1:])
         places = np.flatnonzero(near)
         for a in range(0, len(places), 100_000):
             some = places[a : a + 100_000]
-            yield as_rows([None] * len(some), some, near[some])
+            yield rows(k=some, c=near[some])
 
-    parts = materialize(texts.mapInArrow(run, "word binary, k long, c long"))
+    parts = materialize(texts.mapInArrow(run, "word binary, k long, c long, h long, heads binary"))
     total = F.sum("c").alias("c")
-    return parts.where("word IS NOT NULL").groupBy("word").agg(total), parts.where("k IS NOT NULL").groupBy("k").agg(total)
+    return parts.where("word IS NOT NULL").groupBy("word").agg(total), parts.where("k IS NOT NULL").groupBy("k").agg(total), parts.where("heads IS NOT NULL").select("h", "heads")
 
 
 def spelled(counts: DataFrame, subwords: Subwords) -> DataFrame:
@@ -509,15 +518,15 @@ def frequent(words: DataFrame, most: int = HOT) -> dict[bytes, int]:
     return {} if least is None else {bytes(r.word): r.c for r in short.where(F.col("c") >= least).toLocalIterator()}
 
 
-def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np.ndarray, e: np.ndarray, weights: dict, hot: dict | None = None, rate: float = 2e-3) -> dict:
-    """Every shard of ``training`` (doc_id, raw) trains ``weights`` on every window of its texts; the mean by tokens. ``hot``: words worth remembering."""
+def train_shards(training: DataFrame, tokens: int, kinds: np.ndarray, e: np.ndarray, weights: dict, rate: float = 2e-3) -> dict:
+    """Every shard of ``training`` (h, heads) trains ``weights`` on every window of its texts; the mean by tokens."""
     shards = min(max(1, tokens // SHARD_TOKENS), 1 << 20)
     sc = training.sparkSession.sparkContext
-    sent = sc.broadcast((subwords, hot or {}, None, kinds, e))
+    sent = sc.broadcast((kinds, e))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, _, _, kinds, e = sent.value
-        lexicon, shard, step, n, done = _lexicon(sent.value), None, None, 0, []
+        kinds, e = sent.value
+        shard, step, n, done = None, None, 0, []
         out = np.zeros(sum(int(np.prod(s)) for _, s in PARTS), object)
         held: list[np.ndarray] = []
 
@@ -540,7 +549,7 @@ def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np
                 done.append(n)
             n, held = 0, []
 
-        for batch in _slices(batches):
+        for batch in _slices(batches, "heads"):
             # a shard's windows are cut from its texts in order, whatever batches they come in
             marks = np.asarray(batch.column("shard"))
             cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
@@ -550,17 +559,15 @@ def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np
                 if marks[a] != shard:
                     close()
                     shard, step = marks[a], Adam({k: v.copy() for k, v in weights.items()}, rate)
-                words = Words(batch.column("raw").slice(a, b - a))
-                x, at = windows(words.heads(lexicon), words.lengths, subwords.size)
+                x, at = windows(*as_heads(batch.column("heads").slice(a, b - a)), len(e) - 2)
                 held.append((x, at >= 0))
                 learn(False)
         close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array([str(v) for v in out]), pa.array(np.full(len(out), sum(done)), pa.int64())], ["i", "x", "n"])
 
-    key = F.xxhash64("doc_id", "raw")
-    dealt = training.select("raw", key.alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "raw").select("shard", "raw")
+    dealt = training.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "heads").select("shard", "heads")
     rows = dealt.mapInArrow(run, "i int, x string, n long").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum("n").alias("n")).collect()
     sent.unpersist()
     if not rows or not rows[0].n:
@@ -572,15 +579,14 @@ def train_shards(training: DataFrame, tokens: int, subwords: Subwords, kinds: np
     return {k: flat[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(PARTS, cuts, cuts[1:], strict=False)}
 
 
-def first_weights(training: DataFrame, subwords: Subwords, kinds: np.ndarray, e: np.ndarray) -> dict:
-    """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most 64 KB)."""
-    hashed = training.where(F.octet_length("raw") <= 1 << 16).select("raw", F.xxhash64("doc_id", "raw").alias("h"))
-    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
-    chosen = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("raw").alias("raw")).orderBy("h").collect() if least else []
+def first_weights(training: DataFrame, kinds: np.ndarray, e: np.ndarray) -> dict:
+    """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most ``SAMPLE_TOKENS``)."""
+    short = training.where(F.octet_length("heads") <= 4 * SAMPLE_TOKENS)
+    least = [r.h for r in short.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    chosen = short.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("heads").alias("heads")).orderBy("h").collect() if least else []
     if not chosen:
         return new_weights(np.ones((CLASSES, CLASSES)))
-    words, lexicon = Words(pa.array([bytes(r.raw) for r in chosen], pa.binary())), Lexicon(subwords, {})
-    x, at = windows(words.heads(lexicon), words.lengths, subwords.size)
+    x, at = windows(*as_heads(pa.array([bytes(r.heads) for r in chosen], pa.binary())), len(e) - 2)
     live, kind = at >= 0, kinds[x]
     steps = np.zeros((CLASSES, CLASSES))
     np.add.at(steps, (kind[:, CONTEXT - 1 : -1][live], kind[:, CONTEXT:][live]), 1)
@@ -591,10 +597,10 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     """The model of ``training`` (doc_id, raw), the table of counted words (word, c, ids), its frequent words, all tokens, distinct tokens and ends."""
     subwords = Subwords(ranks, pattern)
     size = subwords.size
-    counted, around = count_corpus(training.select("raw"), subwords)
+    counted, around, heads = count_corpus(training.select("raw", F.xxhash64("doc_id", "raw").alias("h")), subwords)
     words = materialize(spelled(counted, subwords))
     n1, n2, total, distinct = words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = training.count()
+    ends = heads.count()
 
     e = embed(dense(around, (size + 2) * BUCKETS).reshape(-1, BUCKETS)[:size].astype(float), size)
     tokens, types, inside = head_counts(words, size)
@@ -619,7 +625,7 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     model.weights = new_weights(np.ones((CLASSES, CLASSES)))
     hot = frequent(words)
     if ends:
-        model.weights = train_shards(training, total + ends, subwords, kinds, e, first_weights(training, subwords, kinds, e), hot)
+        model.weights = train_shards(heads, total + ends, kinds, e, first_weights(heads, kinds, e))
     # nothing stands for a begin, nor for a class without ids
     model.weights["bias"][:, np.setdiff1d(np.arange(CLASSES), np.append(kinds[:size], END))] = -1e4
     return model, words, hot, total + ends, distinct + bool(ends), ends

@@ -43,7 +43,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -283,15 +283,18 @@ class Lexicon(dict):
         """The numbers of distinct words; new ones are taken in."""
         if len(self) > self.kept + len(self.hot):
             self.trim()
-        new = [w for w in words if w not in self]
-        if new:
+        found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             flat, n = self.subwords.ids_of(new)
             if self.model:
                 self.weight.extend(self.model.unseen(flat, n)[1].tolist())
             self.count.extend([self.hot.get(w, -1) for w in new])
             self.head.extend(flat[np.cumsum(n) - n].tolist())
-            self.update(zip(new, range(len(self.head) - len(new), len(self.head)), strict=True))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            found[missing] = np.arange(len(self.head) - len(new), len(self.head))
+            self.update(zip(new, found[missing].tolist(), strict=True))
+        return found
 
     def trim(self) -> None:
         kept = [(w, k) for w, k in self.items() if self.count[k] >= 0]
@@ -313,7 +316,7 @@ class Words:
         ends = np.append(0, np.cumsum(np.asarray(real.cast(pa.int64()))))[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
         flat, lengths = flat.filter(real).cast(pa.binary()), np.diff(ends)
         coded = flat.dictionary_encode()
-        self.distinct: list[bytes] = coded.dictionary.to_pylist()
+        self.distinct: list[bytes] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.lengths = lengths + 1
         self.text_start = np.cumsum(self.lengths) - self.lengths
         self.at = np.zeros(int(self.lengths.sum()), np.int64)

@@ -41,12 +41,42 @@ def error_dimensions(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     })
 
 
+def percentiles(df: DataFrame, shares: dict[str, list[float]], parts: int = 200) -> DataFrame:
+    """One row with an array for each column: its exact percentiles (between two values in proportion), NULL without values.
+
+    No task holds a whole column: equal values are counted first, approximate cuts deal the distinct ones to ``parts``
+    ranges, and ranks are running sums within a range after the totals of the ranges before (a row each).
+    """
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in shares]).unpivot([], list(shares), "_column", "_x")
+    counts = long.where(F.col("_x").isNotNull()).groupBy("_column", "_x").agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy("_column").agg(F.percentile_approx("_x", [k / parts for k in range(1, parts)], parts * 10).alias("_cuts"))
+    # a row a column on the right
+    ranged = counts.join(F.broadcast(cuts), "_column").withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col("_x")))).drop("_cuts")
+    totals = ranged.groupBy("_column", "_range").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy("_column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most ``parts`` rows a column
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_m").over(before), F.lit(0)), "_all": F.sum("_m").over(Window.partitionBy("_column"))})
+    upto = Window.partitionBy("_column", "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(F.broadcast(totals), ["_column", "_range"]).withColumn("_last", F.col("_before") + F.sum("_n").over(upto) - 1)
+    out = []
+    for c, ps in shares.items():
+        found = []
+        for p in ps:
+            place = F.lit(float(p)) * (F.col("_all") - 1)
+            at = lambda k: F.max(F.when((F.col("_column") == c) & (F.col("_last") - F.col("_n") < k) & (k <= F.col("_last")), F.col("_x")))  # noqa: B023, E731
+            low, high = at(F.floor(place)), at(F.ceil(place))
+            part = F.max(F.when(F.col("_column") == c, place - F.floor(place)))
+            found.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high))
+        out.append(F.when(F.count_if(F.col("_column") == c) > 0, F.array(*found)).alias(c))
+    return ranked.agg(*out)
+
+
 LEVELS = ("very low", "low", "mid", "high", "very high")
 
 
 def value_level(df: DataFrame, column: str) -> DataFrame:
     """Adds ``level``: the quintile (exact, right-closed, lowest included) of a column. One row of four cuts is broadcast."""
-    cuts = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("_q"))
+    cuts = percentiles(df, {column: [0.2, 0.4, 0.6, 0.8]}).toDF("_q")
     out = F.when(F.col(column).isNull(), None)
     for i, name in enumerate(LEVELS[:-1]):
         out = out.when(F.col(column) <= F.col("_q")[i], name)
@@ -78,8 +108,9 @@ def best_member_count(curve: DataFrame, tolerance: float = 0.01) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, deviation, least, exact quartiles, greatest."""
     x = F.col(column).cast("double")
-    cut = lambda p, name: F.percentile(x, F.lit(p)).alias(name)
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), cut(0.25, "q25"), cut(0.5, "q50"), cut(0.75, "q75"), F.max(x).alias("max"))
+    whole = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    cuts = percentiles(df, {column: [0.25, 0.5, 0.75]}).toDF("_q")
+    return whole.crossJoin(F.broadcast(cuts)).select("count", "mean", "std", "min", *[F.col("_q")[k].alias(q) for k, q in enumerate(("q25", "q50", "q75"))], "max")
 
 
 def null_shares(df: DataFrame, *columns: str) -> DataFrame:
@@ -90,7 +121,12 @@ def null_shares(df: DataFrame, *columns: str) -> DataFrame:
 
 def median_impute(fit: DataFrame, df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with NULLs replaced by the exact medians of ``fit``: one broadcast row."""
-    return imputed(fit.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]), df, *columns)
+    return imputed(medians(fit, *columns), df, *columns)
+
+
+def medians(df: DataFrame, *columns: str) -> DataFrame:
+    """One row of exact medians."""
+    return percentiles(df, {c: [0.5] for c in columns}).select(*[F.col(c)[0].alias(c) for c in columns])
 
 
 def imputed(medians: DataFrame, df: DataFrame, *columns: str) -> DataFrame:

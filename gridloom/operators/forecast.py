@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import imputed, metrics
+from .evaluation import imputed, medians, metrics
 from .panel import PANEL, PanelSpec
 
 
@@ -26,11 +26,11 @@ def fit_predict(fit: DataFrame, val: DataFrame, features: list[str], spec: Panel
     model = GBTRegressor(featuresCol="features", labelCol=spec.target, predictionCol="prediction", **({"maxIter": 20, "maxDepth": 4, "seed": 42} | options))
     if stop_column:
         model = model.setValidationIndicatorCol(stop_column)
-    medians = known.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features])
-    medians = known.sparkSession.createDataFrame(medians.collect(), medians.schema)  # one row, counted once
-    ready = assembled(imputed(medians, known, *features).withColumn(spec.target, F.col(spec.target).cast("double")), features)
+    middle = medians(known, *features)
+    middle = known.sparkSession.createDataFrame(middle.collect(), middle.schema)  # one row, counted once
+    ready = assembled(imputed(middle, known, *features).withColumn(spec.target, F.col(spec.target).cast("double")), features)
     fitted = model.fit(ready)
-    return fitted.transform(assembled(imputed(medians, val.drop("prediction"), *features), features)).drop("features"), fitted
+    return fitted.transform(assembled(imputed(middle, val.drop("prediction"), *features), features)).drop("features"), fitted
 
 
 def bagged(fits: Iterable[DataFrame], val: DataFrame, features: list[str], key: list[str], spec: PanelSpec = PANEL, **options) -> DataFrame:

@@ -401,7 +401,7 @@ def value_histogram(spark, d):
 
 @query("SELECT quantile_cont(value, 0.01)::DOUBLE AS p1, quantile_cont(value, 0.99)::DOUBLE AS p99 FROM g")
 def value_percentiles(spark, d):
-    return gapped(spark, d).agg(F.percentile(F.col("value").cast("double"), F.lit(0.01)).alias("p1"), F.percentile(F.col("value").cast("double"), F.lit(0.99)).alias("p99"))
+    return ev.percentiles(gapped(spark, d), {"value": [0.01, 0.99]}).select(F.col("value")[0].alias("p1"), F.col("value")[1].alias("p99"))
 
 
 # --- folds

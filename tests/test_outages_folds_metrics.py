@@ -182,3 +182,21 @@ def test_sinks(spark, tmp_path):
     assert src.write_if_possible(rows, f"{tmp_path}/oof") is None and src.write_if_possible(rows, f"{tmp_path}/file/x") is not None
 
 
+def test_percentiles_equal_sorting(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(r.gauss(0, 9), float(r.randrange(4)) if i % 3 else None, None, 7.0 if i % 2 else r.random()) for i in range(501)]
+    df = spark.createDataFrame(rows, "many double, few double, none double, hot double").repartition(5)
+    ps = [0.0, 0.01, 0.2, 0.5, 0.77, 1.0]
+    got = ev.percentiles(df, {c: ps for c in df.columns}, parts=20).first()
+    for k, c in enumerate(df.columns):
+        values = sorted(x[k] for x in rows if x[k] is not None)
+        if not values:
+            assert got[c] is None
+            continue
+        for p, x in zip(ps, got[c], strict=True):
+            at = p * (len(values) - 1)
+            a, b = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            assert abs(x - (a + (b - a) * (at - int(at)))) < 1e-9
+    assert ev.percentiles(df.where("false"), {"many": [0.5]}).first().many is None

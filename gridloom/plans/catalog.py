@@ -16,11 +16,12 @@ from ..operators import folds as fo
 from ..operators import forecast as fc
 from ..operators import history as hi
 from ..operators import neighbours as ne
+from ..operators import network as nw
 from ..operators import outages as ou
-from ..operators.panel import PANEL, broken_rules, split_panel, union_panels
+from ..operators.panel import PANEL, broken_rules, feature_columns, split_panel, union_panels
 from ..sources import tables as src
 from ..streaming import arrivals
-from .features import build_features
+from .features import build_features, not_features
 
 #: Months that queries treat as outages, and rates of outage by year.
 GAP = [dt.date(1996, 3, 1), dt.date(1996, 4, 1), dt.date(1997, 1, 1), dt.date(1998, 7, 1), dt.date(1998, 8, 1), dt.date(1998, 9, 1), dt.date(1998, 10, 1), dt.date(1999, 12, 1)]
@@ -732,6 +733,30 @@ def early_stopped_forecast(spark, d):
     return fc.fit_predict(fit, rows.where("role = 'outer_val'"), MODEL_FEATURES, stop_column="stop")[0].select(*ID, "target", "prediction")
 
 
+@query()
+def network_forecast(spark, d):
+    """A network with a new outage draw each epoch, stopped by an inner holdout of months, judged on the unmasked months after it."""
+    import numpy as np
+
+    path = shared(spark, "network")
+    fo.with_time_folds(panel(spark, d).where("is_train"), fo.two_tier_split(panel(spark, d).where("is_train"))).write.parquet(path)
+    rows = spark.read.parquet(path)  # what no draw changes is computed once
+    months = ou.train_months(rows.where("role = 'fit'"))
+
+    def features(masked):
+        return hi.add_history(masked).withColumns(cyclic_month("time"))
+
+    def draw(epoch):
+        gap = ou.draw_months(months, RATES, np.random.default_rng(42 + epoch))
+        return features(ou.mask_months(rows, gap)).where("role = 'fit'")
+
+    features(rows).write.parquet(f"{path}-plain")
+    whole = spark.read.parquet(f"{path}-plain")
+    names = [c for c in feature_columns(whole, not_features()) if c != "role"]
+    fitted = nw.fit_network(draw, whole.where("role = 'inner_val'"), names, epochs=20, patience=5)
+    return fitted.predict(whole.where("role = 'outer_val' AND target IS NOT NULL")).select(*ID, "target", "prediction")
+
+
 # --- arrivals
 @query("SELECT user_id, CAST(ts AS DATE) AS time, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def streamed_daily_sums(spark, d):

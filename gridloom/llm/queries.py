@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing, warc
+from . import decontamination, media, minhash, packing, warc
 from .attention_lm import op4_attention_lm
 from .bpe import op7_byte_bpe
+from .decontamination import op13_decontamination
 from .line_crf import op3_line_crf
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
 from .media import op2_media_sniffing
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_length_packing": op8_length_packing,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": op10_quality_rules,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -75,4 +77,4 @@ FROM p LEFT JOIN k ON p.page_id = k.page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL}
+    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL, "op13_decontamination": decontamination.ORACLE_SQL}

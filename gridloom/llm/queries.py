@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media, minhash, packing, warc
+from . import decontamination, media, minhash, packing, spelling, warc
 from .attention_lm import op4_attention_lm
 from .bpe import op7_byte_bpe
 from .decontamination import op13_decontamination
@@ -17,6 +17,7 @@ from .minhash import op1_minhash_dedup
 from .packing import op8_length_packing
 from .quality_rules import RULES, mask, op10_quality_rules
 from .sharding import op5_external_shuffle
+from .spelling import op11_spelling_variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_length_packing": op8_length_packing,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -77,4 +79,4 @@ FROM p LEFT JOIN k ON p.page_id = k.page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}

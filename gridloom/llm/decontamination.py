@@ -284,15 +284,14 @@ def find_leaks(docs: DataFrame, built: DataFrame, text: str = "text", clean: str
     out = bounded_arrow(docs).select(*columns, F.col(text).cast("string").cast("binary").alias("_body"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("_runs"), F.array().cast("array<string>").alias("items"))
     shards = [r[0] for r in built.select("shard").orderBy("shard").collect()]  # a row a shard
     tables = []
-    for place, shard in enumerate(shards):
+    for place, shard in enumerate(shards or [None]):
         if tables:
             out = materialize(out)
         tables.append(out)
-        out = _pass(out, built.where(F.col("shard") == shard).first()["automaton"], clean if place == len(shards) - 1 else None, coverage)
+        automaton = pickle.dumps(Automaton([])) if shard is None else built.where(F.col("shard") == shard).first()["automaton"]
+        out = _pass(out, automaton, clean if place >= len(shards) - 1 else None, coverage)
     for old in tables[1:-1]:
         forget(old)
-    if clean and not shards:
-        out = out.withColumn(clean, F.col("_body").cast("string"))
     pairs = F.transform(F.sequence(F.lit(0), F.expr("size(_runs) div 2") - 1), lambda k: F.struct(F.col("_runs")[2 * k].alias("start"), F.col("_runs")[2 * k + 1].alias("stop")))
     hits = F.when(F.size("_runs") > 0, pairs).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
     return out.select(*columns, "n_words", hits.alias("hits"), F.array_sort("items").alias("items"), *([clean] if clean else []))

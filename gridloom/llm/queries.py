@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media, minhash, packing, spelling, warc
+from . import collocations, decontamination, media, minhash, packing, spelling, warc
 from .attention_lm import op4_attention_lm
 from .bpe import op7_byte_bpe
+from .collocations import op12_collocations
 from .decontamination import op13_decontamination
 from .line_crf import op3_line_crf
 from .line_dedup import BLOCK, HIDDEN, TAG, op6_line_dedup
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": op10_quality_rules,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_collocations": op12_collocations,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -79,4 +81,4 @@ FROM p LEFT JOIN k ON p.page_id = k.page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_minhash_dedup": minhash.ORACLE_SQL, "op2_media_sniffing": media.ORACLE_SQL, "op8_length_packing": packing.ORACLE_SQL, "op6_line_dedup": LINES_SQL, "op9_warc": warc.ORACLE_SQL, "op10_quality_rules": RULES_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}

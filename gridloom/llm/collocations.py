@@ -17,10 +17,12 @@ read; an empty table gives no rows. Bytes that are not UTF-8 are read as U+FFFD.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else
 #: A trie is handed on at so many entries, positions not yet counted in, or bytes of words.
 ENTRIES, POSITIONS, BYTES = 1_500_000, 2_000_000, 32 << 20
 #: Bits of a filter for each phrase in it, at least and at most in all. A block of bits is made in one group.
-BITS, LEAST_BITS, MOST_BITS, BLOCK = 16, 1 << 16, 1 << 27, 1 << 15
+BITS, LEAST_BITS, MOST_BITS, BLOCK = 64, 1 << 16, 1 << 27, 1 << 15
 #: Rows that one window of the report sorts, about.
 WINDOW = 100_000
 
@@ -46,8 +48,39 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def word_hashes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word that starts at ``starts`` in ``flat`` (bytes), all at once: a polynomial of its bytes, mixed."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers = np.full(int(sizes.max()), 0x100000001B3, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    terms = (flat[within + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)) * powers[within]
+    return _mixed(np.add.reduceat(terms, ends - sizes), sizes.astype(np.uint64))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return word_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+
+def lang_hash(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+
+
+def _words(letters: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An array of words whose bytes stand one after the other."""
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where in it another key begins."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
 
 
 class Filter:
@@ -61,18 +94,24 @@ class Filter:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class CountTrie:
     """Counts of one language's phrases of ``depth`` words in a task's texts."""
 
     def __init__(self, lang: str, depth: int, known: list[Filter]):
-        self.depth, self.known, self.start = depth, known, np.uint64(word_hash(lang.encode()))
+        self.depth, self.known, self.start = depth, known, lang_hash(lang)
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.words: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
-        self.good = np.zeros(0, bool)
         self.bytes = self.waiting = 0
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.grams: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(self.depth))
@@ -83,38 +122,39 @@ class CountTrie:
         flat = np.frombuffer(low, np.uint8)
         inside = (flat != 32) & (flat != 10)
         starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(flat) else np.zeros(0, np.int64)
-        words = low.split()
-        ids = self._numbered(words)
+        stops = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1 if len(flat) else starts
+        words = _words(flat[inside], stops - starts)
         if self.depth == 1:
-            self._counted((ids,))
+            self._counted((self._numbered(words),))
             return
-        piece = np.cumsum(flat == 10, dtype=np.int32)[starts]
-        n = len(ids) - self.depth + 1
+        n = len(starts) - self.depth + 1
         if n <= 0:
             return
-        if self.depth == 2:
-            fits = self.good[ids]
-        else:
-            h = _mixed(np.full(len(ids), self.start), self.hashes[ids])
-            for k in range(1, self.depth - 1):
-                h = _mixed(h[: len(ids) - k], self.hashes[ids[k:]])
-            fits = self.known[-1].has(h)
+        hashes = word_hashes(flat, starts, stops - starts)
+        h = _mixed(np.full(len(hashes), self.start), hashes)
+        for k in range(1, self.depth - 1):
+            h = _mixed(h[: len(hashes) - k], hashes[k:])
+        fits = self.known[-1].has(h)  # the beginning less a word, and below the end less a word
+        piece = np.cumsum(flat == 10, dtype=np.int32)[starts]
         at = np.flatnonzero((piece[:n] == piece[self.depth - 1 :]) & fits[:n] & fits[1 : n + 1])
+        used = np.zeros(len(starts), bool)
+        for k in range(self.depth):
+            used[at + k] = True
+        places = np.flatnonzero(used)  # only words of phrases that can be frequent are looked up
+        ids = np.full(len(starts), -1, np.int64)
+        ids[places] = self._numbered(words.take(pa.array(places)))
         self._counted(tuple(ids[at + k] for k in range(self.depth)))
 
-    def _numbered(self, words: list[bytes]) -> np.ndarray:
-        numbers, first = self.numbers, len(self.words)
-        for w in set(words) - numbers.keys():
-            numbers[w] = len(self.words)
-            self.words.append(w)
-            self.bytes += len(w)
-        new = self.words[first:]
-        if new:
-            hashes = np.fromiter(map(word_hash, new), np.uint64, len(new))
-            self.hashes = np.concatenate([self.hashes, hashes])
-            if self.depth == 2:
-                self.good = np.concatenate([self.good, self.known[0].has(_mixed(np.full(len(new), self.start), hashes))])
-        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    def _numbered(self, words: pa.Array) -> np.ndarray:
+        """The number of each word; Arrow finds the distinct ones."""
+        numbers, first = self.numbers, len(self.numbers)
+        coded = words.dictionary_encode()
+        own = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        if len(numbers) > first:
+            new = list(islice(numbers, first, None))
+            self.words += new
+            self.bytes += sum(map(len, new))
+        return own[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
 
     def _counted(self, columns: tuple[np.ndarray, ...]) -> None:
         if len(columns[0]):
@@ -129,22 +169,27 @@ class CountTrie:
         weight = np.concatenate([self.counts, np.ones(self.waiting, np.int64)])
         self.parts, self.waiting = [], 0
         node = columns[0]
-        for k in range(1, self.depth):
-            _, node = np.unique((node << 32) | columns[k], return_inverse=True)
-        _, first, place = np.unique(node, return_index=True, return_inverse=True)
-        self.counts = np.bincount(place, weight, len(first)).astype(np.int64)
-        self.grams = tuple(c[first] for c in columns)
-
-    def run(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        for k in range(1, self.depth - 1):
+            order, new = _sorted((node << 32) | columns[k])
+            node = np.empty(len(order), np.int64)
+            node[order] = np.cumsum(new) - 1
+        order, new = _sorted((node << 32) | columns[-1] if self.depth > 1 else node)
+        first = np.flatnonzero(new)
+        self.counts = np.add.reduceat(weight[order], first) if len(first) else weight
+        self.grams = tuple(c[order[first]] for c in columns)
+
+    def run(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """The trie's phrases of full depth, sorted word by word, with their counts; then it is empty."""
         self._merge()
         rank = np.empty(len(self.words), np.int64)
         rank[np.array(sorted(range(len(self.words)), key=self.words.__getitem__), dtype=np.int64)] = np.arange(len(self.words))
         order = np.lexsort([rank[c] for c in self.grams[::-1]]) if len(self.counts) else np.zeros(0, np.int64)
+        words = pa.array(self.words, pa.large_binary()).cast(pa.large_string())
         for a in range(0, len(order), 50_000):
             some = order[a : a + 50_000]
-            columns = [[self.words[i] for i in c[some].tolist()] for c in self.grams]
-            yield list(map(b" ".join, zip(*columns, strict=True))) if self.depth > 1 else columns[0], self.counts[some]
+            columns = [words.take(pa.array(c[some])) for c in self.grams]
+            phrases = pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if self.depth > 1 else columns[0]
+            yield phrases.cast(pa.string()), self.counts[some]
         self.clear()
 
 
@@ -157,7 +202,7 @@ def _counting(depth: int, filters: list) -> Callable:
             for lang, trie in sorted(tries.items()):
                 for phrases, counts in trie.run():
                     names = pa.array([lang] * len(phrases), pa.string())
-                    yield pa.RecordBatch.from_arrays([names, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([names, phrases, pa.array(counts)], ["lang", "phrase", "n"])
             tries.clear()
 
         for whole in batches:
@@ -187,10 +232,13 @@ def merged(run: DataFrame) -> DataFrame:
     return run.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _hash_of(lang: str, phrase: str) -> np.ndarray:
-    h = np.array([word_hash(lang.encode())], np.uint64)
-    for w in phrase.split(" "):
-        h = _mixed(h, np.array([word_hash(w.encode())], np.uint64))
+def _hashes_of(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """The hash of each phrase; all have equally many words."""
+    split = [p.encode().split(b" ") for p in phrases]
+    known = {x: lang_hash(x) for x in set(langs)}
+    h = np.fromiter(map(known.__getitem__, langs), np.uint64, len(langs))
+    for words in zip(*split, strict=True):
+        h = _mixed(h, hashes_of(list(words)))
     return h
 
 
@@ -203,11 +251,9 @@ def filter_bits(frequent: DataFrame) -> bytes:
     mask = np.uint64(bits - 1)
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for rows in batches:
-                h = np.concatenate([_hash_of(a, b) for a, b in zip(rows["lang"], rows["phrase"], strict=True)] or [np.zeros(0, np.uint64)])
-                at = ((h >> np.uint64(11)) & mask).astype(np.int64)
-                yield pd.DataFrame({"block": at // BLOCK, "place": at % BLOCK})
+        for rows in batches:
+            at = ((_hashes_of(rows["lang"].tolist(), rows["phrase"].tolist()) >> np.uint64(11)) & mask).astype(np.int64)
+            yield pd.DataFrame({"block": at // BLOCK, "place": at % BLOCK})
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros(BLOCK, np.uint8)
@@ -230,7 +276,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", de
     tables: list[DataFrame] = []
     filters: list = []
     for d in range(1, depth + 1):
-        run = materialize(runs(rows, d, filters[-1:]))
+        run = materialize(runs(rows, d, filters[-1:]), codec="lz4")
         if d == 1:
             total = materialize(run.groupBy("lang").agg(F.sum("n").alias("n")))
         tables.append(materialize(merged(run).where(F.col("n") >= often)))

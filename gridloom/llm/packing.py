@@ -9,7 +9,8 @@ budget admits at the bucket's bound; a sequence longer than the budget is whole
 Places in a bucket are numbered without gathering it: a bucket is dealt out by a hash of the row's
 key and length into chunks of about ``CHUNK`` rows, chunks are counted, and a row's place is its
 chunk's start plus its rank in the chunk. A bucket or length with a third of all rows is many
-chunks; rows that repeat key and length beyond a chunk share one, which sorts and spills.
+chunks. Rows that repeat key and length have one hash: where they fill a chunk beyond four times its
+share, the chunk's rows are dealt anew to parts of a share each, and the parts stand one after the other.
 
 Defined results: a null length counts as 0; a null key is hashed like any value; an empty table
 gives no rows; rows with equal values each have a place of their own; very long texts are one
@@ -75,7 +76,7 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget:
 
     ``df`` is read three times, twice for ``length`` and ``key`` alone: write it first where lengths are dear to make.
     """
-    df = df.drop(*OWN, "_n", "_chunk", "_hash")
+    df = df.drop(*OWN, "_n", "_chunk", "_part", "_hash")
     histogram = length_histogram(df, length)
     bounds = best_bounds(histogram, buckets) or [0]
     chunks = max(64, -(-sum(k for _, k in histogram) // CHUNK))
@@ -87,12 +88,19 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = 12, token_budget:
     own = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(length).cast("string")))
     rows = df.withColumns({"_hash": own, "_n": n, "bucket": bucket})
     chunk = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % chunks
-    rows = rows.withColumns({"bucket_length": bound, "_chunk": chunk.cast("int")})
-    starts = rows.groupBy("bucket", "_chunk").agg(F.count("*").alias("_k"))
-    before = F.sum("_k").over(Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("bucket", "_chunk", F.coalesce(before, F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "_chunk").orderBy("_hash", key, length)) - 1
-    placed = rows.withColumn("_rank", rank).join(starts.hint("merge"), ["bucket", "_chunk"])
+    rows = rows.withColumns({"bucket_length": bound, "_chunk": chunk.cast("int"), "_part": F.lit(0)})
+    place = ["bucket", "_chunk", "_part"]
+    counts = materialize(rows.groupBy(*place).agg(F.count("*").alias("_k")))  # a row a chunk
+    share = max(1, sum(k for _, k in histogram) // chunks)
+    hot = counts.where(F.col("_k") > 4 * share).select("bucket", "_chunk", F.ceil(F.col("_k") / share).alias("_parts"))
+    if hot.limit(1).count():
+        own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+        rows = materialize(rows.join(F.broadcast(hot), ["bucket", "_chunk"], "left").withColumn("_part", own).drop("_parts"))  # at most chunks / 4 rows are hot
+        counts = materialize(rows.groupBy(*place).agg(F.count("*").alias("_k")))
+    before = F.sum("_k").over(Window.partitionBy("bucket").orderBy("_chunk", "_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*place, F.coalesce(before, F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("_hash", key, length)) - 1
+    placed = rows.withColumn("_rank", rank).join(starts.hint("merge"), place)
     held = F.greatest(F.lit(1).cast("long"), F.expr(f"{token_budget}L div greatest(bucket_length, 1L)"))
     placed = placed.withColumn("_place", (F.col("_start") + F.col("_rank")).cast("long")).withColumn("_held", held)
     return placed.select(*df.columns, "bucket", "bucket_length", F.expr("_place div _held").alias("batch"), F.expr("_place % _held").alias("slot"), (F.col("bucket_length") - F.col("_n")).alias("padding"))

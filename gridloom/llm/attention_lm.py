@@ -1,32 +1,34 @@
 """Language-model scores from a causal self-attention model over subword ids and corpus counts.
 
 Texts are words (ASCII white space parts them, A-Z lower-cased) and an end. A word is a string of
-subword ids of a public tokenizer. The model reads the first ids (heads) of the words before and
-gives the chance of the next word's head class; counts over the whole training corpus do the rest:
+subword ids of a public tokenizer, of which the first is its head. A causal attention head reads
+every id; at each id it gives the chance of what follows inside the word (a class of ids, or the
+word's end), and, where a word ends, that of the next word's head class:
 
-    P(word | before) = P(k | before) * ((c - D)+ / C_k + D * V_k / C_k * spelling(word | k))
+    P(word | before) = P(k | before) * ((c - D)+ / C_k + D * V_k / C_k * spelling(word | k, before))
 
-k is the class of the word's head, c the word's count, C_k and V_k the tokens and distinct words of
-the class, D the absolute discount n1 / (n1 + 2 n2). ``spelling`` is a chain over the word's ids, from counts
-over distinct words: the head by its share of the class, each further id, and the word's end, by
-the id before. Each factor sums to one over what it chooses from. P(k | before) is an adaptive
-softmax: frequent heads are classes of their own, the others are grouped; one causal attention head
-reads embeddings of the ids before it, and a bias holds the class just before.
+k is the class of the word's head, c the word's count over all training texts, C_k and V_k the
+tokens and distinct words of the class, D the absolute discount n1 / (n1 + 2 n2). ``spelling`` is
+the head's share of its class, times the attention's chances of the further ids and of the word's end,
+each id by its share of its class. Both softmaxes are adaptive: frequent ids are classes of their
+own, the others are grouped. A bias holds the class of the head before; what follows an id starts from counts over
+distinct words. Each factor sums to one over what it chooses from.
 
 1. One pass over all training texts counts words and, for each head, which heads (hashed to
    ``BUCKETS``) stand around it. Counts are added up in each task before the exchange. The same
-   pass writes each text's heads, so that training neither splits nor tokenizes texts again.
+   pass writes each text's ids, so that training neither splits nor tokenizes texts again.
 2. The tokenizer runs over the counted words, not over the corpus; chains come from that table.
-3. The ids' embeddings are the main directions of their neighbour counts; classes are groups of
-   embeddings. Both come from the whole training corpus.
+3. Embeddings are the main directions of counts: of a head's neighbours, and of the heads' classes of the words that an
+   inner id is in; classes are groups of embeddings. Both come from the whole training corpus.
 4. ``SAMPLE`` texts of at most ``SAMPLE_TOKENS`` give weights to start from. Then texts are dealt to shards of about
    ``SHARD_TOKENS`` by a hash of id and text, each shard trains these weights on every window of
    its texts in the order of the hash, and the shards' weights are averaged by tokens, in whole
    numbers. So neither the files' layout nor the order of tasks changes the model.
-5. Scoring cuts each text's words into windows of ``WINDOW`` that overlap by ``CONTEXT``; each token
-   is scored once, in the window that shows it at least ``CONTEXT`` tokens; windows of many texts
+5. Scoring cuts each text's ids into windows of ``WINDOW`` that overlap by ``CONTEXT``; each id
+   is scored once, in the window that shows it at least ``CONTEXT`` ids; windows of many texts
    form batches of masked attention. Tasks know the ``HOT`` most frequent words of at most
-   ``HOT_BYTES``; the counts of all other words are joined by word.
+   ``HOT_BYTES``; the counts of all other words are joined by word. What a task remembers of words is bounded in
+   words and in bytes, and so is each batch that it hands on.
 
 What is broadcast has a fixed bound: tables over the tokenizer's ids, and the ``HOT`` words.
 
@@ -55,17 +57,19 @@ from pyspark.sql import functions as F
 
 from .common import bounded_arrow, crc_mod, materialize, read, small_batches
 
-WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 16, 48
+WINDOW, CONTEXT, WIDTH, CLASSES = 32, 8, 12, 48
 NEW = WINDOW - CONTEXT
 BEGIN, END = 0, 1  # classes of what stands before a text and of its end
 ALONE = 16  # heads that are classes of their own
-#: Hashes of neighbours that ids are described by, and the numbers of an id's embedding (the last two mark BEGIN and END).
+#: Hashes of neighbours that heads are described by, and the numbers of an id's embedding (the last three mark inner ids, BEGIN and END).
 BUCKETS, EMBEDDED = 64, 24
 #: Classes of the ids inside words: the word's end, frequent ids, and groups of the others.
-TAILS, TAILS_ALONE, BACK = 128, 99, 2.0
-SAMPLE, SAMPLE_TOKENS, HOT, HOT_BYTES, KEPT, COUNTED = 800, 1 << 14, 250_000, 64, 150_000, 500_000
+TAILS, TAILS_ALONE, BACK = 48, 31, 2.0
+SAMPLE, SAMPLE_TOKENS, HOT, HOT_BYTES, KEPT, COUNTED = 800, 1 << 14, 200_000, 64, 120_000, 400_000
+#: Bytes of words that a task remembers, and of words in a batch.
+KEPT_BYTES, SENT_BYTES = 24 << 20, 8 << 20
 SHARD_TOKENS = 1 << 20
-PARTS = (("q", (EMBEDDED, WIDTH)), ("k", (EMBEDDED, WIDTH)), ("v", (EMBEDDED, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)))
+PARTS = (("q", (EMBEDDED, WIDTH)), ("k", (EMBEDDED, WIDTH)), ("v", (EMBEDDED, WIDTH)), ("pq", (NEW, WIDTH)), ("pk", (WINDOW - 1, WIDTH)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES, CLASSES)), ("tail", (WIDTH, TAILS)))
 #: Weights are averaged as multiples of this.
 GRAIN = 2.0**-30
 #: Which keys (window places 0 to 30) a query (places 7 to 30) may see: none after its own.
@@ -82,54 +86,84 @@ def new_weights(pairs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     random = np.random.Generator(np.random.PCG64(seed))
     w = {k: (random.normal(size=s) * 0.3).astype(np.float32) for k, s in PARTS}
     w["out"] *= 0.1
+    w["tail"] *= 0.1
     share = pairs + 0.5 * (pairs.sum(axis=0) + 1) / (pairs.sum() + CLASSES)
     w["bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
     w["bias"][:, BEGIN] = -30
     return w
 
 
-def attend(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, last: np.ndarray) -> tuple:
-    """Logits (places x CLASSES) at places CONTEXT.., the attention and what it gathers; ``last``: the class before each place."""
+def attend(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple:
+    """What each place CONTEXT.. gathers (a row of WIDTH), and the queries, keys and attention that gave it."""
     q = (q + w["pq"]) * np.float32(WIDTH**-0.5)
     k = k + w["pk"]
     a = q @ k.transpose(0, 2, 1)
     a += MASK
     np.exp(a, out=a)
     a /= a @ np.ones((a.shape[2], 1), a.dtype)
-    h = a @ v
-    logits = h.reshape(-1, WIDTH) @ w["out"]
-    logits += w["bias"][last]
-    np.minimum(logits, 60, out=logits)  # so that no sum of exponentials overflows
-    return logits, q, k, a, h
+    return a @ v, q, k, a
 
 
-def gradients(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
-    """Of the mean log likelihood over the ``live`` (windows x NEW) places, and that mean."""
-    seen = e[x[:, :-1]]
+def chances(h: np.ndarray, out: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Chances of classes: a softmax of what is gathered, and of logits that are known."""
+    p = h @ out
+    p += known
+    np.minimum(p, 60, out=p)  # so that no sum of exponentials overflows
+    np.exp(p, out=p)
+    p /= p @ np.ones((p.shape[1], 1), p.dtype)
+    return p
+
+
+@dataclass
+class Tables:
+    """What attention knows of ids, of begin and of end: embeddings, classes as heads and inside words (0 for heads), logits of what follows inside words."""
+
+    e: np.ndarray
+    kinds: np.ndarray
+    tail_kinds: np.ndarray
+    heads: np.ndarray  # whether an id begins a word, or is the end
+    after: np.ndarray
+
+    def events(self, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple:
+        """Of windows: the places (flat) where a head follows, with the classes before and there; and those that follow an id, with it and the class inside the word."""
+        y, before = x[:, CONTEXT:].reshape(-1), x[:, CONTEXT - 1 : -1].reshape(-1)
+        own = live.reshape(-1)
+        head = np.flatnonzero(self.heads[y] & own)
+        tail = np.flatnonzero((before < len(self.e) - 2) & own)
+        return head, last[:, CONTEXT - 1 : -1].reshape(-1)[head], self.kinds[y[head]], tail, before[tail], self.tail_kinds[y[tail]]
+
+
+def gradients(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
+    """Of the log likelihood a place over the ``live`` (windows x NEW) places, and that. ``last``: the class of the head at or before each place."""
+    seen = t.e[x[:, :-1]]
     flat = lambda z: z.reshape(-1, z.shape[-1])
     of = lambda z, m: (flat(z) @ m).reshape(*z.shape[:2], WIDTH)
     v, new = of(seen, w["v"]), np.ascontiguousarray(seen[:, CONTEXT - 1 :])
-    last = kinds[x[:, CONTEXT - 1 : -1]].reshape(-1)
-    p, q, k, a, h = attend(w, of(new, w["q"]), of(seen, w["k"]), v, last)
-    n = max(int(live.sum()), 1)
-    np.exp(p, out=p)
-    y, own, at = kinds[x[:, CONTEXT:]].reshape(-1), live.reshape(-1), np.arange(len(p))
-    each = own / np.float32(n)
-    total = p @ np.ones(CLASSES, p.dtype)
-    loss = float(np.log(p[at, y] / total + 1e-30)[own].sum()) / n
-    d = np.multiply(p, (-each / total)[:, None], out=p)
-    d[at, y] += each
-    order = np.argsort(last, kind="stable")
-    firsts = np.flatnonzero(np.diff(last[order], prepend=-1))
-    bias = np.zeros_like(w["bias"])
-    bias[last[order][firsts]] = np.add.reduceat(d[order], firsts, axis=0)
-    dh = (d @ w["out"].T).reshape(h.shape)
+    h, q, k, a = attend(w, of(new, w["q"]), of(seen, w["k"]), v)
+    head, was, y, tail, before, z = t.events(x, last, live)
+    n, every = max(int(live.sum()), 1), flat(h)
+    loss, dh = 0.0, np.zeros_like(every)
+    grown = {}
+    for name, at, known, own in (("out", head, w["bias"][was], y), ("tail", tail, t.after[before], z)):
+        p, rows = chances(every[at], w[name], known), np.arange(len(at))
+        loss += float(np.log(p[rows, own] + 1e-30).sum()) / n
+        p *= np.float32(-1 / n)
+        p[rows, own] += np.float32(1 / n)
+        grown[name] = every[at].T @ p
+        dh[at] += p @ w[name].T
+        if name == "out":
+            order = np.argsort(was, kind="stable")
+            firsts = np.flatnonzero(np.diff(was[order], prepend=-1))
+            grown["bias"] = np.zeros_like(w["bias"])
+            if len(firsts):
+                grown["bias"][was[order][firsts]] = np.add.reduceat(p[order], firsts, axis=0)
+    dh = dh.reshape(h.shape)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a) @ np.ones((a.shape[2], 1), a.dtype))
     dq = ds @ k * np.float32(WIDTH**-0.5)
     dk = ds.transpose(0, 2, 1) @ q
     dv = a.transpose(0, 2, 1) @ dh
-    return {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0), "out": flat(h).T @ d, "bias": bias}, loss
+    return grown | {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0)}, loss
 
 
 class Adam:
@@ -145,8 +179,11 @@ class Adam:
             self.w[k] += (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
-def windows(stream: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of stacked texts (ends included; ``before`` stands before each) and, for each window and new place, its index in ``stream`` or -1."""
+def windows(stream: np.ndarray, sizes: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of stacked texts' ids (ends included; begins stand before each), the class of the head at or before each place, and, for each window and new place, its index in ``stream`` or -1."""
+    before = len(t.e) - 2
+    head = np.where(t.heads[stream], np.arange(len(stream)), 0)  # a text begins with a head, or is the end alone
+    last = t.kinds[stream[np.maximum.accumulate(head)]] if len(stream) else np.zeros(0, np.uint8)
     start = np.cumsum(sizes) - sizes
     count = -(-sizes // NEW)
     text = np.repeat(np.arange(len(sizes)), count)
@@ -154,8 +191,7 @@ def windows(stream: np.ndarray, sizes: np.ndarray, before: int) -> tuple[np.ndar
     local = first[:, None] + np.arange(-CONTEXT, NEW)
     inside = (local >= 0) & (local < sizes[text][:, None])
     at = np.where(inside, local + start[text][:, None], 0)
-    x = np.where(inside, stream[at], before)
-    return x, np.where(inside, at, -1)[:, CONTEXT:]
+    return np.where(inside, stream[at], before), np.where(inside, last[at], BEGIN), np.where(inside, at, -1)[:, CONTEXT:]
 
 
 class Subwords:
@@ -218,90 +254,112 @@ class Model:
     weights: dict = field(default_factory=dict)
 
     @cached_property
-    def log_after(self) -> np.ndarray:
-        """Log10 chance of each tail class after an id."""
-        out = np.zeros(self.subwords.size * TAILS, np.float32)
-        out[self.followed[0]] = self.followed[1]
-        out = out.reshape(-1, TAILS)
-        every = out.sum(axis=0) + np.float32(0.1)
-        out += BACK * every / every.sum()
-        out /= out.sum(axis=1, keepdims=True)
-        return np.log10(out, out=out)
-
-    def spelling(self, flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log10 chance of words' ids (``flat``, ``n`` of each word, at least one) given the head's class."""
-        head = np.cumsum(n) - n
-        shift = np.append(flat[1:], 0)
-        shift[head[1:] - 1] = -1
-        shift[-1:] = -1  # after the last id of a word comes its end
-        ends = shift < 0
-        kind = np.where(ends, 0, self.tail_kinds[shift])
-        step = self.log_after[flat, kind] + np.where(ends, 0, np.log10(self.tail_share[shift]))
-        return np.log10(self.head_share[flat[head]]) + np.add.reduceat(step, head) if len(n) else np.zeros(0)
-
-    def unseen(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(head, log10 of the tokens that a word's spelling stands for): its chance is (max(c - D, 0) + 10**that) / max(C_k, 1)."""
-        head = flat[np.cumsum(n) - n]
-        k = self.kinds[head]
-        weight = np.where(self.tokens[k] > 0, self.discount * self.distinct[k], 1.0)
-        return head, np.log10(weight) + self.spelling(flat, n)
+    def known(self) -> Tables:
+        """The tables of attention; the logits of what follows an id come from counts over distinct words."""
+        size = self.subwords.size
+        after = np.zeros(size * TAILS, np.float32)
+        after[self.followed[0]] = self.followed[1]
+        after = after.reshape(-1, TAILS)
+        every = after.sum(axis=0) + np.float32(0.1)
+        after += BACK * every / every.sum()
+        after /= after.sum(axis=1, keepdims=True)
+        heads = np.append(self.subwords.spaced, [False, True])
+        tails = np.where(heads, 0, np.append(self.tail_kinds, [0, 0]))
+        return Tables(self.embedded, self.kinds, tails, heads, np.log(after, out=after))
+
+    @cached_property
+    def log_tail_share(self) -> np.ndarray:
+        """Log10 of an inner id's share of its class; 0 for a head, where a word has ended."""
+        return np.where(self.known.heads, 0, np.log10(np.append(self.tail_share, [1, 1])))
+
+    @cached_property
+    def log_weight(self) -> np.ndarray:
+        """By head id: log10 of the tokens that the class keeps for spelling, and of the head's share of it."""
+        k = self.kinds[: self.subwords.size]
+        return np.log10(np.where(self.tokens[k] > 0, self.discount * self.distinct[k], 1.0)) + np.log10(self.head_share)
 
     @cached_property
     def log_tokens(self) -> np.ndarray:
         return np.log10(np.maximum(self.tokens, 1))
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def projected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return tuple(self.embedded @ self.weights[k] for k in "qkv")
 
-    def log_chances(self, x: np.ndarray) -> np.ndarray:
-        """For windows of ids, the log10 chance of the class at each place CONTEXT.."""
-        own, (q, k, v) = np.empty((len(x), NEW), np.float32), self.tables
+    def log_chances(self, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of ids, log10 chances at each place CONTEXT..: of the head class (0 where no head is), and of what follows inside the word (0 after a begin)."""
+        (q, k, v), t, w = self.projected, self.known, self.weights
+        first, inner = (np.zeros((len(x), NEW), np.float32) for _ in range(2))
         for at in range(0, len(x), 64):
-            some = x[at : at + 64]
-            seen, last = some[:, :-1], some[:, CONTEXT - 1 : -1]
-            logits = attend(self.weights, q[last], k[seen], v[seen], self.kinds[last].reshape(-1))[0]
-            y = self.kinds[some[:, CONTEXT:]].reshape(-1)
-            got = logits[np.arange(len(y)), y]
-            np.exp(logits, out=logits)
-            own[at : at + 64] = (got - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(-1, NEW)
-        return own / np.float32(np.log(10))
+            some, own = x[at : at + 64], slice(at, at + 64)
+            seen, new = some[:, :-1], some[:, CONTEXT - 1 : -1]
+            h = attend(w, q[new], k[seen], v[seen])[0].reshape(-1, WIDTH)
+            head, was, y, tail, before, z = t.events(some, last[own], live[own])
+            first[own].reshape(-1)[head] = np.log10(chances(h[head], w["out"], w["bias"][was])[np.arange(len(head)), y] + np.float32(1e-30))
+            inner[own].reshape(-1)[tail] = np.log10(chances(h[tail], w["tail"], t.after[before])[np.arange(len(tail)), z] + np.float32(1e-30))
+        return first, inner
+
+    def scores(self, stream: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts' ids and the place of each token's head among them: log10 of its head class's chance, and of its spelling's chance times the tokens that stand for it (0 for an end)."""
+        x, last, at = windows(stream, sizes, self.known)
+        live = at >= 0
+        one, more = self.log_chances(x, last, live)
+        first, inner = np.zeros(len(stream)), np.zeros(len(stream) + 1)
+        first[at[live]], inner[at[live]] = one[live], more[live]
+        inner[:-1] += self.log_tail_share[stream]
+        # what follows a token's head: its other ids, and its end, which stands at the next token's head
+        spelled = np.add.reduceat(np.append(inner[1:], 0), starts) if len(starts) else np.zeros(0)
+        heads, end = stream[starts], stream[starts] > self.subwords.size
+        return first[starts], np.where(end, 0, spelled + self.log_weight[np.where(end, 0, heads)])
 
 
 class Lexicon(dict):
-    """Words by number, with each word's head id, unseen weight (see ``Model``) and training count (-1: not among the frequent words).
+    """Words by number, with each word's ids and training count (-1: not among the frequent words).
 
-    Number 0 is a text's end. When it is full (``kept`` others beside them), only the frequent words stay.
+    Number 0 is a text's end. When it is full (``kept`` words or ``KEPT_BYTES`` beside the frequent ones), only these stay.
     """
 
     def __init__(self, subwords: Subwords, hot: dict[bytes, int], model: Model | None = None, kept: float = KEPT):
         super().__init__()
         self.subwords, self.hot, self.model, self.kept = subwords, hot, model, kept
-        self.head, self.weight, self.count = array("i", [subwords.size + 1]), array("d", [0.0]), array("q", [0])
+        self.ids, self.first, self.many, self.count = array("i", [subwords.size + 1]), array("q", [0]), array("i", [1]), array("q", [0])
+        self.bytes = 0
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of distinct words; new ones are taken in."""
-        if len(self) > self.kept + len(self.hot):
+        if len(self) > self.kept + len(self.hot) or self.bytes > KEPT_BYTES:
             self.trim()
         found = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
             flat, n = self.subwords.ids_of(new)
-            if self.model:
-                self.weight.extend(self.model.unseen(flat, n)[1].tolist())
-            self.count.extend([self.hot.get(w, -1) for w in new])
-            self.head.extend(flat[np.cumsum(n) - n].tolist())
-            found[missing] = np.arange(len(self.head) - len(new), len(self.head))
+            counts = [self.hot.get(w, -1) for w in new]
+            self.bytes += sum(len(w) + 4 * k for w, k, c in zip(new, n.tolist(), counts, strict=True) if c < 0)
+            self.count.extend(counts)
+            self.first.extend((len(self.ids) + np.cumsum(n) - n).tolist())
+            self.many.extend(n.tolist())
+            self.ids.frombytes(flat.astype(np.int32).tobytes())
+            found[missing] = np.arange(len(self.many) - len(new), len(self.many))
             self.update(zip(new, found[missing].tolist(), strict=True))
         return found
 
     def trim(self) -> None:
         kept = [(w, k) for w, k in self.items() if self.count[k] >= 0]
-        places = [0, *(k for _, k in kept)]
-        self.head, self.weight, self.count = (array(x.typecode, map(x.__getitem__, places if len(x) > 1 else [0])) for x in (self.head, self.weight, self.count))
+        places = np.array([0, *(k for _, k in kept)])
+        flat, n = self.ids_of(places)
+        self.ids, self.first, self.many = array("i", flat.astype(np.int32).tobytes()), array("q", (np.cumsum(n) - n).tolist()), array("i", n.tolist())
+        self.count = array("q", np.array(self.count)[places].tolist())
         self.clear()
         self.update((w, k) for k, (w, _) in enumerate(kept, 1))
+        self.bytes = 0
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one after the other, and how many each has."""
+        n = np.frombuffer(self.many, np.int32)[numbers].astype(np.int64)
+        first = np.frombuffer(self.first, np.int64)[numbers]
+        places = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.frombuffer(self.ids, np.int32)[places].astype(np.int64), n
 
 
 class Words:
@@ -334,18 +392,18 @@ def bucket_of(ids: np.ndarray) -> np.ndarray:
 
 
 def embed(profile: np.ndarray, size: int) -> np.ndarray:
-    """Embeddings of ids from the counts of what stands around them (ids x BUCKETS); the rows of begin and end come last."""
+    """Embeddings of ids from counts of what stands around them (a row an id); the rows of begin and end come last."""
     every = profile.sum(axis=0) + 1.0
     x = profile + 4 * every / every.sum()  # ids seen seldom stay near the mean
     x = np.sqrt(x / x.sum(axis=1, keepdims=True))
     weight = np.sqrt(profile.sum(axis=1) + 1e-3)
     x -= (x * weight[:, None]).sum(axis=0) / weight.sum()
     _, main = np.linalg.eigh((x * weight[:, None]).T @ x)
-    x = x @ main[:, ::-1][:, : EMBEDDED - 2]
+    x = x @ main[:, ::-1][:, : EMBEDDED - 3]
     x /= np.sqrt((x * x).sum(axis=1) @ weight / weight.sum()) + 1e-9
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1)
     out = np.zeros((size + 2, EMBEDDED), np.float32)
-    out[:size, : EMBEDDED - 2] = 2 * x
+    out[:size, : EMBEDDED - 3] = 2 * x
     out[size, -2] = out[size + 1, -1] = 2
     return out
 
@@ -372,13 +430,13 @@ def share_of_class(counts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return share / np.bincount(kinds, weights=share)[kinds]
 
 
-def fit_windows(w: dict, e: np.ndarray, x: np.ndarray, kinds: np.ndarray, live: np.ndarray, rate: float, epochs: int = 3, batch: int = 128) -> dict:
+def fit_windows(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.ndarray, rate: float, epochs: int = 3, batch: int = 128) -> dict:
     step = Adam(w, rate)
     order = np.random.Generator(np.random.PCG64(9))
     for _ in range(epochs):
         for some in np.array_split(order.permutation(len(x)), max(1, len(x) // batch)):
             if len(some):
-                step.step(gradients(w, e, x[some], kinds, live[some])[0])
+                step.step(gradients(w, t, x[some], last[some], live[some])[0])
     return w
 
 
@@ -388,19 +446,19 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str = "raw") -> Iterator[
         yield from small_batches(whole, column, 1 << 20)
 
 
-def as_heads(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' heads, one after the other, and how many each text has, from their stored bytes."""
+def as_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ids, one after the other, and how many each text has, from their stored bytes."""
     raw = column.to_pylist()
     return np.frombuffer(b"".join(raw), "<i4").astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64)
 
 
 def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(word, c), (k, c) and (h, heads) of ``texts`` (h, raw).
+    """(word, c), (k, c) and (h, ids) of ``texts`` (h, raw).
 
-    k: a head times BUCKETS plus the bucket of a head up to two words before or after; heads: a row a text, its heads
+    k: a head times BUCKETS plus the bucket of a head up to two words before or after; ids: a row a text, all its ids
     and the end as four bytes each. Counts are added up in each task, in pieces of bounded size, before the exchange.
     """
-    schema = pa.schema([("word", pa.binary()), ("k", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("heads", pa.binary())])
+    schema = pa.schema([("word", pa.binary()), ("k", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -412,30 +470,40 @@ def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataF
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
             numbers = lexicon.numbers(words.distinct)
-            seen = np.append(seen, np.zeros(len(lexicon.head) - len(seen), np.int64))
+            seen = np.append(seen, np.zeros(len(lexicon.many) - len(seen), np.int64))
             seen[numbers] += np.bincount(words.at, minlength=len(words.distinct) + 1)[1:]
-            heads = np.array(lexicon.head)[np.append(0, numbers)][words.at]
+            tokens = np.append(0, numbers)[words.at]
+            flat, n = lexicon.ids_of(tokens)
+            heads = flat[np.cumsum(n) - n]
             text, bucket = np.repeat(np.arange(len(words.lengths)), words.lengths), bucket_of(heads)
             for apart in (1, 2):
                 same = text[apart:] == text[:-apart]
                 np.add.at(near, heads[apart:][same] * BUCKETS + bucket[:-apart][same], 1)
                 np.add.at(near, heads[:-apart][same] * BUCKETS + bucket[apart:][same], 1)
-            stored = heads.astype("<i4").tobytes()
-            ends = (4 * np.append(words.text_start, len(heads))).tolist()
-            yield rows(h=batch.column("h"), heads=[stored[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-            if len(lexicon) > COUNTED:
-                yield rows(word=list(lexicon), c=seen[1:])
+            stored = flat.astype("<i4").tobytes()
+            ends = (4 * np.append(np.append(0, np.cumsum(n))[words.text_start], len(flat))).tolist()
+            yield rows(h=batch.column("h"), ids=[stored[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            if len(lexicon) > COUNTED or lexicon.bytes > KEPT_BYTES:
+                yield from counted(lexicon, seen)
                 lexicon.trim()
                 seen = seen[:1]
-        yield rows(word=list(lexicon), c=seen[1:])
+        yield from counted(lexicon, seen)
         places = np.flatnonzero(near)
         for a in range(0, len(places), 100_000):
             some = places[a : a + 100_000]
             yield rows(k=some, c=near[some])
 
-    parts = materialize(texts.mapInArrow(run, "word binary, k long, c long, h long, heads binary"))
+    def counted(lexicon: Lexicon, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = list(lexicon)
+        cut = np.flatnonzero(np.diff(np.cumsum([len(w) for w in known]) // SENT_BYTES)) + 1 if known else []
+        bounds = [0, *map(int, cut), len(known)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a:
+                yield rows(word=known[a:b], c=seen[1 + a : 1 + b])
+
+    parts = materialize(texts.mapInArrow(run, "word binary, k long, c long, h long, ids binary"))
     total = F.sum("c").alias("c")
-    return parts.where("word IS NOT NULL").groupBy("word").agg(total), parts.where("k IS NOT NULL").groupBy("k").agg(total), parts.where("heads IS NOT NULL").select("h", "heads")
+    return parts.where("word IS NOT NULL").groupBy("word").agg(total), parts.where("k IS NOT NULL").groupBy("k").agg(total), parts.where("ids IS NOT NULL").select("h", "ids")
 
 
 def spelled(counts: DataFrame, subwords: Subwords) -> DataFrame:
@@ -521,27 +589,29 @@ def frequent(words: DataFrame, most: int = HOT) -> dict[bytes, int]:
     return {} if least is None else {bytes(r.word): r.c for r in short.where(F.col("c") >= least).toLocalIterator()}
 
 
-def train_shards(training: DataFrame, tokens: int, kinds: np.ndarray, e: np.ndarray, weights: dict, rate: float = 2e-3) -> dict:
-    """Every shard of ``training`` (h, heads) trains ``weights`` on every window of its texts; the mean by tokens."""
+def train_shards(training: DataFrame, tokens: int, known: Tables, weights: dict, rate: float = 2e-3) -> dict:
+    """Every shard of ``training`` (h, ids) trains ``weights`` on every window of its texts; the mean by tokens."""
     shards = min(max(1, tokens // SHARD_TOKENS), 1 << 20)
     sc = training.sparkSession.sparkContext
-    sent = sc.broadcast((kinds, e))
+    sent = sc.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, e = sent.value
+        t = sent.value
         shard, step, n, done = None, None, 0, []
         out = np.zeros(sum(int(np.prod(s)) for _, s in PARTS), object)
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def learn(rest: bool) -> None:
             nonlocal n, held
-            x = np.concatenate([a for a, _ in held]) if held else np.zeros((0, WINDOW), np.int64)
-            live = np.concatenate([b for _, b in held]) if held else np.zeros((0, NEW), bool)
+            if not held:
+                return
+            x, last, live = (np.concatenate(part) for part in zip(*held, strict=True))
             upto = len(x) if rest else len(x) // 128 * 128
             for a in range(0, upto, 128):
-                step.step(gradients(step.w, e, x[a : min(a + 128, upto)], kinds, live[a : min(a + 128, upto)])[0])
+                some = slice(a, min(a + 128, upto))
+                step.step(gradients(step.w, t, x[some], last[some], live[some])[0])
             n += int(live[:upto].sum())
-            held = [(x[upto:], live[upto:])]
+            held = [(x[upto:], last[upto:], live[upto:])]
 
         def close() -> None:
             nonlocal n, held
@@ -552,7 +622,7 @@ def train_shards(training: DataFrame, tokens: int, kinds: np.ndarray, e: np.ndar
                 done.append(n)
             n, held = 0, []
 
-        for batch in _slices(batches, "heads"):
+        for batch in _slices(batches, "ids"):
             # a shard's windows are cut from its texts in order, whatever batches they come in
             marks = np.asarray(batch.column("shard"))
             cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
@@ -562,15 +632,15 @@ def train_shards(training: DataFrame, tokens: int, kinds: np.ndarray, e: np.ndar
                 if marks[a] != shard:
                     close()
                     shard, step = marks[a], Adam({k: v.copy() for k, v in weights.items()}, rate)
-                x, at = windows(*as_heads(batch.column("heads").slice(a, b - a)), len(e) - 2)
-                held.append((x, at >= 0))
+                x, last, at = windows(*as_ids(batch.column("ids").slice(a, b - a)), t)
+                held.append((x, last, at >= 0))
                 learn(False)
         close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array([str(v) for v in out]), pa.array(np.full(len(out), sum(done)), pa.int64())], ["i", "x", "n"])
 
     dealt = training.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "heads").select("shard", "heads")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
     rows = dealt.mapInArrow(run, "i int, x string, n long").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum("n").alias("n")).collect()
     sent.unpersist()
     if not rows or not rows[0].n:
@@ -582,28 +652,29 @@ def train_shards(training: DataFrame, tokens: int, kinds: np.ndarray, e: np.ndar
     return {k: flat[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(PARTS, cuts, cuts[1:], strict=False)}
 
 
-def first_weights(training: DataFrame, kinds: np.ndarray, e: np.ndarray) -> dict:
-    """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most ``SAMPLE_TOKENS``)."""
-    short = training.where(F.octet_length("heads") <= 4 * SAMPLE_TOKENS)
+def first_weights(training: DataFrame, known: Tables) -> dict:
+    """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most ``SAMPLE_TOKENS`` ids)."""
+    short = training.where(F.octet_length("ids") <= 4 * SAMPLE_TOKENS)
     least = [r.h for r in short.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
-    chosen = short.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("heads").alias("heads")).orderBy("h").collect() if least else []
+    chosen = short.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("ids").alias("ids")).orderBy("h").collect() if least else []
     if not chosen:
         return new_weights(np.ones((CLASSES, CLASSES)))
-    x, at = windows(*as_heads(pa.array([bytes(r.heads) for r in chosen], pa.binary())), len(e) - 2)
-    live, kind = at >= 0, kinds[x]
+    x, last, at = windows(*as_ids(pa.array([bytes(r.ids) for r in chosen], pa.binary())), known)
+    live = at >= 0
+    _, was, y, *_ = known.events(x, last, live)
     steps = np.zeros((CLASSES, CLASSES))
-    np.add.at(steps, (kind[:, CONTEXT - 1 : -1][live], kind[:, CONTEXT:][live]), 1)
-    return fit_windows(new_weights(steps), e, x, kinds, live, 1e-2)
+    np.add.at(steps, (was, y), 1)
+    return fit_windows(new_weights(steps), known, x, last, live, 1e-2)
 
 
 def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFrame, dict[bytes, int], int, int, int]:
     """The model of ``training`` (doc_id, raw), the table of counted words (word, c, ids), its frequent words, all tokens, distinct tokens and ends."""
     subwords = Subwords(ranks, pattern)
     size = subwords.size
-    counted, around, heads = count_corpus(training.select("raw", F.xxhash64("doc_id", "raw").alias("h")), subwords)
+    counted, around, texts = count_corpus(training.select("raw", F.xxhash64("doc_id", "raw").alias("h")), subwords)
     words = materialize(spelled(counted, subwords))
     n1, n2, total, distinct = words.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = heads.count()
+    ends = texts.count()
 
     e = embed(dense(around, (size + 2) * BUCKETS).reshape(-1, BUCKETS)[:size].astype(float), size)
     tokens, types, inside = head_counts(words, size)
@@ -612,6 +683,9 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     by_head = by_place(words, size, CLASSES, lambda flat, n, kinds=kinds: flat * CLASSES + np.repeat(kinds[flat[np.cumsum(n) - n]], n))
     shape = np.sqrt((by_head + 0.5) / (by_head + 0.5).sum(axis=1, keepdims=True))
     tail_kinds = grouped(inside, shape, 1, TAILS_ALONE, TAILS)
+    inner = ~subwords.spaced
+    e[:size][inner] = embed(by_head.astype(float), size)[:size][inner]
+    e[:size][inner, -3] = 1
 
     def steps(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
         kind = np.append(tail_kinds[flat[1:]], 0).astype(np.int64)
@@ -628,7 +702,8 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     model.weights = new_weights(np.ones((CLASSES, CLASSES)))
     hot = frequent(words)
     if ends:
-        model.weights = train_shards(heads, total + ends, kinds, e, first_weights(heads, kinds, e))
+        ids = texts.agg(F.sum(F.expr("octet_length(ids) div 4"))).first()[0]
+        model.weights = train_shards(texts, ids, model.known, first_weights(texts, model.known))
     # nothing stands for a begin, nor for a class without ids
     model.weights["bias"][:, np.setdiff1d(np.arange(CLASSES), np.append(kinds[:size], END))] = -1e4
     return model, words, hot, total + ends, distinct + bool(ends), ends
@@ -644,16 +719,15 @@ def _score(lexicon_of, ends: int):
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
             numbers = words.known(lexicon)
-            heads = np.array(lexicon.head)[numbers]
-            x, at = windows(heads, words.lengths, model.subwords.size)
-            own, live = model.log_chances(x), at >= 0
-            score = np.empty(len(heads))
-            score[at[live]] = own[live]
-            c, weight, end = np.array(lexicon.count)[numbers], np.array(lexicon.weight)[numbers], numbers == 0
+            flat, n = lexicon.ids_of(numbers)
+            starts = np.cumsum(n) - n
+            sizes = np.add.reduceat(n, words.text_start)
+            score, weight = model.scores(flat, sizes, starts)
+            c, end = np.frombuffer(lexicon.count, np.int64)[numbers], numbers == 0
             hot = c >= 0
-            score[~end] -= model.log_tokens[model.kinds[heads[~end]]]
+            score[~end] -= model.log_tokens[model.kinds[flat[starts][~end]]]
             seen = hot & ~end
-            score[seen] += np.log10(np.maximum(c[seen] - model.discount, 0) + 10.0 ** weight[seen])
+            score[seen] += np.log10(np.maximum(c[seen] - model.discount, 0) + 10.0 ** weight[seen] + 1e-300)
             c = np.where(end, ends, c)
             base = np.where(hot, np.log10(np.maximum(c, 0) + 1), 0)
             rare = np.flatnonzero(~hot)

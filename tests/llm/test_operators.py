@@ -198,25 +198,45 @@ def ranks():
     return open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), P.PATTERN
 
 
-def test_attention_gradients():
+def lm_tables(size=200):
     r = np.random.default_rng(0)
-    w = {k: r.normal(size=s) * 0.4 for k, s in lm.PARTS}
-    e, kinds = r.normal(size=(200, lm.EMBEDDED)), r.integers(1, lm.CLASSES, 200)
-    x, live = r.integers(0, 200, (3, lm.WINDOW)), r.random((3, lm.NEW)) < 0.7
-    g, _ = lm.gradients(w, e, x, kinds, live)
-    for k in w:
-        i = tuple(r.integers(0, n) for n in w[k].shape)
-        w[k][i] += 1e-5
-        a = lm.gradients(w, e, x, kinds, live)[1]
-        w[k][i] -= 2e-5
-        assert g[k][i] == pytest.approx((a - lm.gradients(w, e, x, kinds, live)[1]) / 2e-5, abs=1e-6)
-        w[k][i] += 1e-5
+    heads = np.append(np.arange(size) % 3 == 0, [False, True])
+    kinds = np.append(r.integers(2, lm.CLASSES, size), [lm.BEGIN, lm.END])
+    return lm.Tables(r.normal(size=(size + 2, lm.EMBEDDED)), kinds, np.where(heads, 0, r.integers(1, lm.TAILS, size + 2)), heads, r.normal(size=(size, lm.TAILS)))
 
 
-def test_windows_show_each_token_once():
-    sizes = np.array([1, 24, 25, 100])
-    x, at = lm.windows(np.arange(sizes.sum()) % 60 + 2, sizes, 0)
-    assert sorted(at[at >= 0].tolist()) == list(range(sizes.sum())) and x.shape[1] == lm.WINDOW
+def test_attention_gradients():
+    r, t = np.random.default_rng(0), lm_tables()
+    w = {k: r.normal(size=s) * 0.4 for k, s in lm.PARTS}
+    sizes = np.array([70, 1, 20])
+    stream = r.integers(0, 200, sizes.sum())
+    stream[np.cumsum(sizes) - sizes] = 3
+    stream[np.cumsum(sizes) - 1] = 201
+    x, last, at = lm.windows(stream, sizes, t)
+    live = (at >= 0) & (r.random(at.shape) < 0.8)
+    g, _ = lm.gradients(w, t, x, last, live)
+    assert set(g) == set(w)
+    for k in w:
+        for _ in range(3):
+            i = tuple(r.integers(0, n) for n in w[k].shape)
+            w[k][i] += 1e-5
+            a = lm.gradients(w, t, x, last, live)[1]
+            w[k][i] -= 2e-5
+            assert g[k][i] == pytest.approx((a - lm.gradients(w, t, x, last, live)[1]) / 2e-5, abs=1e-6)
+            w[k][i] += 1e-5
+
+
+def test_windows_show_each_id_once():
+    sizes, t = np.array([1, 24, 25, 100]), lm_tables()
+    stream = np.arange(sizes.sum()) % 60 + 2
+    stream[np.cumsum(sizes) - sizes] = 0
+    x, last, at = lm.windows(stream, sizes, t)
+    assert sorted(at[at >= 0].tolist()) == list(range(sizes.sum())) and x.shape[1] == lm.WINDOW == last.shape[1]
+    for row, kind, places in zip(x, last, at, strict=True):
+        for p in range(lm.NEW):
+            if places[p] >= 0:
+                before = [k for k in range(places[p] + 1) if t.heads[stream[k]]][-1]
+                assert kind[lm.CONTEXT + p] == t.kinds[stream[before]] and row[lm.CONTEXT + p] == stream[places[p]]
 
 
 def lm_texts():
@@ -248,32 +268,44 @@ def test_lm_counts_and_base(spark):
 
 
 def plain_score(model, counts, text):
-    """A text's score word by word, with attention as loops."""
+    """A text's score word by word, with attention over all ids as loops."""
     w, size, found = model.weights, model.subwords.size, (text or "").encode().lower().split()
-    ids = [model.subwords.ids(x) for x in found]
-    heads = [*(i[0] for i in ids), size + 1]
-    total = 0.0
-    for t, head in enumerate(heads):
+    ids = [*(model.subwords.ids(x) for x in found), [size + 1]]
+    flat = [i for x in ids for i in x]
+    head_of = [x[0] for x in ids for _ in x]
+    after = np.zeros((size, lm.TAILS))
+    after.ravel()[model.followed[0]] = model.followed[1]
+    every = (after.sum(axis=0) + 0.1) / (after.sum(axis=0) + 0.1).sum()
+
+    def both(t):
+        """Chances at place t: of head classes, and of what follows the id before inside its word."""
         first = t // lm.NEW * lm.NEW - lm.CONTEXT
-        before = [heads[p] if p >= 0 else size for p in range(first, t)]
+        before = [flat[p] if p >= 0 else size for p in range(first, t)]
         e = model.embedded[before]
         q = (e[-1] @ w["q"] + w["pq"][t - first - lm.CONTEXT]) / lm.WIDTH**0.5
         a = np.exp([q @ (y @ w["k"] + w["pk"][p]) for p, y in enumerate(e)])
-        logits = (a / a.sum()) @ (e @ w["v"]) @ w["out"] + w["bias"][model.kinds[before[-1]]]
-        chances = np.exp(logits) / np.exp(logits).sum()
-        k = model.kinds[head]
-        total += np.log10(chances[k])
-        if t == len(ids):
+        h = (a / a.sum()) @ (e @ w["v"])
+        heads = np.exp(h @ w["out"] + w["bias"][model.kinds[head_of[t - 1] if t else size]])
+        inner = None
+        if t:
+            x = flat[t - 1]
+            inner = np.exp(h @ w["tail"]) * (after[x] + lm.BACK * every) / (after[x].sum() + lm.BACK)
+            inner /= inner.sum()
+        return heads / heads.sum(), inner
+
+    total, t = 0.0, 0
+    for n, own in enumerate(ids):
+        k = model.kinds[own[0]]
+        total += np.log10(both(t)[0][k])
+        if n == len(found):
             break
-        spelling = np.log10(model.head_share[head])
-        after = np.zeros((size, lm.TAILS))
-        after.ravel()[model.followed[0]] = model.followed[1]
-        every = (after.sum(axis=0) + 0.1) / (after.sum(axis=0) + 0.1).sum()
-        for x, y in zip(ids[t], [*ids[t][1:], None], strict=True):
+        spelling = np.log10(model.head_share[own[0]])
+        for place, y in enumerate([*own[1:], None], t + 1):
             g = 0 if y is None else model.tail_kinds[y]
-            spelling += np.log10((after[x, g] + lm.BACK * every[g]) / (after[x].sum() + lm.BACK) * (1 if y is None else model.tail_share[y]))
-        c, have = counts.get(found[t], 0), model.tokens[k]
+            spelling += np.log10(both(place)[1][g] * (1 if y is None else model.tail_share[y]))
+        c, have = counts.get(found[n], 0), model.tokens[k]
         total += np.log10((max(c - model.discount, 0) + model.discount * model.distinct[k] * 10**spelling) / have if have else 10**spelling)
+        t += len(own)
     return total
 
 
@@ -291,22 +323,62 @@ def test_lm_scores_equal_plain_loops(spark, monkeypatch):
 
 def test_lm_chances_sum_to_one(spark):
     model, words, *_ = lm.fit(training_of(spark, lm_texts()), *ranks())
-    size = model.subwords.size
-    x = np.array([[size] * lm.CONTEXT + list(range(300, 300 + lm.NEW))])
-    logits = lm.attend(model.weights, *(t[x[:, s]] for t, s in zip(model.tables, (slice(lm.CONTEXT - 1, -1), slice(0, -1), slice(0, -1)), strict=True)), model.kinds[x[:, lm.CONTEXT - 1 : -1]].reshape(-1))[0]
-    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
-    assert p.sum(axis=1) == pytest.approx(1, abs=1e-5)
+    size, t, w = model.subwords.size, model.known, model.weights
+    h = np.random.default_rng(1).normal(size=(40, lm.WIDTH)).astype(np.float32)
+    p = lm.chances(h, w["out"], w["bias"][np.arange(40) % lm.CLASSES])
     kinds = model.kinds[:size]
-    assert p[:, [k for k in range(lm.CLASSES) if k != lm.END and k not in kinds]].max() < 1e-9
+    assert p.sum(axis=1) == pytest.approx(1, abs=1e-5) and p[:, [k for k in range(lm.CLASSES) if k != lm.END and k not in kinds]].max() < 1e-9
+    assert lm.chances(h, w["tail"], t.after[:40]).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    spaced = model.subwords.spaced
     for of, share in ((kinds, model.head_share), (model.tail_kinds, model.tail_share)):
         sums = np.bincount(of, weights=share)
         assert sums[np.unique(of)] == pytest.approx(1)
-    assert (10.0**model.log_after).sum(axis=1) == pytest.approx(1, abs=1e-3)
+    assert np.exp(t.after).sum(axis=1) == pytest.approx(1, abs=1e-3)
+    assert (t.tail_kinds[:size][spaced] == 0).all() and (model.tail_kinds > 0).all()
     for k in np.flatnonzero(model.tokens):  # counted words and what is left for spelling
         own = [r.c for r in words.collect() if kinds[r.ids[0]] == k]
         assert sum(c - model.discount for c in own) / model.tokens[k] + model.discount * model.distinct[k] / model.tokens[k] == pytest.approx(1)
 
 
+def test_every_id_enters_attention(spark):
+    model, *_ = lm.fit(training_of(spark, lm_texts()), *ranks())
+    ids = [model.subwords.ids(x) for x in (b"w117", b"w23", b"w9")]
+    ids[0] = [*ids[0][:1], ids[0][1], *ids[0][2:]]
+    assert len(ids[0]) > 1
+    other = [[ids[0][0], ids[0][1] + 1 if not model.subwords.spaced[ids[0][1] + 1] else ids[0][1] - 1, *ids[0][2:]], *ids[1:]]
+
+    def heads(own):
+        flat = np.array([*(i for x in own for i in x), model.subwords.size + 1])
+        starts = np.cumsum([0, *map(len, own)])
+        return model.scores(flat, np.array([len(flat)]), starts)[0]
+
+    a, b = heads(ids), heads(other)
+    assert a[0] == b[0] and a[1] != b[1] and a[2] != b[2]  # the words after see another inner id
+
+
+def test_words_without_spaces_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KEPT_BYTES", 1 << 16), monkeypatch.setattr(lm, "SENT_BYTES", 1 << 14)
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=1000)) for _ in range(20)) for _ in range(12)]
+    sizes = []
+
+    class Watched(lm.Lexicon):
+        def numbers(self, words):
+            found = super().numbers(words)
+            sizes.append(self.bytes)
+            return found
+
+    watched = Watched(lm.Subwords(*ranks()), {})
+    for t in texts:
+        words = t.encode().split()
+        numbers = watched.numbers(words)
+        flat, n = watched.ids_of(numbers)
+        assert flat.tolist() == [i for w in words for i in watched.subwords.ids(w)] and n.sum() == len(flat)
+    assert max(sizes) < (1 << 16) + 20 * 4000
+    got = lm.lm_scores(docs_of(spark, texts), *ranks()).collect()
+    assert len(got) == 12 and all(x.n_tokens == 21 for x in got)
+
+
 def test_lm_does_not_depend_on_partitions(spark):
     df, scores = docs_of(spark, lm_texts()), []
     for parts in (1, 4):
@@ -321,15 +393,16 @@ def test_lm_learns_from_every_shard(spark, monkeypatch):
     training = training_of(spark, texts)
     subwords = lm.Subwords(*ranks())
     kinds, e = np.arange(subwords.size + 2).astype(np.uint8) % lm.CLASSES, np.random.default_rng(0).normal(size=(subwords.size + 2, lm.EMBEDDED)).astype(np.float32)
+    known = lm.Tables(e, kinds, np.where(np.append(subwords.spaced, [False, True]), 0, 1), np.append(subwords.spaced, [False, True]), np.full((subwords.size, lm.TAILS), -np.log(lm.TAILS), np.float32))
     start = lm.new_weights(np.ones((lm.CLASSES, lm.CLASSES)))
     tokens = training.count() * 61
     heads = lm.count_corpus(training.select("raw", F.xxhash64("doc_id", "raw").alias("h")), subwords)[2]
     assert heads.count() == training.count()
-    whole = lm.train_shards(heads, tokens, kinds, e, start)
+    whole = lm.train_shards(heads, tokens, known, start)
     shards = tokens // 2000
     key = F.pmod("h", F.lit(shards))
     for s in range(shards):  # without any one shard the weights are others
-        assert not np.allclose(lm.train_shards(heads.where(key != s), tokens, kinds, e, start)["bias"], whole["bias"], atol=1e-6) or not heads.where(key == s).count()
+        assert not np.allclose(lm.train_shards(heads.where(key != s), tokens, known, start)["bias"], whole["bias"], atol=1e-6) or not heads.where(key == s).count()
 
 
 def test_attention_lowers_held_out_loss(spark):
@@ -490,6 +563,21 @@ def test_batches_keep_to_the_budget(spark):
     assert packing.pack(df.where("false"), "n", "id").count() == 0
 
 
+def test_a_third_of_equal_rows_is_spread(spark, monkeypatch):
+    rows = [(None if k % 3 == 0 else k, 7 if k % 3 == 0 else k % 40) for k in range(60_000)]
+    seen = []
+    whole = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df: seen.append(whole(df)) or seen[-1])
+    out = packing.pack(spark.createDataFrame(rows, "id long, n long").repartition(5), "n", "id", buckets=4, token_budget=400).collect()
+    counts = sorted(r._k for r in seen[-1].collect())
+    assert len(seen) == 3 and counts[-1] <= 6 * 60_000 / 64 and max(r._k for r in seen[0].collect()) >= 20_000
+    assert len(out) == 60_000 and len({(r.bucket, r.batch, r.slot) for r in out}) == 60_000
+    for b in {r.bucket for r in out}:
+        own = sorted((r.batch, r.slot) for r in out if r.bucket == b)
+        held = max(1, 400 // max(1, next(r.bucket_length for r in out if r.bucket == b)))
+        assert own == [(k // held, k % held) for k in range(len(own))]
+
+
 def test_one_long_text_leaves_the_other_bounds(spark):
     lengths = [random.Random(k).randrange(1, 300) for k in range(400)] + [100_000, 100_001, 10_000_000]
     df = spark.createDataFrame(list(enumerate(lengths)), "id long, n long")

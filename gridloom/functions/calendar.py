@@ -47,11 +47,13 @@ def season(time, lat) -> Column:
 
 
 def two_decimals(x) -> Column:
-    """Text with two decimals of the double's exact value, ties to even, as C's printf gives it (below 2**53); NULL for NULL.
+    """Text with two decimals of the double's exact value, ties to even, as C's printf gives it; NULL for NULL. NaN, infinity and what reaches 2**53 stop the job.
 
     The fraction is parted at 26 bits, so that a hundred times either part, and each difference, is exact.
     """
     x = F.col(x) if isinstance(x, str) else x
+    sound = ~F.isnan(x) & (F.abs(x) < 2.0**53)
+    x = F.when(x.isNull() | sound, x).otherwise(F.raise_error(F.concat(F.lit("no number of two decimals: "), x.cast("string"))).cast("double"))
     size = F.abs(x)
     part = size - F.floor(size)
     high = F.floor(part * 2.0**26) / 2.0**26

@@ -88,6 +88,21 @@ def error_by(df: DataFrame, dimension: str, error: str = "abs_error") -> DataFra
     return df.where(F.col(dimension).isNotNull() & F.col(error).isNotNull()).groupBy(dimension).agg(F.avg(error).alias("mae"), F.count("*").alias("n"))
 
 
+DIMENSIONS = ("climate_zone", "lat_band", "season", "horizon", "level")
+
+
+def error_breakdowns(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, error: str = "abs_error") -> DataFrame:
+    """(dimension, value, mae, n): mean error and rows by each value of each dimension, from one scan and one aggregate. Values are text."""
+    rows = df.where(F.col(error).isNotNull()).select(*[F.col(d).cast("string").alias(d) for d in dimensions], F.col(error).alias("_e"))
+    sums = rows.groupingSets([[d] for d in dimensions], *dimensions).agg(F.avg("_e").alias("mae"), F.count("*").alias("n"), F.grouping_id().alias("_set"))
+    last = len(dimensions) - 1
+    which, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, d in enumerate(dimensions):  # a set's bits are those of the columns that it leaves out
+        mine = F.col("_set") == (2 ** len(dimensions) - 1 - 2 ** (last - k))
+        which, value = F.when(mine, d).otherwise(which), F.when(mine, F.col(d)).otherwise(value)
+    return sums.select(which.alias("dimension"), value.alias("value"), "mae", "n").where("value IS NOT NULL")
+
+
 def ensemble_mean(members: DataFrame, *key: str) -> DataFrame:
     return members.groupBy(*key).agg(F.avg("prediction").alias("prediction"), F.count("*").alias("members"))
 

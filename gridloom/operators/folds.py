@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +55,11 @@ def spatial_folds(df: DataFrame, n: int, size: float = 10.0, spec: PanelSpec = P
 
 
 def spatial_holdout(df: DataFrame, share: float, size: float = 10.0, seed: int = 0, spec: PanelSpec = PANEL) -> DataFrame:
-    """(block, role): a seeded draw of whole blocks, one at least, to be judged on."""
-    blocks = sorted(r[0] for r in df.select(block(spec, size)).distinct().collect())
-    drawn = set() if not blocks else set(np.random.default_rng(seed).choice(blocks, max(1, int(share * len(blocks))), replace=False).tolist())
-    return df.sparkSession.createDataFrame([(b, "val" if b in drawn else "fit") for b in blocks], "block string, role string")
+    """(block, role): whole blocks, one at least, to be judged on: the first ``share`` of them in the order of md5(seed|block). A row a block."""
+    blocks = df.select(block(spec, size).alias("block")).distinct()
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "block")), "block"))
+    counted = blocks.select("block", place.alias("_k"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    return counted.select("block", F.when(F.col("_k") <= F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("_n"))), "val").otherwise("fit").alias("role"))
 
 
 def with_time_folds(df: DataFrame, folds: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
@@ -70,3 +70,19 @@ def with_time_folds(df: DataFrame, folds: DataFrame, spec: PanelSpec = PANEL) ->
 def with_space_folds(df: DataFrame, folds: DataFrame, size: float, spec: PanelSpec = PANEL) -> DataFrame:
     """Each row with the fold that judges it; ``folds`` (block, fold) has a row a block."""
     return df.withColumn("block", block(spec, size)).join(folds, "block").drop("block")
+
+
+def temporal_roles(df: DataFrame, n: int, inner: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """``temporal_folds`` with ``stop``: the last ``inner`` of each fold's fit months (one at least), on which training can stop."""
+    last = Window.partitionBy("fold", "role").orderBy(F.desc(spec.time))
+    most = F.greatest(F.lit(1), F.floor(F.lit(inner) * F.count("*").over(Window.partitionBy("fold", "role"))))
+    return temporal_folds(df, n, spec).withColumn("stop", (F.col("role") == "fit") & (F.row_number().over(last) <= most))
+
+
+def spatial_roles(df: DataFrame, n: int, size: float, inner: float, spec: PanelSpec = PANEL) -> DataFrame:
+    """(block, fold, role, stop): a block is judged on in its own fold and fitted on in the others; ``inner`` of a fold's fit blocks, drawn by md5, can stop training."""
+    own = spatial_folds(df, n, size, spec).withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    roles = own.withColumn("role", F.when(F.col("_own") == F.col("fold"), "val").otherwise("fit")).drop("_own")
+    drawn = Window.partitionBy("fold", "role").orderBy(F.md5(F.concat_ws("|", "fold", "block")), "block")
+    most = F.greatest(F.lit(1), F.floor(F.lit(inner) * F.count("*").over(Window.partitionBy("fold", "role"))))
+    return roles.withColumn("stop", (F.col("role") == "fit") & (F.row_number().over(drawn) <= most))

@@ -50,17 +50,24 @@ def mask_months(df: DataFrame, gap: Iterable[dt.date], spec: PanelSpec = PANEL)
     return df.withColumns({spec.value: F.when(~hit, F.col(spec.value)), spec.masked: hit | spec.is_masked()})
 
 
-def streaks(months: DataFrame, time: str = "time") -> DataFrame:
-    """(time, streak, place): runs of consecutive months; streak is the run's first month, place counts from 1."""
-    order = Window.orderBy(time)
-    island = month_index(F.col(time)) - F.row_number().over(order)
-    run = Window.partitionBy("_island")
-    return months.select(time).distinct().withColumn("_island", island).select(time, F.min(time).over(run).alias("streak"), F.row_number().over(run.orderBy(time)).alias("place"))
+def streaks(months: DataFrame, time: str = "time", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, time, streak, place): runs of consecutive months, for each value of ``by``; streak is the run's first month, place counts from 1.
+
+    Without ``by`` there is a row a month, so few; with it, cells are sorted by themselves.
+    """
+    island = month_index(F.col(time)) - F.row_number().over(Window.partitionBy(*by).orderBy(time))
+    run = Window.partitionBy(*by, "_island")
+    return months.select(*by, time).distinct().withColumn("_island", island).select(*by, time, F.min(time).over(run).alias("streak"), F.row_number().over(run.orderBy(time)).alias("place"))
 
 
-def capped(months: DataFrame, longest: int, time: str = "time") -> DataFrame:
+def capped(months: DataFrame, longest: int, time: str = "time", by: tuple[str, ...] = ()) -> DataFrame:
     """The first ``longest`` months of each streak."""
-    return streaks(months, time).where(F.col("place") <= longest).select(time)
+    return streaks(months, time, by).where(F.col("place") <= longest).select(*by, time)
+
+
+def months_without_value(df: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """(time): the months in which no row of a panel has a value. One row a month."""
+    return df.groupBy(spec.time).agg(F.count(spec.value).alias("_n")).where("_n = 0").select(spec.time)
 
 
 def drawn_lengths(firsts: Iterable[dt.date], lengths: Sequence[int], rng: np.random.Generator) -> list[tuple[dt.date, int]]:

@@ -18,10 +18,11 @@ from ..operators import history as hi
 from ..operators import neighbours as ne
 from ..operators import network as nw
 from ..operators import outages as ou
+from ..operators import redraw as rd
 from ..operators.panel import PANEL, broken_rules, feature_columns, split_panel, union_panels
 from ..sources import tables as src
 from ..streaming import arrivals
-from .features import build_features, not_features
+from .features import VARIANTS, build_features, not_features, variant
 
 #: Months that queries treat as outages, and rates of outage by year.
 GAP = [dt.date(1996, 3, 1), dt.date(1996, 4, 1), dt.date(1997, 1, 1), dt.date(1998, 7, 1), dt.date(1998, 8, 1), dt.date(1998, 9, 1), dt.date(1998, 10, 1), dt.date(1999, 12, 1)]
@@ -218,7 +219,7 @@ _NEAR = f"SELECT o.lat, o.lon, o.time, {_SIDES} FROM o JOIN {_LOOKUP} l ON o.lat
 
 @query(_NEAR)
 def neighbor_last_observed(spark, d):
-    return ne.add_neighbours(observed(spark, d)).select(*ID, *[f"{s}_{c}" for s in ne.SIDES for c in ne.CARRIED])
+    return ne.add_neighbours(observed(spark, d), cells=src.supplier_cells(spark, d)).select(*ID, *[f"{s}_{c}" for s in ne.SIDES for c in ne.CARRIED])
 
 
 @query("SELECT (SELECT lat FROM panel ORDER BY abs(lat - 3.4), lat LIMIT 1) AS lat, (SELECT lon FROM panel ORDER BY abs(lon - 7.6), lon LIMIT 1) AS lon")
@@ -226,6 +227,17 @@ def nearest_grid_point(spark, d):
     return ne.nearest_point(panel(spark, d).select("lat", "lon").distinct(), 3.4, 7.6)
 
 
+_SNAP = {"lat": "CAST(c_acctbal / 61 - 40 AS DOUBLE)", "lon": "CAST(c_custkey % 1300 / 100 AS DOUBLE)"}
+
+
+@query(f""", pt AS (SELECT c_custkey, {_SNAP["lat"]} AS lat, {_SNAP["lon"]} AS lon FROM customer), ya AS (SELECT DISTINCT lat AS v FROM panel), xa AS (SELECT DISTINCT lon AS v FROM panel)
+    SELECT c_custkey, lat, lon, (SELECT arg_min(v, row(abs(v - pt.lat), v)) FROM ya) AS near_lat, (SELECT arg_min(v, row(abs(v - pt.lon), v)) FROM xa) AS near_lon FROM pt""")
+def nearest_cells(spark, d):
+    """Each customer's point with the nearest latitude and longitude of the grid."""
+    points = src.table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 61 - 40).cast("double").alias("lat"), (F.col("c_custkey") % 1300 / 100).cast("double").alias("lon"))
+    return ne.nearest_cells(points, src.supplier_cells(spark, d))
+
+
 # --- outages
 @query("SELECT lat, lon, time, value, masked, target FROM g")
 def mask_months_apply(spark, d):
@@ -244,14 +256,27 @@ def _gap_table(spark):
     return spark.createDataFrame([(x,) for x in GAP], "time date")
 
 
-@query(f"SELECT time, streak, CAST(place AS INTEGER) AS place FROM {_STREAKS}")
+_UNSEEN = "(SELECT time, min(time) OVER (PARTITION BY i) AS streak, row_number() OVER (PARTITION BY i ORDER BY time) AS place FROM (SELECT time, year(time) * 12 + month(time) - row_number() OVER (ORDER BY time) AS i FROM g GROUP BY time HAVING count(value) = 0))"
+
+
+@query(f"SELECT time, streak, CAST(place AS INTEGER) AS place FROM {_UNSEEN}")
 def gap_streaks(spark, d):
-    return ou.streaks(_gap_table(spark))
+    """Runs of months in which no cell has a value."""
+    return ou.streaks(ou.months_without_value(gapped(spark, d)))
 
 
-@query(f"SELECT time FROM {_STREAKS} WHERE place <= 3")
+@query(f"SELECT time FROM {_UNSEEN} WHERE place <= 3")
 def gap_streaks_capped(spark, d):
-    return ou.capped(_gap_table(spark), 3)
+    return ou.capped(ou.months_without_value(gapped(spark, d)), 3)
+
+
+_BY_CELL = "(SELECT lat, lon, time, min(time) OVER (PARTITION BY lat, lon, i) AS streak, row_number() OVER (PARTITION BY lat, lon, i ORDER BY time) AS place FROM (SELECT lat, lon, time, year(time) * 12 + month(time) - row_number() OVER (PARTITION BY lat, lon ORDER BY time) AS i FROM g WHERE value IS NULL))"
+
+
+@query(f"SELECT lat, lon, time, streak, CAST(place AS INTEGER) AS place FROM {_BY_CELL} WHERE place <= 2")
+def cell_streaks_capped(spark, d):
+    """Each cell's runs of months without a value, the first two months of each."""
+    return ou.streaks(gapped(spark, d).where("value IS NULL"), by=("lat", "lon")).where("place <= 2")
 
 
 @query(f""", ex AS (SELECT time, row_number() OVER (ORDER BY time) AS k FROM (SELECT DISTINCT time FROM panel WHERE is_train)),
@@ -336,6 +361,17 @@ def features_of_many_draws(spark, d):
     return rows.withColumns(hi.trend(("value_diff1", "value_diff12"), spec)).drop("value", "masked", "is_train")
 
 
+def features_of_draws_by_difference(spark, d):
+    """The same from stored unmasked features: only rows that a draw's months touch are computed anew."""
+    path = shared(spark, "unmasked")
+    rd.unmasked_features(panel(spark, d).select(*ID, "value", "masked", "is_train")).write.parquet(path)
+    return rd.many_redrawn(spark.read.parquet(path), _DRAWS).drop("value", "masked", "is_train")
+
+
+_queries["features_of_draws_by_difference"] = features_of_draws_by_difference
+_sql["features_of_draws_by_difference"] = _sql["features_of_many_draws"]
+
+
 # --- sets and statistics
 @query("SELECT lat, lon, CAST(m AS DATE) AS time FROM (SELECT lat, lon, unnest(generate_series(min(time), max(time), INTERVAL 1 MONTH)) AS m FROM panel GROUP BY lat, lon) EXCEPT SELECT lat, lon, time FROM panel")
 def missing_calendar_months(spark, d):
@@ -391,7 +427,7 @@ def seasonal_by_lat_band_pivot(spark, d):
 @query("SELECT lat, " + ", ".join(f"max(value) FILTER (WHERE lon = {k}) AS lon{k}" for k in range(10)) + " FROM panel WHERE time = DATE '1998-01-01' GROUP BY lat")
 def grid_pivot(spark, d):
     rows = panel(spark, d).where("time = DATE '1998-01-01'")
-    grid = rows.withColumn("lon", F.concat(F.lit("lon"), F.col("lon").cast("int"))).groupBy("lat").pivot("lon").agg(F.first("value"))
+    grid = rows.withColumn("lon", F.concat(F.lit("lon"), F.col("lon").cast("int"))).groupBy("lat").pivot("lon", [f"lon{k}" for k in range(10)]).agg(F.first("value"))
     return grid
 
 
@@ -437,7 +473,7 @@ def spatial_folds(spark, d):
     return fo.spatial_folds(panel(spark, d), 5, 4.0)
 
 
-@query()
+@query("SELECT block, CASE WHEN row_number() OVER (ORDER BY md5('0|' || block), block) <= greatest(1, CAST(floor(0.2::DOUBLE * count(*) OVER ()) AS BIGINT)) THEN 'val' ELSE 'fit' END AS role FROM (SELECT DISTINCT CAST(floor(lat / 4) AS INTEGER) || '_' || CAST(floor(lon / 4) AS INTEGER) AS block FROM panel)")
 def spatial_holdout(spark, d):
     return fo.spatial_holdout(panel(spark, d), 0.2, 4.0)
 
@@ -482,6 +518,23 @@ _by("horizon", "CASE WHEN months_since_observed IS NOT NULL THEN least(months_si
 _by("level", "CASE WHEN target <= (SELECT quantile_cont(target, 0.2) FROM oof) THEN 'very low' WHEN target <= (SELECT quantile_cont(target, 0.4) FROM oof) THEN 'low' WHEN target <= (SELECT quantile_cont(target, 0.6) FROM oof) THEN 'mid' WHEN target <= (SELECT quantile_cont(target, 0.8) FROM oof) THEN 'high' ELSE 'very high' END")
 
 
+_PARTS = {
+    "climate_zone": "CASE WHEN abs(lat) <= -0.01 THEN NULL WHEN abs(lat) <= 23.5 THEN 'tropical' WHEN abs(lat) <= 66.5 THEN 'temperate' WHEN abs(lat) <= 90 THEN 'polar' END",
+    "lat_band": f"CASE WHEN lat <= -90 THEN NULL {_BANDS} END",
+    "season": "CASE WHEN lat >= 0 THEN ['winter', 'spring', 'summer', 'autumn'] ELSE ['summer', 'autumn', 'winter', 'spring'] END[month(time) % 12 // 3 + 1]",
+    "horizon": "CAST(CASE WHEN months_since_observed IS NOT NULL THEN least(months_since_observed, 8) END AS VARCHAR)",
+    "level": "CASE WHEN target <= q[1] THEN 'very low' WHEN target <= q[2] THEN 'low' WHEN target <= q[3] THEN 'mid' WHEN target <= q[4] THEN 'high' ELSE 'very high' END",
+}
+
+
+@query(", q AS (SELECT quantile_cont(target, [0.2, 0.4, 0.6, 0.8]) AS q FROM oof), parts AS (SELECT abs_error, " + ", ".join(f"{e} AS {d}" for d, e in _PARTS.items()) + " FROM oof, q WHERE abs_error IS NOT NULL) "
+    + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, round(avg(abs_error), 3) AS mae, count(*) AS n FROM parts WHERE {d} IS NOT NULL GROUP BY {d}" for d in _PARTS))
+def error_breakdowns(spark, d):
+    """All five breakdowns of the error from one scan and one aggregate."""
+    rows = ev.value_level(ev.error_dimensions(out_of_fold(spark, d)), "target")
+    return ev.error_breakdowns(rows).select("dimension", "value", _r("mae", 3), "n")
+
+
 @query("SELECT fold, count(*) FILTER (WHERE masked) AS n_masked, round(avg(abs_error) FILTER (WHERE masked), 3) AS mae_masked, round(avg(abs_error) FILTER (WHERE NOT masked), 3) AS mae_seen FROM oof GROUP BY fold")
 def masked_vs_unmasked_error(spark, d):
     e = lambda w: F.round(F.avg(F.when(w, F.col("abs_error"))), 3)
@@ -539,15 +592,16 @@ _ALL = f""", d AS (SELECT *, {", ".join(f"lag(value, {k}) {W} AS value_lag{k}" f
     CASE WHEN row_number() OVER (PARTITION BY lat, lon, month(time) ORDER BY time) > 1 THEN count(value) {_S} END AS climatology_count, value - climatology_mean AS anomaly FROM o),
     f AS (SELECT *, value - value_lag1 AS value_diff1, value - value_lag12 AS value_diff12 FROM d),
     near AS ({_NEAR})
-    SELECT f.lat, f.lon, f.time, f.value, f.cov_quantity, f.cov_discount, f.cov_count, f.masked, f.is_train, f.target, value_lag1, value_lag3, value_lag6, value_lag12, value_rollmean3, value_rollmean6, value_rollmean12,
+    """
+_ALL_SELECT = f"""SELECT f.lat, f.lon, f.time, f.value, f.cov_quantity, f.cov_discount, f.cov_count, f.masked, f.is_train, f.target, value_lag1, value_lag3, value_lag6, value_lag12, value_rollmean3, value_rollmean6, value_rollmean12,
     climatology_mean, climatology_count, anomaly, last_observed, months_since_observed, {", ".join(f"{c}_lag{k}" for c in PANEL.covariates for k in (1, 3))}, value_diff1, value_diff12, {_TREND.replace("PARTITION BY lat, lon ORDER BY time", "PARTITION BY f.lat, f.lon ORDER BY f.time")},
     {", ".join(f"{s}_{c}" for s in ne.SIDES for c in ne.CARRIED)}, round(sin(2 * pi() * month(f.time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_sin, round(cos(2 * pi() * month(f.time + INTERVAL 1 MONTH) / 12), 6) + 0.0 AS target_month_cos
     FROM f JOIN near ON f.lat = near.lat AND f.lon = near.lon AND f.time = near.time"""
 
 
-@query(_ALL)
+@query(_ALL + _ALL_SELECT)
 def full_feature_pipeline(spark, d):
-    rows = build_features(panel(spark, d), gap=GAP)
+    rows = build_features(panel(spark, d), gap=GAP, cells=src.supplier_cells(spark, d))
     return rows.withColumns({c: F.round(c, 6) + 0.0 for c in ("target_month_sin", "target_month_cos")})
 
 
@@ -578,33 +632,63 @@ def gbt_fit_predict(spark, d):
     return fc.fit_predict(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES)[0].select(*ID, "target", "prediction")
 
 
-@query()
-def bagged_predictions(spark, d):
-    val = _model_rows(spark, d).where("role = 'val'")
-    fits = [_model_rows(spark, d).where("role = 'fit'"), ou.mask_months(_model_rows(spark, d).where("role = 'fit'"), GAP[:2])]
-    return ev.ensemble_mean(fc.bagged(fits, val, MODEL_FEATURES, ID), *ID)
+@query("SELECT lat, lon, time, value FROM panel ORDER BY md5('42|' || CAST(lat * 10 AS INTEGER) || '|' || CAST(lon AS INTEGER) || '|' || strftime(time, '%Y-%m-%d')) LIMIT 500")
+def seeded_sample(spark, d):
+    place = F.md5(F.concat_ws("|", F.lit("42"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int"), F.date_format("time", "yyyy-MM-dd")))
+    return panel(spark, d).select(*ID, "value").orderBy(place).limit(500)
 
 
-@query()
-def permutation_importance(spark, d):
-    rows = _model_rows(spark, d)
-    fit, val = rows.where("role = 'fit'"), rows.where("role = 'val'")
-    model = fc.fit_predict(fit, val, MODEL_FEATURES)[1]
-    path = shared(spark, "importance")
-    ev.median_impute(fit, val, *MODEL_FEATURES).write.parquet(path)
-    return fc.permutation_importance(model, spark.read.parquet(path), MODEL_FEATURES, ID)
+_MD5 = "md5('{}|' || CAST(lat AS VARCHAR) || '|' || CAST(lon AS VARCHAR) || '|' || strftime(time, '%Y-%m-%d'))"
 
 
-@query()
-def hyperparameter_grid(spark, d):
-    rows = _model_rows(spark, d)
-    return fc.grid_search(rows.where("role = 'fit'"), rows.where("role = 'val'"), MODEL_FEATURES, [{"maxDepth": k, "stepSize": r} for k in (2, 4) for r in (0.05, 0.1)])
+@query(f"""SELECT a.lat, a.lon, a.time, b.value FROM (SELECT *, row_number() OVER (ORDER BY {_MD5.format(7)}) AS k FROM panel) a
+    JOIN (SELECT value, row_number() OVER (ORDER BY {_MD5.format(8)}) AS k FROM panel) b ON a.k = b.k""")
+def permuted_values(spark, d):
+    """The value column dealt anew over the whole panel."""
+    return fc.permuted(panel(spark, d).select(*ID, "value"), ["value"], ID, 7).select(*ID, "value")
 
 
-@query("SELECT lat, lon, time, value FROM panel ORDER BY md5('42|' || CAST(lat * 10 AS INTEGER) || '|' || CAST(lon AS INTEGER) || '|' || strftime(time, '%Y-%m-%d')) LIMIT 500")
-def seeded_sample(spark, d):
-    place = F.md5(F.concat_ws("|", F.lit("42"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int"), F.date_format("time", "yyyy-MM-dd")))
-    return panel(spark, d).select(*ID, "value").orderBy(place).limit(500)
+# --- checked, committed and listed tables
+@query("""SELECT * FROM (SELECT 'rows' AS rule, count(*) AS n FROM panel UNION ALL SELECT 'no_key', 0 UNION ALL SELECT 'flag_and_value', count(*) FILTER (WHERE masked <> (value IS NULL)) FROM g
+    UNION ALL SELECT 'target_on_test', count(*) FILTER (WHERE NOT is_train AND target IS NOT NULL) FROM g UNION ALL SELECT 'horizon_range', count(*) FILTER (WHERE months_since_observed < 1 OR months_since_observed > 600) FROM o
+    UNION ALL SELECT 'horizon_without_value', count(*) FILTER (WHERE (months_since_observed IS NULL) <> (last_observed IS NULL)) FROM o)""")
+def checked_features(spark, d):
+    """What the rules counted while the features were written; a broken one would have stopped the commit."""
+    rows = build_features(panel(spark, d), gap=GAP, cells=src.supplier_cells(spark, d))
+    found = src.checked_write(rows, shared(spark, "checked"), src.feature_rules())
+    return spark.createDataFrame(list(found.items()), "rule string, n long")
+
+
+@query(f"SELECT 'persistence' AS run, fold, {_METRICS} FROM (SELECT * FROM oof WHERE abs_error IS NOT NULL) GROUP BY fold")
+def run_table(spark, d):
+    """The table of runs after a run that was repeated: it stands there once."""
+    path = shared(spark, "runs")
+    rows = persistence_metrics_by_fold(spark, d)
+    src.append_run(rows, path, "persistence")
+    src.append_run(rows, path, "persistence")
+    return spark.read.parquet(path).select("run", "fold", "n", "mae", "rmse", "r2")
+
+
+_LISTED = ["value", "cov_quantity", "cov_discount", "cov_count", *[f"value_lag{k}" for k in (1, 3, 6, 12)], *[f"value_rollmean{k}" for k in (3, 6, 12)], "climatology_mean", "climatology_count", "anomaly", "last_observed", "months_since_observed",
+    *[f"{c}_lag{k}" for c in PANEL.covariates for k in (1, 3)], "value_diff1", "value_diff12", *[f"value_diff{k}_trend_{m}" for k in (1, 12) for m in ("mean", "count")], *[f"{x}_{c}" for x in ne.SIDES for c in ne.CARRIED], "target_month_sin", "target_month_cos"]
+
+
+def _listed_sql() -> str:
+    whole = [n for n in _LISTED if n != "cov_count"]
+    rows = " UNION ALL ".join(f"SELECT '{v}' AS variant, {k} AS place, '{n}' AS name, (SELECT count({n}) FROM feats) AS known" for v in VARIANTS for k, n in enumerate(variant(whole, v)))
+    return f"{_ALL}, feats AS ({_ALL_SELECT}) {rows}"
+
+
+@query(_listed_sql())
+def feature_variants(spark, d):
+    """Named sets of features from the manifest that stands beside the stored table, less one that is excluded, and how many rows know each."""
+    path = shared(spark, "features")
+    rows = build_features(panel(spark, d), gap=GAP, cells=src.supplier_cells(spark, d))
+    src.write_features(rows, path, feature_columns(rows, not_features()))
+    names = src.read_manifest(spark, path, exclude=("cov_count",))
+    known = spark.read.parquet(f"{path}/features.parquet").agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "name", "known")
+    listed = [(v, k, n) for v in VARIANTS for k, n in enumerate(variant(names, v))]
+    return spark.createDataFrame(listed, "variant string, place int, name string").join(F.broadcast(known), "name").select("variant", "place", "name", "known")  # a row a column
 
 
 # --- experiments
@@ -677,21 +761,26 @@ def _drawn_members(spark, d):
     return drawn.withColumn("prediction", 0.5 * F.col("last") + 0.5 * F.col("clim"))
 
 
-@query(_member_sql("NOT is_train") + " SELECT strftime(time, '%Y%m%d') || '_' || CAST(CAST(lat * 10 AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(lon AS INTEGER) AS VARCHAR) AS \"ID\", round(round(avg(prediction), 2), 0) AS target FROM mem GROUP BY lat, lon, time HAVING count(*) = 4")
+_FINAL = _member_sql("NOT is_train").replace("0.5 * clim AS prediction", "0.5 * coalesce(clim, last) AS prediction").replace(" AND clim IS NOT NULL", "")
+
+
+@query(_FINAL + " SELECT strftime(time, '%Y%m%d') || '_' || CAST(CAST(lat * 10 AS INTEGER) AS VARCHAR) || '_' || CAST(CAST(lon AS INTEGER) AS VARCHAR) AS \"ID\", printf('%.2f', round(avg(prediction), 6)) AS target FROM mem GROUP BY lat, lon, time")
 def final_predictions(spark, d):
-    """The predictions file: members from the cache, their mean, joined to the template, written with two decimals and read back."""
+    """The predictions file of formula members: from the cache, their mean, joined one to one to a template of the panel's test rows, written as one file and read back as text.
+
+    Every test row must have a prediction, or the join stops the job: a cell without a climatology takes its last value.
+    """
     path = shared(spark, "final")
     key = F.concat_ws("_", F.date_format("time", "yyyyMMdd"), (F.col("lat") * 10).cast("int"), F.col("lon").cast("int")).alias("ID")
-    members = _drawn_members(spark, d).where("NOT is_train AND prediction IS NOT NULL").select("member", key, "prediction")
+    members = _drawn_members(spark, d).where("NOT is_train").select("member", key, (0.5 * F.col("last") + 0.5 * F.coalesce("clim", "last")).alias("prediction"))
+    template = panel(spark, d).where("NOT is_train").select(key)
     out = None
     for k, (seed, factor) in enumerate(MEMBERS):
-        own = src.member_predictions(spark, f"{path}/members", seed, factor, lambda k=k: members.where(F.col("member") == k).drop("member"))
+        own = src.member_predictions(spark, f"{path}/members", seed, factor, lambda k=k: members.where(F.col("member") == k).drop("member"), template)
         out = own if out is None else out.unionByName(own)
-    means = ev.ensemble_mean(out, "ID").where(F.col("members") == len(MEMBERS)).drop("members")
-    means.select("ID").write.option("header", True).csv(f"{path}/template")
-    template = src.scan_csv(spark, f"{path}/template", "ID string").withColumn("place", F.col("ID"))
-    src.write_predictions(ev.template_join(template, means, "ID").withColumnRenamed("prediction", "Target"), f"{path}/predictions")
-    return src.scan_csv(spark, f"{path}/predictions", "ID string, Target double").select("ID", F.round("Target", 0).alias("target"))
+    means = ev.ensemble_mean(out, "ID").withColumn("prediction", F.round("prediction", 6))
+    src.write_predictions(ev.template_join(template.withColumn("place", F.col("ID")), means, "ID").withColumnRenamed("prediction", "Target"), f"{path}/predictions.csv")
+    return src.scan_csv(spark, f"{path}/predictions.csv", "ID string, Target string").withColumnRenamed("Target", "target")
 
 
 _HORIZON = _member_sql("is_train AND target IS NOT NULL") + ", mh AS (SELECT m.member, CASE WHEN o.months_since_observed > 1 THEN 'later' ELSE 'next' END AS horizon, abs(m.target - m.prediction) AS e FROM mem m JOIN o ON o.lat = m.lat AND o.lon = m.lon AND o.time = m.time)"
@@ -718,42 +807,36 @@ _BESIDE = [f"{s}_last_observed" for s in ne.SIDES]
 @query(f", near AS ({_NEAR}), nf AS (SELECT o.target, o.last_observed AS own, list_avg(list_filter([o.last_observed, {', '.join(f'near.{c}' for c in _BESIDE)}], lambda x: x IS NOT NULL)) AS wide FROM o JOIN near ON o.lat = near.lat AND o.lon = near.lon AND o.time = near.time WHERE o.is_train AND o.target IS NOT NULL AND o.last_observed IS NOT NULL) SELECT round(avg(abs(target - own)), 3) AS mae_alone, round(avg(abs(target - wide)), 3) AS mae_with, round(avg(abs(target - wide)) - avg(abs(target - own)), 2) AS gain FROM nf")
 def neighbour_gain(spark, d):
     """What the neighbours' last observations add to a cell's own."""
-    rows = ne.add_neighbours(observed(spark, d)).where("is_train AND target IS NOT NULL AND last_observed IS NOT NULL")
+    rows = ne.add_neighbours(observed(spark, d), cells=src.supplier_cells(spark, d)).where("is_train AND target IS NOT NULL AND last_observed IS NOT NULL")
     seen = F.filter(F.array("last_observed", *_BESIDE), lambda x: x.isNotNull())
     wide = F.aggregate(seen, F.lit(0).cast("double"), lambda a, x: a + x) / F.size(seen)
     a, b = F.avg(F.abs(F.col("target") - F.col("last_observed"))), F.avg(F.abs(F.col("target") - wide))
     return rows.agg(F.round(a, 3).alias("mae_alone"), F.round(b, 3).alias("mae_with"), F.round(b - a, 2).alias("gain"))
 
 
-@query()
-def early_stopped_forecast(spark, d):
-    """Trees that stop on an inner holdout of months and are judged on the months after it."""
-    rows = fo.with_time_folds(observed(spark, d).where("is_train AND target IS NOT NULL"), fo.two_tier_split(panel(spark, d).where("is_train")))
-    fit = rows.where("role <> 'outer_val'").withColumn("stop", F.col("role") == "inner_val").drop("role")
-    return fc.fit_predict(fit, rows.where("role = 'outer_val'"), MODEL_FEATURES, stop_column="stop")[0].select(*ID, "target", "prediction")
-
-
 @query()
 def network_forecast(spark, d):
-    """A network with a new outage draw each epoch, stopped by an inner holdout of months, judged on the unmasked months after it."""
+    """A network with a new outage draw each epoch, stopped by an inner holdout of months, judged on the unmasked months after it.
+
+    The unmasked features are stored once; an epoch computes only what its draw's months touch.
+    """
     import numpy as np
 
     path = shared(spark, "network")
-    fo.with_time_folds(panel(spark, d).where("is_train"), fo.two_tier_split(panel(spark, d).where("is_train"))).write.parquet(path)
-    rows = spark.read.parquet(path)  # what no draw changes is computed once
-    months = ou.train_months(rows.where("role = 'fit'"))
-
-    def features(masked):
-        return hi.add_history(masked).withColumns(cyclic_month("time"))
+    rows = fo.with_time_folds(panel(spark, d).where("is_train"), fo.two_tier_split(panel(spark, d).where("is_train")))
+    past = {}
+    for c in PANEL.covariates:
+        past |= hi.lags(c, (1, 3))
+    rd.unmasked_features(rows.withColumns(past)).withColumns(cyclic_month("time")).write.parquet(path)
+    whole = spark.read.parquet(path)
+    months = ou.train_months(whole.where("role = 'fit'"))
 
     def draw(epoch):
         gap = ou.draw_months(months, RATES, np.random.default_rng(42 + epoch))
-        return features(ou.mask_months(rows, gap)).where("role = 'fit'")
+        return rd.many_redrawn(whole, {0: gap}).where("role = 'fit'")
 
-    features(rows).write.parquet(f"{path}-plain")
-    whole = spark.read.parquet(f"{path}-plain")
-    names = [c for c in feature_columns(whole, not_features()) if c != "role"]
-    fitted = nw.fit_network(draw, whole.where("role = 'inner_val'"), names, epochs=20, patience=5)
+    names = [c for c in feature_columns(whole, not_features()) if c != "role" and not c.startswith("_")]
+    fitted = nw.fit_network(draw, whole.where("role = 'inner_val'"), names, hidden=(64, 32), epochs=10, patience=3, rate=2e-3)
     return fitted.predict(whole.where("role = 'outer_val' AND target IS NOT NULL")).select(*ID, "target", "prediction")
 
 
@@ -766,3 +849,6 @@ def streamed_daily_sums(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     arrivals.run_to_end(arrivals.daily_sums(stream, "ts", "user_id", "value"), path)
     return arrivals.latest(spark, path, "user_id", "time")
+
+
+from . import experiments  # noqa: E402, F401 - registers its queries

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_index, two_decimals
-from ..operators.panel import PanelSpec
+from ..operators.panel import PANEL, PanelSpec
 
 #: Columns of the raw train file; the test file has no target and a mask flag instead.
 RAW = "time date, lat double, lon double, TWS_t double, SPEI_01_t double, SPEI_03_t double, SPEI_06_t double, SPEI_12_t double, SOIL_MOISTURE_t double, month_sin double, month_cos double"
@@ -49,6 +53,13 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_panel(monthly, "2000-01-01")
 
 
+def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of ``supplier_month``, from one column of the lines."""
+    row = F.expr("l_suppkey div 10")
+    lat, lon = (row * 67 % 180 - 89.5).cast("double"), (F.col("l_suppkey") % 10 + F.expr("l_suppkey div 1800") * 10).cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().select(lat.alias("lat"), lon.alias("lon"))
+
+
 def nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as cells of a grid five wide; value: cents ordered a month."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
@@ -63,6 +74,103 @@ def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(*key).agg(_cents("value").alias("value"), F.count("*").alias("cov_count"))
 
 
+def files(spark: SparkSession, path: str):
+    """(the file system of a path, a function from text to its path objects)."""
+    jvm = spark.sparkContext._jvm
+    made = jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), made
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file."""
+    fs, at = files(spark, path)
+    out = fs.create(at(path), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    fs, at = files(spark, path)
+    if not fs.exists(at(path)):
+        return None
+    stream = fs.open(at(path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def moved(spark: SparkSession, staged: str, path: str) -> None:
+    """A staged file or folder takes the place of what is at ``path``: one rename, after what was there is gone."""
+    fs, at = files(spark, path)
+    fs.mkdirs(at(path).getParent())
+    fs.delete(at(path), True)
+    if not fs.rename(at(staged), at(path)):
+        raise OSError(f"{staged} could not be moved to {path}")
+
+
+class BrokenRule(ValueError):
+    """Rows that were to be written break a rule."""
+
+
+def feature_rules(spec: PanelSpec = PANEL, longest: int = 600) -> dict[str, Column]:
+    """What rows of features must not be, by name."""
+    horizon = F.col("months_since_observed")
+    return {
+        "no_key": F.col(spec.keys[0]).isNull() | F.col(spec.keys[1]).isNull() | F.col(spec.time).isNull(),
+        "flag_and_value": spec.is_masked() != F.col(spec.value).isNull(),
+        "target_on_test": ~F.col(spec.train) & F.col(spec.target).isNotNull(),
+        "horizon_range": horizon.isNotNull() & ~horizon.between(1, longest),
+        "horizon_without_value": horizon.isNull() != F.col("last_observed").isNull(),
+    }
+
+
+def checked_write(df: DataFrame, path: str, rules: dict[str, Column]) -> dict[str, int]:
+    """Writes ``df`` as Parquet unless a row breaks a rule (a column that is true there); gives the rows seen and broken.
+
+    The rules are counted while the rows flow to a staged table, so nothing is scanned twice; only a sound table moves to
+    ``path``. A task that ran twice can count a broken row twice, but never miss one.
+    """
+    spark, watch, staged = df.sparkSession, Observation(), f"{path}._staged-{uuid.uuid4().hex}"
+    counts = [F.count_if(F.coalesce(broken, F.lit(False))).alias(name) for name, broken in rules.items()]
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *counts).write.parquet(staged)
+    found = dict(watch.get)
+    broken = {k: v for k, v in found.items() if k != "rows" and v}
+    if broken:
+        fs, at = files(spark, staged)
+        fs.delete(at(staged), True)
+        raise BrokenRule(f"rows that break a rule: {broken}")
+    moved(spark, staged, path)
+    return found
+
+
+def fingerprint(keys: DataFrame | None, *settings: object) -> str:
+    """A digest of a table's rows, whatever their order, and of settings."""
+    text = [str(x) for x in settings]
+    if keys is not None:
+        row = keys.agg(F.count("*"), F.sum(F.xxhash64(*keys.columns).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), *keys.columns).cast("decimal(38,0)"))).first()
+        text += [*keys.columns, *map(str, row)]
+    return hashlib.sha256("\n".join(text).encode()).hexdigest()
+
+
+def commit_once(df: Callable[[], DataFrame] | DataFrame, path: str, mark: str, sound: Callable[[DataFrame], bool] | None = None) -> bool:
+    """Writes a table to ``path`` unless one with the same ``mark`` (a fingerprint) that is ``sound`` stands there; says whether it wrote.
+
+    The rows go to a staged folder with the mark beside them, and one rename commits both, so a job that was killed leaves
+    nothing that is read, and one that is repeated writes nothing twice.
+    """
+    frame = df if isinstance(df, DataFrame) else None
+    spark = frame.sparkSession if frame is not None else SparkSession.active()
+    if read_text(spark, f"{path}/_mark") == mark and (sound is None or sound(spark.read.parquet(path))):
+        return False
+    staged = f"{path}._staged-{uuid.uuid4().hex}"
+    (frame if frame is not None else df()).write.parquet(staged)
+    write_text(spark, f"{staged}/_mark", mark)
+    moved(spark, staged, path)
+    return True
+
+
 def write_features(df: DataFrame, path: str, names: list[str]) -> None:
     """Features as Parquet, and their names in order as a one-column table beside it."""
     df.write.mode("overwrite").parquet(f"{path}/features.parquet")
@@ -70,26 +178,42 @@ def write_features(df: DataFrame, path: str, names: list[str]) -> None:
     df.sparkSession.createDataFrame(rows, "place int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
 
 
-def write_predictions(template: DataFrame, path: str, order: str = "place", key: str = "ID", value: str = "Target") -> None:
-    """A CSV of two-decimal predictions in the template's order."""
-    out = template.repartitionByRange(order).sortWithinPartitions(order).select(key, two_decimals(value).alias(value))
-    out.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+def read_manifest(spark: SparkSession, path: str, exclude: tuple[str, ...] = ()) -> list[str]:
+    """The feature names that ``write_features`` left beside a table, in order, less ``exclude``."""
+    rows = spark.read.schema("place int, name string").json(f"{path}/manifest.json").collect()  # a row a column
+    return [r.name for r in sorted(rows) if r.name not in exclude]
 
 
-def member_predictions(spark: SparkSession, path: str, seed: int, multiplier: float, make, ids: DataFrame | None = None) -> DataFrame:
-    """A member's predictions from the cache, or made, cached and read back. Rows are matched by key, so order doesn't matter.
+def write_predictions(template: DataFrame, path: str, order: str = "place", key: str = "ID", value: str = "Target") -> None:
+    """One CSV file of two-decimal predictions in the template's order, with one header and LF line ends.
 
-    Given ``ids`` (the keys wanted), a cache that holds other keys is made anew.
+    Tasks write sorted ranges; the committer appends their bytes in order to one file, a buffer at a time, and moves it to
+    ``path``. A value that has no two decimals, such as NaN, stops the job before that.
+    """
+    spark, staged = template.sparkSession, f"{path}._staged-{uuid.uuid4().hex}"
+    out = template.repartitionByRange(order).sortWithinPartitions(order).select(key, two_decimals(value).alias(value))
+    out.write.option("header", False).option("lineSep", "\n").csv(f"{staged}/parts")
+    fs, at = files(spark, staged)
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(at(f"{staged}/parts")) if s.getPath().getName().startswith("part-"))
+    sink = fs.create(at(f"{staged}/file"), True)
+    sink.write(bytearray(f"{key},{value}\n".encode()))
+    for part in parts:
+        stream = fs.open(at(part))
+        spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, 1 << 16, False)
+        stream.close()
+    sink.close()
+    moved(spark, f"{staged}/file", path)
+    fs.delete(at(staged), True)
+
+
+def member_predictions(spark: SparkSession, path: str, seed: int, multiplier: float, make, ids: DataFrame | None = None, model: str = "") -> DataFrame:
+    """A member's predictions from the cache, or made, committed and read back. Rows are matched by key, so order doesn't matter.
+
+    A cache that holds other keys than ``ids``, or is of another ``model`` (a text that tells its settings), is made anew.
     """
     own = f"{path}/seed={seed}/multiplier={multiplier}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
-    held = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if held and ids is not None:
-        key = ids.columns
-        cached = spark.read.parquet(own).select(*key).withColumn("_c", F.lit(1))
-        held = not ids.withColumn("_i", F.lit(1)).join(cached, key, "full").where("_i IS NULL OR _c IS NULL").limit(1).count()
-    if not held:
-        make().write.mode("overwrite").parquet(own)
+    same = None if ids is None else lambda held: fingerprint(held.select(*ids.columns)) == fingerprint(ids)
+    commit_once(make, own, fingerprint(None, seed, multiplier, model), same)
     return spark.read.parquet(own)
 
 
@@ -115,6 +239,7 @@ def write_if_possible(df: DataFrame, path: str) -> str | None:
     return None
 
 
-def append_run(df: DataFrame, path: str, name: str) -> None:
-    """Adds metric rows of a run to the table of runs."""
-    df.withColumns({"run": F.lit(name), "at": F.current_timestamp()}).write.mode("append").parquet(path)
+def append_run(df: DataFrame, path: str, name: str, settings: str = "") -> bool:
+    """Adds metric rows of a run to the table of runs, once: a repeated run of equal rows and settings adds none, another takes its place."""
+    rows = df.withColumns({"settings": F.lit(settings), "at": F.current_timestamp()})
+    return commit_once(rows, f"{path}/run={name}", fingerprint(df, name, settings))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,28 +29,38 @@ def column(df, name, cell=(0.5, 0.5)):
     return [r[0] for r in df.where((F.col("lat") == cell[0]) & (F.col("lon") == cell[1])).orderBy("time").select(name).collect()]
 
 
-def test_lags_and_rolling_means_stay_in_their_cell(spark):
-    df = panel(spark, {(0.5, 0.5): [0.1, 0.2, 0.3, 0.4], (1.5, 0.5): [100.0, 200.0, 300.0, 400.0]})
-    df = df.withColumns(hi.lags("value", (1, 3)) | hi.rolling_means("value", (3,)))
-    assert column(df, "value_lag1") == [None, 0.1, 0.2, 0.3]
-    assert column(df, "value_lag3") == [None, None, None, 0.1]
-    assert column(df, "value_rollmean3")[:3] == pytest.approx([0.1, 0.15, 0.2])
-    assert column(df, "value_lag1", (1.5, 0.5)) == [None, 100.0, 200.0, 300.0]
-
-
-def test_trend_counts_start_with_null(spark):
-    df = panel(spark, {(0.5, 0.5): [1.0, 1.2, 1.3, 1.6, 1.5]}).withColumns(hi.lags("value", (1,))).withColumns(hi.differences("value", (1,)))
-    df = df.withColumns(hi.trend(("value_diff1",)))
-    assert column(df, "value_diff1_trend_count") == [None, 0, 1, 2, 3]
-    mean = column(df, "value_diff1_trend_mean")
-    assert mean[:2] == [None, None] and mean[2:] == pytest.approx([0.2, 0.15, 0.2])
-
-
-def test_climatology_uses_earlier_years_only(spark):
-    rows = [(0.5, 0.5, dt.date(y, 1, 1), v, False) for y, v in ((2002, 0.5), (2003, 0.6), (2005, 0.4), (2006, 0.55))]
-    df = spark.createDataFrame(rows, SCHEMA).withColumns(hi.climatology())
-    assert column(df, "climatology_count") == [None, 1, 2, 3]
-    assert column(df, "climatology_mean")[0] is None and column(df, "climatology_mean")[1:] == pytest.approx([0.5, 0.55, 0.5])
+def drawn_panel(spark, seed, cells=7, steps=40):
+    """A panel of random values and holes, and its cells' (time, value) in order, to be walked by plain loops."""
+    r = random.Random(seed)
+    series = {(17.0 - c, 3.25 * c): [(t, None if r.random() < 0.25 else r.randrange(-900, 900) / 4) for t in months((1991, 4), steps) if r.random() < 0.9] for c in range(cells)}
+    rows = [(*cell, t, v, v is None) for cell, steps_ in series.items() for t, v in steps_]
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA), series
+
+
+def mean(values):
+    known = [v for v in values if v is not None]
+    return sum(known) / len(known) if known else None
+
+
+def test_features_equal_plain_loops(spark):
+    df, series = drawn_panel(spark, 5)
+    df = df.withColumns(hi.lags("value", (1, 3, 12)) | hi.rolling_means("value", (3, 6)) | hi.climatology()).withColumns(hi.differences("value", (1, 12)))
+    df = df.withColumns(hi.trend(("value_diff1", "value_diff12")))
+    for cell, steps in series.items():
+        values = [v for _, v in steps]
+        lag = lambda k: [values[i - k] if i >= k else None for i in range(len(values))]  # noqa: B023, E731
+        less = lambda k: [None if v is None or w is None else v - w for v, w in zip(values, lag(k), strict=True)]  # noqa: B023, E731
+        for k in (1, 3, 12):
+            assert column(df, f"value_lag{k}", cell) == lag(k)
+        for n in (3, 6):
+            assert column(df, f"value_rollmean{n}", cell) == [mean(values[max(0, i - n + 1) : i + 1]) for i in range(len(values))]
+        for k in (1, 12):
+            assert column(df, f"value_diff{k}_trend_mean", cell) == pytest.approx([mean(less(k)[:i]) for i in range(len(values))])
+            assert column(df, f"value_diff{k}_trend_count", cell) == [sum(x is not None for x in less(k)[:i]) if i else None for i in range(len(values))]
+        earlier = [[v for u, v in steps[:i] if u.month == t.month] for i, (t, _) in enumerate(steps)]
+        assert column(df, "climatology_mean", cell) == pytest.approx([mean(e) for e in earlier])
+        assert column(df, "climatology_count", cell) == [sum(v is not None for v in e) if e else None for e in earlier]
 
 
 def test_horizon_counts_calendar_months(spark):

@@ -29,11 +29,17 @@ def test_draws_repeat_with_their_seed():
 
 
 def test_masking_spares_test_rows_and_targets(spark):
-    rows = [(c, 0.5, D(2020, m), float(m), False, m < 3, m + 8.0) for c in (0.5, 1.5) for m in (1, 2, 3)]
+    import random
+
+    r = random.Random(11)
+    rows = [(float(c), 2.5, t, None if r.random() < 0.2 else r.uniform(-50, 50), r.random() < 0.7, r.uniform(0, 9)) for c in range(6) for t in months((1987, 11), 17)]
+    rows = [(*k, v, v is None, train, y) for *k, v, train, y in rows]
     df = spark.createDataFrame(rows, "lat double, lon double, time date, value double, masked boolean, is_train boolean, target double")
-    out = ou.mask_months(df, [D(2020, 2), D(2020, 3)]).collect()
-    assert {(r.time.month, r.value, r.masked) for r in out} == {(1, 1.0, False), (2, None, True), (3, 3.0, False)}
-    assert sorted(r.target for r in out) == [9.0, 9.0, 10.0, 10.0, 11.0, 11.0]
+    gap = {t for t in months((1987, 11), 17) if t.month % 3 == 0}
+    got = {(x.lat, x.time): (x.value, x.masked, x.is_train, x.target) for x in ou.mask_months(df, gap).collect()}
+    for lat, _, t, v, m, train, y in rows:
+        hit = train and t in gap
+        assert got[lat, t] == (None if hit else v, m or hit, train, y)
 
 
 def test_streaks(spark):
@@ -120,8 +126,14 @@ def test_template_join_wants_unique_keys_and_predictions(spark):
 
 def test_permutation_keeps_the_values(spark):
     df = spark.range(200).withColumn("x", F.col("id") * 2)
-    out = permuted(df, "x", ["id"], seed=1, parts=4)
-    assert sorted(r.x for r in out.collect()) == sorted(r.x for r in df.collect()) and out.where("x = id * 2").count() < 60
+    import hashlib
+
+    out = {r.id: r.x for r in permuted(df.repartition(3), ["x"], ["id"], seed=1, parts=4).collect()}
+    order = lambda s: sorted(range(200), key=lambda k: hashlib.md5(f"{s}|{k}".encode()).hexdigest())
+    assert out == {a: 2 * b for a, b in zip(order(1), order(2), strict=True)}
+    twice = df.withColumn("r", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = permuted(twice, ["x"], ["id"], seed=1, by=("r",)).collect()
+    assert all(sorted(r.x for r in both if r.r == k) == sorted(out.values()) for k in (0, 1)) and {r.id: r.x for r in both if r.r == 0} != {r.id: r.x for r in both if r.r == 1}
 
 
 def test_two_decimals(spark):
@@ -132,6 +144,9 @@ def test_two_decimals(spark):
     xs += [r.uniform(-5, 5) for _ in range(2000)] + [r.randrange(100000) / 1000 for _ in range(2000)] + [r.randrange(-4000, 4000) / 8 for _ in range(500)]
     got = [v[0] for v in spark.createDataFrame([(x,) for x in xs], "x double").select(two_decimals("x")).collect()]
     assert got == [None if x is None else "%.2f" % x for x in xs]
+    for x in (float("nan"), float("inf"), float("-inf"), 2.0**53):
+        with pytest.raises(Exception, match="no number of two decimals"):
+            spark.createDataFrame([(x,)], "x double").select(two_decimals("x")).collect()
 
 
 def test_metrics_of_a_constant_target(spark):
@@ -161,9 +176,8 @@ def test_sinks(spark, tmp_path):
     from gridloom.sources import tables as src
 
     rows = spark.createDataFrame([(2, "b", 0.165), (1, "a", 1.0)], "place int, ID string, Target double")
-    src.write_predictions(rows, f"{tmp_path}/p")
-    text = b"".join(f.read_bytes() for f in sorted((tmp_path / "p").glob("*.csv")))
-    assert text.replace(b"ID,Target\n", b"") == b"a,1.00\nb,0.17\n"
+    src.write_predictions(rows, f"{tmp_path}/p.csv")
+    assert (tmp_path / "p.csv").read_bytes() == b"ID,Target\na,1.00\nb,0.17\n"
     src.write_features(rows, f"{tmp_path}/f", ["place", "Target"])
     assert [r.name for r in spark.read.json(f"{tmp_path}/f/manifest.json").orderBy("place").collect()] == ["place", "Target"] and spark.read.parquet(f"{tmp_path}/f/features.parquet").count() == 2
     made = []
@@ -174,7 +188,8 @@ def test_sinks(spark, tmp_path):
     assert made == [1, 2] and got.count() == 2
     src.append_run(rows, f"{tmp_path}/r", "x")
     src.append_run(rows, f"{tmp_path}/r", "y")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 4
+    assert not src.append_run(rows, f"{tmp_path}/r", "y") and src.append_run(rows.limit(1), f"{tmp_path}/r", "x")
+    assert {r.run: r["count"] for r in spark.read.parquet(f"{tmp_path}/r").groupBy("run").count().collect()} == {"x": 1, "y": 2}
     src.write_report(rows, f"{tmp_path}/report", "place")
     assert len(list((tmp_path / "report").glob("*.csv"))) == 1
     (tmp_path / "file").write_text("lags: [1, 3]\n")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import line_crf, line_dedup, minhash, packing, quality_rules
-from gridloom.llm.common import materialize, read, words
+from gridloom.llm.common import forget, materialize, read, words
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)  # a stage's table goes once the next one stands
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

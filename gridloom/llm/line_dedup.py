@@ -8,7 +8,8 @@ Only DataFrame functions run here. A page gives each of its lines once, so count
 count that Spark combines before the exchange, and a line on a third of all rows costs a row a task.
 What is kept of a host is bounded: at most (mean lines a page / ratio) of its lines can exceed the
 ratio. That list joins the pages on host and a salt by row, so that a host with a third of all pages,
-copies of one page among them, is dealt out over ``SALTS`` parts; texts cross one exchange.
+copies of one page among them, is dealt out over ``SALTS`` parts, or more where these would hold over ``PART`` pages
+each; texts cross one exchange.
 
 Defined results: lines are parted at \\n and compared after trimming blanks; blank lines stay and
 are not counted; a null text stays null; rows with a null host, and hosts with fewer than
@@ -21,31 +22,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
-SALTS = 32
+#: Parts of a host at least, and pages of a part at most, about. A table of so many hosts may be broadcast.
+SALTS, PART, SMALL = 32, 100_000, 1_000_000
 
 
 def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5, min_count: int = 1) -> DataFrame:
-    """(host, lines): for each host with any, the hashes of its boilerplate lines."""
+def host_pages(df: DataFrame, host: str, min_pages: int = 5) -> DataFrame:
+    """(_host, _pages, _parts) of hosts with ``min_pages`` or more: how many pages, and the parts that a host is dealt to."""
+    counted = df.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
+    return counted.withColumn("_parts", F.greatest(F.lit(SALTS), F.ceil(F.col("_pages") / PART)).cast("int"))
+
+
+def boilerplate(df: DataFrame, totals: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5, min_count: int = 1) -> DataFrame:
+    """(_host, _parts, _drop): for each host of ``totals`` with any, the hashes of its boilerplate lines."""
     pages = df.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.split(text, "\n").alias("_l"))
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
     hashes = F.array_distinct(F.transform(F.filter(F.transform("_l", _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = pages.select("_host", F.explode(hashes).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     seen = seen.where((F.col("_n") > ratio * min_pages) & (F.col("_n") >= min_count))  # below that no host with enough pages can exceed the ratio
-    return seen.join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages")).groupBy("_host").agg(F.collect_list("_h").alias("_drop"))
+    return seen.join(totals, "_host").where(F.col("_n") > ratio * F.col("_pages")).groupBy("_host").agg(F.first("_parts").alias("_parts"), F.collect_list("_h").alias("_drop"))
 
 
 def line_dedup(df: DataFrame, host: str, text: str = "text", ratio: float = 0.2, min_pages: int = 5, min_count: int = 1) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text``, and n_lines, n_dropped (long)."""
-    df = df.drop("n_lines", "n_dropped", "_host", "_salt", "_drop", "_l", "_kept")
-    lists = boilerplate(df, host, text, ratio, min_pages, min_count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")  # by row: copies of a page, too, are dealt out
-    salted = df.withColumn("_salt", salt).withColumn("_host", F.col(host))
+    df = df.drop("n_lines", "n_dropped", "_host", "_pages", "_parts", "_salt", "_drop", "_l", "_kept")
+    totals = materialize(host_pages(df, host, min_pages))
+    lists = boilerplate(df, totals, host, text, ratio, min_pages, min_count)
+    lists = lists.select("_host", "_drop", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    large = totals.where(F.col("_parts") > SALTS).select("_host", "_parts")
+    n_large = large.count()
+    salted, parts = df.withColumn("_host", F.col(host)), F.lit(SALTS)
+    if n_large:  # only then do pages have to know their host's parts
+        salted = salted.join(F.broadcast(large) if n_large <= SMALL else large, "_host", "left")
+        parts = F.coalesce("_parts", parts)
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int"))  # by row: copies of a page, too, are dealt out
     joined = salted.join(lists, ["_host", "_salt"], "left").withColumn("_l", F.split(text, "\n"))
     stays = lambda x: (_bare(x) == "") | ~F.array_contains("_drop", F.xxhash64(_bare(x)))
     joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_l")).otherwise(F.filter("_l", stays)))

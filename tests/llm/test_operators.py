@@ -493,6 +493,17 @@ def test_copies_on_a_hot_host(spark):
     assert all(got[k] == t.removeprefix("menu\n") for k, _, t in rows if t) and got[9000] is None
 
 
+def test_large_hosts_have_more_parts(spark, monkeypatch):
+    rows = [(k, "hot" if k % 3 else f"h{k % 30}", f"menu\n{'menu two' if k % 4 else 'own'} \nline {k}") for k in range(600)] + [(600, None, "menu"), (601, "hot", None)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string")
+    plain = sorted(map(str, line_dedup.line_dedup(df, "host").collect()))
+    monkeypatch.setattr(line_dedup, "PART", 5)
+    assert {r._host: r._parts for r in line_dedup.host_pages(df, "host").collect()}["hot"] == 81
+    assert sorted(map(str, line_dedup.line_dedup(df, "host").collect())) == plain
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    assert sorted(map(str, line_dedup.line_dedup(df, "host").collect())) == plain
+
+
 def test_lines_over_the_ratio_go(spark):
     pages = [(k, "a" if k < 10 else "b", f"menu\n body {k}\n\nfoot" if k % 2 else f"menu\nbody {k}") for k in range(20)]
     pages += [(50, None, "menu\nmenu"), (51, "tiny", "menu"), (52, "a", None), (53, "a", ""), (54, "a", "menu"), (54, "a", "menu")]

@@ -303,7 +303,9 @@ def fit_boosted(rows: DataFrame, features: list[str], target: str, settings: dic
             yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("stop"), batch.column("y"), f, pa.array([r.tobytes() for r in codes], pa.binary())], ["model", "stop", "y", "f", "bins"])
 
     schema = "model int, stop boolean, y double, f double, bins binary"
-    known.where(F.col("model").isin(sorted(base))).mapInArrow(coded, schema).sortWithinPartitions("model").write.parquet(f"{path}/state-0")
+    ready = known.where(F.col("model").isin(sorted(base))).mapInArrow(coded, schema)
+    # a task then holds few models, so that its partial sums are few, and a model of many rows is in many tasks
+    ready.withColumn("h", F.xxhash64("bins")).repartitionByRange("model", "h").sortWithinPartitions("model").drop("h").write.parquet(f"{path}/state-0")
     state, written = spark.read.parquet(f"{path}/state-0"), 0
     limits = spark.createDataFrame([(m, float(s.l2), int(s.min_rows)) for m, s in settings.items()], "model int, l2 double, min_rows int").coalesce(1)
     out = Boosted(list(features), cuts, dict(settings), base, {m: [] for m in base}, {m: [] for m in base}, {m: 0.0 for m in base})

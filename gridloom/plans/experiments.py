@@ -29,7 +29,7 @@ GRID = {
 }
 #: Ranges of outage-rate factors to compare, and members of each; seeds of the learning curve's members; the seed of a reference draw.
 RANGES, RANGE_MEMBERS, CURVE, REFERENCE = [(0.5, 1.5), (0.5, 2.5), (1.0, 3.0)], 3, tuple(range(42, 57)), (1000, 1.0)
-FOLDS, SIZE, INNER = 5, 4.0, 0.15
+FOLDS, SIZE, INNER, BINS = 5, 4.0, 0.15, 32
 #: What judges a model, and what stops it, by name: rows with fold, role and stop.
 ROLES = {
     "temporal": lambda rows, whole: fo.with_time_folds(rows, fo.temporal_roles(whole.where("is_train"), FOLDS, INNER)),
@@ -69,7 +69,7 @@ def fit_all(rows: DataFrame, names: list[str], kinds: dict[str, bo.Settings], pa
     kind = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(n).alias("kind"), F.lit(bool(s.patience)).alias("stops")) for k, (n, s) in enumerate(kinds.items())]))
     every = rows.withColumn("_kind", kind).select("*", "_kind.kind", (number * len(kinds) + F.col("_kind.at")).cast("int").alias("model"), (F.col("stop") & F.col("_kind.stops")).alias("_stop")).drop("_kind")
     settings = {m: s for n in range(size) for m, s in ((n * len(kinds) + k, s) for k, s in enumerate(kinds.values()))}
-    fitted = bo.fit_boosted(every.where("role = 'fit'"), names, "target", settings, path, stop="_stop")
+    fitted = bo.fit_boosted(every.where("role = 'fit'"), names, "target", settings, path, stop="_stop", bins=BINS)
     return fitted.predict(every.where("role = 'val'").drop("_stop")), fitted
 
 

@@ -60,3 +60,20 @@ def test_forecasts(spark):
     final = rows(spark, "final_predictions_fitted")
     template = catalog.panel(spark, SF).where("NOT is_train").count()
     assert len(final) == template and all(r.Target[-3] == "." for r in final)
+
+
+def test_a_row_carries_the_number_of_its_parts(spark):
+    from pyspark.sql import functions as F
+
+    table = catalog.panel(spark, SF).withColumn("draw", F.lit(0))
+    rows, sets = experiments.with_roles(table, "temporal", "spatial")
+    assert dict(rows.dtypes)["part"] == "int" and sets.count() < 200
+    told = {r.part: {tuple(p) for p in r.parts} for r in sets.collect()}
+    wanted: dict = {}
+    for scheme, (tell, key, roles) in experiments.ROLES.items():
+        apart = experiments._known(table).withColumn("_k", tell()).join(roles(table).withColumnRenamed(key, "_r"), F.col("_k") == F.col("_r"))
+        for r in apart.select("lat", "lon", "time", "fold", "role", "stop").collect():
+            wanted.setdefault((r.lat, r.lon, r.time), set()).add((scheme, r.fold, r.role, r.stop))
+    assert {(r.lat, r.lon, r.time): told[r.part] for r in rows.collect()} == wanted
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "transform" not in plan

@@ -137,3 +137,19 @@ def test_draws_by_difference_equal_whole_draws(spark, tmp_path, seed):
     recomputed = {x.draw: x["count"] for x in changed.groupBy("draw").count().collect()}
     print("rows recomputed by draw", recomputed, "of", stored.count())
     assert 0 not in recomputed and recomputed[2] < stored.count() / 2 < recomputed[5]
+
+
+def test_draws_run_where_stored_cells_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rd, "BUCKET_ROWS", 100)
+    df, _ = drawn_panel(spark, 38)
+    rows = df.withColumn("is_train", F.col("time") < dt.date(1994, 1, 1)).withColumn("value", (F.col("value") * 4).cast("long"))
+    gaps = {0: set(), 1: {dt.date(1992, 3, 1), dt.date(1993, 5, 1)}, 2: {dt.date(1993, 9, 1)}}
+    rd.unmasked_features(rows).write.parquet(f"{tmp_path}/plain")
+    stored = rd.store_by_cell(rows, rows.count(), f"{tmp_path}/buckets")
+    names = ["draw", "lat", "lon", "time", "value", "masked", *rd.feature_names(PANEL)]
+    for some in (gaps, {1: gaps[1]}):
+        drawn = rd.many_redrawn(stored, some)
+        # no row is exchanged, neither once a draw nor before it
+        assert "Exchange hashpartitioning" not in drawn._jdf.queryExecution().executedPlan().toString()
+        plain = rd.many_redrawn(spark.read.parquet(f"{tmp_path}/plain"), some).select(*names)
+        assert drawn.select(*names).exceptAll(plain).count() == 0 == plain.exceptAll(drawn.select(*names)).count() and drawn.count() == len(some) * rows.count()

@@ -94,24 +94,32 @@ def new_weights(pairs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def attend(w: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple:
-    """What each place CONTEXT.. gathers (a row of WIDTH), and the queries, keys and attention that gave it."""
-    q = (q + w["pq"]) * np.float32(WIDTH**-0.5)
+    """What each place CONTEXT.. gathers (a row of WIDTH), the queries, keys and attention that gave it, and the sums that attention is to be divided by."""
+    q = q + w["pq"]
+    q *= np.float32(WIDTH**-0.5)
     k = k + w["pk"]
     a = q @ k.transpose(0, 2, 1)
     a += MASK
     np.exp(a, out=a)
-    a /= a @ np.ones((a.shape[2], 1), a.dtype)
-    return a @ v, q, k, a
+    z = (a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], a.dtype)).reshape(*a.shape[:2], 1)
+    h = a @ v
+    h /= z
+    return h, q, k, a, z
 
 
-def chances(h: np.ndarray, out: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Chances of classes: a softmax of what is gathered, and of logits that are known."""
+def weights_of_classes(h: np.ndarray, out: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A softmax of what is gathered and of logits that are known, before its division: exponentials, and the sums to divide them by."""
     p = h @ out
     p += known
-    np.minimum(p, 60, out=p)  # so that no sum of exponentials overflows
+    np.clip(p, np.float32(-1e9), np.float32(60), out=p)  # so that no sum of exponentials overflows; with a bound below, numpy's loop is faster
     np.exp(p, out=p)
-    p /= p @ np.ones((p.shape[1], 1), p.dtype)
-    return p
+    return p, p @ np.ones(p.shape[1], p.dtype)
+
+
+def chances(h: np.ndarray, out: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Chances of classes."""
+    p, sums = weights_of_classes(h, out, known)
+    return p / sums[:, None]
 
 
 @dataclass
@@ -128,55 +136,67 @@ class Tables:
         """Of windows: the places (flat) where a head follows, with the classes before and there; and those that follow an id, with it and the class inside the word."""
         y, before = x[:, CONTEXT:].reshape(-1), x[:, CONTEXT - 1 : -1].reshape(-1)
         own = live.reshape(-1)
-        head = np.flatnonzero(self.heads[y] & own)
+        head = np.flatnonzero(self.heads.take(y) & own)
         tail = np.flatnonzero((before < len(self.e) - 2) & own)
-        return head, last[:, CONTEXT - 1 : -1].reshape(-1)[head], self.kinds[y[head]], tail, before[tail], self.tail_kinds[y[tail]]
+        return head, last[:, CONTEXT - 1 : -1].reshape(-1).take(head), self.kinds.take(y.take(head)), tail, before.take(tail), self.tail_kinds.take(y.take(tail))
 
 
 def gradients(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
     """Of the log likelihood a place over the ``live`` (windows x NEW) places, and that. ``last``: the class of the head at or before each place."""
-    seen = t.e[x[:, :-1]]
+    seen = t.e.take(x[:, :-1], axis=0)
     flat = lambda z: z.reshape(-1, z.shape[-1])
     of = lambda z, m: (flat(z) @ m).reshape(*z.shape[:2], WIDTH)
     v, new = of(seen, w["v"]), np.ascontiguousarray(seen[:, CONTEXT - 1 :])
-    h, q, k, a = attend(w, of(new, w["q"]), of(seen, w["k"]), v)
+    h, q, k, a, total = attend(w, of(new, w["q"]), of(seen, w["k"]), v)
     head, was, y, tail, before, z = t.events(x, last, live)
     n, every = max(int(live.sum()), 1), flat(h)
     loss, dh = 0.0, np.zeros_like(every)
     grown = {}
-    for name, at, known, own in (("out", head, w["bias"][was], y), ("tail", tail, t.after[before], z)):
-        p, rows = chances(every[at], w[name], known), np.arange(len(at))
-        loss += float(np.log(p[rows, own] + 1e-30).sum()) / n
-        p *= np.float32(-1 / n)
-        p[rows, own] += np.float32(1 / n)
-        grown[name] = every[at].T @ p
+    for name, at, known, own in (("out", head, w["bias"].take(was, axis=0), y), ("tail", tail, t.after.take(before, axis=0), z)):
+        some = every.take(at, axis=0)
+        p, sums = weights_of_classes(some, w[name], known)
+        places = np.arange(len(at)) * p.shape[1] + own
+        loss += float(np.log(p.reshape(-1).take(places) / sums + 1e-30).sum()) / n
+        p *= (np.float32(-1 / n) / sums)[:, None]
+        p.reshape(-1)[places] += np.float32(1 / n)
+        grown[name] = some.T @ p
         dh[at] += p @ w[name].T
         if name == "out":
             order = np.argsort(was, kind="stable")
-            firsts = np.flatnonzero(np.diff(was[order], prepend=-1))
+            many = np.bincount(was, minlength=CLASSES)
+            have = np.flatnonzero(many)
             grown["bias"] = np.zeros_like(w["bias"])
-            if len(firsts):
-                grown["bias"][was[order][firsts]] = np.add.reduceat(p[order], firsts, axis=0)
+            if len(have):
+                grown["bias"][have] = np.add.reduceat(p.take(order, axis=0), (np.cumsum(many) - many)[have], axis=0)
     dh = dh.reshape(h.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a) @ np.ones((a.shape[2], 1), a.dtype))
-    dq = ds @ k * np.float32(WIDTH**-0.5)
+    mean = ((dh * h).reshape(-1, WIDTH) @ np.ones(WIDTH, h.dtype)).reshape(total.shape)  # of the derivatives by attention, weighted by it
+    dh /= total
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= mean / total
+    ds *= a
+    dq = ds @ k
+    dq *= np.float32(WIDTH**-0.5)
     dk = ds.transpose(0, 2, 1) @ q
     dv = a.transpose(0, 2, 1) @ dh
     return grown | {"q": flat(new).T @ flat(dq), "k": flat(seen).T @ flat(dk), "v": flat(seen).T @ flat(dv), "pq": dq.sum(axis=0), "pk": dk.sum(axis=0)}, loss
 
 
 class Adam:
+    """Steps of the weights ``w``, whose arrays become parts of one, so that a step runs over all of them at once."""
+
     def __init__(self, w: dict, rate: float):
         self.w, self.rate, self.t = w, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.all = np.concatenate([x.ravel() for x in w.values()])
+        cuts = np.cumsum([x.size for x in w.values()])[:-1]
+        w.update({k: part.reshape(x.shape) for (k, x), part in zip(list(w.items()), np.split(self.all, cuts), strict=True)})
+        self.m, self.v = np.zeros_like(self.all), np.zeros_like(self.all)
 
     def step(self, g: dict) -> None:
         self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] += (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        x = np.concatenate([g[k].ravel() for k in self.w])
+        self.m += 0.1 * (x - self.m)
+        self.v += 0.01 * (x * x - self.v)
+        self.all += (self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 def windows(stream: np.ndarray, sizes: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,13 +310,14 @@ class Model:
         """For windows of ids, log10 chances at each place CONTEXT..: of the head class (0 where no head is), and of what follows inside the word (0 after a begin)."""
         (q, k, v), t, w = self.projected, self.known, self.weights
         first, inner = (np.zeros((len(x), NEW), np.float32) for _ in range(2))
-        for at in range(0, len(x), 64):
-            some, own = x[at : at + 64], slice(at, at + 64)
+        for at in range(0, len(x), 128):
+            some, own = x[at : at + 128], slice(at, at + 128)
             seen, new = some[:, :-1], some[:, CONTEXT - 1 : -1]
-            h = attend(w, q[new], k[seen], v[seen])[0].reshape(-1, WIDTH)
+            h = attend(w, q.take(new, axis=0), k.take(seen, axis=0), v.take(seen, axis=0))[0].reshape(-1, WIDTH)
             head, was, y, tail, before, z = t.events(some, last[own], live[own])
-            first[own].reshape(-1)[head] = np.log10(chances(h[head], w["out"], w["bias"][was])[np.arange(len(head)), y] + np.float32(1e-30))
-            inner[own].reshape(-1)[tail] = np.log10(chances(h[tail], w["tail"], t.after[before])[np.arange(len(tail)), z] + np.float32(1e-30))
+            for into, places, name, known, kind in ((first, head, "out", w["bias"].take(was, axis=0), y), (inner, tail, "tail", t.after.take(before, axis=0), z)):
+                p, sums = weights_of_classes(h.take(places, axis=0), w[name], known)
+                into[own].reshape(-1)[places] = np.log10(p.reshape(-1).take(np.arange(len(places)) * p.shape[1] + kind) / sums + np.float32(1e-30))
         return first, inner
 
     def scores(self, stream: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

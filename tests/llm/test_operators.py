@@ -226,6 +226,31 @@ def test_attention_gradients():
             w[k][i] += 1e-5
 
 
+def test_attention_steps_run_over_whole_arrays():
+    """Exponentials stay undivided, attention too, and a step of all weights is one of one array."""
+    r = np.random.default_rng(3)
+    h, out, known = r.normal(size=(50, lm.WIDTH)), r.normal(size=(lm.WIDTH, lm.CLASSES)), r.normal(size=(50, lm.CLASSES)) * 40
+    p, sums = lm.weights_of_classes(h, out, known)
+    plain = np.exp(np.minimum(h @ out + known, 60))
+    assert p == pytest.approx(plain) and sums == pytest.approx(plain.sum(axis=1)) and lm.chances(h, out, known) == pytest.approx(plain / plain.sum(axis=1)[:, None])
+    w = {k: (r.normal(size=s) * 0.4).astype(np.float32) for k, s in lm.PARTS}
+    q, k, v = (r.normal(size=(5, n, lm.WIDTH)).astype(np.float32) for n in (lm.NEW, lm.WINDOW - 1, lm.WINDOW - 1))
+    gathered, _, _, a, total = lm.attend(w, q, k, v)
+    plain = np.exp((q + w["pq"]) @ (k + w["pk"]).transpose(0, 2, 1) / lm.WIDTH**0.5 + lm.MASK)
+    assert a == pytest.approx(plain, rel=1e-4) and total[..., 0] == pytest.approx(plain.sum(axis=2), rel=1e-4)
+    assert gathered == pytest.approx(plain / plain.sum(axis=2, keepdims=True) @ v, rel=1e-3, abs=1e-5)
+    first, step = {k: x.copy() for k, x in w.items()}, lm.Adam(w, 0.1)
+    m, n = ({k: np.zeros(x.shape) for k, x in w.items()} for _ in range(2))
+    for t in range(1, 4):
+        g = {k: r.normal(size=x.shape).astype(np.float32) for k, x in w.items()}
+        step.step(dict(reversed(g.items())))
+        for k, x in g.items():
+            m[k] = 0.9 * m[k] + 0.1 * x
+            n[k] = 0.99 * n[k] + 0.01 * x * x
+            first[k] = first[k] + 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(n[k] / (1 - 0.99**t)) + 1e-8)
+    assert all(step.w[k] is w[k] and np.shares_memory(w[k], step.all) and w[k] == pytest.approx(first[k], abs=1e-4) for k in w)
+
+
 def test_windows_show_each_id_once():
     sizes, t = np.array([1, 24, 25, 100]), lm_tables()
     stream = np.arange(sizes.sum()) % 60 + 2

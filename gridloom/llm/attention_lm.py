@@ -111,7 +111,8 @@ def weights_of_classes(h: np.ndarray, out: np.ndarray, known: np.ndarray) -> tup
     """A softmax of what is gathered and of logits that are known, before its division: exponentials, and the sums to divide them by."""
     p = h @ out
     p += known
-    np.clip(p, np.float32(-1e9), np.float32(60), out=p)  # so that no sum of exponentials overflows; with a bound below, numpy's loop is faster
+    if p.size and not p.max() <= 60:
+        np.clip(p, np.float32(-1e9), np.float32(60), out=p)  # so that no sum of exponentials overflows; with a bound below, numpy's loop is faster
     np.exp(p, out=p)
     return p, p @ np.ones(p.shape[1], p.dtype)
 
@@ -133,12 +134,26 @@ class Tables:
     after: np.ndarray
 
     def events(self, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple:
-        """Of windows: the places (flat) where a head follows, with the classes before and there; and those that follow an id, with it and the class inside the word."""
+        """Of windows: the places (flat) where a head follows, with the classes before and there; and for each place whether it follows an id, what it follows and the class inside the word."""
         y, before = x[:, CONTEXT:].reshape(-1), x[:, CONTEXT - 1 : -1].reshape(-1)
         own = live.reshape(-1)
         head = np.flatnonzero(self.heads.take(y) & own)
-        tail = np.flatnonzero((before < len(self.e) - 2) & own)
-        return head, last[:, CONTEXT - 1 : -1].reshape(-1).take(head), self.kinds.take(y.take(head)), tail, before.take(tail), self.tail_kinds.take(y.take(tail))
+        return head, last[:, CONTEXT - 1 : -1].reshape(-1).take(head), self.kinds.take(y.take(head)), own & (before < len(self.e) - 2), before, self.tail_kinds.take(y)
+
+    def logits_after(self, before: np.ndarray) -> np.ndarray:
+        """Of what follows inside words. Nearly all places follow an id, so none is left out; those after a begin read some id's, which nobody uses."""
+        return self.after.take(before, axis=0, mode="clip")
+
+
+def derivatives(some: np.ndarray, out: np.ndarray, known: np.ndarray, own: np.ndarray, share) -> tuple:
+    """Of the log likelihood of the classes ``own``, weighted by ``share``, by the logits; and the chances of ``own``."""
+    p, sums = weights_of_classes(some, out, known)
+    places = np.arange(0, p.size, p.shape[1]) + own
+    flat = p.reshape(-1)
+    chance = flat.take(places) / sums
+    p *= (-share / sums)[:, None]
+    flat[places] += share
+    return p, chance
 
 
 def gradients(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple[dict, float]:
@@ -148,26 +163,22 @@ def gradients(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.ndar
     of = lambda z, m: (flat(z) @ m).reshape(*z.shape[:2], WIDTH)
     v, new = of(seen, w["v"]), np.ascontiguousarray(seen[:, CONTEXT - 1 :])
     h, q, k, a, total = attend(w, of(new, w["q"]), of(seen, w["k"]), v)
-    head, was, y, tail, before, z = t.events(x, last, live)
-    n, every = max(int(live.sum()), 1), flat(h)
-    loss, dh = 0.0, np.zeros_like(every)
-    grown = {}
-    for name, at, known, own in (("out", head, w["bias"].take(was, axis=0), y), ("tail", tail, t.after.take(before, axis=0), z)):
-        some = every.take(at, axis=0)
-        p, sums = weights_of_classes(some, w[name], known)
-        places = np.arange(len(at)) * p.shape[1] + own
-        loss += float(np.log(p.reshape(-1).take(places) / sums + 1e-30).sum()) / n
-        p *= (np.float32(-1 / n) / sums)[:, None]
-        p.reshape(-1)[places] += np.float32(1 / n)
-        grown[name] = some.T @ p
-        dh[at] += p @ w[name].T
-        if name == "out":
-            order = np.argsort(was, kind="stable")
-            many = np.bincount(was, minlength=CLASSES)
-            have = np.flatnonzero(many)
-            grown["bias"] = np.zeros_like(w["bias"])
-            if len(have):
-                grown["bias"][have] = np.add.reduceat(p.take(order, axis=0), (np.cumsum(many) - many)[have], axis=0)
+    head, was, y, inner, before, z = t.events(x, last, live)
+    one, every = np.float32(1 / max(np.count_nonzero(live), 1)), flat(h)
+    share = inner * one
+    p, chance = derivatives(every, w["tail"], t.logits_after(before), z, share)
+    grown, loss = {"tail": (p.T @ every).T}, float(np.log(chance + 1e-30) @ share)
+    dh = p @ w["tail"].T
+    order = np.argsort(was, kind="stable")
+    head, was, y = head.take(order), was.take(order), y.take(order)
+    some = every.take(head, axis=0)
+    p, chance = derivatives(some, w["out"], w["bias"].take(was, axis=0), y, one)
+    grown["out"], grown["bias"] = (p.T @ some).T, np.zeros_like(w["bias"])
+    loss += float(np.log(chance + 1e-30).sum() * one)
+    dh[head] = dh.take(head, axis=0) + p @ w["out"].T
+    if len(head):
+        first = np.flatnonzero(np.append(True, was[1:] != was[:-1]))
+        grown["bias"][was.take(first)] = np.add.reduceat(p, first, axis=0)
     dh = dh.reshape(h.shape)
     mean = ((dh * h).reshape(-1, WIDTH) @ np.ones(WIDTH, h.dtype)).reshape(total.shape)  # of the derivatives by attention, weighted by it
     dh /= total
@@ -202,16 +213,23 @@ class Adam:
 def windows(stream: np.ndarray, sizes: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows of stacked texts' ids (ends included; begins stand before each), the class of the head at or before each place, and, for each window and new place, its index in ``stream`` or -1."""
     before = len(t.e) - 2
-    head = np.where(t.heads[stream], np.arange(len(stream)), 0)  # a text begins with a head, or is the end alone
-    last = t.kinds[stream[np.maximum.accumulate(head)]] if len(stream) else np.zeros(0, np.uint8)
-    start = np.cumsum(sizes) - sizes
+    every = np.arange(len(stream))
+    heads = t.heads.take(stream)
+    head = np.where(heads, every, 0)  # a text begins with a head, or is the end alone
+    last = t.kinds.take(stream.take(np.maximum.accumulate(head))) if len(stream) else np.zeros(0, np.uint8)
+    # each text lies in room for all its windows, which are stretches of that
     count = -(-sizes // NEW)
-    text = np.repeat(np.arange(len(sizes)), count)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * NEW
-    local = first[:, None] + np.arange(-CONTEXT, NEW)
-    inside = (local >= 0) & (local < sizes[text][:, None])
-    at = np.where(inside, local + start[text][:, None], 0)
-    return np.where(inside, stream[at], before), np.where(inside, last[at], BEGIN), np.where(inside, at, -1)[:, CONTEXT:]
+    room = CONTEXT + count * NEW
+    begin = np.cumsum(room) - room
+    place = every + np.repeat(begin + CONTEXT - (np.cumsum(sizes) - sizes), sizes)
+    first = np.repeat(begin, count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * NEW
+
+    def cut(values: np.ndarray, other: int, skipped: int = 0) -> np.ndarray:
+        laid = np.full(int(room.sum()) + WINDOW, other, values.dtype)
+        laid[place] = values
+        return np.lib.stride_tricks.sliding_window_view(laid[skipped:], WINDOW - skipped)[first]
+
+    return cut(stream, before), cut(last, BEGIN), cut(every, -1, CONTEXT)
 
 
 class Subwords:
@@ -309,16 +327,20 @@ class Model:
     def log_chances(self, x: np.ndarray, last: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For windows of ids, log10 chances at each place CONTEXT..: of the head class (0 where no head is), and of what follows inside the word (0 after a begin)."""
         (q, k, v), t, w = self.projected, self.known, self.weights
-        first, inner = (np.zeros((len(x), NEW), np.float32) for _ in range(2))
+        one, more = (np.ones((len(x), NEW), np.float32) for _ in range(2))
         for at in range(0, len(x), 128):
             some, own = x[at : at + 128], slice(at, at + 128)
             seen, new = some[:, :-1], some[:, CONTEXT - 1 : -1]
             h = attend(w, q.take(new, axis=0), k.take(seen, axis=0), v.take(seen, axis=0))[0].reshape(-1, WIDTH)
-            head, was, y, tail, before, z = t.events(some, last[own], live[own])
-            for into, places, name, known, kind in ((first, head, "out", w["bias"].take(was, axis=0), y), (inner, tail, "tail", t.after.take(before, axis=0), z)):
-                p, sums = weights_of_classes(h.take(places, axis=0), w[name], known)
-                into[own].reshape(-1)[places] = np.log10(p.reshape(-1).take(np.arange(len(places)) * p.shape[1] + kind) / sums + np.float32(1e-30))
-        return first, inner
+            head, was, y, inner, before, z = t.events(some, last[own], live[own])
+            one[own].reshape(-1)[head] = self.chance(h.take(head, axis=0), "out", w["bias"].take(was, axis=0), y)
+            np.copyto(more[own].reshape(-1), self.chance(h, "tail", t.logits_after(before), z), where=inner)
+        return tuple(np.multiply(np.log(x, out=x), 1 / np.log(10), dtype=float) for x in (one, more))  # numpy has no fast log10
+
+    def chance(self, h: np.ndarray, name: str, known: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The chances of the classes ``own``."""
+        p, sums = weights_of_classes(h, self.weights[name], known)
+        return p.reshape(-1).take(np.arange(0, p.size, p.shape[1]) + own) / sums + np.float32(1e-30)
 
     def scores(self, stream: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of texts' ids and the place of each token's head among them: log10 of its head class's chance, and of its spelling's chance times the tokens that stand for it (0 for an end)."""
@@ -345,6 +367,19 @@ class Lexicon(dict):
         self.subwords, self.hot, self.model, self.kept = subwords, hot, model, kept
         self.ids, self.first, self.many, self.count = array("i", [subwords.size + 1]), array("q", [0]), array("i", [1]), array("q", [0])
         self.bytes = 0
+        if hot:  # the frequent words come first, so that no other word is looked up among them
+            self.take_in(list(hot), np.fromiter(hot.values(), np.int64, len(hot)))
+
+    def take_in(self, new: list[bytes], counts: np.ndarray) -> np.ndarray:
+        flat, n = self.subwords.ids_of(new)
+        self.count.frombytes(counts.tobytes())
+        self.first.frombytes((len(self.ids) + np.cumsum(n) - n).tobytes())
+        self.many.frombytes(n.astype(np.int32).tobytes())
+        self.ids.frombytes(flat.astype(np.int32).tobytes())
+        self.bytes += int((np.fromiter(map(len, new), np.int64, len(new)) + 4 * n)[counts < 0].sum())
+        found = np.arange(len(self.many) - len(new), len(self.many))
+        self.update(zip(new, found.tolist(), strict=True))
+        return found
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of distinct words; new ones are taken in."""
@@ -354,15 +389,7 @@ class Lexicon(dict):
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [words[i] for i in missing.tolist()]
-            flat, n = self.subwords.ids_of(new)
-            counts = [self.hot.get(w, -1) for w in new]
-            self.bytes += sum(len(w) + 4 * k for w, k, c in zip(new, n.tolist(), counts, strict=True) if c < 0)
-            self.count.extend(counts)
-            self.first.extend((len(self.ids) + np.cumsum(n) - n).tolist())
-            self.many.extend(n.tolist())
-            self.ids.frombytes(flat.astype(np.int32).tobytes())
-            found[missing] = np.arange(len(self.many) - len(new), len(self.many))
-            self.update(zip(new, found[missing].tolist(), strict=True))
+            found[missing] = self.take_in(new, np.full(len(new), -1))
         return found
 
     def trim(self) -> None:
@@ -395,6 +422,7 @@ class Words:
         ends = np.append(0, np.cumsum(np.asarray(real.cast(pa.int64()))))[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
         flat, lengths = flat.filter(real).cast(pa.binary()), np.diff(ends)
         coded = flat.dictionary_encode()
+        self.dictionary = coded.dictionary
         self.distinct: list[bytes] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.lengths = lengths + 1
         self.text_start = np.cumsum(self.lengths) - self.lengths
@@ -404,8 +432,8 @@ class Words:
         self.at[~last] = np.asarray(coded.indices) + 1
 
     def known(self, lexicon: Lexicon) -> np.ndarray:
-        """The lexicon's number of each token."""
-        return np.append(0, lexicon.numbers(self.distinct))[self.at]
+        """The lexicon's number of the end and of each distinct word."""
+        return np.append(0, lexicon.numbers(self.distinct))
 
 
 def bucket_of(ids: np.ndarray) -> np.ndarray:
@@ -462,23 +490,29 @@ def fit_windows(w: dict, t: Tables, x: np.ndarray, last: np.ndarray, live: np.nd
 
 
 # --- Spark stages
-def _slices(batches: Iterator[pa.RecordBatch], column: str = "raw") -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "raw", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        yield from small_batches(whole, column, 1 << 20)
+        yield from small_batches(whole, column, most)
+
+
+def stored(size: int) -> np.dtype:
+    """How the ids of a tokenizer of ``size``, begin and end are stored: in two bytes each where these hold them, else in four."""
+    return np.dtype("<u2" if size + 2 <= 1 << 16 else "<i4")
 
 
-def as_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def as_ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts' ids, one after the other, and how many each text has, from their stored bytes."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<i4").astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64)
+    raw, kind = column.to_pylist(), stored(size)
+    return np.frombuffer(b"".join(raw), kind).astype(np.int64), np.array([len(x) // kind.itemsize for x in raw], np.int64)
 
 
 def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(word, c), (k, c) and (h, ids) of ``texts`` (h, raw).
 
     k: a head times BUCKETS plus the bucket of a head up to two words before or after; ids: a row a text, all its ids
-    and the end as four bytes each. Counts are added up in each task, in pieces of bounded size, before the exchange.
+    and the end as bytes (``stored``). Counts are added up in each task, in pieces of bounded size, before the exchange.
     """
+    kind = stored(subwords.size)
     schema = pa.schema([("word", pa.binary()), ("k", pa.int64()), ("c", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
 
     def rows(**columns) -> pa.RecordBatch:
@@ -501,9 +535,9 @@ def count_corpus(texts: DataFrame, subwords: Subwords) -> tuple[DataFrame, DataF
                 same = text[apart:] == text[:-apart]
                 np.add.at(near, heads[apart:][same] * BUCKETS + bucket[:-apart][same], 1)
                 np.add.at(near, heads[:-apart][same] * BUCKETS + bucket[apart:][same], 1)
-            stored = flat.astype("<i4").tobytes()
-            ends = (4 * np.append(np.append(0, np.cumsum(n))[words.text_start], len(flat))).tolist()
-            yield rows(h=batch.column("h"), ids=[stored[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+            raw = flat.astype(kind).tobytes()
+            ends = (kind.itemsize * np.append(np.append(0, np.cumsum(n))[words.text_start], len(flat))).tolist()
+            yield rows(h=batch.column("h"), ids=[raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
             if len(lexicon) > COUNTED or lexicon.bytes > KEPT_BYTES:
                 yield from counted(lexicon, seen)
                 lexicon.trim()
@@ -614,7 +648,7 @@ def train_shards(training: DataFrame, tokens: int, known: Tables, weights: dict,
     """Every shard of ``training`` (h, ids) trains ``weights`` on every window of its texts; the mean by tokens."""
     shards = min(max(1, tokens // SHARD_TOKENS), 1 << 20)
     sc = training.sparkSession.sparkContext
-    sent = sc.broadcast(known)
+    sent, size = sc.broadcast(known), len(known.e) - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
@@ -643,7 +677,7 @@ def train_shards(training: DataFrame, tokens: int, known: Tables, weights: dict,
                 done.append(n)
             n, held = 0, []
 
-        for batch in _slices(batches, "ids"):
+        for batch in _slices(batches, "ids", stored(size).itemsize << 18):
             # a shard's windows are cut from its texts in order, whatever batches they come in
             marks = np.asarray(batch.column("shard"))
             cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), len(marks)]
@@ -653,7 +687,7 @@ def train_shards(training: DataFrame, tokens: int, known: Tables, weights: dict,
                 if marks[a] != shard:
                     close()
                     shard, step = marks[a], Adam({k: v.copy() for k, v in weights.items()}, rate)
-                x, last, at = windows(*as_ids(batch.column("ids").slice(a, b - a)), t)
+                x, last, at = windows(*as_ids(batch.column("ids").slice(a, b - a), size), t)
                 held.append((x, last, at >= 0))
                 learn(False)
         close()
@@ -675,12 +709,13 @@ def train_shards(training: DataFrame, tokens: int, known: Tables, weights: dict,
 
 def first_weights(training: DataFrame, known: Tables) -> dict:
     """Weights fitted to the ``SAMPLE`` texts of the smallest hashes (of each, one row of at most ``SAMPLE_TOKENS`` ids)."""
-    short = training.where(F.octet_length("ids") <= 4 * SAMPLE_TOKENS)
+    size = len(known.e) - 2
+    short = training.where(F.octet_length("ids") <= stored(size).itemsize * SAMPLE_TOKENS)
     least = [r.h for r in short.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
     chosen = short.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("ids").alias("ids")).orderBy("h").collect() if least else []
     if not chosen:
         return new_weights(np.ones((CLASSES, CLASSES)))
-    x, last, at = windows(*as_ids(pa.array([bytes(r.ids) for r in chosen], pa.binary())), known)
+    x, last, at = windows(*as_ids(pa.array([bytes(r.ids) for r in chosen], pa.binary()), size), known)
     live = at >= 0
     _, was, y, *_ = known.events(x, last, live)
     steps = np.zeros((CLASSES, CLASSES))
@@ -723,7 +758,7 @@ def fit(training: DataFrame, ranks: bytes, pattern: str) -> tuple[Model, DataFra
     model.weights = new_weights(np.ones((CLASSES, CLASSES)))
     hot = frequent(words)
     if ends:
-        ids = texts.agg(F.sum(F.expr("octet_length(ids) div 4"))).first()[0]
+        ids = texts.agg(F.sum(F.expr(f"octet_length(ids) div {stored(size).itemsize}"))).first()[0]
         model.weights = train_shards(texts, ids, model.known, first_weights(texts, model.known))
     # nothing stands for a begin, nor for a class without ids
     model.weights["bias"][:, np.setdiff1d(np.arange(CLASSES), np.append(kinds[:size], END))] = -1e4
@@ -739,21 +774,24 @@ def _score(lexicon_of, ends: int):
         model = lexicon.model
         for batch in _slices(batches):
             words = Words(batch.column("raw"))
-            numbers = words.known(lexicon)
+            known = words.known(lexicon)
+            count = np.frombuffer(lexicon.count, np.int64).take(known)
+            chance = np.log10(np.maximum(np.append(ends, count[1:]), 0) + 1)  # 0 for a word that is not known
+            numbers = known.take(words.at)
             flat, n = lexicon.ids_of(numbers)
             starts = np.cumsum(n) - n
             sizes = np.add.reduceat(n, words.text_start)
             score, weight = model.scores(flat, sizes, starts)
-            c, end = np.frombuffer(lexicon.count, np.int64)[numbers], numbers == 0
+            c, end = count.take(words.at), numbers == 0
             hot = c >= 0
             score[~end] -= model.log_tokens[model.kinds[flat[starts][~end]]]
             seen = hot & ~end
-            score[seen] += np.log10(np.maximum(c[seen] - model.discount, 0) + 10.0 ** weight[seen] + 1e-300)
+            score[seen] += np.log10(np.maximum(c[seen] - model.discount, 0) + np.exp(weight[seen] * np.log(10)) + 1e-300)
             c = np.where(end, ends, c)
-            base = np.where(hot, np.log10(np.maximum(c, 0) + 1), 0)
+            base = chance.take(words.at)
             rare = np.flatnonzero(~hot)
             cut = pa.array(np.searchsorted(rare, np.append(words.text_start, len(numbers))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array([words.distinct[i - 1] for i in words.at[rare].tolist()], pa.binary())), pa.ListArray.from_arrays(cut, pa.array(weight[rare]))]
+            lists = [pa.ListArray.from_arrays(cut, words.dictionary.take(pa.array(words.at[rare] - 1))), pa.ListArray.from_arrays(cut, pa.array(weight[rare]))]
             sums = lambda y, s=words.text_start: np.add.reduceat(y, s)
             yield pa.RecordBatch.from_arrays([pa.array(rid + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(words.lengths, pa.int64()), pa.array(sums((hot & (c > 0)).astype(np.int64))), pa.array(sums(base)), pa.array(sums(score)), *lists], ["rid", "doc_id", "n_tokens", "hot", "base", "score", "words", "weights"])
             rid += batch.num_rows

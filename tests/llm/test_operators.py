@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +448,40 @@ def test_ids_of_many_words():
     assert flat.tolist() == [i for w in words for i in subwords.ids(w)] and n.tolist() == [len(subwords.ids(w)) for w in words]
 
 
+def test_lm_stores_ids_in_two_bytes(spark):
+    subwords, texts = lm.Subwords(*ranks()), lm_texts()
+    stored = lm.count_corpus(training_of(spark, texts).select("raw", F.xxhash64("doc_id", "raw").alias("h")), subwords)[2]
+    raw = pa.array([r.ids for r in stored.collect()], pa.binary())
+    flat, n = lm.as_ids(raw, subwords.size)
+    assert sum(map(len, raw.to_pylist())) == 2 * len(flat) and (flat[np.cumsum(n) - 1] == subwords.size + 1).all()
+    want = sorted([*(i for w in (t or "").encode().lower().split() for i in subwords.ids(w)), subwords.size + 1] for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2)
+    assert sorted(x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])) == want
+    large = np.array([1, 70_000], "<i4").tobytes()  # a tokenizer whose ids need more
+    assert lm.as_ids(pa.array([large]), 69_999)[0].tolist() == [1, 70_000]
+
+
+def test_events_of_many_windows_take_little_memory():
+    t, r = lm_tables(), np.random.default_rng(2)
+    x = r.integers(0, 200, (2000, lm.WINDOW))
+    found = t.events(x, t.kinds[x], np.ones((2000, lm.NEW), bool))
+    assert sum(y.nbytes for y in found) < 2000 * lm.NEW * 50  # no row of logits a place
+
+
+def test_lexicon_begins_with_frequent_words():
+    class Hot(dict):
+        def get(self, *_):
+            raise AssertionError("a word was looked up among the frequent ones")
+
+    subwords = lm.Subwords(*ranks())
+    words = [b"zzqy", b"the", "d\u00e9j\u00e0".encode()]
+    lexicon = lm.Lexicon(subwords, Hot({b"the": 7, words[2]: 3}))
+    for _ in range(2):
+        numbers = lexicon.numbers(words)
+        assert np.array(lexicon.count)[numbers].tolist() == [-1, 7, 3] and lexicon.ids_of(numbers)[0].tolist() == [i for w in words for i in subwords.ids(w)]
+        lexicon.trim()
+        assert sorted(lexicon) == sorted(words[1:]) and lexicon.bytes == 0
+
+
 def test_lm_odd_tables(spark):
     assert lm.lm_scores(docs_of(spark, ["a"]).where("false"), *ranks()).count() == 0
     rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None), (4, "x" * 200_000)]

@@ -71,3 +71,13 @@ def test_models_go_at_their_own_pace(spark, tmp_path, monkeypatch):
         alone = bo.fit_boosted(table(spark, 200, 2), names, "target", {0: s}, f"{tmp_path}/{m}", bins=16, cuts=many.cuts)
         for a, b in zip(alone.trees[0], many.trees[m], strict=True):
             assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.value, b.value)
+
+
+def test_ties_but_for_rounding_go_to_the_first_feature():
+    g = np.array([[[0.0, 0.3, -5.0, 4.7], [0.0, 0.3, -5.0000000000001, 4.7000000000001]]])
+    n = np.array([[[0, 9, 9, 9]] * 2])
+    gains = [bo._best(g[:, [k]], n[:, [k]], np.array([k]), 1.0, 2)[0][0] for k in range(2)]
+    for order in ([0, 1], [1, 0]):
+        best = bo._best(g[:, order], n[:, order], np.array([4, 7]), 1.0, 2)[0]
+        assert best[:4] == (pytest.approx(max(gains), rel=1e-12), 4, 2, False) and best[5] == 18 and best[7] == 9
+    assert gains[0] < gains[1] and bo._best(g, n, np.arange(2), 1.0, 14) == [None]
